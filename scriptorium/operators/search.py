@@ -130,18 +130,18 @@ def batch_search(
     terms = query_terms(queries)
     lowered = F.array_distinct(F.filter(F.split(F.lower("text"), regex(r"\s+")), lambda w: w != ""))
     postings = chunks.select(key, "chunk_id", F.explode(lowered).alias("word"))
+    distinct_terms = terms.select("term").distinct()
     if mode == "word":
-        matches = terms.withColumn("word", F.col("term"))
+        found = postings.withColumnRenamed("word", "term").join(distinct_terms, "term")
     else:
-        pairs = words_holding(postings.select("word").distinct(), terms.select("term").distinct())
-        matches = pairs.join(terms, "term")
-    matched = F.aggregate(
-        F.collect_set(F.struct("term", "times")), F.lit(0).cast("bigint"), lambda acc, t: acc + t["times"]
-    )
+        pairs = words_holding(postings.select("word").distinct(), distinct_terms)
+        # Several words of a chunk can hold the same term; all of them sit in one task, so the partial
+        # aggregation already removes the repeats before the shuffle.
+        found = postings.join(pairs, "word").select(key, "chunk_id", "term").distinct()
     hits = (
-        postings.join(matches, "word")
+        found.join(terms, "term")
         .groupBy("query_id", "n_terms", key, "chunk_id")
-        .agg(matched.alias("matched"))
+        .agg(F.sum("times").alias("matched"))
         .withColumn("relevance", F.col("matched").cast("double") / F.col("n_terms"))
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("relevance"), key, "chunk_id")
