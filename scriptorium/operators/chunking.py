@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions import annotate as annotations
+from scriptorium.functions.extract import chunk_language
+from scriptorium.functions.split import recursive_split
+
 # Default chunk size and overlap in characters.
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
@@ -17,3 +21,39 @@ def fixed_chunks(docs: DataFrame, key: str, size: int = CHUNK_SIZE, overlap: int
     return docs.withColumn("chunk_id", F.explode(F.sequence(F.lit(0), last))).select(
         key, "chunk_id", F.substring(F.col("text"), F.col("chunk_id") * step + 1, F.lit(size)).alias("text")
     )
+
+
+def recursive_chunks(docs: DataFrame, key: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """Chunks cut at paragraph, line, sentence and word ends; numbered from 0 per document. No shuffle."""
+    cut = docs.withColumn("_chunks", recursive_split(F.col("text"), size, overlap))
+    kept = [c for c in docs.columns if c != "text"]
+    return cut.select(*kept, F.posexplode("_chunks").alias("chunk_id", "text"))
+
+
+def annotate(chunks: DataFrame) -> DataFrame:
+    """Entities, keywords and token count beside each chunk."""
+    columns = {
+        "entities": annotations.entities(F.col("text")),
+        "keywords": annotations.keywords(F.col("text")),
+        "token_count": annotations.token_count(F.col("text")),
+    }
+    return chunks.withColumns(columns)
+
+
+def improve(chunks: DataFrame) -> DataFrame:
+    """Summary, sentiment and the ``improved`` flag beside the annotations."""
+    return chunks.withColumns(
+        {
+            "summary": annotations.summary(F.col("text")),
+            "sentiment": annotations.sentiment(F.col("text")),
+            "improved": F.lit(True),
+        }
+    )
+
+
+def chunk_documents(
+    docs: DataFrame, key: str = "id", language: str = "language", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
+) -> DataFrame:
+    """Whole documents to annotated chunks; the language is settled on the whole text before it is cut."""
+    settled = docs.select(key, "text", chunk_language(F.col(language), F.col("text")).alias("language"))
+    return annotate(recursive_chunks(settled, key, size, overlap))

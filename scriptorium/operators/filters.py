@@ -162,5 +162,3 @@ def lookup(library: DataFrame, ids: DataFrame) -> DataFrame:
     return found.withColumns(defaults)
 
 
-def text_present(c: Column) -> Column:
-    return has_text(c)

@@ -45,7 +45,7 @@ PAPERS = """papers AS (
  FROM documents)"""
 
 CATALOGUE = f"""catalogue AS (
- SELECT {sql_list(SOURCES)}[source_order] AS source, CAST(rank AS INTEGER) AS rank,
+ SELECT {sql_list(SOURCES)}[source_order] AS source, CAST(rank AS INTEGER) AS rank, doc_id,
   {sql_list(SOURCES)}[source_order] || '-' || doc_id || '-' || rank AS record_id,
   CASE rank WHEN 1 THEN substr(title, 1, greatest(length(title) - source_order, 0))
             WHEN 2 THEN title || ' (Nachdruck)' ELSE reverse(title) END AS title,

@@ -112,6 +112,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             _pick(order - 1, SOURCES).alias("source"),
             "rank",
+            "doc_id",
             F.concat(_pick(order - 1, SOURCES), F.lit("-"), "doc_id", F.lit("-"), "rank").alias("record_id"),
             title.alias("title"),
             F.when(rank <= 2, F.col("author")).alias("author"),
