@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["library_queries", "search_queries", "text_queries", "catalogue_queries", "chunk_queries"]
+MODULES = [
+    "library_queries",
+    "search_queries",
+    "text_queries",
+    "catalogue_queries",
+    "chunk_queries",
+    "source_queries",
+]
 
 
 def load_all() -> None:
