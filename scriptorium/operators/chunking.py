@@ -25,9 +25,11 @@ def fixed_chunks(docs: DataFrame, key: str, size: int = CHUNK_SIZE, overlap: int
 
 def recursive_chunks(docs: DataFrame, key: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Chunks cut at paragraph, line, sentence and word ends; numbered from 0 per document. No shuffle."""
-    cut = docs.withColumn("_chunks", recursive_split(F.col("text"), size, overlap))
     kept = [c for c in docs.columns if c != "text"]
-    return cut.select(*kept, F.posexplode("_chunks").alias("chunk_id", "text"))
+    cut = docs.select(*kept, recursive_split(F.col("text"), size, overlap).alias("_chunks"))
+    # The outer form keeps the planner from running the splitter twice to drop empty arrays early.
+    chunks = cut.select(*kept, F.posexplode_outer("_chunks").alias("chunk_id", "text"))
+    return chunks.filter("chunk_id IS NOT NULL")
 
 
 def annotate(chunks: DataFrame) -> DataFrame:

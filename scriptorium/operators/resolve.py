@@ -20,6 +20,7 @@ MIN_SCORE = 10.0
 TITLE_OVERLAP = 0.6
 # The most frequent title words, ranked; their number bounds the broadcast.
 FREQUENT_WORDS = 10_000
+ANY_NAME = "any"
 
 
 def _record() -> Column:
@@ -121,6 +122,11 @@ def _name_keys(source: Column, author: Column) -> Column:
     )
 
 
+def _best_record() -> Column:
+    order = F.struct((-F.col("bonus")).alias("b"), "record.rank", "record.record_id")
+    return F.min_by(F.struct("bonus", "record"), order).alias("best")
+
+
 def by_title(
     library: DataFrame,
     catalogue: DataFrame,
@@ -144,46 +150,31 @@ def by_title(
         catalogue.filter(present("title"))
         .select("source", title_lower, "author", bonus.alias("bonus"), _record().alias("record"))
         .groupBy("source", F.col("title_lower").alias("right_title"), "author")
-        .agg(
-            F.min_by(
-                F.struct("bonus", "record"), F.struct((-F.col("bonus")).alias("b"), "record.rank", "record.record_id")
-            ).alias("best")
-        )
+        .agg(_best_record())
         .select("source", "right_title", "author", "best.bonus", "best.record")
     )
     pairs = similar_titles(
         queries.select("title_lower").distinct(), records.select(F.col("right_title").alias("title_lower")).distinct(), overlap
     )
 
+    # Documents ask under their first author's name, those without authors under ANY_NAME; records answer
+    # under each of their names, and the best one of a title also under ANY_NAME, because without authors
+    # only the bonus separates the records of one title.
     first = F.get("author", F.lit(0))
-    named = queries.filter("author IS NOT NULL").select(
-        F.col("title_lower").alias("left_title"), F.col("author").alias("asked_author"),
-        F.explode(
-            F.array(F.concat(F.lit("full:"), F.lower(first)), F.concat(F.lit("last:"), F.lower(surname(first))))
-        ).alias("name_key"),
-    )
-    records_by_name = records.withColumn("name_key", F.explode(_name_keys(F.col("source"), F.col("author"))))
-    with_author = named.join(pairs, "left_title").join(records_by_name, ["right_title", "name_key"])
-
-    # Without authors only the bonus separates records of one title.
+    names = F.array(F.concat(F.lit("full:"), F.lower(first)), F.concat(F.lit("last:"), F.lower(surname(first))))
+    named = queries.select(
+        F.col("title_lower").alias("left_title"),
+        F.col("author").alias("asked_author"),
+        F.explode(F.when(F.col("author").isNull(), F.array(F.lit(ANY_NAME))).otherwise(names)).alias("name_key"),
+    )
+    by_name = records.withColumn("name_key", F.explode(_name_keys(F.col("source"), F.col("author"))))
     best_of_title = (
         records.groupBy("source", "right_title")
-        .agg(
-            F.min_by(
-                F.struct("bonus", "record"), F.struct((-F.col("bonus")).alias("b"), "record.rank", "record.record_id")
-            ).alias("best")
-        )
-        .select("source", "right_title", "best.bonus", "best.record")
-    )
-    unnamed = queries.filter("author IS NULL").select(F.col("title_lower").alias("left_title"))
-    without_author = (
-        unnamed.join(pairs, "left_title")
-        .join(best_of_title, "right_title")
-        .withColumn("asked_author", F.lit(None).cast("array<string>"))
+        .agg(_best_record())
+        .select("source", "right_title", "best.bonus", "best.record", F.lit(ANY_NAME).alias("name_key"))
     )
-
-    columns = ["left_title", "asked_author", "right_title", "source", "bonus", "record"]
-    candidates = with_author.select(*columns).unionByName(without_author.select(*columns))
+    answering = by_name.drop("author").unionByName(best_of_title)
+    candidates = named.join(pairs, "left_title").join(answering, ["right_title", "name_key"])
     score = (
         title_points(F.col("right_title"), F.col("left_title"), similarity)
         + candidate_author_points(F.col("source"), F.col("record.author"), F.col("asked_author"))

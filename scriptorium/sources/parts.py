@@ -22,21 +22,28 @@ def _ordered_join(order: str, text: str, gap: str) -> Column:
 
 
 def _assemble(parts: DataFrame, key: str, no: str, text: Column, gap: str = PART_GAP) -> DataFrame:
-    """``(key, raw, parts)``: non-null texts joined in order; ``parts`` counts all rows."""
+    """``(key, raw, parts, first)``: non-null texts joined in order; ``parts`` counts all rows."""
     numbered = parts.select(key, F.col(no).alias("_no"), text.alias("_text"), F.floor(F.col(no) / RUN).alias("_run"))
-    runs = numbered.groupBy(key, "_run").agg(_ordered_join("_no", "_text", gap).alias("_text"), F.count("*").alias("_n"))
+    runs = numbered.groupBy(key, "_run").agg(
+        _ordered_join("_no", "_text", gap).alias("_joined"),
+        F.count("*").alias("_n"),
+        F.min_by("_text", "_no").alias("_first"),
+    )
     return runs.groupBy(key).agg(
-        F.coalesce(_ordered_join("_run", "_text", gap), F.lit("")).alias("raw"), F.sum("_n").alias("parts")
+        F.coalesce(_ordered_join("_run", "_joined", gap), F.lit("")).alias("raw"),
+        F.sum("_n").alias("parts"),
+        F.min_by("_first", "_run").alias("first"),
     )
 
 
 def assemble_pages(pages: DataFrame, key: str, no: str = "no", text: str = "text") -> DataFrame:
     """Pages joined by a blank line, blank pages dropped but counted; page one is kept apart."""
-    content = F.when(strip(F.col(text)) != "", F.col(text))
-    first = pages.groupBy(key).agg(F.min_by(text, no).alias("first_page"))
-    joined = _assemble(pages, key, no, content)
-    return joined.join(first, key).select(
-        key, clean_text(F.col("raw")).alias("text"), F.col("parts").alias("page_count"), "first_page"
+    joined = _assemble(pages, key, no, F.when(strip(F.col(text)) != "", F.col(text)))
+    return joined.select(
+        key,
+        clean_text(F.col("raw")).alias("text"),
+        F.col("parts").alias("page_count"),
+        F.coalesce("first", F.lit("")).alias("first_page"),
     )
 
 
