@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -10,16 +10,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from scriptorium.functions.text import strip
+from scriptorium.functions.extract import let
+from scriptorium.functions.text import strip, surname
 from scriptorium.schema import has_text
 
 
+def _plain(c: Column) -> Column:
+    return strip(F.lower(c))
+
+
+def _graded(x: Column, y: Column) -> Column:
+    """Similarity of two lower-cased, stripped strings."""
+    return F.when(x == y, 1.0).otherwise(F.lit(1.0) - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)))
+
+
 def string_similarity(a: Column, b: Column) -> Column:
     """0 when either is empty, 1 when equal up to case and outer blanks, else ``1 - distance / length``."""
-    x, y = strip(F.lower(a)), strip(F.lower(b))
-    longest = F.greatest(F.length(x), F.length(y))
-    graded = F.lit(1.0) - F.levenshtein(x, y) / longest
-    return F.when(~(has_text(a) & has_text(b)), 0.0).when(x == y, 1.0).otherwise(graded)
+    return F.when(has_text(a) & has_text(b), _graded(_plain(a), _plain(b))).otherwise(0.0)
 
 
 @pandas_udf("double")
@@ -43,36 +50,33 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 
 def author_similarity(found: Column, original: Column) -> Column:
     """Mean over the found authors of their best match among the original ones."""
-    best = F.transform(
-        F.filter(found, has_text),
-        lambda f: F.coalesce(F.array_max(F.transform(original, lambda o: string_similarity(f, o))), F.lit(0.0)),
+
+    def mean_best(names: Column) -> Column:
+        best = F.transform(
+            names["found"],
+            lambda f: F.coalesce(F.array_max(F.transform(names["original"], lambda o: _graded(f, o))), F.lit(0.0)),
+        )
+        return F.aggregate(best, F.lit(0.0), lambda acc, s: acc + s)
+
+    # Names are lower-cased and stripped once, not once per pair; empty ones match nothing.
+    named = F.struct(
+        F.transform(F.filter(found, has_text), _plain).alias("found"),
+        F.transform(F.filter(original, has_text), _plain).alias("original"),
     )
-    total = F.aggregate(best, F.lit(0.0), lambda acc, s: acc + s)
-    return F.when(F.size(found) > 0, total / F.size(found)).otherwise(0.0)
+    return F.when(F.size(found) > 0, let(named, mean_best) / F.size(found)).otherwise(0.0)
+
+
+def _any_pair(found: Column, original: Column, test: Callable[[Column, Column], Column]) -> Column:
+    names = F.struct(F.transform(found, F.lower).alias("found"), F.transform(original, F.lower).alias("original"))
+    hit = let(names, lambda n: F.exists(n["found"], lambda f: F.exists(n["original"], lambda o: test(f, o))))
+    return F.coalesce(hit, F.lit(False))
 
 
 def any_name_contains(found: Column, original: Column) -> Column:
     """Some found author contains, or is contained in, some original author; case ignored."""
-    return F.coalesce(
-        F.exists(
-            found,
-            lambda f: F.exists(
-                original,
-                lambda o: F.contains(F.lower(f), F.lower(o)) | F.contains(F.lower(o), F.lower(f)),
-            ),
-        ),
-        F.lit(False),
-    )
+    return _any_pair(found, original, lambda f, o: F.contains(f, o) | F.contains(o, f))
 
 
 def any_surname_within(found: Column, original: Column) -> Column:
     """The last word of some found author occurs in some original author; case ignored."""
-    return F.coalesce(
-        F.exists(
-            found,
-            lambda f: F.exists(
-                original, lambda o: F.contains(F.lower(o), F.lower(F.element_at(F.split(f, " "), -1)))
-            ),
-        ),
-        F.lit(False),
-    )
+    return _any_pair(F.transform(found, surname), original, lambda f, o: F.contains(o, f))

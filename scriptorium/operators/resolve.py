@@ -182,7 +182,6 @@ def by_title(
     )
     best = (
         candidates.withColumn("score", score)
-        .filter(F.col("score") > min_score)
         .groupBy("left_title", "asked_author", "source")
         .agg(
             F.min_by(
@@ -190,10 +189,12 @@ def by_title(
                 F.struct((-F.col("score")).alias("s"), "record.rank", "record.record_id"),
             ).alias("best")
         )
-        .select(F.col("left_title").alias("title_lower"), F.col("asked_author").alias("author"), "source", "best.*")
+        .select(F.col("left_title").alias("best_title"), F.col("asked_author").alias("best_author"), "source", "best.*")
+        # After the aggregation, so that the score is computed once per pair.
+        .filter(F.col("score") > min_score)
     )
     return asked.join(
-        best.withColumnRenamed("author", "best_author").withColumnRenamed("title_lower", "best_title"),
+        best,
         (F.col("title_lower") == F.col("best_title")) & F.col("author").eqNullSafe(F.col("best_author")),
     ).select(key, "source", "score", "record")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.operators.chunking import fixed_chunks
+from scriptorium.session import spread
 
 # Fixed values of the fixture rules.
 AUTHOR_POOL = [
@@ -15,8 +16,12 @@ AUTHOR_POOL = [
 SOURCES = ["crossref", "openlib", "k10plus", "googlebooks", "openalex"]
 
 
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def _strings(values: list[str]) -> Column:

@@ -29,18 +29,21 @@ def _(spark, sf):
 
 
 def _text_files(spark, sf) -> str:
-    """Every document as a text file of its own, in one folder per source."""
+    """All documents as text files of a hundred documents each, in id order."""
     folder = work_folder(spark, "text-files")
-    docs = fx.table(spark, sf, "documents").select("source", F.col("text").alias("value"))
-    docs.write.partitionBy("source").option("maxRecordsPerFile", 1).text(folder)
+    bundle = F.floor(F.col("doc_id") / 100).alias("bundle")
+    docs = fx.table(spark, sf, "documents").select(bundle, "doc_id", F.col("text").alias("value"))
+    sorted_docs = docs.repartition("bundle").sortWithinPartitions("bundle", "doc_id").drop("doc_id")
+    sorted_docs.write.partitionBy("bundle").text(folder)
     return folder
 
 
-@query(
-    "text_source",
-    f"""SELECT md5({_clean_sql('text')}) AS md5, CAST(greatest(1, (length(text) + 1) // 2000) AS BIGINT) AS page_count,
- 'txt' AS file_type, CAST(strlen(text) + 1 AS BIGINT) AS file_size FROM documents""",
-)
+_BUNDLES = "(SELECT string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY doc_id // 100)"
+_TEXT_FILE_SQL = f"""SELECT md5({_clean_sql('text')}) AS md5, CAST(greatest(1, length(text) // 2000) AS BIGINT) AS page_count,
+ 'txt' AS file_type, CAST(strlen(text) AS BIGINT) AS file_size FROM {_BUNDLES}"""
+
+
+@query("text_source", _TEXT_FILE_SQL)
 def _(spark, sf):
     docs = files.read_text_files(spark, _text_files(spark, sf))
     return docs.select(F.md5("text").alias("md5"), "page_count", "file_type", "file_size")
@@ -119,16 +122,12 @@ def _(spark, sf):
     return own.select("id", "title", "year", F.array_join("author", "; ").alias("author"))
 
 
-@query(
-    "stream_ingest",
-    f"""SELECT md5({_clean_sql('text')}) AS md5, CAST(greatest(1, (length(text) + 1) // 2000) AS BIGINT) AS page_count,
- CAST(strlen(text) + 1 AS BIGINT) AS file_size FROM documents""",
-)
+@query("stream_ingest", _TEXT_FILE_SQL)
 def _(spark, sf):
     stream = ingest.documents(ingest.stream_files(spark, _text_files(spark, sf)))
     sink, checkpoint = work_folder(spark, "ingest"), work_folder(spark, "ingest-checkpoint")
     ingest.run(stream, sink, checkpoint).awaitTermination()
-    return spark.read.parquet(sink).select(F.md5("text").alias("md5"), "page_count", "file_size")
+    return spark.read.parquet(sink).select(F.md5("text").alias("md5"), "page_count", "file_type", "file_size")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -16,6 +17,8 @@ RECOMMENDED_CONF = {
     # Documents differ in length by four orders of magnitude; small Arrow batches keep the
     # splitter's Python workers flat in memory.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    # Call sites recorded per column expression make building wide plans slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -28,6 +31,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # Small local shuffles still carry heavy text work: do not merge them into one task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in RECOMMENDED_CONF.items():
         builder = builder.config(key, value)
@@ -36,6 +41,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores when a table has fewer splits than cores.
+
+    Files of one row group are read by one task; text work on it would use one core. A table with enough
+    splits, as any large one has, is returned unchanged and keeps its scan partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="scriptorium-")
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one the cluster names in ``spark.checkpoint.dir``.
 
@@ -45,8 +65,7 @@ def work_folder(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="scriptorium-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

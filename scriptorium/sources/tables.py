@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POINTER = "_CURRENT"
+POINTER = "CURRENT"
 
 
 def _files(spark: SparkSession, path: str):
