@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import fixed_values as v
+from scriptorium.functions.lines import is_header_footer, is_irrelevant
 from scriptorium.functions.text import extension, file_name, page_estimate, regex, search_regex, strip
-from scriptorium.operators.filters import is_header_footer, is_irrelevant
 from scriptorium.schema import null_if_empty, present
 
 TEXTS = "array<string>"

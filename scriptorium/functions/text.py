@@ -12,6 +12,8 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+# The same characters as a pattern.
+BLANK_RUN = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 # Accepted suffixes per reader.
 READERS = {
     "pdf": [".pdf"],
@@ -36,7 +38,7 @@ def strip(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Split on whitespace runs, no empty words."""
-    return F.filter(F.split(c, regex(r"\s+")), lambda w: w != "")
+    return F.filter(F.split(c, BLANK_RUN), lambda w: w != "")
 
 
 def search_regex(c: Column, pattern: str, group: int = 1) -> Column:

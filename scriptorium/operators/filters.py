@@ -5,33 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import extension, regex, strip
-from scriptorium.schema import FIELD_TYPES, has_text, present
-
-# Lines carrying one of these are legal notices, publisher names or links.
-IRRELEVANT_PATTERNS = [
-    r"full terms",
-    r"conditions of (access|use)",
-    r"copyright",
-    r"all rights reserved",
-    r"Taylor & Francis",
-    r"elsevier",
-    r"springer",
-    r"john wiley",
-    r"https?://",
-    r"terms and conditions",
-]
-# Lines matching one of these are page headers or footers.
-HEADER_FOOTER_PATTERNS = [
-    r"full terms",
-    r"conditions of (access|use)",
-    r"copyright",
-    r"^page \d+",
-    r"^issn",
-    r"^doi:",
-    r"^\d+$",
-    r"all rights reserved",
-]
+from scriptorium.functions.text import extension, strip
+from scriptorium.schema import FIELD_TYPES, present
+
 # Upload rules.
 ACCEPTED_UPLOADS = [".pdf", ".docx", ".epub", ".pptx", ".txt"]
 UPLOAD_LIMIT_BYTES = 100 * 1024 * 1024
@@ -123,18 +99,6 @@ def list_filter(text: str | None = None, year: str | None = None, kind: str | No
     return keep
 
 
-def _any_of(patterns: list[str]) -> str:
-    return regex("(?i)" + "|".join(f"(?:{p})" for p in patterns))
-
-
-def is_irrelevant(c: Column) -> Column:
-    return c.rlike(_any_of(IRRELEVANT_PATTERNS))
-
-
-def is_header_footer(c: Column) -> Column:
-    return c.rlike(_any_of(HEADER_FOOTER_PATTERNS))
-
-
 def needs_ocr(text: Column) -> Column:
     return F.length(strip(F.coalesce(text, F.lit("")))) < MIN_TEXT_CHARS
 

@@ -7,10 +7,11 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import regex, words
+from scriptorium.functions.text import words
 from scriptorium.operators.filters import search_filter
 from scriptorium.operators.listing import source_label
 from scriptorium.schema import present
+from scriptorium.session import broadcast_if_small, cut_lineage
 
 # Default number of hits and of context chunks.
 MAX_RESULTS = 10
@@ -124,22 +125,30 @@ def batch_search(
 
     Query words hold no blanks, so a chunk contains a query word exactly when one of the chunk's
     blank-separated words does. That turns the search into equality joins on words: distinct words meet
-    the distinct query words once, then the chunk's words look the result up. The top ``k`` per query are
-    cut per task before the final shuffle.
+    the distinct query words once, then the chunk's words look the result up.
     """
     terms = query_terms(queries)
-    lowered = F.array_distinct(F.filter(F.split(F.lower("text"), regex(r"\s+")), lambda w: w != ""))
-    postings = chunks.select(key, "chunk_id", F.explode(lowered).alias("word"))
-    distinct_terms = terms.select("term").distinct()
+    postings = chunks.select(key, "chunk_id", F.explode(F.array_distinct(words(F.lower("text")))).alias("word"))
+    wanted = terms.select("term").distinct()
     if mode == "word":
-        found = postings.withColumnRenamed("word", "term").join(distinct_terms, "term")
+        meant = wanted.select(F.col("term").alias("word"), F.array("term").alias("meant"))
     else:
-        pairs = words_holding(postings.select("word").distinct(), distinct_terms)
-        # Several words of a chunk can hold the same term; all of them sit in one task, so the partial
-        # aggregation already removes the repeats before the shuffle.
-        found = postings.join(pairs, "word").select(key, "chunk_id", "term").distinct()
+        pairs = words_holding(postings.select("word").distinct(), wanted)
+        meant = pairs.groupBy("word").agg(F.collect_list("term").alias("meant"))
+    # Written and measured: broadcast when small, so that a chunk's words need not travel; else a shuffled
+    # join, kept from broadcasting the words by a hint, because their number is easily underestimated.
+    meant = broadcast_if_small(cut_lineage(meant, "search-words"))
+    # One row per chunk with the query words it holds. The rows stay where this puts them: counting per query
+    # and chunk needs no further shuffle, and the cut to k rows per query happens before the last one.
+    holding = (
+        postings.hint("merge")
+        .join(meant, "word")
+        .groupBy(key, "chunk_id")
+        .agg(F.array_distinct(F.flatten(F.collect_list("meant"))).alias("held"))
+    )
     hits = (
-        found.join(terms, "term")
+        holding.select(key, "chunk_id", F.explode("held").alias("term"))
+        .join(terms, "term")
         .groupBy("query_id", "n_terms", key, "chunk_id")
         .agg(F.sum("times").alias("matched"))
         .withColumn("relevance", F.col("matched").cast("double") / F.col("n_terms"))

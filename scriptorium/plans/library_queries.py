@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scriptorium.functions import lines as text_lines
 from scriptorium.functions.text import (
     display_time,
     extension,
@@ -93,11 +94,11 @@ def _(spark, sf):
     "irrelevant_lines",
     sql.with_views(sql.LINES)
     + "SELECT doc_id, line_no, line FROM lines WHERE regexp_matches(line, '(?i)"
-    + "|".join(f"(?:{p})" for p in filters.IRRELEVANT_PATTERNS)
+    + "|".join(f"(?:{p})" for p in text_lines.IRRELEVANT_PATTERNS)
     + "')",
 )
 def _(spark, sf):
-    return fx.lines(spark, sf).filter(filters.is_irrelevant(F.col("line"))).select(
+    return fx.lines(spark, sf).filter(text_lines.is_irrelevant(F.col("line"))).select(
         "doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line"
     )
 
@@ -106,11 +107,11 @@ def _(spark, sf):
     "header_footer",
     sql.with_views(sql.LINES)
     + "SELECT doc_id, CAST(count(*) AS BIGINT) AS body_lines FROM lines WHERE NOT regexp_matches(line, '(?i)"
-    + "|".join(f"(?:{p})" for p in filters.HEADER_FOOTER_PATTERNS)
+    + "|".join(f"(?:{p})" for p in text_lines.HEADER_FOOTER_PATTERNS)
     + "') GROUP BY doc_id",
 )
 def _(spark, sf):
-    body = fx.lines(spark, sf).filter(~filters.is_header_footer(F.col("line")))
+    body = fx.lines(spark, sf).filter(~text_lines.is_header_footer(F.col("line")))
     return body.groupBy("doc_id").agg(F.count("*").alias("body_lines"))
 
 

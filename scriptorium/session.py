@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -74,3 +75,9 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     path = work_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+    """Mark a written table for broadcast after measuring that it is small; otherwise leave the join as it is."""
+    measured = df.agg(F.sum(F.length(F.to_json(F.struct("*")))).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(df) if measured <= max_bytes else df
