@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.operators import enrich, records, resolve, scoring
+from scriptorium.operators import enrich, processing, records, resolve, scoring
 from scriptorium.plans import fixtures as fx
 from scriptorium.plans import fixture_sql as sql
 from scriptorium.plans.registry import query
@@ -455,9 +455,31 @@ def _(spark, sf):
     return done.select("doc_id", F.col("enriched_by").isNotNull().alias("changed"), "title")
 
 
-@query("enrich_pipeline")
+RESOLVED = """resolved AS (SELECT doc_id, source, record_id FROM by_doi UNION ALL SELECT doc_id, source, record_id FROM by_isbn
+ UNION ALL SELECT t.doc_id, t.source, t.record_id FROM by_title t JOIN library l USING (doc_id)
+ WHERE CASE WHEN t.source IN ('crossref', 'openalex') THEN l.doi IS NULL WHEN t.source IN ('openlib', 'k10plus')
+  THEN NOT EXISTS (SELECT 1 FROM by_isbn i WHERE i.doc_id = t.doc_id AND i.source = t.source) ELSE l.isbn IS NULL END)"""
+FOUND = "best AS (SELECT r.doc_id, c.* EXCLUDE (doc_id) FROM resolved r JOIN catalogue c USING (record_id))"
+
+
+@query(
+    "resolve_and_enrich",
+    sql.with_views(sql.LIBRARY, sql.CATALOGUE, BY_DOI, BY_ISBN, BY_TITLE, RESOLVED, FOUND, BASE, MERGED, TOP, PICKS, RESULT)
+    + f""", gated AS (SELECT r.* FROM result r JOIN base b USING (doc_id) WHERE {_filled_sql('r.')} > {_filled_sql('b.')})
+ SELECT doc_id, CASE WHEN score > 70 THEN by_source ELSE 'combined' END AS enriched_by, {_shown_sql('')} FROM gated
+ UNION ALL SELECT doc_id, NULL, {_shown_sql('')} FROM base WHERE doc_id NOT IN (SELECT doc_id FROM gated)""",
+)
 def _(spark, sf):
     """Resolve against the catalogue and enrich, end to end."""
     base = _base(spark, sf)
     matches = resolve.resolve(base, fx.catalogue(spark, sf))
     return _flat(enrich.enrich(base, enrich.per_source(base, matches)).select("doc_id", "enriched_by", *_SHOWN))
+
+
+@query("process_documents")
+def _(spark, sf):
+    """Whole documents through extraction, catalogue look-up, enrichment and chunking."""
+    own = fx.library(spark, sf).select("doc_id", "id", "filename", "doi", "isbn")
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text").join(own, "doc_id").drop("doc_id")
+    done = processing.process(docs, fx.catalogue(spark, sf).drop("doc_id"))
+    return done.library.select("id", "title", "language", "year", "publisher", "file_type", "page_count", "enriched_by", "chunks_count")

@@ -10,7 +10,7 @@ from scriptorium.functions import fixed_values as v
 from scriptorium.operators import chunking
 from scriptorium.plans import fixtures as fx
 from scriptorium.plans import fixture_sql as sql
-from scriptorium.plans.registry import query
+from scriptorium.plans.registry import ORACLES, query
 from scriptorium.plans.text_queries import _presence_sql
 
 VIEWS = sql.with_views(sql.CHUNKS)
@@ -118,7 +118,24 @@ def _(spark, sf):
     return moody.select("doc_id", "chunk_id", an.sentiment(F.col("text")).alias("s")).select("doc_id", "chunk_id", "s.*")
 
 
-@query("chunks_improved")
+_KINDS = " + ".join(f"regexp_matches({HEAD}, '{p}')::INT" for p in an.ENTITY_PATTERNS.values())
+
+
+def _view(name: str) -> str:
+    body = ORACLES[name][len(VIEWS.rstrip()) :].lstrip()
+    return "WITH " + body[1:] if body.startswith(",") else body
+
+
+@query(
+    "chunks_improved",
+    VIEWS.rstrip()
+    + f""", q_tokens AS ({_view("chunk_tokens")}), q_keywords AS ({_view("chunk_keywords")}), q_summary AS ({_view("chunk_summary")}),
+ q_sentiment AS ({_sentiment_sql("chunks")}), q_kinds AS (SELECT doc_id, chunk_id, CAST({_KINDS} AS INTEGER) AS n_entity_types FROM chunks)
+ SELECT doc_id, chunk_id, token_count, CAST(CASE WHEN keywords = '' THEN 0 ELSE len(string_split(keywords, ' ')) END AS INTEGER) AS n_keywords,
+  n_entity_types, summary, positive, negative, neutral, true AS improved
+ FROM q_tokens JOIN q_keywords USING (doc_id, chunk_id) JOIN q_summary USING (doc_id, chunk_id)
+  JOIN q_sentiment USING (doc_id, chunk_id) JOIN q_kinds USING (doc_id, chunk_id)""",
+)
 def _(spark, sf):
     done = chunking.improve(chunking.annotate(fx.chunks(spark, sf)))
     return done.select(

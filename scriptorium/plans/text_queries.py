@@ -10,7 +10,7 @@ from scriptorium.functions import similarity as sim
 from scriptorium.functions import text as tx
 from scriptorium.plans import fixtures as fx
 from scriptorium.plans import fixture_sql as sql
-from scriptorium.plans.registry import query
+from scriptorium.plans.registry import ORACLES, query
 
 LIB = sql.with_views(sql.LIBRARY)
 PAPERS = sql.with_views(sql.PAPERS)
@@ -243,7 +243,25 @@ def _(spark, sf):
     return fx.table(spark, sf, "documents").groupBy("lang", detected).agg(F.count("*").alias("documents"))
 
 
-@query("extract_all")
+def _body(name: str) -> str:
+    """The part of a registered oracle after its ``papers`` view, usable as a view itself."""
+    body = ORACLES[name][len(PAPERS.rstrip()) :].lstrip()
+    return "WITH " + body[1:] if body.startswith(",") else body
+
+
+_PARTS = {"title": "extract_title", "authors": "extract_authors", "year": "extract_year", "doi": "extract_doi",
+          "isbn": "extract_isbn", "journal": "extract_journal", "publisher": "extract_publisher"}
+
+
+@query(
+    "extract_all",
+    PAPERS.rstrip()
+    + ", "
+    + ", ".join(f"q_{field} AS ({_body(name)})" for field, name in _PARTS.items())
+    + f", q_language AS ({_ratio_sql('substr(text, 1, 5000)').replace('FROM documents', 'FROM papers')})"
+    + " SELECT doc_id, title, authors AS author, year, language, doi, isbn, journal, publisher FROM papers "
+    + " ".join(f"JOIN q_{field} USING (doc_id)" for field in [*_PARTS, "language"]),
+)
 def _(spark, sf):
     found = ex.extract_all(fx.papers(spark, sf))
     return found.drop("text", "lang", "source").withColumn("author", F.array_join("author", "; "))
@@ -313,7 +331,30 @@ def _(spark, sf):
     return fx.papers(spark, sf).select("doc_id", ex.year_max(F.col("text")).alias("year"))
 
 
-@query("page_metadata")
+_ANY_NAMES = f"regexp_extract_all(array_to_string(l[1:30], ' '), {re2(v.PAGE_ONE_ANY_NAME)}, 1)"
+
+
+@query(
+    "page_metadata",
+    sql.with_views(sql.LIBRARY, sql.PAPERS, BODIES).rstrip()
+    + f""", titled AS (SELECT doc_id, text, l, {PAGE_TITLE} AS new_title FROM bodies),
+ placed AS (SELECT *, list_position(list_transform(l, lambda x: contains(x, new_title)), true) AS pos FROM titled),
+ near AS (SELECT *, CASE WHEN pos > 0 AND pos < len(l) THEN list_filter(l[pos + 1:pos + 9], lambda x: length(x) BETWEEN 3 AND 100
+   AND (regexp_matches(x, {_NAME_LINE}) OR (regexp_matches(x, {re2(v.PAGE_ONE_DEGREE)}) AND NOT regexp_matches(x, {re2(v.PAGE_ONE_INSTITUTION)})))
+   AND NOT regexp_matches(x, {_IRRELEVANT})) END AS names FROM placed),
+ named AS (SELECT *, CASE WHEN names IS NULL THEN [] WHEN len(names) > 0 THEN names
+  ELSE list_filter(list_filter({_ANY_NAMES}, lambda x, i: list_position({_ANY_NAMES}, x) = i), lambda x: NOT regexp_matches(x, {_IRRELEVANT})) END AS found FROM near),
+ q_doi AS (SELECT doc_id, regexp_replace(coalesce({_LOOSE}), '[,;.\\s]+$', '') AS new_doi FROM papers),
+ q_journal AS (SELECT doc_id, trim(list_filter(list_transform(l[1:10], lambda x: coalesce({_J})), lambda x: x IS NOT NULL)[1]) AS new_journal FROM bodies),
+ q_year AS (SELECT doc_id, coalesce(list_max(list_filter(ys, lambda x: x BETWEEN 1990 AND 2030)), ys[1]) AS new_year
+  FROM (SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, '\\d+'), lambda d: length(d) = 4 AND d[1:2] IN ('19', '20')),
+   lambda d: CAST(d AS INTEGER)) AS ys FROM papers))
+ SELECT o.doc_id, CASE WHEN new_title IS NOT NULL AND NOT regexp_matches(new_title, {_IRRELEVANT})
+   AND (coalesce(o.title, '') = '' OR length(new_title) > length(o.title)) THEN new_title ELSE o.title END AS title,
+  array_to_string(CASE WHEN len(o.author) > 0 THEN o.author WHEN len(found) > 0 THEN found END, '; ') AS author,
+  coalesce(new_doi, o.doi) AS doi, coalesce(new_journal, o.journal) AS journal, coalesce(new_year, o.year) AS year
+ FROM library o JOIN named USING (doc_id) JOIN q_doi USING (doc_id) JOIN q_journal USING (doc_id) JOIN q_year USING (doc_id)""",
+)
 def _(spark, sf):
     own = fx.library(spark, sf).select("doc_id", "title", "author", "doi", "journal", "year")
     merged = ex.page_metadata(fx.papers(spark, sf).select("doc_id", "text").join(own, "doc_id"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scriptorium.operators.chunking import chunk_documents
-from scriptorium.operators.mutate import upsert
+from scriptorium.operators.mutate import KEPT_ON_UPDATE
 from scriptorium.sources.files import BINARY_FILE, text_documents
-from scriptorium.sources.tables import read_table, replace_table
+from scriptorium.sources.tables import replace_table
 
 
 def stream_files(spark: SparkSession, directory: str, files_per_batch: int = 1000) -> DataFrame:
@@ -29,25 +29,41 @@ def run(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     return writer.outputMode("append").trigger(availableNow=True).start()
 
 
-def upsert_batch(root: str, now: Column | None = None):
-    """A ``foreachBatch`` function that upserts documents into the library table below ``root``.
+def log_batch(root: str, now: Column | None = None):
+    """A ``foreachBatch`` function that adds a batch of library rows to the log below ``root``.
 
-    Replaying a batch leaves the table as it is: rows are keyed by id, and the switch to a new version
-    happens only after the whole batch is written.
+    Each batch writes only its own rows. A replayed batch overwrites the folder of its number.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         stamp = F.current_timestamp().cast("timestamp_ntz") if now is None else now
-        incoming = batch.dropDuplicates(["id"])
-        stored = read_table(batch.sparkSession, root)
-        if stored is None:
-            merged = incoming.withColumns({"added_at": stamp, "updated_at": stamp})
-        else:
-            merged = upsert(stored, incoming, stamp)
-        replace_table(merged, root)
+        rows = batch.dropDuplicates(["id"]).withColumn("seen_at", stamp)
+        rows.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
     return apply
 
 
+def library_from_log(spark: SparkSession, root: str) -> DataFrame:
+    """The upserted library: the latest row per id, with the first row's ``added_at`` and file columns."""
+    log = spark.read.parquet(root)
+    kept = [c for c in KEPT_ON_UPDATE if c in log.columns]
+    newest = [c for c in log.columns if c not in ("id", "batch", "seen_at", *kept)]
+    first = F.min_by(F.struct("seen_at", *kept), "batch").alias("first")
+    last = F.max_by(F.struct("seen_at", *newest), "batch").alias("last")
+    merged = log.groupBy("id").agg(first, last)
+    return merged.select(
+        "id",
+        *[F.col(f"first.{c}") for c in kept],
+        *[F.col(f"last.{c}") for c in newest],
+        F.col("first.seen_at").alias("added_at"),
+        F.col("last.seen_at").alias("updated_at"),
+    )
+
+
+def compact(spark: SparkSession, root: str, table: str) -> str:
+    """Publish the log's present state as a table version."""
+    return replace_table(library_from_log(spark, root), table)
+
+
 def chunk_stream(docs: DataFrame) -> DataFrame:
     return chunk_documents(docs)

@@ -440,3 +440,24 @@ def test_splitter_prefers_coarse_separators():
     assert split_text("aaaa\n\nbbbb\n\ncccc", 10, 0) == ["aaaa\n\nbbbb", "cccc"]
     text = "".join(chr(0x4E00 + i) for i in range(25))
     assert split_text(text, 10, 3) == [text[:10], text[7:17], text[14:24], text[21:]]
+
+
+# --- processing -------------------------------------------------------------------------------
+
+
+def test_process_and_reprocess(spark):
+    from scriptorium.operators.processing import process, reprocess
+
+    docs = spark.createDataFrame(
+        [("a", "Lovelace_x.txt", "On Rare Things\nby Ada Lovelace\n" + "the of and " * 200), ("b", "b.txt", "12")],
+        "id STRING, filename STRING, text STRING",
+    )
+    cat = catalogue(spark, {"title": "On Rare Things", "author": ["Ada Lovelace"], "year": 1843, "publisher": "P"})
+    override = spark.createDataFrame([("a", "On rare things")], "id STRING, title STRING")
+    done = process(docs, cat, override)
+    row = done.library.filter("id = 'a'").first()
+    assert (row.title, row.author, row.year, row.publisher, row.enriched_by) == ("On Rare Things", ["Ada Lovelace"], 1843, "P", "crossref")
+    assert row.chunks_count == done.chunks.filter("id = 'a'").count() == 3
+    assert done.library.filter("id = 'b'").first().chunks_count == 1
+    again = reprocess(docs, spark.createDataFrame([("b",), ("zz",)], "id STRING"))
+    assert [r.id for r in again.library.collect()] == ["b"]

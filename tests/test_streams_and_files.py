@@ -102,16 +102,30 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == batch.orderBy("id").collect() and len(got) == 3
 
 
-def test_replayed_upserts_change_nothing(spark, tmp_path):
-    root = str(tmp_path / "library")
-    apply = ingest.upsert_batch(root, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
-    batch = spark.createDataFrame([("a", "a.txt", "A"), ("a", "a.txt", "A")], "id STRING, filename STRING, title STRING")
-    apply(batch, 0)
-    first = tables.read_table(spark, root).collect()
-    apply(batch, 0)
-    assert tables.read_table(spark, root).collect() == first and len(first) == 1
-    apply(batch.withColumn("title", F.lit("B")), 1)
-    assert tables.read_table(spark, root).first().title == "B"
+def test_replayed_batches_change_nothing(spark, tmp_path):
+    root = str(tmp_path / "log")
+
+    def at(hour):
+        return ingest.log_batch(root, F.lit(f"2024-01-01 {hour:02d}:00:00").cast("timestamp_ntz"))
+
+    columns = "id STRING, filename STRING, title STRING"
+    first = spark.createDataFrame([("a", "a.txt", "A"), ("a", "a.txt", "A"), ("b", "b.txt", "B")], columns)
+    second = spark.createDataFrame([("a", "copy.txt", "A2")], columns)
+
+    def state():
+        return [tuple(map(str, r)) for r in ingest.library_from_log(spark, root).orderBy("id").collect()]
+
+    at(1)(first, 0)
+    at(2)(second, 1)
+    want = [
+        ("a", "a.txt", "A2", "2024-01-01 01:00:00", "2024-01-01 02:00:00"),
+        ("b", "b.txt", "B", "2024-01-01 01:00:00", "2024-01-01 01:00:00"),
+    ]
+    assert state() == want
+    at(2)(second, 1)
+    assert state() == want
+    ingest.compact(spark, root, str(tmp_path / "table"))
+    assert tables.read_table(spark, str(tmp_path / "table")).count() == 2
 
 
 def test_running_statistics_add_up(spark, tmp_path):
