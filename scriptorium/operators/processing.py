@@ -14,6 +14,7 @@ from scriptorium.operators.mutate import patch, select_for_reprocessing
 from scriptorium.operators.resolve import resolve
 from scriptorium.operators.stats import chunk_counts
 from scriptorium.schema import FIELD_TYPES
+from scriptorium.session import cut_lineage
 
 
 class Results(NamedTuple):
@@ -40,6 +41,8 @@ def process(
     if override is not None:
         library = patch(library, override)
     if catalogue is not None:
+        # Written once: resolving reads the metadata several times, the texts must be read only once.
+        library = cut_lineage(library, "library")
         library = enrich(library, per_source(library, resolve(library, catalogue, "id"), "id"), "id")
     # The language is settled from the text, so chunking does not wait for the enrichment.
     chunks = chunk_documents(complete.select("id", "text", F.coalesce("language", F.lit(language)).alias("language")))

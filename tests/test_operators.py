@@ -457,7 +457,7 @@ def test_process_and_reprocess(spark):
     done = process(docs, cat, override)
     row = done.library.filter("id = 'a'").first()
     assert (row.title, row.author, row.year, row.publisher, row.enriched_by) == ("On Rare Things", ["Ada Lovelace"], 1843, "P", "crossref")
-    assert row.chunks_count == done.chunks.filter("id = 'a'").count() == 3
+    assert row.chunks_count == done.chunks.filter("id = 'a'").count() == 4
     assert done.library.filter("id = 'b'").first().chunks_count == 1
     again = reprocess(docs, spark.createDataFrame([("b",), ("zz",)], "id STRING"))
     assert [r.id for r in again.library.collect()] == ["b"]
