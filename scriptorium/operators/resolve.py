@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.extract import doi_key, isbn_key
+from scriptorium.functions.extract import doi_key, isbn_key, let
 from scriptorium.functions.text import normalize_title, surname
 from scriptorium.operators.scoring import candidate_author_points, candidate_bonus, title_points
 from scriptorium.schema import RECORD_FIELDS, present
@@ -54,36 +56,78 @@ def title_words(title: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(normalize_title(title)), " "), lambda w: w != ""))
 
 
-def _with_rare_words(titles: DataFrame, frequent: DataFrame, overlap: float) -> DataFrame:
-    """Per title its words ordered from rare to frequent, and the leading ones any similar title must share.
+def _size_class(n: Column) -> Column:
+    """Word counts up to six stand for themselves, larger ones in steps of a quarter."""
+    return F.when(n <= 6, n).otherwise(F.floor(F.log(n / F.lit(7.0)) / math.log(1.25)) + 7).cast("int")
+
+
+def _leading_words(words: Column, overlap: float) -> Column:
+    """``(word, class, lead)`` per size class of possible partners: the words one of which a partner shares.
 
-    Two word sets that share ``overlap`` of their union agree on a word among the first
-    ``n - ceil(overlap * n) + 1`` of both, whatever common order the words have.
+    Sets of ``n`` and ``m`` words that share ``overlap`` of their union have at least
+    ``a = ceil(overlap / (1 + overlap) * (n + m))`` words in common, so in any common order of the words the
+    first ``n - a + 1`` of one and the first ``m - a + 1`` of the other meet. Within a class the smallest
+    partner asks for the longest lead.
     """
+    n = F.size(words)
+    smallest = F.ceil(n * F.lit(overlap) - F.lit(1e-9)).cast("int")
+    largest = F.floor(n / F.lit(overlap) + F.lit(1e-9)).cast("int")
+
+    def lead(m: Column) -> Column:
+        shared = F.ceil((n + m) * F.lit(overlap / (1 + overlap)) - F.lit(1e-9))
+        return F.struct(_size_class(m).alias("class"), (n - shared + 1).cast("int").alias("lead"))
+
+    def first_of_class(leads: Column) -> Column:
+        indexed = F.transform(leads, lambda e, i: F.struct(e.alias("e"), F.get(leads, i - 1)["class"].alias("before")))
+        kept = F.filter(indexed, lambda x: x["before"].isNull() | (x["before"] != x["e"]["class"]))
+        return F.transform(kept, lambda x: x["e"])
+
+    def spelled(leads: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                leads,
+                lambda e: F.transform(
+                    F.slice(words, F.lit(1), e["lead"]),
+                    lambda w: F.struct(w.alias("word"), e["class"].alias("class"), e["lead"].alias("lead")),
+                ),
+            )
+        )
+
+    return let(let(F.transform(F.sequence(smallest, largest), lead), first_of_class), spelled)
+
+
+def _spread_words(titles: DataFrame, frequent: DataFrame, overlap: float, name: str, other: str) -> DataFrame:
+    """Per title one row for each leading word and partner class; its words ordered from rare to frequent."""
     ordered = F.transform(
         F.array_sort(
             F.collect_list(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), (-F.length("word")).alias("l"), "word"))
         ),
         lambda s: s["word"],
     )
-    n = F.size("words")
-    lead = n - F.ceil(n * F.lit(overlap) - F.lit(1e-9)).cast("int") + 1
     return (
         titles.select("title_lower", F.explode(title_words(F.col("title_lower"))).alias("word"))
         .join(F.broadcast(frequent), "word", "left")
         .groupBy("title_lower")
         .agg(ordered.alias("words"))
-        .select("title_lower", "words", n.alias("n"), F.slice("words", F.lit(1), lead).alias("lead"))
+        .select("title_lower", "words", F.explode(_leading_words(F.col("words"), overlap)).alias("k"))
+        .select(
+            "k.word",
+            F.col("title_lower").alias(f"{name}_title"),
+            F.col("words").alias(f"{name}_words"),
+            F.col("k.lead").alias(f"{name}_lead"),
+            _size_class(F.size("words")).alias(f"{name}_class"),
+            F.col("k.class").alias(f"{other}_class"),
+        )
     )
 
 
 def similar_titles(left: DataFrame, right: DataFrame, overlap: float = TITLE_OVERLAP) -> DataFrame:
     """All ``(left_title, right_title)`` pairs of distinct titles whose word sets overlap enough.
 
-    Exact: the join runs on each title's rarest words only, which every qualifying pair shares, so a word
-    half the titles use joins nothing unless a title has no rarer one.
+    Exact: the join runs on each title's rarest words, of which every qualifying pair shares one, and on both
+    sizes. A word that half the titles use is among the leading ones only where a title has nothing rarer.
     """
-    words = (
+    frequent = (
         left.unionByName(right)
         .select(F.explode(title_words(F.col("title_lower"))).alias("word"))
         .groupBy("word")
@@ -91,21 +135,21 @@ def similar_titles(left: DataFrame, right: DataFrame, overlap: float = TITLE_OVE
         .orderBy(F.desc("seen"), "word")
         .limit(FREQUENT_WORDS)
     )
-    a = _with_rare_words(left, words, overlap).select(
-        F.col("title_lower").alias("left_title"), F.col("words").alias("lw"), F.col("n").alias("ln"),
-        F.col("lead").alias("ll"), F.explode("lead").alias("word"),
-    )
-    b = _with_rare_words(right, words, overlap).select(
-        F.col("title_lower").alias("right_title"), F.col("words").alias("rw"), F.col("n").alias("rn"),
-        F.col("lead").alias("rl"), F.explode("lead").alias("word"),
-    )
-    shared = F.size(F.array_intersect("lw", "rw"))
+    a = _spread_words(left, frequent, overlap, "left", "right")
+    b = _spread_words(right, frequent, overlap, "right", "left")
+    total = F.size("left_words") + F.size("right_words")
+    shared = F.size(F.array_intersect("left_words", "right_words"))
+    first_meeting = F.get(
+        F.array_intersect(
+            F.slice("left_words", F.lit(1), F.col("left_lead")), F.slice("right_words", F.lit(1), F.col("right_lead"))
+        ),
+        F.lit(0),
+    )
     return (
-        a.join(b, "word")
-        .filter((F.col("ln") >= F.col("rn") * overlap) & (F.col("rn") >= F.col("ln") * overlap))
+        a.join(b, ["word", "left_class", "right_class"])
+        .filter(shared >= (total - shared) * F.lit(overlap) - F.lit(1e-9))
         # A pair meets once per shared leading word; keep the meeting at the first of them.
-        .filter(F.get(F.array_intersect("ll", "rl"), F.lit(0)) == F.col("word"))
-        .filter(shared >= (F.col("ln") + F.col("rn") - shared) * F.lit(overlap) - F.lit(1e-9))
+        .filter(first_meeting == F.col("word"))
         .select("left_title", "right_title")
     )
 
