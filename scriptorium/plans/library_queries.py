@@ -235,22 +235,15 @@ _SORTS = {
 }
 
 
-@query(
-    "list_sorted",
-    LIB
-    + " UNION ALL ".join(
-        f"SELECT * FROM (SELECT '{name}' AS sort_by, id, title, year FROM library ORDER BY {order} LIMIT 20)"
-        for name, order in _SORTS.items()
-    ),
-)
-def _(spark, sf):
-    """First page of the library list in each of its four orders."""
-    lib = fx.library(spark, sf)
-    pages = [
-        listing.sort_listing(lib, by).limit(20).select(F.lit(by).alias("sort_by"), "id", "title", "year")
-        for by in _SORTS
-    ]
-    return pages[0].unionByName(pages[1]).unionByName(pages[2]).unionByName(pages[3])
+def _register_order(by: str, order: str) -> None:
+    @query(f"list_sorted_{by}", LIB + f"SELECT id, title, author[1] AS first_author, year FROM library ORDER BY {order}")
+    def _(spark, sf):
+        listed = listing.sort_listing(fx.library(spark, sf), by)
+        return listed.select("id", "title", F.get("author", F.lit(0)).alias("first_author"), "year")
+
+
+for _by, _order in _SORTS.items():
+    _register_order(_by, _order)
 
 
 @query(

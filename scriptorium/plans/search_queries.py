@@ -142,9 +142,6 @@ def _(spark, sf):
 
 # --- citations -------------------------------------------------------------------------------
 
-_PARTS = "string_split_regex({0}, '\\s+')"
-
-
 def _last(name: str) -> str:
     return f"string_split_regex({name}, '\\s+')[-1]"
 

@@ -77,6 +77,23 @@ def test_source_label(spark, row, want):
     assert library(spark, row).select(listing.source_label().alias("l")).first().l == want
 
 
+@pytest.mark.parametrize(
+    ("by", "want"),
+    [("added", ["d2", "d1", "d0"]), ("title", ["d1", "d0", "d2"]), ("author", ["d2", "d0", "d1"]), ("year", ["d0", "d1", "d2"])],
+)
+def test_list_orders(spark, by, want):
+    lib = library(spark, {"title": "B", "author": ["Y"], "year": 2001}, {"title": "A", "year": 1999}, {"author": ["X", "A"]})
+    assert [r.id for r in listing.sort_listing(lib, by).collect()] == want
+
+
+def test_recent_documents_and_status(spark):
+    lib = library(spark, *[{"title": str(i)} for i in range(6)])
+    assert [r.id for r in listing.recent(lib).collect()] == ["d5", "d4", "d3", "d2"]
+    asked = spark.createDataFrame([("d0",), ("d1",), ("d9",)], "id STRING")
+    status = listing.document_status(asked, lib.filter("id = 'd0'"), lib).orderBy("id").collect()
+    assert [tuple(r) for r in status] == [("d0", "complete", False), ("d1", "complete", True), ("d9", "processing", False)]
+
+
 # --- citations --------------------------------------------------------------------------------
 
 ARTICLE = {"title": "T", "year": 2001, "journal": "J", "volume": "3", "issue": "4", "pages": "1-9", "doi": "10.1/x"}
