@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from scriptorium.functions.extract import let
 from scriptorium.functions.text import strip, surname
@@ -29,7 +30,7 @@ def string_similarity(a: Column, b: Column) -> Column:
     return F.when(has_text(a) & has_text(b), _graded(_plain(a), _plain(b))).otherwise(0.0)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _block_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     matcher = SequenceMatcher(None)
     for left, right in pairs:
