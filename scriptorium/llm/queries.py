@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import byte_bpe, mixing, near_text
+from scriptorium.llm import byte_bpe, chat, mixing, near_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,9 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(
         _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     )
+
+
+@query("op8_chat_format", chat.SQL)
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.control_conversation(_table(spark, sf_dir, "conversations"))
+    return chat.digests(chat.render(chat.fold(chat.events_of(turns))))
