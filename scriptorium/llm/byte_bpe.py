@@ -7,8 +7,8 @@ ordered aggregation over (document, position, token). Nothing is shuffled: Spark
 
 Defined results: null text is the empty text (no tokens); a null id stays null; equal rows give equal
 rows; extra columns are ignored. Memory of a task is bounded: texts come in Arrow batches, the word cache
-is dropped beyond ``CACHE_WORDS`` entries, decoding takes ``DECODE_ROWS`` tokens at a time and words of any
-length are contracted in place (``USING KEY`` keeps only the latest row of each position).
+is dropped beyond ``CACHE_WORDS`` entries, decoding takes ``DECODE_ROWS`` tokens at a time, and the recursion
+over a long word is cut every 16 rounds.
 """
 
 from __future__ import annotations
@@ -24,35 +24,37 @@ import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 ENCODE_BYTES = 400_000
 DECODE_ROWS = 1_000_000
 #: Words beyond this many bytes are contracted by rounds of equal rank instead of one pair at a time.
 LONG_WORD = 64
 
-# One round: the pair of least rank of each word, at its leftmost place, becomes one token. A position whose
-# token was swallowed by its left neighbour leaves the working table; a word without a pair leaves it whole.
+# A row knows the token and the place to its right, so a round needs no sorting: the pair of least rank of each
+# word, at its leftmost place, becomes one token; its right neighbour's row goes and the row before it learns the
+# new token. A word without a pair has no partner in the join and leaves the recursion with the round before as its result.
 _ENCODE = """
 WITH RECURSIVE steps AS (
-    SELECT word, 0 AS round, pos, id FROM pieces
+    SELECT word, 0 AS round, pos, id, lead(id) OVER w AS next_id, lead(pos) OVER w AS next_pos
+    FROM pieces WINDOW w AS (PARTITION BY word ORDER BY pos)
     UNION ALL
-    SELECT word, round + 1, pos, CASE WHEN rank = least_rank AND pos = place THEN rank ELSE id END
-    FROM (
-        SELECT *, min(CASE WHEN rank = least_rank THEN pos END) OVER (PARTITION BY word) AS place
+    SELECT p.word, p.round + 1, p.pos,
+           CASE WHEN p.pos = b.pos THEN b.rank ELSE p.id END,
+           CASE WHEN p.pos = b.pos THEN b.after_id WHEN p.next_pos = b.pos THEN b.rank ELSE p.next_id END,
+           CASE WHEN p.pos = b.pos THEN b.after_pos ELSE p.next_pos END
+    FROM steps p JOIN (
+        SELECT f.word, f.least // 256 AS rank, f.least % 256 AS pos, c.next_pos AS gone, n.next_id AS after_id, n.next_pos AS after_pos
         FROM (
-            SELECT s.*, m.rank, min(m.rank) OVER (PARTITION BY word) AS least_rank
-            FROM (
-                SELECT word, round, pos, id,
-                       lead(id) OVER w AS next_id, lag(pos) OVER w AS previous
-                FROM steps WINDOW w AS (PARTITION BY word ORDER BY pos)
-            ) s LEFT JOIN merges m ON m.pair = s.id::BIGINT * 65536 + s.next_id
-        )
-    )
-    WHERE least_rank IS NOT NULL AND previous IS DISTINCT FROM place
+            SELECT s.word, min(m.rank * 256 + s.pos) AS least
+            FROM steps s JOIN merges m ON m.pair = s.id::BIGINT * 65536 + s.next_id GROUP BY s.word
+        ) f
+        JOIN steps c ON c.word = f.word AND c.pos = f.least % 256
+        JOIN steps n ON n.word = f.word AND n.pos = c.next_pos
+    ) b ON b.word = p.word
+    WHERE p.pos <> b.gone
 )
-SELECT word, id FROM steps
-QUALIFY round = max(round) OVER (PARTITION BY word)
-ORDER BY word, pos
+SELECT s.word, s.id FROM steps s JOIN (SELECT word, max(round) AS round FROM steps GROUP BY word) USING (word, round)
+ORDER BY s.word, s.pos
 """
 
 _DECODE = """
