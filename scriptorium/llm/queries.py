@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import byte_bpe, chat, mixing, near_text
+from scriptorium.llm import byte_bpe, chat, mixing, near_text, near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.control_conversation(_table(spark, sf_dir, "conversations"))
     return chat.digests(chat.render(chat.fold(chat.events_of(turns))))
+
+
+@query("op10_embedding_near_dedup", near_vectors.SQL)
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
