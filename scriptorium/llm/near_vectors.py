@@ -192,7 +192,7 @@ SQL = """
 WITH RECURSIVE usable AS (
     SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
     WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links AS (
     SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
     WHERE list_cosine_similarity(a.v, b.v) >= 0.98

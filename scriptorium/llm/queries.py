@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import byte_bpe, chat, mixing, near_text, near_vectors
+from scriptorium.llm import byte_bpe, chat, latent_lm, mixing, near_text, near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_embedding_near_dedup", near_vectors.SQL)
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_hmm_score")
+def op3_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_lm.score(_table(spark, sf_dir, "documents"))
