@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import byte_bpe, chat, latent_lm, mixing, near_text, near_vectors
+from scriptorium.llm import byte_bpe, chat, language_id, latent_lm, mixing, near_text, near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,8 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_hmm_score")
 def op3_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latent_lm.score(_table(spark, sf_dir, "documents"))
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
