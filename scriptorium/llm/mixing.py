@@ -72,6 +72,7 @@ def mix(
         # Size classes are doublings; the digest of the id spreads equal sizes.
         .withColumn("_class", F.length(F.bin("_size")))
         .withColumn("_digest", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+        .withColumn("_tie", F.md5(F.coalesce(F.col(text), F.lit(""))))
         .withColumn("_bucket", (F.conv(F.substring("_digest", 1, 4), 16, 10).cast("int") % BUCKETS).cast("int"))
     )
     bucket = [F.col(source).alias("source"), F.col("_class").alias("class"), F.col("_bucket").alias("bucket")]
@@ -85,7 +86,7 @@ def mix(
     plan = bases.join(goal, F.col("_b_source").eqNullSafe(F.col("source"))).select(
         "_b_source", "_b_class", "_b_bucket", F.col("base").alias("_base"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")
     )
-    within = Window.partitionBy(F.col(source), "_class", "_bucket").orderBy("_size", "_digest", F.col(text))
+    within = Window.partitionBy(F.col(source), "_class", "_bucket").orderBy("_size", "_digest", "_tie")
     numbered = rows.withColumn("_place", F.row_number().over(within) - 1)
     joined = numbered.join(
         plan,
@@ -114,7 +115,7 @@ WITH sized AS (
 ), ordered AS (
     SELECT *, row_number() OVER (
         PARTITION BY source
-        ORDER BY length(bin(size)), ('0x' || substr(digest, 1, 4))::BIGINT % 64, size, digest, text NULLS FIRST) - 1 AS place
+        ORDER BY length(bin(size)), ('0x' || substr(digest, 1, 4))::BIGINT % 64, size, digest, md5(coalesce(text, ''))) - 1 AS place
     FROM sized
 ), sources AS (
     SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
