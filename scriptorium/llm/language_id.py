@@ -17,6 +17,7 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.tables import written
+
 SAMPLE = 4000
 GRAMS = 120_000
 SWITCH = 6.0
 #: Damping of a word's score (its n-grams overlap) and its bound.
 DAMPING, BOUND = 0.5, 8.0
-CACHE_WORDS = 500_000
+CACHE_WORDS = 900_000
 _CELLS = 8_000_000
-_SCRIPT = "\x00"
 
 #: Code point ranges of scripts.
 SCRIPTS = {
@@ -55,35 +57,66 @@ SCRIPTS = {
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
-def script_of(word: str) -> str:
-    """The script of most letters of a word; ``other`` outside the table."""
-    if word.isascii():
-        return "latin"
-    counts = Counter(next((s for s, ranges in SCRIPTS.items() for a, b in ranges if a <= ord(c) <= b), "other") for c in word)
-    return counts.most_common(1)[0][0]
+_NAMES = [*SCRIPTS, "other"]
+_STARTS, _ENDS, _OWNERS = (np.array(x) for x in zip(*sorted((a, b, i) for i, r in enumerate(SCRIPTS.values()) for a, b in r), strict=True))
+_SPACE = 32
 
 
 def letters_of(token: str) -> str:
     """The letters of a token without white space, lower-cased; parts that other signs divide are kept apart by a space."""
-    if token.isalpha():
-        return token.lower()
-    return " ".join(_LETTERS.findall(token)).lower()
+    if not token.isalpha():
+        token = " ".join(_LETTERS.findall(token))
+    return token.lower() if token.isascii() else unicodedata.normalize("NFC", token.lower())
+
 
+class Grams:
+    """N-grams, scripts and letters of many words at once.
+
+    The words stand in one array of code points, each after a space. An n-gram is a 64-bit number; it may begin or end
+    with a space, the border of its word, but holds none inside.
+    """
 
-def grams_of(letters: str) -> list[str]:
-    """N-grams of a token's letters, borders written as spaces."""
-    framed = f" {unicodedata.normalize('NFC', letters)} "
-    return [framed[i : i + n] for n in (1, 2, 3, 4) for i in range(len(framed) - n + 1)]
+    def __init__(self, words: list[str]):
+        self.n = len(words)
+        self.points = np.frombuffer(" ".join(["", *words, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+        self.owner = np.repeat(np.arange(len(words)), sizes)
+        self.letter = self.points != _SPACE
+
+    def numbers(self):
+        """For each length: the numbers of its n-grams and the words that have them."""
+        key = np.zeros(len(self.points), dtype=np.uint64)
+        free = np.ones(len(self.points), dtype=bool)
+        for n in (1, 2, 3, 4):
+            last = len(self.points) - n + 1
+            if last <= 0:
+                return
+            key = (key[:last] * np.uint64(0x9E3779B97F4A7C15)) ^ (self.points[n - 1 :] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(n))
+            key ^= key >> np.uint64(29)
+            if n > 2:  # what was the last sign is inside now
+                free = free[:last] & self.letter[n - 2 : n - 2 + last]
+            fits = free[:last] & (self.letter[:last] | self.letter[n - 1 : n - 1 + last])
+            at = np.flatnonzero(fits[: len(self.owner)])
+            yield key[at], self.owner[at]
+
+    def scripts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The script of most letters of each word (a number of ``_NAMES``), and its number of letters."""
+        at = np.flatnonzero(self.letter)
+        point = self.points[at].astype(np.int64)
+        range_ = np.searchsorted(_STARTS, point, side="right") - 1
+        script = np.where((range_ >= 0) & (point <= _ENDS[range_]), _OWNERS[range_], len(_NAMES) - 1)
+        counts = np.bincount(self.owner[at] * len(_NAMES) + script, minlength=self.n * len(_NAMES)).reshape(self.n, len(_NAMES))
+        return counts.argmax(axis=1), counts.sum(axis=1)
 
 
 @dataclass
 class Model:
-    """Languages by falling number of training rows, n-grams, their scores (n-gram, language), scripts by language."""
+    """Languages by falling number of training rows, n-grams (sorted numbers), their scores (n-gram, language), scripts (script, language)."""
 
     languages: list[str]
-    grams: list[str]
+    grams: np.ndarray
     scores: np.ndarray
-    scripts: dict[str, np.ndarray]
+    scripts: np.ndarray
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> Model:
@@ -92,13 +125,16 @@ def learn(docs: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> Model:
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").collect()
     languages = [r["lang"] for r in sizes]
     if not languages:
-        return Model([], [], np.zeros((0, 0)), {})
+        return Model([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros((len(_NAMES), 0), bool))
+    if len(languages) > 500:
+        raise ValueError("more than 500 languages")
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["n"])))])
+    number = F.create_map(*[x for i, r in enumerate(sizes) for x in (F.lit(r["lang"]), F.lit(i))])
     chance = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000.0
-    drawn = rows.where(chance < F.element_at(share, F.col("lang"))).select("lang", "text")
+    drawn = rows.where(chance < F.element_at(share, F.col("lang"))).select(F.element_at(number, F.col("lang")).alias("lang"), "text")
 
     def run(batches):
-        words: dict[str, Counter[str]] = {}
+        words: dict[int, Counter[str]] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(text.split())
@@ -109,33 +145,72 @@ def learn(docs: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> Model:
 
     def counted(words):
         for lang, tokens in words.items():
-            counts: Counter[str] = Counter()
-            for token, n in tokens.items():
-                letters = letters_of(token)
-                if letters:
-                    for gram in grams_of(letters):
-                        counts[gram] += n
-                    counts[_SCRIPT + script_of(letters)] += n
-            if counts:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(counts)), pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["lang", "gram", "n"]
-                )
-
-    counts = drawn.mapInArrow(run, "lang string, gram string, n long")
-    by_gram = counts.groupBy("gram").pivot("lang", languages).agg(F.sum("n")).na.fill(0) if len(languages) <= 500 else None
-    if by_gram is None:
-        raise ValueError("more than 500 languages")
-    total = sum((F.col(f"`{x}`") for x in languages[1:]), F.col(f"`{languages[0]}`"))
-    is_script = F.col("gram").startswith(_SCRIPT)
-    kept = by_gram.where(~is_script).orderBy(total.desc(), "gram").limit(grams).toPandas()
-    scripts = by_gram.where(is_script).toPandas()
-    table = kept[languages].to_numpy(dtype=np.float64)
+            letters = {t: letters_of(t) for t in tokens}
+            kept = [t for t, w in letters.items() if w]
+            if not kept:
+                continue
+            found, times = Grams([letters[t] for t in kept]), np.array([tokens[t] for t in kept], dtype=np.float64)
+            scripts, n_letters = found.scripts()
+            by_script = np.bincount(scripts, weights=times * n_letters, minlength=len(_NAMES))
+            yield rows_of(lang, 0, np.arange(len(_NAMES), dtype=np.int64), by_script)
+            for keys, owners in found.numbers():
+                unique, place = np.unique(keys, return_inverse=True)
+                yield rows_of(lang, 1, unique.view(np.int64), np.bincount(place, weights=times[owners]))
+
+    def rows_of(lang, kind, keys, n):
+        columns = [pa.array(np.full(len(keys), kind, np.int32)), pa.array(np.full(len(keys), lang, np.int32)), pa.array(keys), pa.array(n.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=["kind", "lang", "key", "n"])
+
+    counts = drawn.mapInArrow(run, "kind int, lang int, key long, n long")
+    by_key = written(counts.groupBy("kind", "key").pivot("lang", list(range(len(languages)))).agg(F.sum("n")).na.fill(0), "language-counts")
+    columns = [str(i) for i in range(len(languages))]
+    total = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
+    kept = written(by_key.where("kind = 1").orderBy(total.desc(), "key").limit(grams), "language-grams").toArrow().sort_by("key")
+    scripts = by_key.where("kind = 0").toArrow().sort_by("key")
+    table = np.stack([kept.column(c).to_numpy() for c in columns], axis=1).astype(np.float64)
     logs = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(table) + 1))
     # The mean over languages is taken away: an n-gram that tells nothing counts nothing.
     logs = np.clip(logs - logs.mean(axis=1, keepdims=True), -6, 6)
-    used = scripts[languages].to_numpy(dtype=np.float64)
-    used = used >= 0.01 * np.maximum(used.sum(axis=0), 1)
-    return Model(languages, kept["gram"].tolist(), logs.astype(np.float32), {s[1:]: used[i] for i, s in enumerate(scripts["gram"])})
+    used = np.stack([scripts.column(c).to_numpy() for c in columns], axis=1).astype(np.float64)
+    keys = kept.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    usual = np.zeros((len(_NAMES), len(languages)), dtype=bool)
+    if len(used):
+        usual[scripts.column("key").to_numpy()] = used >= 0.01 * np.maximum(used.sum(axis=0), 1)
+    return Model(languages, keys[order], logs[order].astype(np.float32), usual)
+
+
+class _Finder:
+    """Places of numbers in a sorted array, by tables of one guess each; what shares a slot goes to the next table."""
+
+    def __init__(self, keys: np.ndarray):
+        self.tables = []
+        left = np.arange(len(keys))
+        bits = max(10, int(np.ceil(np.log2(max(len(keys), 1)))) + 3)
+        for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5):
+            slots = np.full(1 << bits, -1, dtype=np.int32)
+            slot = (keys[left] * np.uint64(factor)) >> np.uint64(64 - bits)
+            slots[slot] = left
+            self.tables.append((np.uint64(factor), np.uint64(64 - bits), slots))
+            left = left[slots[slot] != left]
+        self.keys, self.left = keys, left
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each number, -1 for those that are missing."""
+        out = np.full(len(wanted), -1, dtype=np.int64)
+        if not len(self.keys):
+            return out
+        open_ = np.arange(len(wanted))
+        for factor, shift, slots in self.tables:
+            guess = slots[(wanted[open_] * factor) >> shift]
+            right = (guess >= 0) & (self.keys[guess] == wanted[open_])
+            out[open_[right]] = guess[right]
+            open_ = open_[~right & (guess >= 0)]
+            if not len(open_):
+                return out
+        for place in self.left:
+            out[open_[wanted[open_] == self.keys[place]]] = place
+        return out
 
 
 class Labeller:
@@ -143,63 +218,57 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model = model
-        self.gram = {g: i for i, g in enumerate(model.grams)}
+        self.finder = _Finder(model.grams)
         self._forget()
 
     def _forget(self) -> None:
         self.rows: dict[str, int] = {}
+        self.used = 0
         self.scores = np.zeros((1024, len(self.model.languages)), dtype=np.float32)
         self.letters = np.zeros(1024, dtype=np.int32)
 
     def _learn(self, tokens: list[str]) -> None:
-        """Scores of new tokens; a token without letters has the number -1."""
-        words = [letters_of(t) for t in tokens]
-        at, flat, owner = len(self.rows), [], []
-        lettered, find = [], self.gram.get
-        for token, word in zip(tokens, words, strict=True):
-            if word:
-                ids = [g for g in map(find, grams_of(word)) if g is not None]
-                owner.extend([len(lettered)] * len(ids))
-                flat.extend(ids)
-                lettered.append((token, word))
-            else:
-                self.rows[token] = -1
-        at = self.used
-        need = at + len(lettered)
+        """Scores of new tokens; a token without letters has the number -1, tokens of equal letters share a row."""
+        words = list(map(letters_of, tokens))
+        new = {w: i for i, w in enumerate(dict.fromkeys(w for w in words if w))}
+        at, need = self.used, self.used + len(new)
+        self.rows.update((t, at + new[w] if w else -1) for t, w in zip(tokens, words, strict=True))
+        if not new:
+            return
         if need > len(self.scores):
             grown = max(need, 2 * len(self.scores))
             self.scores = np.concatenate([self.scores, np.zeros((grown - len(self.scores), self.scores.shape[1]), dtype=np.float32)])
             self.letters = np.concatenate([self.letters, np.zeros(grown - len(self.letters), dtype=np.int32)])
-        owners, ids = np.array(owner, dtype=np.int64), np.array(flat, dtype=np.int64)
-        for lang in range(self.scores.shape[1]):
-            self.scores[at:need, lang] = np.bincount(owners, weights=self.model.scores[ids, lang], minlength=len(lettered))
-        block = self.scores[at:need]
+        found = Grams(list(new))
+        block = np.zeros((len(new), self.scores.shape[1]))
+        for keys, owners in found.numbers():
+            place = self.finder.find(keys)
+            known = place >= 0
+            place, owners = place[known], owners[known]
+            for lang in range(block.shape[1]):
+                block[:, lang] += np.bincount(owners, weights=self.model.scores[place, lang], minlength=len(new))
         block *= DAMPING
         block -= block.max(axis=1, keepdims=True)
         np.maximum(block, -BOUND, out=block)
-        for i, (token, word) in enumerate(lettered):
-            allowed = self.model.scripts.get(script_of(word))
-            if allowed is not None and allowed.any() and not allowed.all():
-                block[i, ~allowed] = -1000.0
-                block[i] -= block[i].max()
-            self.rows[token] = at + i
-            self.letters[at + i] = len(word) - word.count(" ")
+        scripts, letters = found.scripts()
+        usual = self.model.scripts[scripts]
+        usual |= ~usual.any(axis=1, keepdims=True)
+        block[~usual] = -1000.0
+        self.scores[at:need] = block - block.max(axis=1, keepdims=True)
+        self.letters[at:need] = letters
         self.used = need
 
-    used = 0
-
     def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Score rows of the lettered tokens of texts, one text after the other, and their number in each text."""
         tokens = [t.split() if t else [] for t in texts]
         if len(self.rows) > CACHE_WORDS:
             self._forget()
-            self.used = 0
-        new = list(set().union(*tokens) - self.rows.keys()) if tokens else []
+        new = list(set(chain.from_iterable(tokens)).difference(self.rows))
         for i in range(0, len(new), 50_000):
             self._learn(new[i : i + 50_000])
         known = self.rows.__getitem__
-        flat = np.fromiter((known(w) for t in tokens for w in t), dtype=np.int64)
-        sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+        sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+        flat = np.fromiter(map(known, chain.from_iterable(tokens)), dtype=np.int64, count=int(sizes.sum()))
         text = np.repeat(np.arange(len(tokens)), sizes)
         return flat[flat >= 0], np.bincount(text[flat >= 0], minlength=len(tokens))
 

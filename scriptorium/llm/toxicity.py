@@ -28,7 +28,7 @@ import math
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import cache
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -260,12 +260,12 @@ class Units:
         tokens = [t.split() if t else [] for t in texts]
         if len(self.number) > CACHE_UNITS:
             self.number.clear()
-        new = list(set().union(*tokens) - self.number.keys()) if tokens else []
+        new = list(set(chain.from_iterable(tokens)).difference(self.number))
         for i in range(0, len(new), 50_000):
             self._learn(new[i : i + 50_000])
         known = self.number.__getitem__
-        flat = np.fromiter((known(w) for t in tokens for w in t), dtype=np.int64)
-        sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+        sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+        flat = np.fromiter(map(known, chain.from_iterable(tokens)), dtype=np.int64, count=int(sizes.sum()))
         ends = np.cumsum(sizes)
         starts = ends - sizes
         worst = np.full(len(texts), max(self.model.offset, _NO_LETTERS) if self.model.weights is not None else _NO_LETTERS)
