@@ -107,7 +107,7 @@ def distances(pairs: DataFrame, edits: int) -> DataFrame:
         .withColumn("_short", F.expr("substring(_short, 1, length(_short) - _tail)"))
     )
     marks = f"array_repeat('', {edits})"
-    characters = lambda c: f"concat({marks}, if({c} = '', array(), transform(sequence(1, greatest(length({c}), 1)), i -> substring({c}, i, 1))))"
+    characters = lambda c: f"concat({marks}, if({c} = '', array(), split({c}, '')))"
     listed = cut.withColumn("_a", F.expr(characters("_long"))).withColumn("_b", F.expr(characters("_short")))
     same = " + ".join(f"if(coalesce(get(_a, i - {1 + edits - k}) = get(_b, i - 1), false), {1 << k}L, 0L)" for k in range(width))
     fold = f"""
