@@ -15,15 +15,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
 
 import duckdb
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 
+from scriptorium.llm.tables import text_slices
+
 CACHE_WORDS = 800_000
 ENCODE_BYTES = 400_000
 DECODE_ROWS = 1_000_000
@@ -226,18 +226,6 @@ def _tokenizer(vocabulary: bytes, pattern: str) -> Tokenizer:
     return _TOKENIZERS[key]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """Batches whose texts take about ``max_bytes`` at most, or hold one row."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        group = np.cumsum(sizes) // max_bytes
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            yield batch.slice(a, b - a)
-
-
 def _vocabulary(spark, path: str):
     """The rank file's bytes as a broadcast: their size is the vocabulary's, whatever the input."""
     with open(path, "rb") as file:
@@ -251,7 +239,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "tex
 
     def run(batches):
         tokenizer = _tokenizer(shared.value, pattern)
-        for batch in _slices(batches, "_text"):
+        for batch in text_slices(batches, "_text"):
             ids = tokenizer.encode(batch.column("_text").to_pylist())
             flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32())
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
@@ -290,7 +278,7 @@ def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str, text: str =
 
     def run(batches):
         tokenizer = _tokenizer(shared.value, pattern)
-        for batch in _slices(batches, "_text"):
+        for batch in text_slices(batches, "_text"):
             ids = tokenizer.encode(batch.column("_text").to_pylist())
             decoded = tokenizer.decode(ids)
             yield pa.RecordBatch.from_arrays(

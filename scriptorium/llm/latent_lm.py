@@ -33,9 +33,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.tables import written
+from scriptorium.llm.tables import cut_at, text_slices, written
 
-HEAD = 200_000
+HEAD = 100_000
 OWN = 24_000
 CLASSES = 1024
 STATES = 8
@@ -113,15 +113,26 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
     """``counts`` (word, class, c) of the training texts and their number, which is the count of ends."""
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    head = counts.orderBy(F.col("c").desc(), "word").limit(HEAD).collect()
-    words = [r["word"].encode() for r in head]
+    # The head: all words from a count on, so that no task has to send its own most frequent ones. Counts are
+    # binned eight to a doubling; the lowest bin that still fits is the border.
+    bins = F.floor(F.log2("c") * 8).cast("int").alias("bin")
+    room, border = HEAD, None
+    for r in counts.groupBy(bins).agg(F.count("*").alias("n")).orderBy(F.col("bin").desc()).collect():
+        room -= r["n"]
+        if room < 0:
+            break
+        border = r["bin"]
+    head = counts.where(bins >= border if border is not None else F.lit(False)).select("word", "c").toArrow()
+    head = head.sort_by([("c", "descending"), ("word", "ascending")])
+    words = head.column("word").cast(pa.binary()).to_pylist()
+    frequency = head.column("c").to_numpy()
     own = words[:OWN]
     sums = np.full(CLASSES, 0.5)  # the share of unknown words
     for r in counts.groupBy("class").agg(F.sum(F.col("c") + 0.5).alias("s")).collect():
         sums[r["class"]] += r["s"]
-    np.subtract.at(sums, np.array([_class_of(w) for w in own], dtype=np.int64), np.array([r["c"] + 0.5 for r in head[:OWN]], dtype=np.float64))
+    np.subtract.at(sums, np.array([_class_of(w) for w in own], dtype=np.int64), frequency[:OWN] + 0.5)
     sums = np.maximum(sums, 0.5)
-    return Vocabulary(words, np.array([r["c"] for r in head], dtype=np.int64), sums, totals["n"] + n_docs, totals["v"] + (n_docs > 0), n_docs, len(own))
+    return Vocabulary(words, frequency, sums, totals["n"] + n_docs, totals["v"] + (n_docs > 0), n_docs, len(own))
 
 
 class _Encoder:
@@ -171,7 +182,7 @@ def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
 
     def run(batches):
         encoder, row = None, TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in text_slices(batches, "text"):
             encoder = encoder or _encoder(shared)
             out = [encoder.encode(_words(value)) for value in _raw(batch.column("text"))]
             symbols, tails, n_head, base, share = zip(*out, strict=True) if out else ((),) * 5
@@ -276,6 +287,14 @@ def _segments(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start[order], size[order], number[order] == 0
 
 
+def _token_slices(batches, column: int, most: int):
+    """Batches with about ``most`` symbols at most in a list column, or one row."""
+    for batch in batches:
+        if batch.num_rows:
+            sizes = np.diff(batch.column(column).offsets.to_numpy())
+            yield from cut_at(batch, sizes, most)
+
+
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
 
@@ -288,11 +307,11 @@ def _pass(training: DataFrame, model: Model, v: Vocabulary) -> tuple[np.ndarray,
     def run(batches):
         model = shared.value
         sums = None
-        for batch in batches:
+        for batch in _token_slices(batches, 0, 400_000):
             symbols, sizes = _flat(batch.column(0))
             starts, lengths, first = _segments(sizes)
-            for at in range(0, len(starts), 2048):
-                part = slice(at, at + 2048)
+            for at in range(0, len(starts), 1024):
+                part = slice(at, at + 1024)
                 got = expected_counts(model, symbols, starts[part], lengths[part], first[part])[:3]
                 sums = [a + b for a, b in zip(sums, got, strict=True)] if sums else list(got)
         if sums:
@@ -306,9 +325,11 @@ def _pass(training: DataFrame, model: Model, v: Vocabulary) -> tuple[np.ndarray,
     schema = ", ".join(["kind int", "place int", *(f"s{i} double" for i in range(STATES))])
     sums = training.select("symbols").mapInArrow(run, schema).groupBy("kind", "place").agg(*[F.sum(n).alias(n) for n in names[2:]])
     start, step, emitted = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((v.symbols, STATES))
-    for r in sums.toPandas().itertuples(index=False):
-        target = (start[None, :], step, emitted)[r.kind]
-        target[r.place] = r[2:]
+    got = sums.toArrow()
+    kind, place = got.column("kind").to_numpy(), got.column("place").to_numpy()
+    values = np.stack([got.column(n).to_numpy() for n in names[2:]], axis=1) if len(kind) else np.zeros((0, STATES))
+    for number, target in enumerate((start[None, :], step, emitted)):
+        target[place[kind == number]] = values[kind == number]
     return start, step, emitted
 
 
@@ -323,14 +344,16 @@ def train(training: DataFrame, v: Vocabulary) -> Model:
     rng = np.random.default_rng(_SEED)
     model = _first_model(v.symbols, overall * v.total, rng)
     cut = F.slice("symbols", 1, SEGMENT)
-    sample = training.select("row", cut.alias("symbols")).orderBy(F.xxhash64("row"), "row").limit(SAMPLE_SEGMENTS).select("symbols").collect()
-    if not sample:
+    sample = training.select(cut.alias("symbols"), "row").orderBy(F.xxhash64("row"), "row").limit(SAMPLE_SEGMENTS)
+    sample = written(sample.select("symbols"), "sample").toArrow().column("symbols").combine_chunks()
+    if not len(sample):
         return model
-    sizes = np.array([len(r["symbols"]) for r in sample])
-    symbols = np.concatenate([np.array(r["symbols"], dtype=np.int32) for r in sample])
+    symbols, sizes = _flat(sample)
     starts, lengths, first = _segments(sizes)
     for _ in range(SAMPLE_ROUNDS):
-        model = updated(model, *expected_counts(model, symbols, starts, lengths, first)[:3], overall)
+        parts = [slice(i, i + 1024) for i in range(0, len(starts), 1024)]
+        got = [expected_counts(model, symbols, starts[p], lengths[p], first[p])[:3] for p in parts]
+        model = updated(model, *(sum(x) for x in zip(*got, strict=True)), overall)
     for _ in range(PASSES):
         model = updated(model, *_pass(training, model, v), overall)
     return model
@@ -361,12 +384,11 @@ def _likelihoods(texts: DataFrame, model: Model) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                scores = log_likelihoods(shared.value, *_flat(batch.column(1)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(scores), *batch.columns[2:]], names=["row", "chain", *batch.schema.names[2:]]
-                )
+        for batch in _token_slices(batches, 1, 4_000_000):
+            scores = log_likelihoods(shared.value, *_flat(batch.column(1)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(scores), *batch.columns[2:]], names=["row", "chain", *batch.schema.names[2:]]
+            )
 
     rest = ["doc_id", "held_out", "n_head", "base", "share", "n_tokens"]
     frame = texts.select("row", "symbols", *rest[:-1], F.size("symbols").cast("long").alias("n_tokens"))

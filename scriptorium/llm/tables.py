@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +18,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, name)
 
 
+def cut_at(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose rows' ``sizes`` add up to ``most`` or less, or that are one row."""
+    start = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > start and held + size > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    yield batch.slice(start)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches whose texts take about ``most`` bytes at most, or that are one row: what a task holds at a time."""
+    for batch in batches:
+        if batch.num_rows:
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+            yield from cut_at(batch, sizes, most)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: bigint): one row (node, component) for each node with an edge.
 
