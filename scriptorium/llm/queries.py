@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import byte_bpe, chat, language_id, latent_lm, line_dedup, mixing, near_text, near_vectors, toxicity
+from scriptorium.llm import ann, byte_bpe, chat, language_id, latent_lm, line_dedup, mixing, near_text, near_vectors, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_line_dedup")
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.summary(_table(spark, sf_dir, "documents"))
+
+
+@query("op6_learned_partitions")
+def op6_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
