@@ -31,7 +31,7 @@ from scriptorium.llm.vectors import cosines, matrix, unit, usable
 SAMPLE = 8000
 PARTS = 32
 NEIGHBOURS = 10
-RECALL = 0.97
+RECALL = 0.95
 HELD_BACK = 800
 HIDDEN = 128
 #: Bytes of vectors (as doubles) in a chunk, and queries in a group.

@@ -232,6 +232,12 @@ def _vocabulary(spark, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
+def _id_lists(ids: list[bytes]) -> pa.Array:
+    flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32())
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), flat)
+
+
 def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and the token ids of each text (``ids`` array<int>), one row for each row."""
     shared = _vocabulary(docs.sparkSession, vocabulary_path)
@@ -241,11 +247,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "tex
         tokenizer = _tokenizer(shared.value, pattern)
         for batch in text_slices(batches, "_text"):
             ids = tokenizer.encode(batch.column("_text").to_pylist())
-            flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32())
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[*keep, "ids"]
-            )
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), _id_lists(ids)], names=[*keep, "ids"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
     return frame.mapInArrow(run, f"{schema}, ids array<int>" if keep else "ids array<int>")
@@ -268,28 +270,30 @@ def decode(tokens: DataFrame, vocabulary_path: str, pattern: str, ids: str = "id
     return frame.mapInArrow(run, f"{schema}, decoded binary" if keep else "decoded binary")
 
 
-def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def round_trip(
+    docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", id_col: str = "doc_id", with_ids: bool = False
+) -> DataFrame:
     """``id_col``, n_tokens, and the digests of the ids and of the bytes decoded from them, in one pass over the texts.
 
-    ids_sha256 is over the ids as little-endian unsigned 32-bit integers, decoded_sha256 over the decoded bytes.
+    ids_sha256 is over the ids as little-endian unsigned 32-bit integers, decoded_sha256 over the decoded bytes;
+    ``with_ids`` adds the ids themselves (array<int>).
     """
     shared = _vocabulary(docs.sparkSession, vocabulary_path)
     frame = docs.select(docs[id_col].alias("doc_id"), docs[text].alias("_text"))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches):
         tokenizer = _tokenizer(shared.value, pattern)
         for batch in text_slices(batches, "_text"):
             ids = tokenizer.encode(batch.column("_text").to_pylist())
             decoded = tokenizer.decode(ids)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded]),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = [
+                batch.column("doc_id"),
+                pa.array([len(x) // 4 for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                pa.array([hashlib.sha256(x).hexdigest() for x in decoded]),
+            ]
+            yield pa.RecordBatch.from_arrays([*columns, *[_id_lists(ids)] * with_ids], names=names)
 
     kind = frame.schema["doc_id"].dataType.simpleString()
-    return frame.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return frame.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -8,12 +8,13 @@ the one in the row with the smallest id stays, the first of that row; the others
 The join is Pass-Join (Li et al., 2011): a line of length n is cut into ``EDITS + 1`` even segments; a line within
 the distance holds one of them whole, at a place that the multi-match-aware bounds narrow to a few. Segments are
 indexed by length, number and content, and the other lines probe these keys for the lengths they may meet. Pairs that
-meet are verified by a banded bit-parallel edit distance (Hyyroe, 2003): the band's 2 * EDITS + 1 cells of a column
-are bits of a number, a fold over the other line's characters moves it on; equal ends of the pair are cut off first.
+meet and whose counts of common letters allow it are verified by a banded bit-parallel edit distance (Hyyroe, 2003):
+the band's 2 * EDITS + 1 cells of a column are bits of a number, a fold over the other line's characters moves it on;
+equal ends of the pair are cut off first.
 
-Equal lines are one before anything is compared. Texts are not moved for that: lines travel as 64-bit digests (two
-different lines share one with a chance of one to 2^64 for each pair); of a line's occurrences those beyond the
-first are left out where it is frequent, by a broadcast list that cannot hold more than ``FREQUENT`` lines.
+Lines are written once and travel as 64-bit digests (two different lines share one with a chance of one to 2^64 for
+each pair). A frequent line is compared in the row with the smallest id only, by a broadcast list that cannot hold
+more than ``FREQUENT`` lines.
 
 Defined results: a null text stays null; empty texts, empty lines and short lines stay; rows that share an id each keep
 their first line of a class if that id is its smallest; of rows without an id likewise, if no row with an id has the
@@ -31,6 +32,8 @@ EDITS = 2
 CHARS_PER_EDIT = 20
 MIN_CHARS = 20
 FREQUENT = 100_000
+#: Letters whose counts tell pairs apart before their texts are fetched; any sixteen do, common ones do best.
+BAG_LETTERS = "etaoinsrhldcumpb"
 #: Up to this many lines, the lines that met a partner are sent to every task to fetch their texts.
 BROADCAST_LINES = 300_000
 
@@ -40,21 +43,43 @@ def normal(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    """row (digest of id and text), doc_id, line_no and norm of each line that is compared."""
+    """row (digest of id and text), doc_id, line_no, norm, line (its digest) and bag of each line that is compared."""
+    # Normal forms are made before the explosion: what is above it reads them as they are.
+    norms = F.transform(F.split(F.col(text), "\n", -1), normal)
     return (
-        docs.select(F.xxhash64(id_col, text).alias("row"), F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
-        .select("row", "doc_id", "line_no", normal(F.col("line")).alias("norm"))
+        docs.select(F.xxhash64(id_col, text).alias("row"), F.col(id_col).alias("doc_id"), F.posexplode(norms).alias("line_no", "norm"))
         .where(F.length("norm") >= MIN_CHARS)
+        .withColumn("line", F.xxhash64("norm"))
+        .withColumn("bag", _bag(F.col("norm")))
     )
 
 
+def _bag(norm: Column) -> Column:
+    """How often each of ``BAG_LETTERS`` occurs, modulo 16, four bits each."""
+    size = F.length(norm)
+    counts = [(size - F.length(F.replace(norm, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(15)) for c in BAG_LETTERS]
+    total = F.shiftleft(counts[0], 0)
+    for i, count in enumerate(counts[1:], 1):
+        total = total.bitwiseOR(F.shiftleft(count, 4 * i))
+    return total
+
+
+def _bags_differ(a: Column, b: Column) -> Column:
+    """A lower bound of the difference of two bags: an edit changes it by two at most."""
+    steps = [F.shiftright(a, 4 * i).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * i).bitwiseAND(F.lit(15)) for i in range(len(BAG_LETTERS))]
+    each = [F.least(F.abs(d), 16 - F.abs(d)) for d in steps]
+    return sum(each[1:], each[0])
+
+
 def _segment(norm: Column, length: Column, number: int, shift: int, parts: int) -> Column:
-    """Key of the part of ``norm`` where segment ``number`` of a line of ``length`` would lie, moved by ``shift``."""
-    even, rest = F.floor(length / parts).cast("int"), (length % parts).cast("int")
+    """Key of the part of ``norm`` where segment ``number`` of a line of ``length`` would lie, moved by ``shift``.
+
+    Segments are longer than any shift, so the part always lies inside.
+    """
+    even, rest = F.expr(f"int(({length}) div {parts})"), F.expr(f"int(({length}) % {parts})")
     start = even * number + F.greatest(F.lit(0), rest - (parts - number))
     size = even + F.when(rest >= parts - number, 1).otherwise(0)
-    inside = (start + shift >= 0) & (start + shift + size <= F.length(norm))
-    return F.when(inside, F.xxhash64(F.substring(norm, start + (shift + 1), size), length, F.lit(number)))
+    return F.xxhash64(F.substring(norm, start + (shift + 1), size), F.expr(length), F.lit(number))
 
 
 def _places(edits: int) -> list[tuple[int, int, int]]:
@@ -69,14 +94,17 @@ def _places(edits: int) -> list[tuple[int, int, int]]:
 
 
 def _candidates(lines: DataFrame, edits: int) -> DataFrame:
-    """Pairs (a, b) of digests of lines that share a segment; ``lines``: line, norm."""
-    parts, size = edits + 1, F.length("norm")
-    sized = lines.where(size >= max(MIN_CHARS, CHARS_PER_EDIT - edits)).withColumn("size", size)
-    index_keys = F.array(*[_segment(F.col("norm"), F.col("size"), n, 0, parts) for n in range(parts)])
-    probe_keys = F.array(*[_segment(F.col("norm"), F.col("size") - m, n, s, parts) for m, n, s in _places(edits)])
-    index = sized.select(F.col("line").alias("a"), F.explode(index_keys).alias("key"))
-    probes = sized.select(F.col("line").alias("b"), F.explode(probe_keys).alias("probe")).where("probe is not null")
-    met = probes.join(index, (F.col("probe") == F.col("key")) & (F.col("a") != F.col("b")))
+    """Pairs (a, b) of digests of lines that share a segment and have nearly the same letters; ``lines``: line, norm, bag."""
+    parts = edits + 1
+    if MIN_CHARS - edits < parts * parts:
+        raise ValueError("lines must be long enough for segments that are longer than their shifts")
+    sized = lines.select("line", "norm", "bag", F.length("norm").alias("size"))
+    index_keys = F.array(*[_segment(F.col("norm"), "size", n, 0, parts) for n in range(parts)])
+    probe_keys = F.array(*[_segment(F.col("norm"), f"size - {m}", n, s, parts) for m, n, s in _places(edits)])
+    index = sized.select(F.col("line").alias("a"), F.col("bag").alias("a_bag"), F.explode(index_keys).alias("key"))
+    probes = sized.select(F.col("line").alias("b"), F.col("bag").alias("b_bag"), F.explode(probe_keys).alias("probe"))
+    alike = _bags_differ(F.col("a_bag"), F.col("b_bag")) <= 2 * edits
+    met = probes.join(index, (F.col("probe") == F.col("key")) & (F.col("a") != F.col("b")) & alike)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -127,7 +155,7 @@ def distances(pairs: DataFrame, edits: int) -> DataFrame:
 
 
 def links(docs_lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Links (a, b) of digests of near-equal lines; ``docs_lines``: line and norm, the same line possibly several times."""
+    """Links (a, b) of digests of near-equal lines; ``docs_lines``: line, norm and bag, the same line possibly several times."""
     met = written(_candidates(docs_lines, edits), "line-candidates")
     wanted = written(met.select(F.col("a").alias("wanted")).union(met.select("b")).distinct(), "wanted-lines")
     few = wanted.count() <= BROADCAST_LINES
@@ -143,14 +171,14 @@ def links(docs_lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
     """Occurrences (row, doc_id, line_no, line) of all lines compared, and (line, class, first_id) of those not alone in their class."""
-    lines = _lines(docs, text, id_col).withColumn("line", F.xxhash64("norm"))
-    places = written(lines.select("row", "doc_id", "line_no", "line"), "line-places")
+    lines = written(_lines(docs, text, id_col), "lines")
+    places = lines.select("row", "doc_id", "line_no", "line")
     counts = written(places.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")), "line-counts")
     total = places.count()
     # Fewer than FREQUENT lines can make up more than this share of all.
     frequent = counts.where(F.col("n") > max(1.0, total / FREQUENT)).select(F.col("line").alias("known"), F.col("first_id").alias("known_id"))
     once = lines.join(F.broadcast(frequent), F.col("line") == F.col("known"), "left").where("known is null or doc_id <=> known_id")
-    near = components(links(once.select("line", "norm"), edits))
+    near = components(links(once.select("line", "norm", "bag"), edits))
     shared = counts.join(near, F.col("line") == F.col("node"), "left").where("n > 1 or component is not null")
     named = written(shared.select("line", "first_id", F.coalesce("component", "line").alias("class")), "line-classes")
     first = named.groupBy("class").agg(F.min("first_id").alias("class_id"))
@@ -170,7 +198,8 @@ def dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", edits: in
     n_lines = F.coalesce(F.size(lines), F.lit(0))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_cut"))
     shortened = F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    return whole.join(cut, F.col("_row") == F.col("_cut_row"), "left").select(
+    # Hashed on the side of the cuts: the texts need no sorting.
+    return whole.join(cut.hint("shuffle_hash"), F.col("_row") == F.col("_cut_row"), "left").select(
         *[shortened.alias(c) if c == text else F.col(c) for c in docs.columns],
         F.when(F.col(text).isNull(), 0).otherwise(n_lines).alias("_n_lines"),
         F.coalesce(F.size("_cut"), F.lit(0)).alias("_n_removed"),

@@ -12,8 +12,12 @@ SCHEMA = "doc_id long, text string, fp string, component string"
 
 
 def plain_fingerprint(text):
+    return plain_fingerprint_of(text, 3)
+
+
+def plain_fingerprint_of(text, n):
     words = [w for w in (text or "").translate({c: c + 32 for c in range(65, 91)}).replace("\t", " ").replace("\n", " ").split(" ") if w]
-    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    grams = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or ([" ".join(words)] if words else [])
     hashes = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
