@@ -8,7 +8,7 @@ the one in the row with the smallest id stays, the first of that row; the others
 The join is Pass-Join (Li et al., 2011): a line of length n is cut into ``EDITS + 1`` even segments; a line within
 the distance holds one of them whole, at a place that the multi-match-aware bounds narrow to a few. Segments are
 indexed by length, number and content, and the other lines probe these keys for the lengths they may meet. Pairs that
-meet and whose counts of common letters allow it are verified by a banded bit-parallel edit distance (Hyyroe, 2003):
+meet (in crowds: and whose counts of common letters allow it) are verified by a banded bit-parallel edit distance (Hyyroe, 2003):
 the band's 2 * EDITS + 1 cells of a column are bits of a number, a fold over the other line's characters moves it on;
 equal ends of the pair are cut off first.
 
@@ -34,7 +34,9 @@ MIN_CHARS = 20
 FREQUENT = 100_000
 #: Letters whose counts tell pairs apart before their texts are fetched; any sixteen do, common ones do best.
 BAG_LETTERS = "etaoinsrhldcumpb"
-#: Up to this many lines, the lines that met a partner are sent to every task to fetch their texts.
+#: Lines that share a segment before letters are counted: this decides the work, not the result.
+CROWD = 32
+#: Up to this many lines, a list of lines is sent to every task; a longer one is joined by a shuffle.
 BROADCAST_LINES = 300_000
 
 
@@ -43,14 +45,13 @@ def normal(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    """row (digest of id and text), doc_id, line_no, norm, line (its digest) and bag of each line that is compared."""
+    """row (digest of id and text), doc_id, line_no, norm and line (its digest) of each line that is compared."""
     # Normal forms are made before the explosion: what is above it reads them as they are.
     norms = F.transform(F.split(F.col(text), "\n", -1), normal)
     return (
         docs.select(F.xxhash64(id_col, text).alias("row"), F.col(id_col).alias("doc_id"), F.posexplode(norms).alias("line_no", "norm"))
         .where(F.length("norm") >= MIN_CHARS)
         .withColumn("line", F.xxhash64("norm"))
-        .withColumn("bag", _bag(F.col("norm")))
     )
 
 
@@ -71,15 +72,34 @@ def _bags_differ(a: Column, b: Column) -> Column:
     return sum(each[1:], each[0])
 
 
-def _segment(norm: Column, length: Column, number: int, shift: int, parts: int) -> Column:
-    """Key of the part of ``norm`` where segment ``number`` of a line of ``length`` would lie, moved by ``shift``.
+def _start(length: str, number: int, parts: int) -> str:
+    """SQL: where segment ``number`` of a line of ``length`` begins; the last ones are one longer where it does not divide."""
+    return f"(int(({length}) div {parts}) * {number} + greatest(0, int(({length}) % {parts}) - {parts - number}))"
 
-    Segments are longer than any shift, so the part always lies inside.
+
+def _size(length: str, number: int, parts: int) -> str:
+    return f"(int(({length}) div {parts}) + if(int(({length}) % {parts}) >= {parts - number}, 1, 0))"
+
+
+def _segment(length: str, number: int, shift: int, parts: int) -> Column:
+    """Key of the part of a line where segment ``number`` of a line of ``length`` would lie, moved by ``shift``.
+
+    Segments are longer than any shift, so the part always lies inside; it is cut from the stretch ``_around`` keeps.
     """
-    even, rest = F.expr(f"int(({length}) div {parts})"), F.expr(f"int(({length}) % {parts})")
-    start = even * number + F.greatest(F.lit(0), rest - (parts - number))
-    size = even + F.when(rest >= parts - number, 1).otherwise(0)
-    return F.xxhash64(F.substring(norm, start + (shift + 1), size), F.expr(length), F.lit(number))
+    inside = f"substring(around_{number}, {_start(length, number, parts)} + {shift} - from_{number} + 1, {_size(length, number, parts)})"
+    return F.expr(f"xxhash64({inside}, {length}, {number})")
+
+
+def _around(lines: DataFrame, edits: int) -> DataFrame:
+    """``lines`` with size and, for each segment, the stretch of the line in which any of its places lie."""
+    parts = edits + 1
+    sized = lines.withColumn("size", F.length("norm"))
+    for n in range(parts):
+        sized = sized.withColumn(f"from_{n}", F.expr(f"greatest(0, {_start(f'size - {edits}', n, parts)} - {edits})"))
+    for n in range(parts):
+        end = f"{_start('size', n, parts)} + {_size('size', n, parts)} + {edits}"
+        sized = sized.withColumn(f"around_{n}", F.expr(f"substring(norm, from_{n} + 1, {end} - from_{n})"))
+    return sized
 
 
 def _places(edits: int) -> list[tuple[int, int, int]]:
@@ -94,20 +114,37 @@ def _places(edits: int) -> list[tuple[int, int, int]]:
 
 
 def _candidates(lines: DataFrame, edits: int) -> DataFrame:
-    """Pairs (a, b) of digests of lines that share a segment and have nearly the same letters; ``lines``: line, norm, bag."""
+    """Pairs (a, b) of digests of lines that share a segment; ``lines``: line and norm.
+
+    Where more than ``CROWD`` lines share an indexed segment, as the versions of one page do, counts of common letters
+    drop most pairs inside the join; lines without such company need no counts.
+    """
     parts = edits + 1
     if MIN_CHARS - edits < parts * parts:
         raise ValueError("lines must be long enough for segments that are longer than their shifts")
-    sized = lines.select("line", "norm", "bag", F.length("norm").alias("size"))
-    index_keys = F.array(*[_segment(F.col("norm"), "size", n, 0, parts) for n in range(parts)])
-    probe_keys = F.array(*[_segment(F.col("norm"), f"size - {m}", n, s, parts) for m, n, s in _places(edits)])
-    index = sized.select(F.col("line").alias("a"), F.col("bag").alias("a_bag"), F.explode(index_keys).alias("key"))
-    probes = sized.select(F.col("line").alias("b"), F.col("bag").alias("b_bag"), F.explode(probe_keys).alias("probe"))
-    alike = _bags_differ(F.col("a_bag"), F.col("b_bag")) <= 2 * edits
-    met = probes.join(index, (F.col("probe") == F.col("key")) & (F.col("a") != F.col("b")) & alike)
+    sized = _around(lines, edits)
+    index_keys = F.array(*[_segment("size", n, 0, parts) for n in range(parts)])
+    probe_keys = F.array(*[_segment(f"size - {m}", n, s, parts) for m, n, s in _places(edits)])
+    index = written(sized.select(F.col("line").alias("a"), F.explode(index_keys).alias("key")), "line-segments")
+    crowds = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key")
+    crowded = written(index.join(crowds, "key", "left_semi").select(F.col("a").alias("crowded")).distinct(), "crowded-lines")
+    some = _if_few(crowded)
+    bags = lines.join(some, F.col("line") == F.col("crowded"), "left_semi").dropDuplicates(["line"]).select("line", _bag(F.col("norm")).alias("bag"))
+    bags = _if_few(written(bags, "crowded-bags"))
+    known = lambda name: bags.select(F.col("line").alias(f"{name}_line"), F.col("bag").alias(f"{name}_bag"))
+    asking = sized.join(known("b"), F.col("line") == F.col("b_line"), "left")
+    probes = asking.select(F.col("line").alias("b"), "b_bag", F.explode(probe_keys).alias("probe"))
+    indexed = index.join(known("a"), F.col("a") == F.col("a_line"), "left").select("a", "a_bag", "key")
+    alike = F.coalesce(_bags_differ(F.col("a_bag"), F.col("b_bag")) <= 2 * edits, F.lit(True))
+    met = probes.join(indexed, (F.col("probe") == F.col("key")) & (F.col("a") != F.col("b")) & alike)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _if_few(table: DataFrame) -> DataFrame:
+    """A written table of lines, marked for broadcast if it is counted to be small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_LINES else table
+
+
 def _common(x: str, y: str) -> str:
     """SQL: the number of equal characters at the start of x and y, by halving."""
     powers = f"sequence(length(bin(least(length({x}), length({y})))) - 1, 0, -1)"
@@ -155,11 +192,10 @@ def distances(pairs: DataFrame, edits: int) -> DataFrame:
 
 
 def links(docs_lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Links (a, b) of digests of near-equal lines; ``docs_lines``: line, norm and bag, the same line possibly several times."""
+    """Links (a, b) of digests of near-equal lines; ``docs_lines``: line and norm, the same line possibly several times."""
     met = written(_candidates(docs_lines, edits), "line-candidates")
     wanted = written(met.select(F.col("a").alias("wanted")).union(met.select("b")).distinct(), "wanted-lines")
-    few = wanted.count() <= BROADCAST_LINES
-    texts = docs_lines.join(F.broadcast(wanted) if few else wanted, F.col("line") == F.col("wanted"), "left_semi").dropDuplicates(["line"])
+    texts = docs_lines.join(_if_few(wanted), F.col("line") == F.col("wanted"), "left_semi").dropDuplicates(["line"])
     texts = written(texts.select("line", "norm"), "wanted-texts")
     x = texts.select(F.col("line").alias("a"), F.col("norm").alias("x"))
     y = texts.select(F.col("line").alias("b"), F.col("norm").alias("y"))
@@ -178,7 +214,7 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", edits:
     # Fewer than FREQUENT lines can make up more than this share of all.
     frequent = counts.where(F.col("n") > max(1.0, total / FREQUENT)).select(F.col("line").alias("known"), F.col("first_id").alias("known_id"))
     once = lines.join(F.broadcast(frequent), F.col("line") == F.col("known"), "left").where("known is null or doc_id <=> known_id")
-    near = components(links(once.select("line", "norm", "bag"), edits))
+    near = components(links(once.select("line", "norm"), edits))
     shared = counts.join(near, F.col("line") == F.col("node"), "left").where("n > 1 or component is not null")
     named = written(shared.select("line", "first_id", F.coalesce("component", "line").alias("class")), "line-classes")
     first = named.groupBy("class").agg(F.min("first_id").alias("class_id"))
