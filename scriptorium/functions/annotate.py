@@ -1,7 +1,8 @@
 """Rule-based chunk annotations: tokens, entities, keywords, summary, sentiment.
 
 These follow the shape and limits of model-based annotations, not their output: there is no statistical
-model behind them.
+model behind them. Texts are read whole; ``window`` limits a rule to the first so many characters (customary:
+``ANALYSIS_CHARS``).
 """
 
 from __future__ import annotations
@@ -39,11 +40,11 @@ def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def token_count(text: Column, window: int | None = v.ANALYSIS_CHARS) -> Column:
+def token_count(text: Column, window: int | None = None) -> Column:
     return F.size(_all(_analysed(text, window), TOKEN))
 
 
-def entities(text: Column, window: int | None = v.ANALYSIS_CHARS) -> Column:
+def entities(text: Column, window: int | None = None) -> Column:
     """Map of entity type to its distinct mentions in order of appearance; types without mention are absent."""
 
     def find(head: Column) -> Column:
@@ -56,15 +57,15 @@ def entities(text: Column, window: int | None = v.ANALYSIS_CHARS) -> Column:
     return let(_analysed(text, window), find)
 
 
-def keywords(text: Column, window: int | None = v.ANALYSIS_CHARS) -> Column:
-    """First twenty distinct words of four or more letters that are no stop words."""
+def keywords(text: Column, window: int | None = None, most: int | None = MAX_KEYWORDS) -> Column:
+    """First ``most`` distinct words of four or more letters that are no stop words; ``None`` takes all."""
     tokens = _all(F.lower(_analysed(text, window)), WORD)
     kept = F.filter(tokens, lambda w: (F.length(w) >= MIN_KEYWORD_CHARS) & ~w.isin(STOP_WORDS))
-    return F.slice(F.array_distinct(kept), 1, MAX_KEYWORDS)
+    return F.array_distinct(kept) if most is None else F.slice(F.array_distinct(kept), 1, most)
 
 
-def summary(text: Column, window: int | None = v.ANALYSIS_CHARS) -> Column:
-    """First sentence, and the entity-richest other one when both fit 280 characters."""
+def summary(text: Column, window: int | None = None, most: int = SUMMARY_CHARS) -> Column:
+    """First sentence, and the entity-richest other one when both fit ``most`` characters."""
     any_entity = "|".join(f"(?:{p})" for p in ENTITY_PATTERNS.values())
 
     def choose(sentences: Column) -> Column:
@@ -74,14 +75,14 @@ def summary(text: Column, window: int | None = v.ANALYSIS_CHARS) -> Column:
             lambda s: F.struct(F.size(_all(s, any_entity)).alias("n"), s.alias("s")),
         )
         richest = F.array_max(F.filter(counted, lambda c: c["n"] > 0))["s"]
-        fits = F.coalesce(F.length(first) + F.length(richest) <= SUMMARY_CHARS, F.lit(False))
+        fits = F.coalesce(F.length(first) + F.length(richest) <= most, F.lit(False))
         return F.coalesce(F.when(fits, F.concat_ws(" ", first, richest)).otherwise(first), F.lit(""))
 
     sentences = F.filter(F.transform(_all(_analysed(text, window), SENTENCE), strip), lambda s: s != "")
     return let(sentences, choose)
 
 
-def sentiment(text: Column, window: int | None = v.ANALYSIS_CHARS) -> Column:
+def sentiment(text: Column, window: int | None = None) -> Column:
     """Shares of listed positive and negative words among the words that are no stop words."""
 
     def judge(tokens: Column) -> Column:

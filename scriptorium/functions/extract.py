@@ -1,6 +1,8 @@
 """Bibliographic metadata from text, one column expression per field.
 
-The ``window`` arguments are the parts of the text the rules are defined on; ``None`` means all of it.
+Rules read the whole text. A ``window`` argument limits one to the first so many characters; the ``*_CHARS`` numbers of
+``fixed_values`` are the customary ones. Titles and page-one rules are about the head of a document by their nature:
+their numbers of lines are arguments, and ``None`` takes all lines.
 """
 
 from __future__ import annotations
@@ -39,9 +41,15 @@ def _none() -> Column:
 # --- title and authors ------------------------------------------------------------------------
 
 
-def title(text: Column) -> Column:
+def _top(lines: Column, most: int | None) -> Column:
+    return lines if most is None else F.slice(lines, 1, most)
+
+
+def title(text: Column, lines: int | None = v.TITLE_LINES, pattern_lines: int | None = v.TITLE_PATTERN_LINES) -> Column:
+    """A marked title among the first ``pattern_lines`` lines, else the longest title-like one of the first ``lines``."""
+
     def from_lines(lines: Column) -> Column:
-        top = F.array_join(F.slice(lines, 1, v.TITLE_PATTERN_LINES), "\n")
+        top = F.array_join(_top(lines, pattern_lines), "\n")
         matched = let(top, lambda t: F.coalesce(*[strip(search_regex(t, p)) for p in v.TITLE_PATTERNS]))
         candidates = F.filter(
             lines,
@@ -53,10 +61,10 @@ def title(text: Column) -> Column:
         longest = F.array_max(F.transform(candidates, lambda line: F.struct(F.length(line).alias("n"), line.alias("line"))))
         return F.coalesce(matched, longest["line"])
 
-    return let(F.slice(text_lines(text), 1, v.TITLE_LINES), from_lines)
+    return let(_top(text_lines(text), lines), from_lines)
 
 
-def authors(text: Column, name: Column | None = None, window: int | None = v.AUTHOR_CHARS) -> Column:
+def authors(text: Column, name: Column | None = None, window: int | None = None) -> Column:
     def named(found: Column) -> Column:
         people = F.transform(F.split(found, regex(v.AUTHOR_SEPARATOR)), strip)
         return F.filter(people, lambda p: (F.length(p) > 3) & ~p.rlike(regex(v.NOT_AN_AUTHOR)))
@@ -76,7 +84,7 @@ def authors(text: Column, name: Column | None = None, window: int | None = v.AUT
 # --- years ------------------------------------------------------------------------------------
 
 
-def year(text: Column, window: int | None = v.YEAR_CHARS, latest: int = v.MAX_YEAR) -> Column:
+def year(text: Column, window: int | None = None, latest: int = v.MAX_YEAR) -> Column:
     """Most frequent plausible year over all patterns; among equals the first one seen."""
 
     def collect(head: Column) -> Column:
@@ -133,7 +141,7 @@ def _plausible(found: Column, finish: Callable[[Column], Column]) -> Column:
     return F.when((F.length(found) > 3) & (F.length(found) < 100), finish(found))
 
 
-def publisher(text: Column, window: int | None = v.PUBLISHER_CHARS) -> Column:
+def publisher(text: Column, window: int | None = None) -> Column:
     def find(head: Column) -> Column:
         tries = [
             let(strip(search_regex(head, p)), lambda m: _plausible(m, lambda x: x)) for p in v.PUBLISHER_PATTERNS
@@ -149,7 +157,7 @@ def _without_tails(name: Column) -> Column:
     return name
 
 
-def journal(text: Column, window: int | None = v.JOURNAL_CHARS) -> Column:
+def journal(text: Column, window: int | None = None) -> Column:
     def find(head: Column) -> Column:
         tries = [let(strip(search_regex(head, p)), lambda m: _plausible(m, _without_tails)) for p in v.JOURNAL_PATTERNS]
         return F.coalesce(_known(head, v.JOURNALS), *tries)
@@ -186,9 +194,9 @@ def isbn_key(c: Column) -> Column:
 
 
 def language_ratio(
-    text: Column, window: int | None = v.LANGUAGE_CHARS, min_chars: int = v.LANGUAGE_MIN_CHARS
+    text: Column, window: int | None = None, min_chars: int = 0
 ) -> Column:
-    """``de``, ``en`` or ``mixed`` by the share of common words; short texts count as ``en``."""
+    """``de``, ``en`` or ``mixed`` by the share of common words; texts under ``min_chars`` count as ``en``."""
 
     def share(tokens: Column, listed: list[str]) -> Column:
         return F.size(F.filter(tokens, lambda w: w.isin(listed))) / F.size(tokens)
@@ -208,7 +216,7 @@ def language_ratio(
     return F.when(long_enough, let(tokens, judge)).otherwise("en")
 
 
-def language_presence(text: Column, window: int | None = v.PRESENCE_CHARS) -> Column:
+def language_presence(text: Column, window: int | None = None) -> Column:
     """``de`` when strictly more of the German than of the English words stand between blanks."""
 
     def count(padded: Column, listed: list[str]) -> Column:
@@ -228,18 +236,23 @@ def chunk_language(given: Column, text: Column) -> Column:
 # --- everything together ----------------------------------------------------------------------
 
 
-def extract_all(docs: DataFrame, text: str = "text", name: str | None = None) -> DataFrame:
-    """All fields that can be read off the text; absent ones are null."""
+def extract_all(docs: DataFrame, text: str = "text", name: str | None = None, heads: bool = False) -> DataFrame:
+    """All fields that can be read off the text; absent ones are null.
+
+    With ``heads``, fields are looked for in the customary first characters only, and texts under
+    ``LANGUAGE_MIN_CHARS`` count as English.
+    """
+    at = (lambda n: n) if heads else (lambda n: None)
     t = F.col(text)
     fields = {
         "title": null_if_empty(title(t)),
-        "author": authors(t, F.col(name) if name else None),
-        "year": year(t),
-        "language": language_ratio(t),
+        "author": authors(t, F.col(name) if name else None, at(v.AUTHOR_CHARS)),
+        "year": year(t, at(v.YEAR_CHARS)),
+        "language": language_ratio(t, at(v.LANGUAGE_CHARS), v.LANGUAGE_MIN_CHARS if heads else 0),
         "doi": doi(t),
         "isbn": isbn(t),
-        "journal": journal(t),
-        "publisher": publisher(t),
+        "journal": journal(t, at(v.JOURNAL_CHARS)),
+        "publisher": publisher(t, at(v.PUBLISHER_CHARS)),
     }
     if name:
         fields["file_extension"] = extension(F.col(name))
@@ -268,11 +281,11 @@ def body_lines(text: Column) -> Column:
     return F.filter(text_lines(text), lambda line: ~is_header_footer(line))
 
 
-def page_title(lines: Column) -> Column:
-    """Longest of the first ten lines that can be a title; the first among equals."""
+def page_title(lines: Column, most: int | None = v.PAGE_ONE_TITLE_LINES) -> Column:
+    """Longest of the first ``most`` lines that can be a title; the first among equals."""
     ranked = F.transform(
         F.filter(
-            F.transform(F.slice(lines, 1, 10), lambda line, i: F.struct(line.alias("line"), i.alias("i"))),
+            F.transform(_top(lines, most), lambda line, i: F.struct(line.alias("line"), i.alias("i"))),
             lambda s: (F.length(s["line"]) >= 20) & ~s["line"].rlike(regex(v.PAGE_ONE_NOT_A_TITLE)),
         ),
         lambda s: F.struct(F.length(s["line"]).alias("n"), (-s["i"]).alias("i"), s["line"].alias("line")),
@@ -280,8 +293,10 @@ def page_title(lines: Column) -> Column:
     return F.array_max(ranked)["line"]
 
 
-def page_authors(lines: Column, found_title: Column) -> Column:
-    """Name lines after the title, else every name-like match in the first thirty lines."""
+def page_authors(
+    lines: Column, found_title: Column, after_title: int | None = v.PAGE_ONE_AUTHOR_LINES, anywhere: int | None = v.PAGE_ONE_NAME_LINES
+) -> Column:
+    """Name lines among the ``after_title`` lines after the title, else every name-like match in the first ``anywhere`` lines."""
     name_line = regex("|".join(v.PAGE_ONE_NAMES))
 
     def is_author_line(line: Column) -> Column:
@@ -290,9 +305,9 @@ def page_authors(lines: Column, found_title: Column) -> Column:
         return fits & (line.rlike(name_line) | titled) & ~is_irrelevant(line)
 
     def after(at: Column) -> Column:
-        near = F.filter(F.slice(lines, at + 1, 9), is_author_line)
+        near = F.filter(F.slice(lines, at + 1, F.size(lines) if after_title is None else F.lit(after_title)), is_author_line)
         everywhere = F.regexp_extract_all(
-            F.array_join(F.slice(lines, 1, 30), " "), F.lit(regex(v.PAGE_ONE_ANY_NAME)), F.lit(1)
+            F.array_join(_top(lines, anywhere), " "), F.lit(regex(v.PAGE_ONE_ANY_NAME)), F.lit(1)
         )
         names = F.filter(F.array_distinct(everywhere), lambda n: ~is_irrelevant(n))
         return F.when(F.size(near) > 0, near).otherwise(names)
@@ -303,10 +318,10 @@ def page_authors(lines: Column, found_title: Column) -> Column:
     return F.when(usable, let(position.cast("int"), after)).otherwise(F.array().cast(TEXTS))
 
 
-def page_journal(lines: Column) -> Column:
-    """Whole match of the first journal-like wording in the first ten lines."""
+def page_journal(lines: Column, most: int | None = v.PAGE_ONE_JOURNAL_LINES) -> Column:
+    """Whole match of the first journal-like wording in the first ``most`` lines."""
     found = F.transform(
-        F.slice(lines, 1, 10), lambda line: F.coalesce(*[search_regex(line, p, 0) for p in v.PAGE_ONE_JOURNAL])
+        _top(lines, most), lambda line: F.coalesce(*[search_regex(line, p, 0) for p in v.PAGE_ONE_JOURNAL])
     )
     return strip(F.get(F.filter(found, lambda f: f.isNotNull()), F.lit(0)))
 
@@ -334,11 +349,13 @@ def page_metadata(pages: DataFrame, text: str = "text") -> DataFrame:
     ).drop("_lines", "_title")
 
 
-def validate_title(c: Column) -> Column:
-    """Whitespace collapsed; over 300 characters cut with an ellipsis."""
+def validate_title(c: Column, most: int | None = None) -> Column:
+    """Whitespace collapsed; with ``most`` (customary: 300) longer titles are cut there with an ellipsis."""
     squeezed = strip(F.regexp_replace(c, regex(r"\s+"), " "))
+    if most is None:
+        return squeezed
     return let(
-        squeezed, lambda s: F.when(F.length(s) > 300, F.concat(F.substring(s, 1, 300), F.lit("..."))).otherwise(s)
+        squeezed, lambda s: F.when(F.length(s) > most, F.concat(F.substring(s, 1, most), F.lit("..."))).otherwise(s)
     )
 
 

@@ -130,9 +130,13 @@ NEGATIVE_WORDS = [
     "bad", "terrible", "awful", "negative", "detrimental", "problematic",
 ]
 
-# --- how much text each rule looks at ---------------------------------------------------------
+# --- customary heads: explicit arguments only, except the line counts of title and page-one rules ---
 TITLE_LINES = 20
 TITLE_PATTERN_LINES = 10
+PAGE_ONE_TITLE_LINES = 10
+PAGE_ONE_AUTHOR_LINES = 9
+PAGE_ONE_NAME_LINES = 30
+PAGE_ONE_JOURNAL_LINES = 10
 AUTHOR_CHARS = 1500
 YEAR_CHARS = 2000
 PUBLISHER_CHARS = 3000

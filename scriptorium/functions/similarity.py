@@ -32,7 +32,8 @@ def string_similarity(a: Column, b: Column) -> Column:
 
 @pandas_udf(DoubleType())
 def _block_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    matcher = SequenceMatcher(None)
+    # Frequent characters count like any others, whatever the length.
+    matcher = SequenceMatcher(None, autojunk=False)
     for left, right in pairs:
         out = []
         for a, b in zip(left, right, strict=True):

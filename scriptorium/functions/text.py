@@ -98,7 +98,7 @@ def surname(name: Column) -> Column:
 def document_id(name: Column, size: Column, mtime: Column, content_md5: Column | None = None) -> Column:
     parts = [name, size.cast("string"), mtime.cast("string")]
     if content_md5 is not None:
-        parts.append(F.when(size < 10 * 1024 * 1024, content_md5))
+        parts.append(content_md5)
     return F.substring(F.md5(F.concat_ws("_", *parts)), 1, 12)
 
 

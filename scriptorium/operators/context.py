@@ -21,7 +21,9 @@ QUESTION_HEADING = "\n### Frage:\n"
 ANSWER_HEADING = "\n### Antwort:\n"
 NO_HITS = "Ich konnte keine relevanten Informationen zu deiner Frage in deiner Literatursammlung finden."
 UNKNOWN_DOCUMENT = "Unbekanntes Dokument"
+# Characters of a source and names of its authors that a prompt shows.
 PROMPT_CHARS = 1000
+PROMPT_AUTHORS = 3
 
 
 def question_context(
@@ -54,14 +56,19 @@ def question_context(
     )
 
 
-def prompt(context: DataFrame, question: str) -> DataFrame:
+def prompt(
+    context: DataFrame, question: str, max_chars: int | None = PROMPT_CHARS, max_authors: int | None = PROMPT_AUTHORS
+) -> DataFrame:
     """One row with the prompt text, or with the fixed message when nothing was found.
 
+    Texts beyond ``max_chars`` and author lists beyond ``max_authors`` are shortened visibly; ``None`` shows all.
+
     Sources without text keep their number but are left out.
     """
-    shown = F.concat(
-        F.array_join(F.slice("author", 1, 3), ", "), F.when(F.size("author") > 3, " et al.").otherwise("")
-    )
+    shown = F.array_join("author", ", ")
+    if max_authors is not None:
+        some = F.array_join(F.slice("author", 1, max_authors), ", ")
+        shown = F.concat(some, F.when(F.size("author") > max_authors, " et al.").otherwise(""))
     head = F.concat(
         F.lit("["), F.col("source_no"), F.lit("] "),
         F.when(F.size("author") > 0, shown).otherwise(""),
@@ -69,9 +76,10 @@ def prompt(context: DataFrame, question: str) -> DataFrame:
         F.when(has_text(F.col("title")), F.concat(F.lit(": "), "title")).otherwise(""),
     )
     body = strip(F.col("text"))
-    cut = F.when(
-        F.length(body) > PROMPT_CHARS, F.concat(F.substring(body, 1, PROMPT_CHARS - 3), F.lit("..."))
-    ).otherwise(body)
+    cut = body
+    if max_chars is not None:
+        short = F.concat(F.substring(body, 1, max_chars - 3), F.lit("..."))
+        cut = F.when(F.length(body) > max_chars, short).otherwise(body)
     item = F.when(has_text(F.col("text")), F.concat(head, F.lit("\n"), cut, F.lit("\n")))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("source_no", item.alias("item")))), lambda s: s["item"])
     parts = F.concat(

@@ -14,7 +14,7 @@ from scriptorium.plans.registry import ORACLES, query
 from scriptorium.plans.text_queries import _presence_sql
 
 VIEWS = sql.with_views(sql.CHUNKS)
-HEAD = "substr(text, 1, 10000)"
+HEAD = "text"
 
 
 def _in(words: list[str]) -> str:
@@ -33,7 +33,7 @@ def _(spark, sf):
 
 @query(
     "chunk_language",
-    f"""SELECT doc_id, CASE WHEN given IN ('auto', 'mixed') THEN {_presence_sql('substr(text, 1, 1500)')} ELSE given END AS language
+    f"""SELECT doc_id, CASE WHEN given IN ('auto', 'mixed') THEN {_presence_sql('text')} ELSE given END AS language
  FROM (SELECT *, CASE lang WHEN 'es' THEN 'auto' WHEN 'fr' THEN 'mixed' ELSE lang END AS given FROM documents)""",
 )
 def _(spark, sf):

@@ -29,7 +29,7 @@ def _strings(values: list[str]) -> Column:
 
 
 def _first_line(text: Column) -> Column:
-    return F.trim(F.substring(F.split_part(text, F.lit("\n"), F.lit(1)), 1, 80))
+    return F.trim(F.split_part(text, F.lit("\n"), F.lit(1)))
 
 
 def _pick(index: Column, values: list[str]) -> Column:

@@ -95,7 +95,7 @@ def _papers_and_documents(spark, sf):
     return fx.papers(spark, sf).select("doc_id", "text").unionByName(raw)
 
 
-@query("extract_authors", PAPERS + _authors_sql("substr(text, 1, 1500)"))
+@query("extract_authors", PAPERS + _authors_sql("text"))
 def _(spark, sf):
     docs = _papers_and_documents(spark, sf)
     return docs.select("doc_id", F.array_join(ex.authors(F.col("text")), "; ").alias("authors"))
@@ -122,7 +122,7 @@ def _years_sql(head: str) -> str:
  SELECT doc_id, y AS year FROM papers LEFT JOIN (SELECT * FROM best WHERE r = 1) USING (doc_id)"""
 
 
-@query("extract_year", PAPERS.rstrip() + _years_sql("substr(text, 1, 2000)"))
+@query("extract_year", PAPERS.rstrip() + _years_sql("text"))
 def _(spark, sf):
     return fx.papers(spark, sf).select("doc_id", ex.year(F.col("text")).alias("year"))
 
@@ -160,7 +160,7 @@ def _journal_sql(head: str) -> str:
     return f"nullif({_known_sql(head, v.JOURNALS)} {_first_plausible_sql(head, v.JOURNAL_PATTERNS, _TAILS)} END, '')"
 
 
-@query("extract_publisher", PAPERS + f"SELECT doc_id, {_publisher_sql('substr(text, 1, 3000)')} AS publisher FROM papers")
+@query("extract_publisher", PAPERS + f"SELECT doc_id, {_publisher_sql('text')} AS publisher FROM papers")
 def _(spark, sf):
     return fx.papers(spark, sf).select("doc_id", ex.publisher(F.col("text")).alias("publisher"))
 
@@ -170,7 +170,7 @@ def _(spark, sf):
     return fx.papers(spark, sf).select("doc_id", ex.publisher(F.col("text"), window=None).alias("publisher"))
 
 
-@query("extract_journal", PAPERS + f"SELECT doc_id, {_journal_sql('substr(text, 1, 3000)')} AS journal FROM papers")
+@query("extract_journal", PAPERS + f"SELECT doc_id, {_journal_sql('text')} AS journal FROM papers")
 def _(spark, sf):
     return fx.papers(spark, sf).select("doc_id", ex.journal(F.col("text")).alias("journal"))
 
@@ -205,13 +205,13 @@ def _ratio_sql(head: str) -> str:
     def share(words):
         return f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in words)})))::DOUBLE / len(w)"
 
-    return f"""SELECT doc_id, CASE WHEN length(text) < 500 OR len(w) = 0 THEN 'en'
+    return f"""SELECT doc_id, CASE WHEN len(w) = 0 THEN 'en'
   WHEN abs(de - en) < 0.05::DOUBLE AND de > 0.05::DOUBLE AND en > 0.05::DOUBLE THEN 'mixed' WHEN de > en THEN 'de' ELSE 'en' END AS language
  FROM (SELECT *, {share(v.GERMAN_WORDS)} AS de, {share(v.ENGLISH_WORDS)} AS en
   FROM (SELECT doc_id, text, regexp_extract_all(lower({head}), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents))"""
 
 
-@query("language_ratio", _ratio_sql("substr(text, 1, 5000)"))
+@query("language_ratio", _ratio_sql("text"))
 def _(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", ex.language_ratio(F.col("text")).alias("language"))
 
@@ -229,7 +229,7 @@ def _presence_sql(head: str) -> str:
     return f"CASE WHEN {count(v.GERMAN_WORDS)} > {count(v.ENGLISH_WORDS)} THEN 'de' ELSE 'en' END"
 
 
-@query("language_presence", f"SELECT doc_id, {_presence_sql('substr(text, 1, 1500)')} AS language FROM documents")
+@query("language_presence", f"SELECT doc_id, {_presence_sql('text')} AS language FROM documents")
 def _(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", ex.language_presence(F.col("text")).alias("language"))
 
@@ -258,7 +258,7 @@ _PARTS = {"title": "extract_title", "authors": "extract_authors", "year": "extra
     PAPERS.rstrip()
     + ", "
     + ", ".join(f"q_{field} AS ({_body(name)})" for field, name in _PARTS.items())
-    + f", q_language AS ({_ratio_sql('substr(text, 1, 5000)').replace('FROM documents', 'FROM papers')})"
+    + f", q_language AS ({_ratio_sql('text').replace('FROM documents', 'FROM papers')})"
     + " SELECT doc_id, title, authors AS author, year, language, doi, isbn, journal, publisher FROM papers "
     + " ".join(f"JOIN q_{field} USING (doc_id)" for field in [*_PARTS, "language"]),
 )
@@ -364,7 +364,7 @@ def _(spark, sf):
 @query(
     "validate_metadata",
     LIB
-    + f"""SELECT doc_id, CASE WHEN length(t) > 300 THEN substr(t, 1, 300) || '...' ELSE t END AS title,
+    + f"""SELECT doc_id, t AS title,
  array_to_string(CASE WHEN len(k) > 0 THEN k ELSE author END, '; ') AS author
  FROM (SELECT doc_id, author, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t,
   list_filter(author, lambda a: length(a) BETWEEN 3 AND 100 AND NOT regexp_matches(a, {_IRRELEVANT})) AS k
@@ -475,7 +475,7 @@ def _(spark, sf):
     "document_id",
     LIB
     + """SELECT doc_id, substr(md5(concat_ws('_', filename, file_size, epoch_us(added_at))), 1, 12) AS by_file,
- substr(md5(concat_ws('_', filename, file_size, epoch_us(added_at), CASE WHEN file_size < 10485760 THEN md5(title) END)), 1, 12) AS by_content FROM library""",
+ substr(md5(concat_ws('_', filename, file_size, epoch_us(added_at), md5(title))), 1, 12) AS by_content FROM library""",
 )
 def _(spark, sf):
     lib = fx.library(spark, sf)
