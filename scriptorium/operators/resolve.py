@@ -11,6 +11,7 @@ from scriptorium.functions.extract import doi_key, isbn_key, let
 from scriptorium.functions.text import normalize_title, surname
 from scriptorium.operators.scoring import candidate_author_points, candidate_bonus, title_points
 from scriptorium.schema import RECORD_FIELDS, present
+from scriptorium.session import cut_lineage
 
 # Which services answer which identifier, and the least acceptable score.
 DOI_SOURCES = ["crossref", "openalex"]
@@ -20,8 +21,6 @@ FULL_NAME_SOURCES = ["googlebooks"]
 MIN_SCORE = 10.0
 # Title word sets must share this part of their union.
 TITLE_OVERLAP = 0.6
-# The most frequent title words, ranked; their number bounds the broadcast.
-FREQUENT_WORDS = 10_000
 ANY_NAME = "any"
 
 
@@ -40,8 +39,9 @@ def _first_record(catalogue: DataFrame, key: Column, name: str) -> DataFrame:
 
 
 def by_doi(library: DataFrame, catalogue: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(key, source, record)`` for documents whose DOI a service knows."""
-    wanted = library.select(key, doi_key(F.col("doi")).alias("doi_key")).filter("doi_key IS NOT NULL")
+    """``(key, source, record)`` for documents whose DOI a service knows; it may stand in ``doi`` or ``identifier``."""
+    fields = [F.col(c) for c in ("doi", "identifier") if c in library.columns]
+    wanted = library.select(key, doi_key(*fields).alias("doi_key")).filter("doi_key IS NOT NULL")
     known = _first_record(catalogue.filter(F.col("source").isin(DOI_SOURCES)), doi_key(F.col("doi")), "doi_key")
     return wanted.join(known, "doi_key").select(key, "source", "record")
 
@@ -96,64 +96,92 @@ def _leading_words(words: Column, overlap: float) -> Column:
     return let(let(F.transform(F.sequence(smallest, largest), lead), first_of_class), spelled)
 
 
-def _spread_words(titles: DataFrame, frequent: DataFrame, overlap: float, name: str, other: str) -> DataFrame:
-    """Per title one row for each leading word and partner class; its words ordered from rare to frequent."""
-    ordered = F.transform(
-        F.array_sort(
-            F.collect_list(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), (-F.length("word")).alias("l"), "word"))
-        ),
-        lambda s: s["word"],
-    )
+def worded(titles: DataFrame) -> DataFrame:
+    """``(title_lower, title_id, words)`` of distinct titles, words from rare to frequent among these titles.
+
+    Frequencies are counted over all titles and met by a join on the word; nothing is broadcast.
+    """
+    split = titles.select("title_lower", F.explode(title_words(F.col("title_lower"))).alias("word"))
+    seen = split.groupBy("word").agg(F.count("*").alias("seen"))
+    ranked = F.array_sort(F.collect_list(F.struct("seen", (-F.length("word")).alias("l"), "word")))
     return (
-        titles.select("title_lower", F.explode(title_words(F.col("title_lower"))).alias("word"))
-        .join(F.broadcast(frequent), "word", "left")
+        split.join(seen, "word")
         .groupBy("title_lower")
-        .agg(ordered.alias("words"))
-        .select("title_lower", "words", F.explode(_leading_words(F.col("words"), overlap)).alias("k"))
+        .agg(F.transform(ranked, lambda s: s["word"]).alias("words"))
+        .withColumn("title_id", F.xxhash64("title_lower"))
+    )
+
+
+def _spread_words(titles: DataFrame, overlap: float, name: str, other: str) -> DataFrame:
+    """Per title one narrow row for each leading word and partner class."""
+    return (
+        titles.select("title_id", F.size("words").alias("n"), F.explode(_leading_words(F.col("words"), overlap)).alias("k"))
         .select(
             "k.word",
-            F.col("title_lower").alias(f"{name}_title"),
-            F.col("words").alias(f"{name}_words"),
-            F.col("k.lead").alias(f"{name}_lead"),
-            _size_class(F.size("words")).alias(f"{name}_class"),
+            F.col("title_id").alias(f"{name}_id"),
+            _size_class(F.col("n")).alias(f"{name}_class"),
             F.col("k.class").alias(f"{other}_class"),
         )
     )
 
 
+def _side(titles: DataFrame, name: str) -> DataFrame:
+    return titles.select(
+        F.col("title_id").alias(f"{name}_id"), F.col("title_lower").alias(f"{name}_title"), F.col("words").alias(f"{name}_words")
+    )
+
+
 def similar_titles(left: DataFrame, right: DataFrame, overlap: float = TITLE_OVERLAP) -> DataFrame:
     """All ``(left_title, right_title)`` pairs of distinct titles whose word sets overlap enough.
 
     Exact: the join runs on each title's rarest words, of which every qualifying pair shares one, and on both
     sizes. A word that half the titles use is among the leading ones only where a title has nothing rarer.
+    Ids travel through the join; words and titles are fetched for the pairs that met.
     """
-    frequent = (
-        left.unionByName(right)
-        .select(F.explode(title_words(F.col("title_lower"))).alias("word"))
-        .groupBy("word")
-        .agg(F.count("*").alias("seen"))
-        .orderBy(F.desc("seen"), "word")
-        .limit(FREQUENT_WORDS)
+    both = worded(left.select("title_lower").unionByName(right.select("title_lower")).distinct())
+    words = cut_lineage(both, "title-words")
+    a = words.join(left.select("title_lower").distinct(), "title_lower", "left_semi")
+    b = words.join(right.select("title_lower").distinct(), "title_lower", "left_semi")
+    met = (
+        _spread_words(a, overlap, "left", "right")
+        .join(_spread_words(b, overlap, "right", "left"), ["word", "left_class", "right_class"])
+        .select("left_id", "right_id")
+        .distinct()
     )
-    a = _spread_words(left, frequent, overlap, "left", "right")
-    b = _spread_words(right, frequent, overlap, "right", "left")
     total = F.size("left_words") + F.size("right_words")
     shared = F.size(F.array_intersect("left_words", "right_words"))
-    first_meeting = F.get(
-        F.array_intersect(
-            F.slice("left_words", F.lit(1), F.col("left_lead")), F.slice("right_words", F.lit(1), F.col("right_lead"))
-        ),
-        F.lit(0),
-    )
     return (
-        a.join(b, ["word", "left_class", "right_class"])
+        met.join(_side(a, "left"), "left_id")
+        .join(_side(b, "right"), "right_id")
         .filter(shared >= (total - shared) * F.lit(overlap) - F.lit(1e-9))
-        # A pair meets once per shared leading word; keep the meeting at the first of them.
-        .filter(first_meeting == F.col("word"))
         .select("left_title", "right_title")
     )
 
 
+def _phrase(title: Column) -> Column:
+    return F.concat(F.lit(" "), F.lower(normalize_title(title)), F.lit(" "))
+
+
+def containing_titles(left: DataFrame, right: DataFrame) -> DataFrame:
+    """All ``(left_title, right_title)`` pairs of one ``name_key`` where the left title stands in the right one as a phrase.
+
+    ``left`` and ``right``: title_lower and name_key. The join runs on the left title's rarest word together
+    with the name, so a word or a name that very many titles have does not bring all of them together.
+    """
+    titles = left.select("title_lower").unionByName(right.select("title_lower")).distinct()
+    words = cut_lineage(worded(titles), "phrase-words")
+    rarest = words.select("title_lower", F.get("words", F.lit(0)).alias("word"))
+    every = words.select("title_lower", F.explode("words").alias("word"))
+    asked = left.distinct().join(rarest, "title_lower").select("word", "name_key", F.col("title_lower").alias("left_title"))
+    found = right.distinct().join(every, "title_lower").select("word", "name_key", F.col("title_lower").alias("right_title"))
+    return (
+        asked.join(found, ["word", "name_key"])
+        .filter(F.contains(_phrase(F.col("right_title")), _phrase(F.col("left_title"))))
+        .select("left_title", "right_title")
+        .distinct()
+    )
+
+
 def _name_keys(source: Column, author: Column) -> Column:
     """The keys a record answers to: full names at the books service, surnames elsewhere."""
     return F.array_distinct(
@@ -181,6 +209,8 @@ def by_title(
 ) -> DataFrame:
     """Best-scored record per document and source among records with a similar title and the first author's name.
 
+    A title is similar if the word sets overlap enough or if it holds the asked title as a phrase.
+
     Both sides are reduced before they meet: documents to distinct (title, authors), records to the best one
     per (source, title, authors), because the score depends on nothing else. A title shared by a third of
     all rows is one row in the similarity join.
@@ -197,10 +227,8 @@ def by_title(
         .agg(_best_record())
         .select("source", "right_title", "author", "best.bonus", "best.record")
     )
-    pairs = similar_titles(
-        queries.select("title_lower").distinct(), records.select(F.col("right_title").alias("title_lower")).distinct(), overlap
-    )
-
+    # Read several times below, by narrow columns mostly.
+    records = cut_lineage(records, "title-records")
     # Documents ask under their first author's name, those without authors under ANY_NAME; records answer
     # under each of their names, and the best one of a title also under ANY_NAME, because without authors
     # only the bonus separates the records of one title.
@@ -218,9 +246,19 @@ def by_title(
         .select("source", "right_title", "best.bonus", "best.record", F.lit(ANY_NAME).alias("name_key"))
     )
     answering = by_name.drop("author").unionByName(best_of_title)
+    alike = similar_titles(
+        queries.select("title_lower").distinct(), records.select(F.col("right_title").alias("title_lower")).distinct(), overlap
+    )
+    holding = containing_titles(
+        named.select(F.col("left_title").alias("title_lower"), "name_key"),
+        answering.select(F.col("right_title").alias("title_lower"), "name_key"),
+    )
+    # The distance is worked out once for each pair of titles, however many records and authors share them.
+    points = title_points(F.col("right_title"), F.col("left_title"), similarity)
+    pairs = cut_lineage(alike.union(holding).distinct().withColumn("title_points", points), "title-pairs")
     candidates = named.join(pairs, "left_title").join(answering, ["right_title", "name_key"])
     score = (
-        title_points(F.col("right_title"), F.col("left_title"), similarity)
+        F.col("title_points")
         + candidate_author_points(F.col("source"), F.col("record.author"), F.col("asked_author"))
         + F.col("bonus")
     )
@@ -247,7 +285,7 @@ def resolve(library: DataFrame, catalogue: DataFrame, key: str = "doc_id", **opt
     """``(key, source, via, record)``: identifiers first, titles where the service's rules allow them."""
     doi = by_doi(library, catalogue, key).withColumn("via", F.lit("doi"))
     isbn = by_isbn(library, catalogue, key).withColumn("via", F.lit("isbn"))
-    has_doi = doi_key(F.col("doi")).isNotNull()
+    has_doi = doi_key(*[F.col(c) for c in ("doi", "identifier") if c in library.columns]).isNotNull()
     has_isbn = isbn_key(F.col("isbn")).isNotNull()
     title = by_title(library, catalogue, key, **options).join(
         library.select(key, has_doi.alias("_doi"), has_isbn.alias("_isbn")), key

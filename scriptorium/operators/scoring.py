@@ -73,7 +73,7 @@ def candidate_bonus(source: Column, record: Field) -> Column:
 
 
 def title_points(found: Column, original: Column, similarity: str = "levenshtein") -> Column:
-    return SIMILARITIES[similarity](found, original) * TITLE_POINTS
+    return SIMILARITIES[similarity](original, found) * TITLE_POINTS
 
 
 def candidate_author_points(source: Column, found: Column, original: Column) -> Column:

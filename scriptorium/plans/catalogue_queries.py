@@ -285,15 +285,18 @@ BY_ISBN = f"""by_isbn AS (SELECT l.doc_id, c.source, c.record_id FROM library l
   ON {ISBN_KEY_SQL.format("l.isbn")} = {ISBN_KEY_SQL.format("c.isbn")} WHERE c.source IN ('googlebooks', 'openlib', 'k10plus')
  QUALIFY row_number() OVER (PARTITION BY l.doc_id, c.source ORDER BY c.rank, c.record_id) = 1)"""
 WORDS_SQL = "list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w <> ''))"
+PHRASE_SQL = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 BY_TITLE = f"""asked AS (SELECT doc_id, title, lower(title) AS t, author FROM library WHERE title <> ''),
 records AS (SELECT *, lower(title) AS t FROM catalogue WHERE title <> ''),
 lt AS (SELECT t, {WORDS_SQL.format("t")} AS w FROM (SELECT DISTINCT t FROM asked)),
 rt AS (SELECT t, {WORDS_SQL.format("t")} AS w FROM (SELECT DISTINCT t FROM records)),
 pairs AS (SELECT lt.t AS a, rt.t AS b, len(list_intersect(lt.w, rt.w)) AS s, len(lt.w) AS x, len(rt.w) AS y FROM lt, rt
-  WHERE len(lt.w) >= 0.6 * len(rt.w) AND len(rt.w) >= 0.6 * len(lt.w) AND s > 0 AND s >= 0.6 * (x + y - s)),
+  WHERE len(lt.w) >= 0.6 * len(rt.w) AND len(rt.w) >= 0.6 * len(lt.w) AND s > 0 AND s >= 0.6 * (x + y - s)
+ UNION SELECT lt.t, rt.t, 0, 0, 0 FROM lt, rt WHERE len(lt.w) > 0 AND contains(' ' || {PHRASE_SQL.format("rt.t")} || ' ', ' ' || {PHRASE_SQL.format("lt.t")} || ' ')),
+title_pairs AS (SELECT DISTINCT a, b FROM pairs),
 candidates AS (SELECT q.doc_id, r.source, r.record_id, r.rank,
   {_candidate_score_sql("r.", "q.title", "q.author", "r.source")} AS score
-  FROM asked q JOIN pairs p ON p.a = q.t JOIN records r ON r.t = p.b
+  FROM asked q JOIN title_pairs p ON p.a = q.t JOIN records r ON r.t = p.b
   WHERE q.author IS NULL OR len(list_filter(r.author, lambda x: CASE WHEN r.source = 'googlebooks' THEN lower(x) = lower(q.author[1])
     ELSE lower(string_split(x, ' ')[-1]) = lower(string_split(q.author[1], ' ')[-1]) END)) > 0),
 by_title AS (SELECT * FROM candidates WHERE score > 10

@@ -356,6 +356,31 @@ def test_similar_titles_match_brute_force(spark, overlap):
     assert {tuple(r) for r in got} == want
 
 
+def test_a_title_that_holds_the_asked_one_is_found(spark):
+    lib = library(spark, {"title": "Quantum Chemistry", "author": ["Ada Lovelace"]})
+    cat = catalogue(
+        spark,
+        {"title": "Quantum Chemistry of Large Molecules", "author": ["Augusta Lovelace"], "year": 1900},
+        {"title": "Quantum of Chemistry and Large Molecules Everywhere", "author": ["Augusta Lovelace"]},
+        {"title": "A Quantum Chemistry of Very Many Large Molecules", "author": ["Other"]},
+    )
+    assert [r.record_id for r in resolve.by_title(lib, cat).select("record.record_id").collect()] == ["r0"]
+
+
+def test_phrases_match_brute_force(spark):
+    import itertools
+    import random
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(12)] + ["the"] * 20
+    titles = sorted({" ".join(rng.choices(words, k=rng.choice([1, 2, 3, 8, 60]))) for _ in range(200)})
+    left, right = [(t, rng.choice("xy")) for t in titles[::2]], [(t, rng.choice("xy")) for t in titles[1::2]]
+    want = {(a, b) for (a, n), (b, m) in itertools.product(left, right) if n == m and f" {a} " in f" {b} "}
+    frames = [spark.createDataFrame(side, "title_lower STRING, name_key STRING") for side in (left, right)]
+    got = [tuple(r) for r in resolve.containing_titles(*frames).collect()]
+    assert len(got) == len(want) > 5 and set(got) == want
+
+
 def test_one_title_shared_by_many_rows_meets_once(spark):
     """A third of all rows with one title stay one row in the title join, and every document gets its record."""
     docs = spark.range(3000).select(
