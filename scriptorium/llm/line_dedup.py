@@ -35,7 +35,7 @@ FREQUENT = 100_000
 #: Letters whose counts tell pairs apart before their texts are fetched; any sixteen do, common ones do best.
 BAG_LETTERS = "etaoinsrhldcumpb"
 #: Lines that share a segment before letters are counted: this decides the work, not the result.
-CROWD = 32
+CROWD = 8
 #: Up to this many lines, a list of lines is sent to every task; a longer one is joined by a shuffle.
 BROADCAST_LINES = 300_000
 
@@ -201,7 +201,11 @@ def links(docs_lines: DataFrame, edits: int = EDITS) -> DataFrame:
     y = texts.select(F.col("line").alias("b"), F.col("norm").alias("y"))
     near = F.col("distance") <= F.least(F.lit(edits), F.floor(F.greatest(F.length("x"), F.length("y")) / CHARS_PER_EDIT))
     # Written first: a filter on the distance would be pushed down and work it out once for each use of its parts.
-    measured = distances(met.join(x, "a").join(y, "b"), edits).select("a", "b", near.alias("near"))
+    alike = _bags_differ(_bag(F.col("x")), _bag(F.col("y"))) <= 2 * edits
+    pairs = met.join(x, "a").join(y, "b").withColumn("alike", alike)
+    # The fold runs for pairs that the letters leave open.
+    measured = distances(pairs.select("a", "b", F.when(F.col("alike"), F.col("x")).alias("x"), F.when(F.col("alike"), F.col("y")).alias("y")), edits)
+    measured = measured.select("a", "b", F.coalesce(near, F.lit(False)).alias("near"))
     return written(measured, "line-distances").where("near").select("a", "b")
 
 
