@@ -98,4 +98,4 @@ def prompt(
 def bibliography(context: DataFrame, library: DataFrame, style: str = "apa", key: str = "doc_id") -> DataFrame:
     """The distinct documents of a context, cited, in order of their first hit."""
     used = context.groupBy(key).agg(F.min("source_no").alias("first_hit"))
-    return library.join(F.broadcast(used), key).select("first_hit", key, "id", cite(style).alias("citation"))
+    return library.join(used, key).select("first_hit", key, "id", cite(style).alias("citation"))

@@ -41,14 +41,24 @@ def upsert(stored: DataFrame, incoming: DataFrame, now: Column, key: str = "id")
     return old.join(new, key, "full_outer").select(*out)
 
 
-def form_patch(forms: DataFrame, key: str = "id") -> DataFrame:
-    """Submitted form fields as a patch: authors split at commas, year a number where it is one."""
+def last_of_each(rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row per key: the last by ``order``, among equals and without it the last by content."""
+    whole = F.struct(*rows.columns)
+    by = F.struct(F.col(order), F.to_json(whole)) if order else F.to_json(whole)
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, by).alias("_row")).select("_row.*")
+
+
+def form_patch(forms: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """Submitted form fields as a patch: authors split at commas, year a number where it is one.
+
+    Of several forms with one key the last by ``order`` counts, without it the last by content.
+    """
     columns = {}
     if "authors" in forms.columns:
         columns["author"] = F.when(has_text(F.col("authors")), split_names(F.col("authors"), "form"))
     if "year" in forms.columns:
         columns["year"] = F.col("year").try_cast("int")
-    return forms.withColumns(columns).drop("authors").dropDuplicates([key])
+    return last_of_each(forms, key, order).withColumns(columns).drop("authors", *([order] if order else []))
 
 
 def patch(library: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:

@@ -45,7 +45,9 @@ def process(
         library = cut_lineage(library, "library")
         library = enrich(library, per_source(library, resolve(library, catalogue, "id"), "id"), "id")
     # The language is settled from the text, so chunking does not wait for the enrichment.
+    # Written once: they are returned and counted.
     chunks = chunk_documents(complete.select("id", "text", F.coalesce("language", F.lit(language)).alias("language")))
+    chunks = cut_lineage(chunks, "chunks")
     counted = library.join(chunk_counts(chunks, "id"), "id", "left")
     library = counted.withColumn("chunks_count", F.coalesce("chunks_count", F.lit(0).cast("bigint")))
     return Results(complete.select("id", "text"), library, chunks)

@@ -11,7 +11,7 @@ from scriptorium.plans import fixture_sql as sql
 from scriptorium.plans.registry import query
 from scriptorium.plans.text_queries import BLANKS
 from scriptorium.session import work_folder
-from scriptorium.sources import files, parts
+from scriptorium.sources import files, parts, tables
 from scriptorium.streaming import ingest
 from scriptorium.streaming import stats as stream_stats_ops
 
@@ -23,11 +23,6 @@ def _clean_sql(text: str) -> str:
     return CLEAN.format(text)
 
 
-@query("file_scan")
-def _(spark, sf):
-    return files.list_files(spark, sf, [".PARQUET"]).select("path", "length")
-
-
 def _text_files(spark, sf) -> str:
     """All documents as text files of a hundred documents each, in id order."""
     folder = work_folder(spark, "text-files")
@@ -38,7 +33,15 @@ def _text_files(spark, sf) -> str:
     return folder
 
 
-_BUNDLES = "(SELECT string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY doc_id // 100)"
+_BUNDLES = "(SELECT doc_id // 100 AS bundle, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY doc_id // 100)"
+
+
+@query("file_scan", f"SELECT bundle, CAST(strlen(text) AS BIGINT) AS length FROM {_BUNDLES}")
+def _(spark, sf):
+    listed = files.list_files(spark, _text_files(spark, sf), [".TXT"], recursive=True)
+    return listed.select(F.regexp_extract("path", "bundle=(\\d+)", 1).cast("bigint").alias("bundle"), "length")
+
+
 _TEXT_FILE_SQL = f"""SELECT md5({_clean_sql('text')}) AS md5, CAST(greatest(1, length(text) // 2000) AS BIGINT) AS page_count,
  'txt' AS file_type, CAST(strlen(text) AS BIGINT) AS file_size FROM {_BUNDLES}"""
 
@@ -143,7 +146,7 @@ def _(spark, sf):
     stream = spark.readStream.schema("filename STRING, year INT, language STRING").parquet(folder)
     sink, checkpoint = work_folder(spark, "stats"), work_folder(spark, "stats-checkpoint")
     stream_stats_ops.run(stream_stats_ops.running_histograms(stream), sink, checkpoint).awaitTermination()
-    return spark.read.parquet(sink)
+    return tables.read_table(spark, sink)
 
 
 _CHAIN = """, chain AS (SELECT key, min(ts) AS ts FROM fetch_requests GROUP BY key

@@ -406,11 +406,14 @@ def _(spark, sf):
 
 @query(
     "fill_missing",
-    sql.with_views(sql.LIBRARY)
-    + f"""SELECT doc_id, CASE WHEN keep THEN nullif(l.title, '') END IS NOT NULL AS own_title, CASE WHEN language = 'es' THEN 'auto' ELSE language END AS language,
+    sql.with_views(sql.LIBRARY, sql.PAPERS).rstrip()
+    + f""", qt AS ({_body("extract_title")}), qa AS ({_body("extract_authors")})
+ SELECT l.doc_id, CASE WHEN keep AND l.title <> '' THEN l.title ELSE qt.title END AS title,
+ CASE WHEN len(l.author) > 0 THEN array_to_string(l.author, '; ') ELSE qa.authors END AS author, CASE WHEN language = 'es' THEN 'auto' ELSE language END AS language,
  nullif(substr(lower(regexp_extract(filename, '^.+(\\.[^./]+)$', 1)), 2), '') AS file_type,
  CAST(CASE WHEN keep THEN page_count ELSE greatest(1, length(d.text) // 2000) END AS BIGINT) AS page_count
- FROM (SELECT *, journal IS NOT NULL AS keep FROM library) l JOIN documents d USING (doc_id)""",
+ FROM (SELECT *, journal IS NOT NULL AS keep FROM library) l JOIN documents d ON d.doc_id = l.doc_id
+  JOIN qt ON qt.doc_id = -l.doc_id - 1 JOIN qa ON qa.doc_id = -l.doc_id - 1""",
 )
 def _(spark, sf):
     keep = F.col("journal").isNotNull()
@@ -419,10 +422,10 @@ def _(spark, sf):
         F.when(keep, F.col("title")).alias("title"),
         F.when(F.col("language") != "es", F.col("language")).alias("language"),
         F.when(keep, F.col("page_count")).alias("page_count"),
-        (keep & (F.col("title") != "")).alias("own_title"),
     )
     docs = lib.join(fx.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    return ex.fill_missing(docs).select("doc_id", "own_title", "language", "file_type", "page_count")
+    filled = ex.fill_missing(docs)
+    return filled.select("doc_id", "title", F.array_join("author", "; ").alias("author"), "language", "file_type", "page_count")
 
 
 # --- similarity -------------------------------------------------------------------------------
@@ -444,7 +447,9 @@ def _(spark, sf):
     )
 
 
-@query("sequence_ratio")
+# One title is the beginning of the other, so the longest common block is the shorter one.
+@query("sequence_ratio", LIB + """SELECT doc_id, CASE WHEN coalesce(trim(title), '') = '' THEN 0.0::DOUBLE
+ ELSE 2.0::DOUBLE * length(trim(title)) / (2 * length(trim(title)) + length(' (Nachdruck)')) END AS ratio FROM library""")
 def _(spark, sf):
     title = F.col("title")
     ratio = sim.sequence_ratio(title, F.concat(title, F.lit(" (Nachdruck)")))

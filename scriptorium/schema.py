@@ -35,6 +35,11 @@ METADATA = T.StructType(
         T.StructField("file_type", T.StringType()),
         T.StructField("file_size", T.LongType()),
         T.StructField("source", T.StringType()),
+        T.StructField("created", T.StringType()),
+        T.StructField("modified", T.StringType()),
+        T.StructField("file_extension", T.StringType()),
+        T.StructField("ocr_applied", T.BooleanType()),
+        T.StructField("ocr_language", T.StringType()),
     ]
 )
 

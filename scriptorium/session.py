@@ -77,7 +77,13 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """Mark a written table for broadcast after measuring that it is small; otherwise leave the join as it is."""
-    measured = df.agg(F.sum(F.length(F.to_json(F.struct("*")))).alias("bytes")).first()["bytes"] or 0
-    return F.broadcast(df) if measured <= max_bytes else df
+def broadcast_if_small(df: DataFrame, max_bytes: int = 16 * 1024 * 1024) -> DataFrame:
+    """Mark a written table for broadcast if its files are small; otherwise leave the join as it is.
+
+    Columns may take some times their file size in memory: the bound leaves room for that.
+    """
+    spark = df.sparkSession
+    conf, new_path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    measured = sum(new_path(f).getFileSystem(conf).getContentSummary(new_path(f)).getLength() for f in folders)
+    return F.broadcast(df) if folders and measured <= max_bytes else df

@@ -19,14 +19,18 @@ def list_files(
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
     listed = files.select("path", "length", "modificationTime")
     if not recursive:
-        base = directory.split(":", 1)[-1].rstrip("/")
-        parent = F.regexp_replace("path", "/[^/]*$", "")
-        listed = listed.filter(parent.endswith(base))
+        listed = listed.filter(F.regexp_replace("path", "/[^/]*$", "") == _qualified(spark, directory))
     if extensions:
         listed = listed.filter(extension(file_name(F.col("path"))).isin([e.lower() for e in extensions]))
     return listed
 
 
+def _qualified(spark: SparkSession, directory: str) -> str:
+    """The folder as the file source spells it, with its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def decode_text(content: Column) -> Column:
     """UTF-8 where valid, else Latin-1; line ends become ``\\n``."""
     utf8 = content.cast("string")
@@ -64,26 +68,60 @@ def read_text_files(spark: SparkSession, directory: str) -> DataFrame:
     return text_documents(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory))
 
 
+def _as_field(raw: Column, kind: T.DataType) -> Column:
+    """A JSON value as text in the field's type; a plain text is a list of one, values that do not fit are null."""
+    if isinstance(kind, T.ArrayType):
+        listed = F.from_json(raw, "array<string>")
+        return F.when(F.trim(raw).startswith("["), listed).when(raw != "", F.array(raw))
+    return raw if isinstance(kind, T.StringType) else F.trim(raw).try_cast(kind)
+
+
 def read_metadata_json(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
-    """Metadata lines; broken ones keep their raw text in ``_corrupt`` and have no values."""
-    schema = T.StructType([T.StructField(key, T.StringType()), *METADATA.fields, T.StructField("_corrupt", T.StringType())])
-    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-    return reader.json(path)
+    """Metadata lines, one JSON object each, in the library's types.
+
+    Lists may be given as plain text and numbers as text. Fields the library does not know, and values that do
+    not fit a field's type, are kept as text in the map ``extra``. Only lines that are no JSON object are
+    broken: they keep their raw text in ``_corrupt`` and have no values.
+    """
+    raw = F.from_json("value", "map<string,string>")
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", raw.alias("_raw"))
+    fields = {f.name: _as_field(F.col("_raw")[f.name], f.dataType) for f in METADATA.fields}
+    # A key of the object is extra if no field took its value.
+    taken = F.array(F.lit(key), *[F.when(v.isNotNull() | (F.col("_raw")[n] == ""), F.lit(n)) for n, v in fields.items()])
+    extra = F.map_filter("_raw", lambda k, v: v.isNotNull() & ~F.coalesce(F.array_contains(F.array_compact(taken), k), F.lit(False)))
+    return lines.select(
+        F.col("_raw")[key].alias(key),
+        *[v.alias(n) for n, v in fields.items()],
+        extra.alias("extra"),
+        F.when(F.col("_raw").isNull(), F.col("value")).alias("_corrupt"),
+    )
 
 
 def metadata_with_fallback(index: DataFrame, from_files: DataFrame, key: str = "id") -> DataFrame:
     """Index rows with the file's metadata where there is a readable file, else the index's own."""
     fields = [f for f in METADATA.fieldNames() if f in index.columns and f in from_files.columns]
     readable = from_files.filter(F.col("_corrupt").isNull() & F.col(key).isNotNull())
-    values = readable.select(key, F.struct(*fields).alias("_file")).dropDuplicates([key])
+    # Of several lines with one key the last by content counts, whatever order they are read in.
+    values = readable.groupBy(key).agg(F.max_by(F.struct(*fields), F.to_json(F.struct(*fields))).alias("_file"))
     joined = index.join(values, key, "left")
     has_file = F.col("_file").isNotNull()
     return joined.withColumns({f: F.when(has_file, F.col(f"_file.{f}")).otherwise(F.col(f)) for f in fields}).drop("_file")
 
 
+def _catalogue_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", f"{schema}, _corrupt STRING", options).alias("r")).select("r.*")
+
+
 def read_catalogue_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Bulk records of a service, one JSON object per line."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """Bulk records of a service, one JSON object per line; `broken_catalogue_lines` has the rest."""
+    return _catalogue_lines(spark, path, schema).where("_corrupt IS NULL").drop("_corrupt")
+
+
+def broken_catalogue_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Quarantine: the raw text of the lines that are no record of this schema."""
+    return _catalogue_lines(spark, path, schema).where("_corrupt IS NOT NULL").select(F.col("_corrupt").alias("line"))
 
 
 def read_marc(spark: SparkSession, path: str, schema: str) -> DataFrame:

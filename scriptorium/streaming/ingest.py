@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scriptorium.operators.chunking import chunk_documents
-from scriptorium.operators.mutate import KEPT_ON_UPDATE
+from scriptorium.operators.mutate import KEPT_ON_UPDATE, last_of_each
 from scriptorium.sources.files import BINARY_FILE, text_documents
 from scriptorium.sources.tables import replace_table
 
@@ -29,15 +28,16 @@ def run(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     return writer.outputMode("append").trigger(availableNow=True).start()
 
 
-def log_batch(root: str, now: Column | None = None):
+def log_batch(root: str, now: Column | None = None, order: str | None = None):
     """A ``foreachBatch`` function that adds a batch of library rows to the log below ``root``.
 
-    Each batch writes only its own rows. A replayed batch overwrites the folder of its number.
+    Each batch writes only its own rows. A replayed batch overwrites the folder of its number. Of several rows of
+    a batch with one id the last by ``order`` counts, without it the last by content.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         stamp = F.current_timestamp().cast("timestamp_ntz") if now is None else now
-        rows = batch.dropDuplicates(["id"]).withColumn("seen_at", stamp)
+        rows = last_of_each(batch, "id", order).withColumn("seen_at", stamp)
         rows.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
     return apply
@@ -46,16 +46,19 @@ def log_batch(root: str, now: Column | None = None):
 def library_from_log(spark: SparkSession, root: str) -> DataFrame:
     """The upserted library: the latest row per id, with the first row's ``added_at`` and file columns."""
     log = spark.read.parquet(root)
-    kept = [c for c in KEPT_ON_UPDATE if c in log.columns]
-    newest = [c for c in log.columns if c not in ("id", "batch", "seen_at", *kept)]
-    first = F.min_by(F.struct("seen_at", *kept), "batch").alias("first")
+    times = ("added_at", "updated_at")
+    kept = [c for c in KEPT_ON_UPDATE if c in log.columns and c not in times]
+    newest = [c for c in log.columns if c not in ("id", "batch", "seen_at", *kept, *times)]
+    # Rows that bring the time they were added keep it.
+    added = F.coalesce("added_at", "seen_at") if "added_at" in log.columns else F.col("seen_at")
+    first = F.min_by(F.struct(added.alias("added_at"), *kept), "batch").alias("first")
     last = F.max_by(F.struct("seen_at", *newest), "batch").alias("last")
     merged = log.groupBy("id").agg(first, last)
     return merged.select(
         "id",
         *[F.col(f"first.{c}") for c in kept],
         *[F.col(f"last.{c}") for c in newest],
-        F.col("first.seen_at").alias("added_at"),
+        F.col("first.added_at"),
         F.col("last.seen_at").alias("updated_at"),
     )
 
@@ -63,7 +66,3 @@ def library_from_log(spark: SparkSession, root: str) -> DataFrame:
 def compact(spark: SparkSession, root: str, table: str) -> str:
     """Publish the log's present state as a table version."""
     return replace_table(library_from_log(spark, root), table)
-
-
-def chunk_stream(docs: DataFrame) -> DataFrame:
-    return chunk_documents(docs)

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from scriptorium.functions.text import extension
 from scriptorium.schema import present
+from scriptorium.sources.tables import replace_table
 
 
 def running_histograms(library: DataFrame) -> DataFrame:
@@ -22,10 +23,10 @@ def running_histograms(library: DataFrame) -> DataFrame:
 
 
 def run(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Rewrite the small result table after every batch."""
+    """Publish the small result table after every batch; readers (`tables.read_table`) see whole versions only."""
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(sink)
+        replace_table(batch.coalesce(1), sink)
 
     writer = stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
     return writer.foreachBatch(publish).trigger(availableNow=True).start()
