@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
 
 import duckdb
 import numpy as np
@@ -22,9 +23,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from scriptorium.llm.tables import text_slices
+from scriptorium.llm.tables import held, text_slices
 
-CACHE_WORDS = 800_000
+CACHE_WORDS = 700_000
 ENCODE_BYTES = 400_000
 DECODE_ROWS = 1_000_000
 #: Words beyond this many bytes are contracted by rounds of equal rank instead of one pair at a time.
@@ -215,15 +216,10 @@ class Tokenizer:
         return [b"".join(p) for p in parts]
 
 
-_TOKENIZERS: dict[tuple[str, str], Tokenizer] = {}
-
-
 def _tokenizer(vocabulary: bytes, pattern: str) -> Tokenizer:
-    """The worker's tokenizer for this vocabulary; it lives as long as the worker does."""
-    key = (hashlib.sha256(vocabulary).hexdigest(), pattern)
-    if key not in _TOKENIZERS:
-        _TOKENIZERS[key] = Tokenizer(vocabulary, pattern)
-    return _TOKENIZERS[key]
+    """The worker's tokenizer for this vocabulary."""
+    key = sys.intern(hashlib.sha256(vocabulary + pattern.encode()).hexdigest())
+    return held("tokenizer", key, lambda: Tokenizer(vocabulary, pattern))
 
 
 def _vocabulary(spark, path: str):

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.tables import written
+from scriptorium.llm.tables import held, written
 
 SAMPLE = 4000
 GRAMS = 120_000
@@ -316,13 +316,8 @@ def viterbi(scores: np.ndarray, rows: np.ndarray, sizes: np.ndarray, switch: flo
     return labels
 
 
-_LABELLERS: dict[int, tuple[object, Labeller]] = {}
-
-
 def _labeller(shared) -> Labeller:
-    if 0 not in _LABELLERS or _LABELLERS[0][0] is not shared.value:
-        _LABELLERS[0] = (shared.value, Labeller(shared.value))
-    return _LABELLERS[0][1]
+    return held("labeller", shared.value, lambda: Labeller(shared.value))
 
 
 def _blocks(texts: list[str | None], languages: int):

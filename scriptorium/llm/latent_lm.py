@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.tables import cut_at, text_slices, written
+from scriptorium.llm.tables import cut_at, held, text_slices, written
 
 HEAD = 100_000
 OWN = 24_000
@@ -166,15 +166,6 @@ class _Encoder:
         return symbols, tail, int(near.sum()), base, share
 
 
-_ENCODERS: dict[int, _Encoder] = {}
-
-
-def _encoder(shared) -> _Encoder:
-    if shared.value is not _ENCODERS.get(0, (None,))[0]:
-        _ENCODERS[0] = (shared.value, _Encoder(shared.value))
-    return _ENCODERS[0][1]
-
-
 def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
     """row, doc_id, held_out, symbols, tail words and the sums over head words of each row (doc_id, held_out, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(v)
@@ -183,7 +174,7 @@ def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
     def run(batches):
         encoder, row = None, TaskContext.get().partitionId() << 36
         for batch in text_slices(batches, "text"):
-            encoder = encoder or _encoder(shared)
+            encoder = encoder or held("encoder", shared.value, lambda: _Encoder(shared.value))
             out = [encoder.encode(_words(value)) for value in _raw(batch.column("text"))]
             symbols, tails, n_head, base, share = zip(*out, strict=True) if out else ((),) * 5
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in symbols])]).astype(np.int32))

@@ -18,6 +18,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, name)
 
 
+_HELD: dict[str, tuple[object, object]] = {}
+
+
+def held(kind: str, key: object, build):
+    """What ``build`` makes for ``key``, kept by this Python worker until another operator or key takes its place.
+
+    Workers serve one stage after another: one cache at a time bounds their memory.
+    """
+    known = _HELD.get(kind)
+    if known is None or known[0] is not key:
+        _HELD.clear()
+        _HELD[kind] = (key, build())
+    return _HELD[kind][1]
+
+
 def cut_at(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose rows' ``sizes`` add up to ``most`` or less, or that are one row."""
     start = held = 0

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.tables import written
+from scriptorium.llm.tables import held, written
 
 TOXIC, CLEAN = 4000, 16_000
 LANDMARKS = 800
@@ -48,7 +48,7 @@ LETTERS = 42
 _START, _END = 40, 41
 #: Units beyond this length are compared window by window, half a window on.
 WINDOW = 18
-CACHE_UNITS = 700_000
+CACHE_UNITS = 600_000
 _NO_LETTERS = -9.0
 
 
@@ -406,15 +406,6 @@ def _unit_margins(units: DataFrame, model: Model) -> DataFrame:
     return units.mapInArrow(run, "unit string, margin double")
 
 
-_UNITS: dict[int, Units] = {}
-
-
-def _units(shared) -> Units:
-    if 0 not in _UNITS or _UNITS[0].model is not shared.value:
-        _UNITS[0] = Units(shared.value)
-    return _UNITS[0]
-
-
 def _text_margins(docs: DataFrame, model: Model, keep: tuple[str, ...], text: str = "text") -> DataFrame:
     """``keep``, ``_margin`` and ``_worst``, the worst unit, of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -428,7 +419,7 @@ def _text_margins(docs: DataFrame, model: Model, keep: tuple[str, ...], text: st
                 if shared.value.weights is None:
                     margin, worst = np.full(b - a, _NO_LETTERS), [None] * (b - a)
                 else:
-                    margin, worst = _units(shared).worst(texts[a:b])
+                    margin, worst = held("units", shared.value, lambda: Units(shared.value)).worst(texts[a:b])
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(margin, pa.float64()), pa.array(worst, pa.string())], names=names)
 
