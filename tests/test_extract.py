@@ -40,14 +40,12 @@ def python_title(text):
 def python_year(text):
     years = []
     for p in v.YEAR_PATTERNS:
-        years += [int(m.group(1)) for m in re.finditer(p, text[:2000]) if 1900 <= int(m.group(1)) <= 2025]
+        years += [int(m.group(1)) for m in re.finditer(p, text) if 1900 <= int(m.group(1)) <= 2025]
     return Counter(years).most_common(1)[0][0] if years else None
 
 
 def python_language(text):
-    if not text or len(text) < 500:
-        return "en"
-    words = re.findall(r"\b\w+\b", text[:5000].lower())
+    words = re.findall(r"\b\w+\b", (text or "").lower())
     if not words:
         return "en"
     de = sum(w in v.GERMAN_WORDS for w in words) / len(words)
@@ -151,9 +149,30 @@ def test_page_one(value):
     assert of(value, lambda t: ex.body_lines(t), "Page 3\n\n 12 \nBody\nCopyright X") == ["Body"]
 
 
+def test_fields_late_in_a_text_are_found_and_heads_can_be_asked_for(spark):
+    filler = "7% " * 4000
+    text = f"{filler} (1999)\nAuthors: Ada Lovelace, Kurt Goedel\npublished by Springer. und der die und der die\n"
+    docs = spark.createDataFrame([(text,)], "text STRING")
+    whole, head = ex.extract_all(docs).first(), ex.extract_all(docs, heads=True).first()
+    assert (whole.year, whole.author, whole.publisher) == (1999, ["Ada Lovelace", "Kurt Goedel"], "Springer")
+    assert (head.year, head.author, head.publisher) == (None, None, None)
+    short = spark.createDataFrame([("der Hund und die Katze",)], "text STRING")
+    assert (ex.extract_all(short).first().language, ex.extract_all(short, heads=True).first().language) == ("de", "en")
+
+
+def test_line_limits_can_be_switched_off(spark):
+    lines = "\n".join(["~~"] * 25 + ["a much longer line that is the title"])
+    got = spark.createDataFrame([(lines,)], "text STRING").select(
+        ex.title(F.col("text")).alias("a"), ex.title(F.col("text"), None).alias("b"),
+        ex.page_title(ex.body_lines(F.col("text"))).alias("c"), ex.page_title(ex.body_lines(F.col("text")), None).alias("d"),
+    ).first()
+    assert tuple(got) == (None, "a much longer line that is the title", None, "a much longer line that is the title")
+
+
 def test_validate(value):
     long = "x" * 301
-    assert of(value, ex.validate_title, f" {long}\n") == "x" * 300 + "..."
+    assert of(value, ex.validate_title, f" {long}\n") == long
+    assert of(value, lambda t: ex.validate_title(t, 300), f" {long}\n") == "x" * 300 + "..."
     names = F.array(F.lit("ab"), F.lit("Springer"), F.lit("Ada Lovelace"))
     assert value(ex.validate_authors(names)) == ["Ada Lovelace"]
     assert value(ex.validate_authors(F.array(F.lit("ab")))) == ["ab"]

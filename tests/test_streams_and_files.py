@@ -49,6 +49,62 @@ def test_broken_metadata_falls_back_to_the_index(spark, tmp_path):
     assert [r.title for r in got.orderBy("id").collect()] == ["File A", "Index B", "Index C"]
 
 
+def test_metadata_lines_in_all_spellings(spark, tmp_path):
+    lines = [
+        '{"id": "a", "title": "File A", "author": "Ada", "year": "1999", "shelf": "B 7", "page_count": 12}',
+        '{"id": "b", "author": ["Ada", "Kurt"], "year": 2001, "is_open_access": true, "tags": ["x", "y"]}',
+        '{"id": "c", "year": "about 1850", "title": "", "author": []}',
+        "no json", "",
+    ]
+    (tmp_path / "m.json").write_text("\n".join(lines))
+    read = files.read_metadata_json(spark, str(tmp_path / "m.json"))
+    rows = {r.id: r for r in read.collect()}
+    assert (rows["a"].author, rows["a"].year, rows["a"].page_count, rows["a"].extra) == (["Ada"], 1999, 12, {"shelf": "B 7"})
+    assert (rows["b"].author, rows["b"].year, rows["b"].is_open_access, rows["b"].extra) == (["Ada", "Kurt"], 2001, True, {"tags": '["x","y"]'})
+    assert (rows["c"].year, rows["c"].title, rows["c"].author, rows["c"].extra) == (None, "", [], {"year": "about 1850"})
+    assert rows[None]._corrupt == "no json" and len(rows) == 4
+    index = spark.createDataFrame([("a", ["Index"], "I")], "id STRING, author ARRAY<STRING>, title STRING")
+    for asked in (index, index.drop("author")):  # the answer does not depend on what is read
+        assert files.metadata_with_fallback(asked, read).first().title == "File A"
+
+
+def test_bulk_catalogue_lines_and_quarantine(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"title": "A", "n": 1}\n{"title": \n{"title": "B", "n": 2}\n')
+    schema, path = "title STRING, n INT", str(tmp_path / "c.json")
+    assert [tuple(r) for r in files.read_catalogue_json(spark, path, schema).orderBy("n").collect()] == [("A", 1), ("B", 2)]
+    assert [r.line for r in files.broken_catalogue_lines(spark, path, schema).collect()] == ['{"title": ']
+
+
+def test_nested_folder_of_the_same_name_is_not_listed(spark, tmp_path):
+    inner = tmp_path / "in" / "x" / "in"
+    inner.mkdir(parents=True)
+    (inner / "deep.txt").write_text("deep")
+    (tmp_path / "in" / "top.txt").write_text("top")
+    listed = files.list_files(spark, str(tmp_path / "in")).collect()
+    assert [r.path.rsplit("/", 1)[1] for r in listed] == ["top.txt"]
+
+
+def test_log_of_full_library_rows(spark, tmp_path):
+    root, table = str(tmp_path / "log"), str(tmp_path / "table")
+    schema = "id STRING, title STRING, filename STRING, added_at TIMESTAMP_NTZ, no INT"
+    time = dt.datetime(2020, 1, 1)
+    first = spark.createDataFrame([("a", "old", "f", time, 1), ("a", "older", "f", time, 0)], schema)
+    ingest.log_batch(root, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), "no")(first, 0)
+    second = spark.createDataFrame([("a", "new", "g", None, 1), ("b", "one", "h", None, 1)], schema)
+    ingest.log_batch(root, F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"), "no")(second, 1)
+    ingest.compact(spark, root, table)
+    rows = {r.id: r for r in tables.read_table(spark, table).collect()}
+    assert (rows["a"].title, rows["a"].filename, rows["a"].added_at) == ("new", "f", time)
+    assert (rows["b"].title, rows["b"].added_at, rows["b"].updated_at) == ("one", dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 2))
+
+
+def test_metadata_export_reads_back(spark, tmp_path):
+    library = spark.createDataFrame([("a", "T", ["Ada"], 1999)], "id STRING, title STRING, author ARRAY<STRING>, year INT")
+    tables.export_metadata(library, str(tmp_path / "out"))
+    row = files.read_metadata_json(spark, str(tmp_path / "out")).first()
+    assert (row.id, row.title, row.author, row.year, row.extra) == ("a", "T", ["Ada"], 1999, {})
+
+
 def test_parts_beyond_one_run_keep_their_order(spark):
     rows = spark.range(1000).select(F.lit("k").alias("key"), F.col("id").alias("no"), F.concat(F.lit("p"), "id").alias("text"))
     done = parts.assemble_pages(rows.orderBy(F.rand(3)), "key").first()
@@ -137,7 +193,7 @@ def test_running_statistics_add_up(spark, tmp_path):
     running.run(histogram, str(tmp_path / "s"), str(tmp_path / "cp")).awaitTermination()
     spark.createDataFrame([("c.txt", 2000, "en")], schema).coalesce(1).write.mode("append").parquet(str(source))
     running.run(histogram, str(tmp_path / "s"), str(tmp_path / "cp")).awaitTermination()
-    got = {(r.facet, r.value): r.documents for r in spark.read.parquet(str(tmp_path / "s")).collect()}
+    got = {(r.facet, r.value): r.documents for r in tables.read_table(spark, str(tmp_path / "s")).collect()}
     assert got == {
         ("file_type", ".pdf"): 2, ("file_type", ".txt"): 1, ("year", "2000"): 2, ("language", "de"): 2, ("language", "en"): 1,
     }
