@@ -20,9 +20,37 @@ def _plain(c: Column) -> Column:
     return strip(F.lower(c))
 
 
+def _common_start(x: Column, y: Column) -> Column:
+    """Number of equal characters at the start, by halving."""
+    shorter = F.least(F.length(x), F.length(y))
+    powers = F.sequence(F.length(F.bin(shorter)) - 1, F.lit(0), F.lit(-1))
+
+    def longer(n: Column, p: Column) -> Column:
+        step = F.pow(F.lit(2), p).cast("int")
+        same = F.substr(x, n + 1, step) == F.substr(y, n + 1, step)
+        return F.when((n + step <= shorter) & same, n + step).otherwise(n)
+
+    return F.aggregate(powers, F.lit(0), longer)
+
+
+def edit_distance(x: Column, y: Column) -> Column:
+    """Levenshtein distance; equal starts and ends, which do not count, are cut off before the quadratic part."""
+
+    def rest(pair: Column) -> Column:
+        a, b = pair["a"], pair["b"]
+        n = _common_start(a, b)
+        return F.struct(F.substr(a, n + 1, F.length(a)).alias("a"), F.substr(b, n + 1, F.length(b)).alias("b"))
+
+    def turned(pair: Column) -> Column:
+        return F.struct(F.reverse(pair["a"]).alias("a"), F.reverse(pair["b"]).alias("b"))
+
+    both = F.struct(x.alias("a"), y.alias("b"))
+    return let(let(let(both, rest), lambda p: rest(turned(p))), lambda p: F.levenshtein(p["a"], p["b"]))
+
+
 def _graded(x: Column, y: Column) -> Column:
     """Similarity of two lower-cased, stripped strings."""
-    return F.when(x == y, 1.0).otherwise(F.lit(1.0) - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)))
+    return F.when(x == y, 1.0).otherwise(F.lit(1.0) - edit_distance(x, y) / F.greatest(F.length(x), F.length(y)))
 
 
 def string_similarity(a: Column, b: Column) -> Column:

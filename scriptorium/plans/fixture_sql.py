@@ -12,7 +12,7 @@ def sql_list(values: list[str]) -> str:
 LIBRARY = f"""library AS (
  SELECT doc_id, substr(md5('doc' || doc_id || '_' || n_chars), 1, 12) AS id,
   'doc' || doc_id || {sql_list([".pdf", ".docx", ".epub", ".pptx", ".TXT"])}[doc_id % 5 + 1] AS filename,
-  trim(split_part(text, chr(10), 1)) AS title,
+  CASE WHEN length(trim(regexp_extract(text, '^[\\p{{L}} ]+'))) <= 300 THEN trim(regexp_extract(text, '^[\\p{{L}} ]+')) ELSE 'doc' || doc_id END AS title,
   CASE WHEN doc_id % 11 <> 0 THEN {sql_list(AUTHOR_POOL)}[doc_id % 7 + 1 : doc_id % 7 + doc_id % 4 + 1] END AS author,
   CASE WHEN doc_id % 13 <> 0 THEN CAST(1990 + doc_id % 35 AS INTEGER) END AS year,
   CASE WHEN doc_id % 3 = 0 THEN source END AS journal,

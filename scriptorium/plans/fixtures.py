@@ -28,8 +28,10 @@ def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _first_line(text: Column) -> Column:
-    return F.trim(F.split_part(text, F.lit("\n"), F.lit(1)))
+def _title(text: Column, name: Column) -> Column:
+    """The words up to the first other sign; where that is too long for a title, the file's name."""
+    words = F.trim(F.regexp_extract(text, r"^[\p{L} ]+", 0))
+    return F.when(F.length(words) <= 300, words).otherwise(name)
 
 
 def _pick(index: Column, values: list[str]) -> Column:
@@ -42,7 +44,7 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.substring(F.md5(F.concat(F.lit("doc"), n, F.lit("_"), F.col("n_chars"))), 1, 12).alias("id"),
         F.concat(F.lit("doc"), n, _pick(n % 5, [".pdf", ".docx", ".epub", ".pptx", ".TXT"])).alias("filename"),
-        _first_line(F.col("text")).alias("title"),
+        _title(F.col("text"), F.concat(F.lit("doc"), n)).alias("title"),
         F.when(
             n % 11 != 0, F.slice(_strings(AUTHOR_POOL), (n % 7 + 1).cast("int"), (n % 4 + 1).cast("int"))
         ).alias("author"),

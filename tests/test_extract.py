@@ -178,6 +178,16 @@ def test_validate(value):
     assert value(ex.validate_authors(F.array(F.lit("ab")))) == ["ab"]
 
 
+def test_edit_distance_equals_the_built_in(spark):
+    import random
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(0, 12)))
+    rows = [(word(), word()) for _ in range(200)] + [(w, w + word()) for w in (word() for _ in range(50))] + [("", ""), ("a" * 500, "a" * 499 + "b")]
+    df = spark.createDataFrame(rows, "x STRING, y STRING")
+    assert df.where(sim.edit_distance(F.col("x"), F.col("y")) != F.levenshtein("x", "y")).count() == 0
+
+
 @pytest.mark.parametrize(
     ("a", "b", "want"),
     [("abc", "ABC ", 1.0), ("", "x", 0.0), (None, "x", 0.0), ("abcd", "abce", 0.75), ("a", "b", 0.0)],
