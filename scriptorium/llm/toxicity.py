@@ -39,9 +39,9 @@ from pyspark.sql import types as T
 from scriptorium.llm.tables import held, written
 
 TOXIC, CLEAN = 4000, 16_000
-LANDMARKS = 800
+LANDMARKS = 600
 NEGATIVES, HARD, ROUNDS = 2000, 1000, 4
-POSITIVES = 50_000
+POSITIVES = 20_000
 DECAY = 0.7
 #: Letters: a to z, then other letters by their code point, then the marks of a unit's start and end; 0 is a gap.
 LETTERS = 42
@@ -124,7 +124,7 @@ class Landmarks:
         for at, part in self._vectors(strings):
             self.rows[at] = part
 
-    def _vectors(self, strings: list[list[int]], block: int = 400):
+    def _vectors(self, strings: list[list[int]], block: int = 100):
         """Indices and vectors of length one over the landmarks' triples, some strings at a time."""
         for at, table in _by_length(strings):
             size = norms(table)
@@ -137,7 +137,7 @@ class Landmarks:
 
     def kernel(self, strings: list[list[int]]) -> np.ndarray:
         """Kernel of each string with each landmark."""
-        out = np.zeros((len(strings), len(self.rows)))
+        out = np.zeros((len(strings), len(self.rows)), dtype=np.float32)
         for at, part in self._vectors(strings):
             out[at] = part @ self.rows.T
         return out
@@ -181,16 +181,22 @@ class Model:
 
 def separate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and offset of a linear machine with squared hinge loss, by Newton steps on the rows inside the margin."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    penalty = ridge * np.eye(x1.shape[1])
+    width = x.shape[1] + 1
+    penalty = ridge * np.eye(width)
     penalty[-1, -1] = 1e-9
-    w = np.zeros(x1.shape[1])
     active = np.ones(len(x), dtype=bool)
     share = weight / weight.sum()
+    parts = [slice(i, i + 1000) for i in range(0, len(x), 1000)]
+    with_one = lambda part: np.hstack([x[part].astype(np.float64), np.ones((len(x[part]), 1))])
     for _ in range(40):
-        a, s = x1[active], share[active][:, None]
-        w = np.linalg.solve(a.T @ (a * s) + penalty, (a * s).T @ y[active])
-        now = y * (x1 @ w) < 1
+        square, side = penalty.copy(), np.zeros(width)
+        for part in parts:  # some rows at a time: the driver holds no copy of them all
+            a = with_one(part)[active[part]]
+            weighed = a * share[part][active[part], None]
+            square += a.T @ weighed
+            side += weighed.T @ y[part][active[part]]
+        w = np.linalg.solve(square, side)
+        now = y * np.concatenate([with_one(part) @ w for part in parts]) < 1
         if np.array_equal(now, active):
             break
         active = now
@@ -211,7 +217,7 @@ def machine(positives: list[str], weights: list[float], negatives: list[str]) ->
     values, vectors = np.linalg.eigh((marks.rows @ marks.rows.T).astype(np.float64))
     large = values > 1e-5 * values.max()
     to_features = vectors[:, large] / np.sqrt(values[large])
-    w, offset = separate(marks.kernel(units) @ to_features, y, share)
+    w, offset = separate(marks.kernel(units) @ to_features.astype(np.float32), y, share)
     return Model(marks.weights(to_features @ w), offset)
 
 
@@ -373,10 +379,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     purity = a / (a + b)
     ratio = a * F.log(purity / rate) + F.when(b > 0, b * F.log((1 - purity) / (1 - rate))).otherwise(0.0)
     beyond_chance = evidence.where((a > 0) & (purity >= F.when(F.col("kind") == 0, 0.8).otherwise(0.95)) & (ratio > math.log(max(tried, 2)) + 1))
-    strong = beyond_chance.orderBy(a.desc(), "unit").limit(POSITIVES).collect()
+    strong = beyond_chance.select("kind", "unit", "a").orderBy(a.desc(), "unit").limit(POSITIVES).collect()
     units = {r["unit"] for r in strong if r["kind"] == 0}
     stretches = {r["unit"] for r in strong if r["kind"] == 1}
-    pure = evidence.where((F.col("kind") == 0) & (a > 0) & (purity >= 0.8)).orderBy(a.desc(), F.xxhash64("unit")).limit(POSITIVES).collect()
+    pure = evidence.where((F.col("kind") == 0) & (a > 0) & (purity >= 0.8)).select("unit", "a").orderBy(a.desc(), F.xxhash64("unit")).limit(POSITIVES).collect()
     positive = {r["unit"]: r["a"] for r in pure if r["unit"] in units or _stretches(r["unit"]) & stretches}
     positive = {u: n for u, n in positive.items() if len(codes_of(u)) >= 5}
     if not positive:
