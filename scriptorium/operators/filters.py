@@ -126,3 +126,19 @@ def lookup(library: DataFrame, ids: DataFrame) -> DataFrame:
     return found.withColumns(defaults)
 
 
+def lookup_text(ids: DataFrame, fulltext: DataFrame, key: str = "id") -> DataFrame:
+    """Requested ids with their text; the empty text for unknown ids."""
+    return ids.join(fulltext.select(key, "text"), key, "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def lookup_chunks(ids: DataFrame, chunks: DataFrame, key: str = "id") -> DataFrame:
+    """Requested ids with their chunks in order (``chunks``, structs of chunk_id and text); no chunks for unknown ids.
+
+    Only the requested documents' chunks are gathered, each document's in its own row.
+    """
+    listed = chunks.join(ids.select(key).distinct(), key, "left_semi").groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("chunk_id", "text"))).alias("chunks")
+    )
+    joined = ids.join(listed, key, "left")
+    empty = F.array().cast(listed.schema["chunks"].dataType)
+    return joined.withColumn("chunks", F.coalesce("chunks", empty))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.operators import lookups
+from scriptorium.operators import filters, lookups, records
 from scriptorium.plans import fixtures as fx
 from scriptorium.plans import fixture_sql as sql
 from scriptorium.plans.registry import query
@@ -125,6 +125,101 @@ def _(spark, sf):
     return own.select("id", "title", "year", F.array_join("author", "; ").alias("author"))
 
 
+_ASKED = "asked AS (SELECT doc_id FROM labels UNION ALL SELECT -1 - doc_id FROM labels WHERE toxic = 1)"
+
+
+def _asked(spark, sf) -> DataFrame:
+    """Documents with labels, and ids nobody has."""
+    labels = fx.table(spark, sf, "labels")
+    return labels.select("doc_id").union(labels.filter("toxic = 1").select((-1 - F.col("doc_id")).alias("doc_id")))
+
+
+@query("text_lookup", sql.with_views(_ASKED) + "SELECT a.doc_id, md5(coalesce(d.text, '')) AS md5 FROM asked a LEFT JOIN documents d USING (doc_id)")
+def _(spark, sf):
+    found = filters.lookup_text(_asked(spark, sf), fx.table(spark, sf, "documents"), "doc_id")
+    return found.select("doc_id", F.md5("text").alias("md5"))
+
+
+@query(
+    "chunk_lookup",
+    sql.with_views(sql.CHUNKS, _ASKED)
+    + """SELECT a.doc_id, CAST(count(c.chunk_id) AS INTEGER) AS n_chunks, md5(coalesce(string_agg(c.text, '' ORDER BY c.chunk_id), '')) AS md5
+ FROM asked a LEFT JOIN chunks c USING (doc_id) GROUP BY a.doc_id""",
+)
+def _(spark, sf):
+    found = filters.lookup_chunks(_asked(spark, sf), fx.chunks(spark, sf), "doc_id")
+    return found.select("doc_id", F.size("chunks").alias("n_chunks"), F.md5(F.array_join("chunks.text", "")).alias("md5"))
+
+
+def _bulk_folder(spark, sf) -> str:
+    """Two services' bulk files from the library, every ninth line of the first cut short."""
+    lib, folder = fx.library(spark, sf), work_folder(spark, "bulk")
+    line = F.to_json(F.struct("title", F.col("author").alias("author_name"), F.col("year").alias("first_publish_year"), F.array("isbn").alias("isbn")))
+    whole = F.when(F.col("doc_id") % 9 == 0, F.substring(line, 1, 9)).otherwise(line)
+    lib.filter("language <> 'fr'").select(whole.alias("value")).write.text(f"{folder}/openlib")
+    works = F.struct(F.array("title").alias("title"), F.col("doi").alias("DOI"), F.array("journal").alias("container-title"))
+    lib.filter("doi IS NOT NULL").select(F.to_json(works).alias("value")).write.text(f"{folder}/crossref")
+    return folder
+
+
+@query(
+    "catalogue_bulk",
+    sql.with_views(sql.LIBRARY)
+    + """SELECT 'openlib' AS source, title, array_to_string(author, '; ') AS author, year, isbn AS identifier FROM library WHERE language <> 'fr' AND doc_id % 9 <> 0
+ UNION ALL SELECT 'crossref', title, NULL, NULL, doi FROM library WHERE doi IS NOT NULL""",
+)
+def _(spark, sf):
+    """Bulk files of the enabled services, normalised and put into one catalogue."""
+    folder = _bulk_folder(spark, sf)
+    services = filters.enabled_sources({"use_openlib": True, "use_k10plus": False, "use_crossref": True})
+    tables = [records.NORMALIZERS[s](files.read_catalogue_json(spark, f"{folder}/{s}", records.SCHEMAS[s])) for s in services]
+    merged = records.union_records(tables)
+    return merged.select(
+        "source", "title", F.array_join("author", "; ").alias("author"), "year", F.coalesce("doi", "isbn").alias("identifier")
+    )
+
+
+@query(
+    "catalogue_quarantine",
+    sql.with_views(sql.LIBRARY) + "SELECT '{\"title\":' AS line, count(*) AS lines FROM library WHERE language <> 'fr' AND doc_id % 9 = 0 HAVING count(*) > 0",
+)
+def _(spark, sf):
+    broken = files.broken_catalogue_lines(spark, f"{_bulk_folder(spark, sf)}/openlib", records.SCHEMAS["openlib"])
+    return broken.groupBy("line").agg(F.count("*").alias("lines"))
+
+
+@query(
+    "metadata_export",
+    sql.with_views(sql.LIBRARY) + "SELECT id, title, array_to_string(author, '; ') AS author, year, doi, page_count FROM library",
+)
+def _(spark, sf):
+    """The library as JSON lines, read back as metadata files."""
+    folder = f"{work_folder(spark, 'export')}/json"
+    tables.export_metadata(fx.library(spark, sf), folder)
+    back = files.read_metadata_json(spark, folder)
+    return back.select("id", "title", F.array_join("author", "; ").alias("author"), "year", "doi", "page_count")
+
+
+@query(
+    "stream_upsert",
+    sql.with_views(sql.LIBRARY)
+    + """SELECT id, filename, 'New ' || title AS title, strftime(added_at, '%Y-%m-%d %H:%M:%S') AS added_at, '2030-01-02 00:00:00' AS updated_at
+ FROM library WHERE language <> 'en'
+ UNION ALL SELECT id, filename, title, strftime(added_at, '%Y-%m-%d %H:%M:%S'), '2030-01-01 00:00:00' FROM library WHERE language = 'en'""",
+)
+def _(spark, sf):
+    """Two batches into the log: the library, then changed rows; the second one replayed."""
+    folder = work_folder(spark, "log")
+    lib = fx.library(spark, sf).select("id", "filename", "title", "added_at")
+    changed = fx.library(spark, sf).filter("language <> 'en'").select(
+        "id", F.concat(F.lit("copy-"), "filename").alias("filename"), F.concat(F.lit("New "), "title").alias("title"), "added_at"
+    )
+    for number, batch in ((0, lib), (1, changed), (1, changed)):
+        ingest.log_batch(folder, F.lit(f"2030-01-0{number + 1} 00:00:00").cast("timestamp_ntz"))(batch, number)
+    merged = ingest.library_from_log(spark, folder)
+    return merged.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("added_at", "updated_at")})
+
+
 @query("stream_ingest", _TEXT_FILE_SQL)
 def _(spark, sf):
     stream = ingest.documents(ingest.stream_files(spark, _text_files(spark, sf)))
