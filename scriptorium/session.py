@@ -67,7 +67,20 @@ def work_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = _local_root()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    FOLDERS.append(folder)
+    return folder
+
+
+#: The work folders this driver has asked for, in order.
+FOLDERS: list[str] = []
+
+
+def remove_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Delete work folders that nothing will read any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
