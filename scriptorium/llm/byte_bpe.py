@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame
 
 from scriptorium.llm.tables import held, text_slices
 
-CACHE_WORDS = 700_000
-ENCODE_BYTES = 400_000
-DECODE_ROWS = 1_000_000
+CACHE_WORDS = 550_000
+ENCODE_BYTES = 150_000
+DECODE_ROWS = 300_000
+#: Texts taken from an Arrow batch at a time.
+TEXT_BYTES = 3_000_000
 #: Words beyond this many bytes are contracted by rounds of equal rank instead of one pair at a time.
 LONG_WORD = 64
 
@@ -106,7 +108,7 @@ class Tokenizer:
             raise ValueError("pairs are packed with 16 bits a token")
         self.split = regex.compile(pattern).findall
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "350MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         self._load_tables()
         self.words: dict[str, bytes] = {}
 
@@ -241,7 +243,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "tex
 
     def run(batches):
         tokenizer = _tokenizer(shared.value, pattern)
-        for batch in text_slices(batches, "_text"):
+        for batch in text_slices(batches, "_text", TEXT_BYTES):
             ids = tokenizer.encode(batch.column("_text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), _id_lists(ids)], names=[*keep, "ids"])
 
@@ -280,7 +282,7 @@ def round_trip(
 
     def run(batches):
         tokenizer = _tokenizer(shared.value, pattern)
-        for batch in text_slices(batches, "_text"):
+        for batch in text_slices(batches, "_text", TEXT_BYTES):
             ids = tokenizer.encode(batch.column("_text").to_pylist())
             decoded = tokenizer.decode(ids)
             columns = [
