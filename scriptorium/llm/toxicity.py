@@ -48,7 +48,7 @@ LETTERS = 42
 _START, _END = 40, 41
 #: Units beyond this length are compared window by window, half a window on.
 WINDOW = 18
-CACHE_UNITS = 600_000
+CACHE_UNITS = 400_000
 _NO_LETTERS = -9.0
 
 
@@ -167,10 +167,10 @@ class Model:
                 owner.append(i)
         values = np.full(len(parts), self.offset)
         for at, table in _by_length(parts):
-            for i in range(0, len(at), 20_000):
-                number, weight = _features(table[i : i + 20_000])
-                size = norms(table[i : i + 20_000])
-                values[at[i : i + 20_000]] += (weight * self.weights[number]).sum(axis=1) / np.where(size > 0, size, 1)
+            for i in range(0, len(at), 5_000):
+                number, weight = _features(table[i : i + 5_000])
+                size = norms(table[i : i + 5_000])
+                values[at[i : i + 5_000]] += (weight * self.weights[number]).sum(axis=1) / np.where(size > 0, size, 1)
         out = np.full(len(units), -np.inf)
         np.maximum.at(out, np.array(owner, dtype=np.int64), values)
         return out
@@ -267,8 +267,8 @@ class Units:
         if len(self.number) > CACHE_UNITS:
             self.number.clear()
         new = list(set(chain.from_iterable(tokens)).difference(self.number))
-        for i in range(0, len(new), 50_000):
-            self._learn(new[i : i + 50_000])
+        for i in range(0, len(new), 20_000):
+            self._learn(new[i : i + 20_000])
         known = self.number.__getitem__
         sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
         flat = np.fromiter(map(known, chain.from_iterable(tokens)), dtype=np.int64, count=int(sizes.sum()))
@@ -433,7 +433,7 @@ def _text_margins(docs: DataFrame, model: Model, keep: tuple[str, ...], text: st
     return frame.mapInArrow(run, T.StructType([*frame.schema.fields[: len(keep)], *more]))
 
 
-def _blocks(texts: list[str | None], most: int = 8_000_000):
+def _blocks(texts: list[str | None], most: int = 3_000_000):
     """Index ranges of texts that hold a bounded number of characters together, or one text."""
     start = held = 0
     for i, text in enumerate(texts):
