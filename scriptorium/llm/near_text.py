@@ -1,4 +1,4 @@
-"""SimHash near-duplicate detection: fingerprints, pigeonhole blocks, Hamming verification, classes.
+"""Near-duplicate detection: by SimHash (pigeonhole blocks, Hamming verification) or by Jaccard similarity; classes.
 
 A fingerprint has 64 bits; a bit is set if more than half of the hashes of the text's word shingles (repeats
 included) have it. Two fingerprints at ``distance`` or fewer differing bits agree whole on at least
@@ -6,6 +6,9 @@ included) have it. Two fingerprints at ``distance`` or fewer differing bits agre
 stretches. Only distinct fingerprints meet (copies are one), only under keys that two of them share, and a
 key with many of them is cut into tiles of bounded size; a tile returns a spanning forest, not its pairs.
 
+Three bits lie near a Jaccard similarity of 0.98. `keep_first_similar` reaches 0.8: distinct shingle sets that share a
+band of minima form candidate groups; within a group all pairs are compared by the exact similarity of their sets.
+
 Defined results: null and empty texts (and texts of white space) have fingerprint zero and are linked like any
 other; a null id is kept as it is; equal rows give equal rows; rows with one id and different texts stay
 separate rows; extra columns are ignored by `fingerprints`; an empty table gives no rows.
@@ -27,17 +30,23 @@ from pyspark.sql import types as T
 from scriptorium.llm.tables import components, written
 
 BLOCKS = 6
+#: `keep_first_similar`: a pair at Jaccard 0.8 agrees in none of the bands with a chance of (1 - 0.8 ** 5) ** 40 = 1.3e-7.
+BANDS = 40
+BAND_ROWS = 5
+#: Distinct shingle sets, and shingles, that a tile of a candidate group takes from each of its two sides.
+SET_TILE = 1024
+SET_TILE_SHINGLES = 4_000_000
 #: Fingerprints of one key that a tile takes from each of its two sides.
 TILE = 4096
 _HASHES_AT_ONCE = 1 << 16
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
-def simhash(text: bytes | None, shingle: int) -> int:
-    """The fingerprint as a signed 64-bit number. Words end at ASCII white space; A-Z count as a-z."""
+def _shingle_hashes(text: bytes | None, shingle: int):
+    """Arrays of hashes of the text's word shingles in order, repeats included; no array for a text without words."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     starts = np.concatenate([[0], ends[:-1]])
@@ -45,12 +54,64 @@ def simhash(text: bytes | None, shingle: int) -> int:
         starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(starts), _HASHES_AT_ONCE):
         a, b = starts[at : at + _HASHES_AT_ONCE].tolist(), (ends[at : at + _HASHES_AT_ONCE] - 1).tolist()
-        hashes = np.fromiter((_hash(joined[i:j]) for i, j in zip(a, b, strict=True)), dtype="<u8", count=len(a))
+        yield np.fromiter((_hash(joined[i:j]) for i, j in zip(a, b, strict=True)), dtype="<u8", count=len(a))
+
+
+def simhash(text: bytes | None, shingle: int) -> int:
+    """The fingerprint as a signed 64-bit number. Words end at ASCII white space; A-Z count as a-z."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in _shingle_hashes(text, shingle):
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<i8")[0])
+        n += len(hashes)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """The sorted distinct hashes of the text's word shingles."""
+    parts = list(_shingle_hashes(text, shingle))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype="<u8")
+
+
+#: Odd factors and summands of the hash functions modulo 2 ** 32.
+_MINHASH = np.random.default_rng(42).integers(0, 1 << 32, size=(2, BANDS * BAND_ROWS), dtype=np.uint32)
+_MINHASH[0] |= np.uint32(1)
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """One key for each band of ``BAND_ROWS`` minima of the set under ``BANDS * BAND_ROWS`` hash functions."""
+    low = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, len(low), 512):
+        hashed = _MINHASH[0][:, None] * low[None, at : at + 512]
+        hashed += _MINHASH[1][:, None]
+        least = np.minimum(least, hashed.min(axis=1))
+    return [xxhash.xxh64_intdigest(band.tobytes(), seed=i) - (1 << 63) for i, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def _similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Star links (from, to) that connect exactly the sets reachable over pairs of at least this Jaccard similarity."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], dtype=np.int64)
+    label = np.arange(n)
+    if n < 2 or not sizes.any():
+        return label[:0], label[:0]
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    owner = np.repeat(label.copy(), sizes)
+    mark = np.zeros(len(values), dtype=bool)
+    for i in range(n):
+        if not (label != label[i]).any():
+            continue
+        own = flat[ends[i] - sizes[i] : ends[i]]
+        mark[own] = True
+        shared = np.bincount(owner[mark[flat]], minlength=n)
+        mark[own] = False
+        near = (shared > 0) & (shared >= similarity * (sizes + sizes[i] - shared) - 1e-9)
+        joined = np.unique(np.append(label[near], label[i]))
+        label[np.isin(label, joined)] = joined[0]
+    own = np.flatnonzero(label != np.arange(n))
+    return own, label[own]
 
 
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 3) -> DataFrame:
@@ -168,7 +229,11 @@ def _group_numbers(table: pa.Table, columns: list[str]) -> np.ndarray:
 def _classes(marked: DataFrame, distance: int) -> DataFrame:
     """For each fingerprint of ``marked`` (doc_id, fp): ``named_fp``, ``component`` and ``component_id``."""
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    found = components(links(distinct.select("fp"), distance))
+    return _named(distinct, components(links(distinct.select("fp"), distance)))
+
+
+def _named(distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """``named_fp``, ``component`` and ``component_id`` of each row of ``distinct`` (fp, first_id) under the components ``found``."""
     named = distinct.join(found, F.col("fp") == F.col("node"), "left").select(
         F.col("fp").alias("named_fp"), "first_id", F.coalesce("component", "fp").alias("component")
     )
@@ -203,6 +268,78 @@ def keep_first(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shin
     schema = T.StructType([*frame.schema.fields, T.StructField("_fp", T.LongType())])
     marked = written(frame.mapInArrow(run, schema), "marked")
     classes = _classes(marked.select(F.col(id_col).alias("doc_id"), F.col("_fp").alias("fp")), distance)
+    return _first_of_classes(marked, classes, columns, text, id_col)
+
+
+def _first_of_classes(marked: DataFrame, classes: DataFrame, columns: list[str], text: str, id_col: str) -> DataFrame:
     first = marked.join(classes, (F.col("_fp") == F.col("named_fp")) & F.col(id_col).eqNullSafe(F.col("component_id")))
     order = Window.partitionBy("component").orderBy(*[F.col(c) for c in (text, *(c for c in columns if c != text))])
     return first.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*columns)
+
+
+def _candidate_groups(sets: DataFrame) -> DataFrame:
+    """(node, component): groups of sets (``fp``, ``bands``; distinct) that hang together by shared band keys."""
+    rows = sets.select("fp", F.posexplode("bands").alias("band", "key"))
+    shared = rows.groupBy("band", "key").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1")
+    stars = rows.join(shared, ["band", "key"]).where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    return components(stars.distinct())
+
+
+def similar_links(sets: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) between shingle sets of at least this exact Jaccard similarity, up to the chains of other links.
+
+    ``sets``: fp, n_shingles and bands of each distinct set; ``texts``: fp and text, sets possibly several times.
+    Candidate groups come from bands of minima; within a group every pair is compared, in tiles of bounded size.
+    """
+    groups = written(_candidate_groups(sets), "candidate-groups")
+    members = groups.join(sets.select("fp", "n_shingles"), F.col("node") == F.col("fp")).select("fp", "component", "n_shingles")
+    sized = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    parts = F.greatest(F.ceil(F.col("n") / SET_TILE), F.ceil(F.col("weight") / SET_TILE_SHINGLES), F.lit(1)).cast("int")
+    placed = (
+        members.join(sized.select("component", parts.alias("parts")), "component")
+        .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        .select("fp", "component", "parts", "part")
+    )
+    wanted = texts.join(groups.select("node"), F.col("fp") == F.col("node"), "left_semi").dropDuplicates(["fp"])
+    tiles = (
+        wanted.join(placed, "fp")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "fp", "text")
+    )
+
+    def found(table: pa.Table) -> pa.Table:
+        sets = [shingle_set(value.as_py(), shingle) for value in table.column("text").cast(pa.binary())]
+        a, b = _similar(sets, similarity)
+        fp = table.column("fp").to_numpy()
+        return pa.table({"a": pa.array(fp[a], pa.int64()), "b": pa.array(fp[b], pa.int64())})
+
+    return tiles.groupBy("component", "low", "high").applyInArrow(found, "a long, b long")
+
+
+def keep_first_similar(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of ``docs`` for each class of texts linked by a Jaccard similarity of their shingle sets of ``similarity`` or more.
+
+    The row that stays is chosen as in `keep_first`; null and empty texts are one class. Bands are made for a similarity of
+    0.8: what they miss of pairs there is given at ``BANDS``, of more similar ones it is less.
+    """
+    columns = [c for c in docs.columns if c not in ("_fp", "_bands", "_n", "named_fp", "component", "component_id")]
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(value.as_py(), shingle) for value in batch.column(columns.index(text)).cast(pa.binary())]
+            fps = pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed=42) - (1 << 63) if len(s) else 0 for s in sets], pa.int64())
+            bands = pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, fps, bands, sizes], names=[*columns, "_fp", "_bands", "_n"])
+
+    frame = docs.select(*columns)
+    more = [T.StructField("_fp", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_n", T.LongType())]
+    marked = written(frame.mapInArrow(run, T.StructType([*frame.schema.fields, *more])), "marked")
+    # One row of each set; copies differ neither in bands nor in size.
+    sets = written(
+        marked.groupBy("_fp").agg(F.min(id_col).alias("first_id"), F.min("_bands").alias("bands"), F.min("_n").alias("n_shingles"))
+        .withColumnRenamed("_fp", "fp"),
+        "shingle-sets",
+    )
+    found = components(similar_links(sets, marked.select(F.col("_fp").alias("fp"), F.col(text).alias("text")), shingle, similarity))
+    return _first_of_classes(marked, _named(sets.select("fp", "first_id"), found), columns, text, id_col)

@@ -83,3 +83,51 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_text.near_duplicates(empty).collect() == []
     assert near_text.keep_first(empty).collect() == []
+
+
+def plain_jaccard(a, b, n):
+    def grams(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or ({tuple(words)} if words else set())
+
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def similar_classes(rows, n=5, similarity=0.8):
+    label = list(range(len(rows)))
+    for i, j in combinations(range(len(rows)), 2):
+        if label[i] != label[j] and plain_jaccard(rows[i][1], rows[j][1], n) >= similarity:
+            low, high = sorted((label[i], label[j]))
+            label = [low if x == high else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("tile", [1024, 3])
+def test_texts_of_jaccard_four_fifths_are_one_class(spark, monkeypatch, tile):
+    monkeypatch.setattr(near_text, "SET_TILE", tile)
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(900)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.choice([1, 4, 6, 40, 150, 400]))) for _ in range(40)]
+    for base in list(texts):
+        for _ in range(4):
+            words = base.split()
+            for _ in range(rng.randint(1, max(1, len(words) // 40))):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+    rows = [(i, t) for i, t in enumerate([*texts, None, "", " \t", texts[0].upper(), texts[3]])]
+    rng.shuffle(rows)
+    label = similar_classes(rows)
+    want = {min(r[0] for r, c in zip(rows, label, strict=True) if c == k) for k in set(label)}
+    kept = near_text.keep_first_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(want)
+    # The table has pairs that three of 64 bits do not link.
+    pairs = [(a, b) for a, b in combinations([t for _, t in rows], 2) if a != b and 0.8 <= plain_jaccard(a, b, 5) < 1]
+    assert sum((plain_fingerprint_of(a, 5) ^ plain_fingerprint_of(b, 5)).bit_count() > 3 for a, b in pairs) > 20
+
+
+def test_similar_rows_of_defined_cases(spark):
+    assert near_text.keep_first_similar(spark.createDataFrame([], SCHEMA)).collect() == []
+    rows = [(None, "no id here"), (None, None), (7, ""), (4, "x " * 70_000), (9, "x " * 60_000), (5, "one two"), (6, "ONE two")]
+    kept = near_text.keep_first_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), len(r["text"] or "")) for r in kept) == [("4", 140_000), ("5", 7), ("7", 0), ("None", 10)]
