@@ -1,7 +1,7 @@
 """Line deduplication by a segment-partition edit join, in DataFrame and SQL functions only.
 
-A line counts by its normal form: blanks at its ends cut, lower-cased. Lines of ``MIN_CHARS`` or more are compared over
-the whole table; shorter ones say nothing and stay. Two lines are linked if their edit distance is at most
+A line counts by its normal form: blanks at its ends cut, lower-cased. All lines but empty ones are compared over the
+whole table; those under ``CHARS_PER_EDIT`` characters allow no edit among themselves and are linked if equal. Two lines are linked if their edit distance is at most
 ``EDITS`` and at most one for each ``CHARS_PER_EDIT`` characters of the longer. Of each class of linked or equal lines
 the one in the row with the smallest id stays, the first of that row; the others are cut out of their texts.
 
@@ -16,7 +16,7 @@ Lines are written once and travel as 64-bit digests (two different lines share o
 each pair). A frequent line is compared in the row with the smallest id only, by a broadcast list that cannot hold
 more than ``FREQUENT`` lines.
 
-Defined results: a null text stays null; empty texts, empty lines and short lines stay; rows that share an id each keep
+Defined results: a null text stays null; empty texts and empty lines stay; rows that share an id each keep
 their first line of a class if that id is its smallest; of rows without an id likewise, if no row with an id has the
 line; equal rows give equal rows; extra columns stay; an empty table gives no rows.
 """
@@ -30,7 +30,9 @@ from scriptorium.llm.tables import components, written
 
 EDITS = 2
 CHARS_PER_EDIT = 20
-MIN_CHARS = 20
+MIN_CHARS = 1
+#: The shorter of two different linked lines has at least so many characters.
+NEAR_CHARS = CHARS_PER_EDIT - 1
 FREQUENT = 100_000
 #: Letters whose counts tell pairs apart before their texts are fetched; any sixteen do, common ones do best.
 BAG_LETTERS = "etaoinsrhldcumpb"
@@ -120,7 +122,7 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
     drop most pairs inside the join; lines without such company need no counts.
     """
     parts = edits + 1
-    if MIN_CHARS - edits < parts * parts:
+    if NEAR_CHARS - edits < parts * parts:
         raise ValueError("lines must be long enough for segments that are longer than their shifts")
     sized = _around(lines, edits)
     index_keys = F.array(*[_segment("size", n, 0, parts) for n in range(parts)])
@@ -218,7 +220,7 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", edits:
     # Fewer than FREQUENT lines can make up more than this share of all.
     frequent = counts.where(F.col("n") > max(1.0, total / FREQUENT)).select(F.col("line").alias("known"), F.col("first_id").alias("known_id"))
     once = lines.join(F.broadcast(frequent), F.col("line") == F.col("known"), "left").where("known is null or doc_id <=> known_id")
-    near = components(links(once.select("line", "norm"), edits))
+    near = components(links(once.where(F.length("norm") >= NEAR_CHARS).select("line", "norm"), edits))
     shared = counts.join(near, F.col("line") == F.col("node"), "left").where("n > 1 or component is not null")
     named = written(shared.select("line", "first_id", F.coalesce("component", "line").alias("class")), "line-classes")
     first = named.groupBy("class").agg(F.min("first_id").alias("class_id"))

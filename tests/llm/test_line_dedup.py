@@ -133,3 +133,11 @@ def test_empty_and_plan(spark, rows):
     assert ld.dedup(empty).collect() == []
     plan = ld.dedup(spark.createDataFrame(rows, "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_short_lines_repeat_too(spark):
+    nineteen = "abcdefghij klmnopqr"
+    docs = [(1, "}\n\nHome\n }\nHomf\n" + nineteen), (2, "home \n\n}\n\nhomes"), (3, nineteen + "s\nabcdefghij klmnopqx"), (4, "}"), (None, "HOME\nonly")]
+    got = ld.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = [(1, "}\n\nHome\nHomf\n" + nineteen, 1), (2, "\n\nhomes", 2), (3, "abcdefghij klmnopqx", 1), (4, "", 1), (None, "only", 1)]
+    assert sorted(((r["doc_id"], r["text"], r["_n_removed"]) for r in got), key=str) == sorted(want, key=str)
