@@ -10,10 +10,11 @@ over all training rows:
    most frequent ``HEAD`` words and the sums of the word classes are sent to tasks (both of bounded size).
 2. Texts become symbol arrays, written once. Words beyond the head are joined with the count table by word; a
    document takes part with sums only.
-3. Baum-Welch starts from a few rounds on a bounded sample of training segments (``SAMPLE_SEGMENTS``), which only
-   sets the starting point; then each of ``PASSES`` passes goes over all training segments. Tasks add up expected
-   counts, the sums per symbol and state come to the driver: their number is fixed by the model. For training, a
-   text is cut into segments of ``SEGMENT`` tokens, the later ones starting from the states' overall shares.
+3. For training, a text is cut into segments of ``SEGMENT`` tokens, the later ones starting from the states' overall
+   shares. Baum-Welch starts from a few rounds on a bounded sample of segments from anywhere in texts
+   (``SAMPLE_SEGMENTS``), which only sets the starting point; then passes go over all training segments until one gains
+   less than ``GAIN`` of the log likelihood. Tasks add up expected counts and the log likelihood, the sums per symbol
+   and state come to the driver: their number is fixed by the model.
 4. Scoring runs the forward recursion over each whole text.
 
 Defined results: null texts are empty (one end); a null id counts as the empty text for the fold and stays null; equal
@@ -42,7 +43,8 @@ STATES = 8
 SEGMENT = 128
 SAMPLE_SEGMENTS = 6_000
 SAMPLE_ROUNDS = 25
-PASSES = 2
+#: Passes over all segments end when the log likelihood grows by less than this share of it.
+GAIN = 1e-3
 _LOCAL_WORDS = 250_000
 _SEED = 11
 
@@ -290,8 +292,8 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
 
 
-def _pass(training: DataFrame, model: Model, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts over all training rows, summed across tasks."""
+def _pass(training: DataFrame, model: Model, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts and the log likelihood over all training rows, summed across tasks."""
     shared = training.sparkSession.sparkContext.broadcast(model)
     names = ["kind", "place", *(f"s{i}" for i in range(STATES))]
 
@@ -303,25 +305,25 @@ def _pass(training: DataFrame, model: Model, v: Vocabulary) -> tuple[np.ndarray,
             starts, lengths, first = _segments(sizes)
             for at in range(0, len(starts), 1024):
                 part = slice(at, at + 1024)
-                got = expected_counts(model, symbols, starts[part], lengths[part], first[part])[:3]
+                got = expected_counts(model, symbols, starts[part], lengths[part], first[part])
                 sums = [a + b for a, b in zip(sums, got, strict=True)] if sums else list(got)
         if sums:
-            start, step, emitted = sums
+            start, step, emitted, log = sums
             seen = np.flatnonzero(emitted.any(axis=1))
-            rows = np.vstack([start[None, :], step, emitted[seen]])
-            kinds = np.repeat([0, 1, 2], [1, STATES, len(seen)]).astype(np.int32)
-            places = np.concatenate([[0], np.arange(STATES), seen]).astype(np.int32)
+            rows = np.vstack([start[None, :], step, emitted[seen], np.full((1, STATES), log)])
+            kinds = np.repeat([0, 1, 2, 3], [1, STATES, len(seen), 1]).astype(np.int32)
+            places = np.concatenate([[0], np.arange(STATES), seen, [0]]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(places), *(pa.array(rows[:, i]) for i in range(STATES))], names=names)
 
     schema = ", ".join(["kind int", "place int", *(f"s{i} double" for i in range(STATES))])
     sums = training.select("symbols").mapInArrow(run, schema).groupBy("kind", "place").agg(*[F.sum(n).alias(n) for n in names[2:]])
-    start, step, emitted = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((v.symbols, STATES))
+    start, step, emitted, log = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((v.symbols, STATES)), np.zeros((1, STATES))
     got = sums.toArrow()
     kind, place = got.column("kind").to_numpy(), got.column("place").to_numpy()
     values = np.stack([got.column(n).to_numpy() for n in names[2:]], axis=1) if len(kind) else np.zeros((0, STATES))
-    for number, target in enumerate((start[None, :], step, emitted)):
+    for number, target in enumerate((start[None, :], step, emitted, log)):
         target[place[kind == number]] = values[kind == number]
-    return start, step, emitted
+    return start, step, emitted, float(log[0, 0])
 
 
 def _overall(v: Vocabulary) -> np.ndarray:
@@ -329,26 +331,40 @@ def _overall(v: Vocabulary) -> np.ndarray:
     return counts / counts.sum()
 
 
+def _sample(training: DataFrame) -> pa.Table:
+    """symbols and first flag of about ``SAMPLE_SEGMENTS`` segments from anywhere in texts, by a digest of text and place."""
+    parts = F.ceil(F.size("symbols") / SEGMENT).cast("int")
+    total = training.agg(F.sum(parts)).first()[0] or 0
+    chance = int((1 << 40) * min(1.0, SAMPLE_SEGMENTS / max(total, 1)))
+    numbers = F.filter(F.sequence(F.lit(0), parts - 1), lambda i: F.pmod(F.xxhash64("row", i), F.lit(1 << 40)) < chance)
+    chosen = training.where(F.size("symbols") > 0).select("symbols", F.explode(numbers).alias("number"))
+    return chosen.select(F.slice("symbols", F.col("number") * SEGMENT + 1, SEGMENT).alias("symbols"), (F.col("number") == 0).alias("first")).toArrow()
+
+
 def train(training: DataFrame, v: Vocabulary) -> Model:
-    """The model after a start on a bounded sample of segments and ``PASSES`` passes over all training rows."""
+    """The model after a start on a bounded sample of segments and passes over all training rows until they gain little."""
     overall = _overall(v)
     rng = np.random.default_rng(_SEED)
     model = _first_model(v.symbols, overall * v.total, rng)
-    cut = F.slice("symbols", 1, SEGMENT)
-    # About SAMPLE_SEGMENTS texts by a digest of their number: no task has to sort or gather for that.
-    chance = F.pmod(F.xxhash64("row"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE_SEGMENTS / max(v.ends, 1)))
-    sample = training.where(chance).select(cut.alias("symbols")).toArrow().column("symbols").combine_chunks()
-    if not len(sample):
-        return model
-    symbols, sizes = _flat(sample)
-    starts, lengths, first = _segments(sizes)
-    for _ in range(SAMPLE_ROUNDS):
-        parts = [slice(i, i + 1024) for i in range(0, len(starts), 1024)]
-        got = [expected_counts(model, symbols, starts[p], lengths[p], first[p])[:3] for p in parts]
-        model = updated(model, *(sum(x) for x in zip(*got, strict=True)), overall)
-    for _ in range(PASSES):
-        model = updated(model, *_pass(training, model, v), overall)
-    return model
+    sample = _sample(training)
+    if sample.num_rows:
+        symbols, sizes = _flat(sample.column("symbols").combine_chunks())
+        order = np.argsort(-sizes, kind="stable")
+        starts, lengths = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        first = sample.column("first").to_numpy()[order]
+        for _ in range(SAMPLE_ROUNDS):
+            parts = [slice(i, i + 1024) for i in range(0, len(starts), 1024)]
+            got = [expected_counts(model, symbols, starts[p], lengths[p], first[p])[:3] for p in parts]
+            model = updated(model, *(sum(x) for x in zip(*got, strict=True)), overall)
+    before = -np.inf
+    while True:
+        *counts, log = _pass(training, model, v)
+        if not log:
+            return model
+        model = updated(model, *counts, overall)
+        if log - before < GAIN * abs(log):
+            return model
+        before = log
 
 
 def log_likelihoods(model: Model, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -116,3 +116,33 @@ def test_the_model_is_a_distribution(spark, sf, monkeypatch):
 
 def test_empty(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string, held_out boolean")).collect() == []
+
+
+def training_of(spark, monkeypatch, sample):
+    """Texts whose later segments use other words than their heads; a small starting sample."""
+    monkeypatch.setattr(lm, "SAMPLE_SEGMENTS", sample)
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(60):
+        head, rest = rng.integers(0, 6, lm.SEGMENT), np.concatenate([rng.integers(6 + 6 * (k % 2), 12 + 6 * (k % 2), 20) for k in range(20)])
+        rows.append((i, [int(x) for x in (*head, *rest)]))
+    monkeypatch.setattr(lm, "CLASSES", 0)
+    counts = np.bincount(np.concatenate([r[1] for r in rows]), minlength=18).astype(float)
+    v = lm.Vocabulary([b"w"] * 18, counts, np.zeros(0), int(counts.sum()), 18, len(rows), 18)
+    return spark.createDataFrame(rows, "row long, symbols array<int>"), v
+
+
+def test_the_sample_has_segments_from_anywhere(spark, monkeypatch):
+    training, _ = training_of(spark, monkeypatch, 60)
+    got = lm._sample(training).to_pylist()
+    assert 20 < len(got) < 120 and {r["first"] for r in got} == {True, False}
+    assert any(min(r["symbols"]) >= 6 for r in got)
+
+
+def test_passes_go_on_until_they_gain_little(spark, monkeypatch):
+    training, v = training_of(spark, monkeypatch, 1)
+    model = lm.train(training, v)
+    *counts, log = lm._pass(training, model, v)
+    *_, after = lm._pass(training, lm.updated(model, *counts, lm._overall(v)), v)
+    assert log < 0
+    assert after - log < 2 * lm.GAIN * abs(after)
