@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import ann, byte_bpe, chat, language_id, latent_lm, line_dedup, mixing, near_text, near_vectors, toxicity
+from scriptorium.llm import ann, byte_bpe, chat, filter_audit, language_id, latent_lm, line_dedup, mixing, near_text, near_vectors, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_learned_partitions")
 def op6_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op12_filter_audit", filter_audit.SQL)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
