@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import ann, byte_bpe, chat, filter_audit, language_id, latent_lm, line_dedup, mixing, near_text, near_vectors, toxicity
+from scriptorium.llm import ann, byte_bpe, chat, filter_audit, language_id, latent_lm, line_dedup, mixing, near_text, near_vectors, token_alignment, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,10 @@ def op6_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_filter_audit", filter_audit.SQL)
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
