@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import ann, byte_bpe, chat, filter_audit, language_id, latent_lm, line_dedup, mixing, near_text, near_vectors, token_alignment, toxicity
+from scriptorium.llm import ann, byte_bpe, chat, filter_audit, language_id, latent_lm, line_dedup, mixing, near_text, near_vectors, substring_dedup, token_alignment, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,8 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(
         _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     )
+
+
+@query("op13_substring_dedup")
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.summary(_table(spark, sf_dir, "documents"))
