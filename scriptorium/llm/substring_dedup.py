@@ -211,10 +211,10 @@ def _at(keyed: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def _laid_out(keyed: DataFrame, classes: DataFrame) -> DataFrame:
-    """One row per window of each class: anchor, window (its hash), digest, offset, and the first place doc_id, row, at."""
+    """One row per window of each class: anchor, window (its hash), offset, and the class's first place doc_id, row, at (of the window)."""
     lists = written(
         classes.groupBy(F.col("first.doc_id").alias("at_id"), F.col("first.row").alias("at_row")).agg(
-            F.collect_list(F.struct(F.col("first.start").alias("start"), "n", "anchor", "digest")).alias("asked")
+            F.collect_list(F.struct(F.col("first.start").alias("start"), "n", "anchor")).alias("asked")
         ),
         "open-bundles",
     )
@@ -231,15 +231,15 @@ def _laid_out(keyed: DataFrame, classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         places.field("anchor").take(pa.array(which)), pa.array(hashed.stretch(0, at, at + WINDOW).view(np.int64)),
-                        places.field("digest").take(pa.array(which)), pa.array(offset, pa.int32()),
+                        pa.array(offset, pa.int32()),
                         pa.array([batch.column("doc_id")[i].as_py()] * len(which), batch.column("doc_id").type),
                         pa.array([batch.column("row")[i].as_py()] * len(which), pa.int64()), pa.array(at, pa.int32()),
                     ],
-                    names=["anchor", "window", "digest", "offset", "doc_id", "row", "at"],
+                    names=["anchor", "window", "offset", "doc_id", "row", "at"],
                 )
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    schema = f"anchor long, window long, digest binary, offset int, doc_id {kind}, row long, at int"
+    schema = f"anchor long, window long, offset int, doc_id {kind}, row long, at int"
     return _at(keyed, lists).select("doc_id", "row", "words", "asked").mapInArrow(run, schema)
 
 
@@ -260,8 +260,10 @@ def _pieces(keyed: DataFrame) -> DataFrame:
     )
     known = broadcast_if_small(written(first.where("last_id > source.doc_id").drop("last_id"), "shared-windows"))
     partly = windows.join(known, (F.col("anchor") == F.col("of_anchor")) & (F.col("window") == F.col("of_window"))).where("doc_id > source.doc_id")
-    partly = partly.select(F.col("digest").alias("of_class"), F.col("doc_id").alias("of_id"), "offset", "source")
-    partly = broadcast_if_small(written(partly.distinct(), "partly-repeated"))
+    place = F.struct("doc_id", "row", (F.col("at") - F.col("offset")).alias("start"))
+    partly = partly.select(place.alias("place"), F.col("doc_id").alias("of_id"), "offset", "source").distinct()
+    partly = partly.join(classes.select(F.col("first").alias("place"), F.col("digest").alias("of_class")), "place").drop("place")
+    partly = broadcast_if_small(written(partly, "partly-repeated"))
     # The class's other documents have lost the whole bundle; all its places in the first one lose these windows.
     parts = repeated.join(partly, (F.col("digest") == F.col("of_class")) & (F.col("doc_id") == F.col("of_id"))).select(
         "doc_id", "row", (F.col("start") + F.col("offset")).alias("start"), F.lit(1).alias("n"),
@@ -334,7 +336,8 @@ def dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
         F.collect_set(F.struct("start", "n_words", "words_digest")).alias("_cut")
     )
     whole = docs.select(*columns).withColumn("_row", F.xxhash64(text))
-    cuts = broadcast_if_small(written(cuts, "cuts")).hint("shuffle_hash")
+    # A list for every document that loses words grows with the table: joined by a shuffle at every size.
+    cuts = written(cuts, "cuts").hint("shuffle_hash")
     asked = whole.join(cuts, (F.col(id_col) == F.col("_cut_id")) & (F.col("_row") == F.col("_cut_row")), "left").select(*columns, "_cut")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
