@@ -45,7 +45,10 @@ def edit_distance(x: Column, y: Column) -> Column:
         return F.struct(F.reverse(pair["a"]).alias("a"), F.reverse(pair["b"]).alias("b"))
 
     both = F.struct(x.alias("a"), y.alias("b"))
-    return let(let(let(both, rest), lambda p: rest(turned(p))), lambda p: F.levenshtein(p["a"], p["b"]))
+    cut = let(let(let(both, rest), lambda p: rest(turned(p))), lambda p: F.levenshtein(p["a"], p["b"]))
+    # Looking for equal ends costs more than it saves where not even the outermost characters agree.
+    alike = (F.left(x, F.lit(1)) == F.left(y, F.lit(1))) | (F.right(x, F.lit(1)) == F.right(y, F.lit(1)))
+    return F.when(alike, cut).otherwise(F.levenshtein(x, y))
 
 
 def _graded(x: Column, y: Column) -> Column:

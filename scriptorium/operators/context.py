@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.cite import NO_YEAR, cite
 from scriptorium.functions.text import UNKNOWN, strip
+from scriptorium.operators.index import SearchIndex
 from scriptorium.operators.search import CONTEXT_CHUNKS, keyword_search
 from scriptorium.schema import has_text
 
@@ -28,7 +29,7 @@ PROMPT_AUTHORS = 3
 
 def question_context(
     library: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | SearchIndex,
     question: str,
     filters: dict | None = None,
     k: int = CONTEXT_CHUNKS,

@@ -131,15 +131,19 @@ def _side(titles: DataFrame, name: str) -> DataFrame:
     )
 
 
-def similar_titles(left: DataFrame, right: DataFrame, overlap: float = TITLE_OVERLAP) -> DataFrame:
+def all_words(left: DataFrame, right: DataFrame) -> DataFrame:
+    """`worded` of the titles of both sides, written; the joins on titles share it."""
+    return cut_lineage(worded(left.select("title_lower").unionByName(right.select("title_lower")).distinct()), "title-words")
+
+
+def similar_titles(left: DataFrame, right: DataFrame, overlap: float = TITLE_OVERLAP, words: DataFrame | None = None) -> DataFrame:
     """All ``(left_title, right_title)`` pairs of distinct titles whose word sets overlap enough.
 
     Exact: the join runs on each title's rarest words, of which every qualifying pair shares one, and on both
     sizes. A word that half the titles use is among the leading ones only where a title has nothing rarer.
     Ids travel through the join; words and titles are fetched for the pairs that met.
     """
-    both = worded(left.select("title_lower").unionByName(right.select("title_lower")).distinct())
-    words = cut_lineage(both, "title-words")
+    words = all_words(left, right) if words is None else words
     a = words.join(left.select("title_lower").distinct(), "title_lower", "left_semi")
     b = words.join(right.select("title_lower").distinct(), "title_lower", "left_semi")
     met = (
@@ -162,24 +166,23 @@ def _phrase(title: Column) -> Column:
     return F.concat(F.lit(" "), F.lower(normalize_title(title)), F.lit(" "))
 
 
-def containing_titles(left: DataFrame, right: DataFrame) -> DataFrame:
-    """All ``(left_title, right_title)`` pairs of one ``name_key`` where the left title stands in the right one as a phrase.
+def containing_titles(left: DataFrame, right: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """All ``(left_title, right_title)`` pairs of one ``name_key`` where one title stands in the other as a phrase.
 
-    ``left`` and ``right``: title_lower and name_key. The join runs on the left title's rarest word together
-    with the name, so a word or a name that very many titles have does not bring all of them together.
+    ``left`` and ``right``: title_lower and name_key. A phrase has all its words in the title that holds it, so its rarest
+    one is among that title's words: phrases, by (rarest word, name), are probed from all words of the titles
+    of the other side, both ways, in one join. A word or a name that very many titles have does not bring all of them together.
     """
-    titles = left.select("title_lower").unionByName(right.select("title_lower")).distinct()
-    words = cut_lineage(worded(titles), "phrase-words")
-    rarest = words.select("title_lower", F.get("words", F.lit(0)).alias("word"))
-    every = words.select("title_lower", F.explode("words").alias("word"))
-    asked = left.distinct().join(rarest, "title_lower").select("word", "name_key", F.col("title_lower").alias("left_title"))
-    found = right.distinct().join(every, "title_lower").select("word", "name_key", F.col("title_lower").alias("right_title"))
-    return (
-        asked.join(found, ["word", "name_key"])
-        .filter(F.contains(_phrase(F.col("right_title")), _phrase(F.col("left_title"))))
-        .select("left_title", "right_title")
-        .distinct()
-    )
+    words = all_words(left, right) if words is None else words
+    sides = left.distinct().withColumn("asked", F.lit(True)).unionByName(right.distinct().withColumn("asked", F.lit(False)))
+    titles = cut_lineage(sides.join(words, "title_lower").select("title_lower", "name_key", "asked", "words"), "named-titles")
+    phrases = titles.select(F.get("words", F.lit(0)).alias("word"), "name_key", "asked", F.col("title_lower").alias("phrase"))
+    holders = titles.select(F.explode("words").alias("word"), "name_key", (~F.col("asked")).alias("asked"), F.col("title_lower").alias("holder"))
+    found = phrases.join(holders, ["word", "name_key", "asked"]).filter(F.contains(_phrase(F.col("holder")), _phrase(F.col("phrase"))))
+    return found.select(
+        F.when(F.col("asked"), F.col("phrase")).otherwise(F.col("holder")).alias("left_title"),
+        F.when(F.col("asked"), F.col("holder")).otherwise(F.col("phrase")).alias("right_title"),
+    ).distinct()
 
 
 def _name_keys(source: Column, author: Column) -> Column:
@@ -209,7 +212,8 @@ def by_title(
 ) -> DataFrame:
     """Best-scored record per document and source among records with a similar title and the first author's name.
 
-    A title is similar if the word sets overlap enough or if it holds the asked title as a phrase.
+    A title is similar if the word sets overlap enough or if one of the two holds the other as a phrase, as a title with
+    a subtitle holds the title without.
 
     Both sides are reduced before they meet: documents to distinct (title, authors), records to the best one
     per (source, title, authors), because the score depends on nothing else. A title shared by a third of
@@ -246,12 +250,14 @@ def by_title(
         .select("source", "right_title", "best.bonus", "best.record", F.lit(ANY_NAME).alias("name_key"))
     )
     answering = by_name.drop("author").unionByName(best_of_title)
-    alike = similar_titles(
-        queries.select("title_lower").distinct(), records.select(F.col("right_title").alias("title_lower")).distinct(), overlap
-    )
+    asked_titles = queries.select("title_lower").distinct()
+    found_titles = records.select(F.col("right_title").alias("title_lower")).distinct()
+    title_words_table = all_words(asked_titles, found_titles)
+    alike = similar_titles(asked_titles, found_titles, overlap, title_words_table)
     holding = containing_titles(
         named.select(F.col("left_title").alias("title_lower"), "name_key"),
         answering.select(F.col("right_title").alias("title_lower"), "name_key"),
+        title_words_table,
     )
     # The distance is worked out once for each pair of titles, however many records and authors share them.
     points = title_points(F.col("right_title"), F.col("left_title"), similarity)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import words
+from scriptorium.operators import index as search_index
 from scriptorium.operators.filters import search_filter
 from scriptorium.operators.listing import source_label
 from scriptorium.schema import present
@@ -18,6 +19,8 @@ MAX_RESULTS = 10
 CONTEXT_CHUNKS = 5
 # Hits joined back by broadcast are bounded by the caller's ``k``; above this the planner decides.
 BROADCAST_HITS = 10_000
+# Query words that a batch search treats by patterns, so there are up to two to this power of these.
+COMMON_TERMS = 10
 
 
 def relevance(text: Column, query: str) -> Column:
@@ -38,7 +41,7 @@ def _bounded(df: DataFrame, k: int) -> DataFrame:
 
 def keyword_search(
     library: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | search_index.SearchIndex,
     query: str,
     filters: dict | None = None,
     k: int = MAX_RESULTS,
@@ -46,15 +49,26 @@ def keyword_search(
 ) -> DataFrame:
     """The ``k`` most relevant chunks of the documents that pass the filters.
 
-    Only ``(key, chunk_id, relevance)`` is shuffled and ranked. Text and metadata are read again for the
-    ``k`` winners through a join whose broadcast side holds at most ``k`` rows.
+    With a search index only postings of words that hold a query word, and texts of the winning documents are read. Without
+    one all texts are scanned, and again for the winners. Only ``(key, chunk_id, relevance)`` is shuffled and ranked.
     """
-    scored = chunks.select(key, "chunk_id", relevance(F.col("text"), query).alias("relevance"))
+    indexed = isinstance(chunks, search_index.SearchIndex)
+    if indexed:
+        scored = search_index.scores(chunks, query)
+    else:
+        scored = chunks.select(key, "chunk_id", relevance(F.col("text"), query).alias("relevance"))
     allowed = library.filter(search_filter(filters)).select(key, "id", "added_at")
     order = [F.desc("relevance"), F.col("added_at"), F.col("id"), F.col("chunk_id")]
     winners = scored.filter("relevance > 0").join(allowed, key).orderBy(*order).limit(k)
-    texts = chunks.select(key, "chunk_id", "text").join(_bounded(winners, k), [key, "chunk_id"])
     metadata = library.drop("id", "added_at", "text")
+    if indexed and k <= BROADCAST_HITS:
+        # At most k rows: their keys decide what is read of texts and metadata.
+        winners = library.sparkSession.createDataFrame(winners.collect(), winners.schema)
+        keys = [r[0] for r in winners.select(key).distinct().collect()]
+        all_texts, metadata = search_index.texts_of(chunks, keys), metadata.where(F.col(key).isin(keys))
+    else:
+        all_texts = chunks.table("texts") if indexed else chunks.select(key, "chunk_id", "text")
+    texts = all_texts.join(_bounded(winners, k), [key, "chunk_id"])
     hits = metadata.join(_bounded(texts, k), key)
     return hits.withColumns(
         {"source_label": source_label(), "relevance_pct": F.round(F.col("relevance") * 100).cast("bigint")}
@@ -125,7 +139,7 @@ def batch_search(
 
     Query words hold no blanks, so a chunk contains a query word exactly when one of the chunk's
     blank-separated words does. That turns the search into equality joins on words: distinct words meet
-    the distinct query words once, then the chunk's words look the result up.
+    the distinct query words once, then the chunk's words look the result up. `best_chunks` bounds what common words pair.
     """
     terms = query_terms(queries)
     postings = chunks.select(key, "chunk_id", F.explode(F.array_distinct(words(F.lower("text")))).alias("word"))
@@ -138,24 +152,74 @@ def batch_search(
     # Written and measured: broadcast when small, so that a chunk's words need not travel; else a shuffled
     # join, kept from broadcasting the words by a hint, because their number is easily underestimated.
     meant = broadcast_if_small(cut_lineage(meant, "search-words"))
-    # One row per chunk with the query words it holds. The rows stay where this puts them: counting per query
-    # and chunk needs no further shuffle, and the cut to k rows per query happens before the last one.
+    # One row per chunk with the query words it holds.
     holding = (
         postings.hint("merge")
         .join(meant, "word")
         .groupBy(key, "chunk_id")
         .agg(F.array_distinct(F.flatten(F.collect_list("meant"))).alias("held"))
     )
-    hits = (
-        holding.select(key, "chunk_id", F.explode("held").alias("term"))
+    return best_chunks(cut_lineage(holding, "search-holding"), terms, k, key)
+
+
+def common_terms(holding: DataFrame, terms: DataFrame, k: int, most: int = COMMON_TERMS) -> list[str]:
+    """The terms, ``most`` of them at most, that would pair the most (query, chunk) rows, if these are more than ``k`` for each query."""
+    chunks_of = holding.select(F.explode("held").alias("term")).groupBy("term").agg(F.count("*").alias("chunks"))
+    queries_of = terms.groupBy("term").agg(F.count("*").alias("queries"))
+    heavy = chunks_of.join(queries_of, "term").where(F.col("chunks") > k)
+    return [r.term for r in heavy.orderBy(F.desc(F.col("chunks") * F.col("queries")), "term").limit(most).collect()]
+
+
+def best_chunks(holding: DataFrame, terms: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """The ``k`` best chunks of each query; ``holding``: key, chunk_id and the query words ``held``, written.
+
+    Words that many queries ask for and many chunks hold would pair nearly all of both. A chunk's set of such common words is
+    its pattern, and chunks of one pattern score alike by them for every query. A chunk that holds none of a query's
+    other words can only be among its best k if it is among the first k of its pattern by (key, chunk_id): those before
+    it score no less. So pairs are made over the other words, with the common ones counted in from the pattern, and
+    over the first k of each pattern: at most k * queries * 2 ** COMMON_TERMS rows, whatever the number of chunks.
+    """
+    common = common_terms(holding, terms, k)
+    bit = F.lit(0)
+    for i, term in enumerate(common):
+        bit = bit + F.when(F.array_contains("held", term), 1 << i).otherwise(0)
+    asked = F.array(*[F.lit(t) for t in common]) if common else F.array().cast("array<string>")
+    chunks = holding.select(key, "chunk_id", F.array_except("held", asked).alias("rare"), bit.cast("int").alias("pattern"))
+    # What each common word counts for a query, in the order of the bits.
+    counts = [F.sum(F.when(F.col("term") == term, F.col("times")).otherwise(0)).cast("int").alias(f"common_{i}") for i, term in enumerate(common)]
+    weights = terms.groupBy("query_id", "n_terms").agg(F.count("*").alias("n_different"), *counts)
+
+    def from_pattern() -> Column:
+        total = F.lit(0)
+        for i in range(len(common)):
+            total = total + F.when(F.col("pattern").bitwiseAND(F.lit(1 << i)) != 0, F.col(f"common_{i}")).otherwise(0)
+        return total
+
+    by_rare = (
+        chunks.select(key, "chunk_id", "pattern", F.explode("rare").alias("term"))
+        .join(terms.select("query_id", "term", "times"), "term")
+        .groupBy("query_id", key, "chunk_id")
+        .agg(F.sum("times").alias("rare_times"), F.max("pattern").alias("pattern"))
+        .join(weights, "query_id")
+        .select("query_id", key, "chunk_id", "n_terms", (F.col("rare_times") + from_pattern()).alias("matched"))
+    )
+    first = Window.partitionBy("pattern").orderBy(key, "chunk_id")
+    leading = chunks.where("pattern <> 0").select(key, "chunk_id", "pattern").withColumn("place", F.row_number().over(first)).where(F.col("place") <= k)
+    # Patterns meet queries by their words, an equality join.
+    bits = F.filter(F.transform(asked, lambda t, i: F.when(F.getbit(F.col("pattern"), i) == 1, t)), lambda t: t.isNotNull())
+    by_common = (
+        leading.select(key, "chunk_id", F.explode(bits).alias("term"))
         .join(terms, "term")
         .groupBy("query_id", "n_terms", key, "chunk_id")
         .agg(F.sum("times").alias("matched"))
-        .withColumn("relevance", F.col("matched").cast("double") / F.col("n_terms"))
+        .select("query_id", key, "chunk_id", "n_terms", "matched")
     )
+    # A chunk met both ways counts with all its words: the larger number.
+    hits = by_rare.unionByName(by_common) if common else by_rare
+    hits = hits.groupBy("query_id", key, "chunk_id", "n_terms").agg(F.max("matched").alias("matched")) if common else hits
     best = Window.partitionBy("query_id").orderBy(F.desc("relevance"), key, "chunk_id")
     return (
-        hits.select("query_id", key, "chunk_id", "relevance")
+        hits.select("query_id", key, "chunk_id", (F.col("matched").cast("double") / F.col("n_terms")).alias("relevance"))
         .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
     )

@@ -292,7 +292,9 @@ lt AS (SELECT t, {WORDS_SQL.format("t")} AS w FROM (SELECT DISTINCT t FROM asked
 rt AS (SELECT t, {WORDS_SQL.format("t")} AS w FROM (SELECT DISTINCT t FROM records)),
 pairs AS (SELECT lt.t AS a, rt.t AS b, len(list_intersect(lt.w, rt.w)) AS s, len(lt.w) AS x, len(rt.w) AS y FROM lt, rt
   WHERE len(lt.w) >= 0.6 * len(rt.w) AND len(rt.w) >= 0.6 * len(lt.w) AND s > 0 AND s >= 0.6 * (x + y - s)
- UNION SELECT lt.t, rt.t, 0, 0, 0 FROM lt, rt WHERE len(lt.w) > 0 AND contains(' ' || {PHRASE_SQL.format("rt.t")} || ' ', ' ' || {PHRASE_SQL.format("lt.t")} || ' ')),
+ UNION SELECT lt.t, rt.t, 0, 0, 0 FROM lt, rt WHERE len(lt.w) > 0 AND len(rt.w) > 0
+  AND (contains(' ' || {PHRASE_SQL.format("rt.t")} || ' ', ' ' || {PHRASE_SQL.format("lt.t")} || ' ')
+   OR contains(' ' || {PHRASE_SQL.format("lt.t")} || ' ', ' ' || {PHRASE_SQL.format("rt.t")} || ' '))),
 title_pairs AS (SELECT DISTINCT a, b FROM pairs),
 candidates AS (SELECT q.doc_id, r.source, r.record_id, r.rank,
   {_candidate_score_sql("r.", "q.title", "q.author", "r.source")} AS score

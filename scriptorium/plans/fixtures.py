@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.operators.chunking import fixed_chunks
+from scriptorium.operators.index import SearchIndex, build
 from scriptorium.session import spread
 
 # Fixed values of the fixture rules.
@@ -71,6 +72,17 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_chunks(docs, "doc_id")
 
 
+_INDEXES: dict[tuple[str, str], SearchIndex] = {}
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The index of `chunks`, written once per application and folder of tables and read by every search after that."""
+    place = (spark.sparkContext.applicationId, sf_dir)
+    if place not in _INDEXES:
+        _INDEXES[place] = build(chunks(spark, sf_dir))
+    return _INDEXES[place]
+
+
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with bibliographic lines put in after their first 60 characters; the rest is kept whole."""
     n, text = F.col("doc_id"), F.col("text")

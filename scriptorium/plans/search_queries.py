@@ -37,6 +37,12 @@ HIT_SQL = f"SELECT id, chunk_id, relevance, text, {LABEL_SQL} AS source_label, C
 
 
 @query("keyword_search", VIEWS + f"{HIT_SQL} FROM ({_hits_sql(QUERY, 10, WHERE)})")
+def _(spark, sf):
+    hits = search.keyword_search(fx.library(spark, sf), fx.search_index(spark, sf), QUERY, FILTERS)
+    return hits.select(*HIT_COLUMNS)
+
+
+@query("keyword_search_scan", VIEWS + f"{HIT_SQL} FROM ({_hits_sql(QUERY, 10, WHERE)})")
 def _(spark, sf):
     hits = search.keyword_search(fx.library(spark, sf), fx.chunks(spark, sf), QUERY, FILTERS)
     return hits.select(*HIT_COLUMNS)
@@ -44,7 +50,7 @@ def _(spark, sf):
 
 @query("semantic_search", VIEWS + f"{HIT_SQL} FROM ({_hits_sql(QUERY, 20)})")
 def _(spark, sf):
-    hits = search.semantic_search(fx.library(spark, sf), fx.chunks(spark, sf), QUERY, k=20)
+    hits = search.semantic_search(fx.library(spark, sf), fx.search_index(spark, sf), QUERY, k=20)
     return hits.select(*HIT_COLUMNS)
 
 
@@ -55,7 +61,7 @@ def _(spark, sf):
  AS position FROM ({_hits_sql(QUERY, 10)})""",
 )
 def _(spark, sf):
-    hits = search.keyword_search(fx.library(spark, sf), fx.chunks(spark, sf), QUERY)
+    hits = search.keyword_search(fx.library(spark, sf), fx.search_index(spark, sf), QUERY)
     ordered = search.sort_hits(hits, "date-desc")
     # Ten rows: their position shows the order.
     listed = ordered.groupBy().agg(
@@ -112,7 +118,7 @@ CONTEXT_SQL = f"""context AS (SELECT CAST(row_number() OVER (ORDER BY relevance
 
 
 def _context(spark, sf):
-    return context.question_context(fx.library(spark, sf), fx.chunks(spark, sf), QUESTION)
+    return context.question_context(fx.library(spark, sf), fx.search_index(spark, sf), QUESTION)
 
 
 @query(
