@@ -208,18 +208,48 @@ def _(spark, sf):
  UNION ALL SELECT id, filename, title, strftime(added_at, '%Y-%m-%d %H:%M:%S'), '2030-01-01 00:00:00' FROM library WHERE language = 'en'""",
 )
 def _(spark, sf):
-    """Two batches into the log: the library, then changed rows; the second one replayed."""
-    folder = work_folder(spark, "log")
+    """A stream of library rows into the log: the library, a snapshot, then changed rows from a restarted stream."""
+    root, source, checkpoint = work_folder(spark, "log"), work_folder(spark, "log-source"), work_folder(spark, "log-checkpoint")
     lib = fx.library(spark, sf).select("id", "filename", "title", "added_at")
     changed = fx.library(spark, sf).filter("language <> 'en'").select(
         "id", F.concat(F.lit("copy-"), "filename").alias("filename"), F.concat(F.lit("New "), "title").alias("title"), "added_at"
     )
-    for number, batch in ((0, lib), (1, changed), (1, changed)):
-        ingest.log_batch(folder, F.lit(f"2030-01-0{number + 1} 00:00:00").cast("timestamp_ntz"))(batch, number)
-    merged = ingest.library_from_log(spark, folder)
+    for day, rows in ((1, lib), (2, changed)):
+        rows.coalesce(4).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(lib.schema).parquet(source)
+        now = F.lit(f"2030-01-0{day} 00:00:00").cast("timestamp_ntz")
+        ingest.run_upsert(stream, root, checkpoint, now=now).awaitTermination()
+        if day == 1:
+            ingest.compact(spark, root)
+    merged = ingest.library_from_log(spark, root)
     return merged.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("added_at", "updated_at")})
 
 
+@query(
+    "results_round_trip",
+    sql.with_views(sql.LIBRARY, sql.CHUNKS)
+    + """SELECT 'fulltext' AS name, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents
+ UNION ALL SELECT 'library', count(*), CAST(sum(length(title)) AS BIGINT) FROM library
+ UNION ALL SELECT 'chunks', count(*), CAST(sum(length(text)) AS BIGINT) FROM chunks
+ UNION ALL SELECT 'status', count(*), count(*) * length('complete') FROM library""",
+)
+def _(spark, sf):
+    """Results written twice as one version each, read back by the manifest; the first version is vacuumed."""
+    root = work_folder(spark, "results")
+    lib, chunk = fx.library(spark, sf), fx.chunks(spark, sf)
+    texts = fx.table(spark, sf, "documents").select("doc_id", "text")
+    tables.write_results(texts.limit(0), lib.limit(0), chunk.limit(0), root)
+    tables.write_results(texts, lib, chunk, root)
+    tables.vacuum_results(spark, root)
+    back = tables.read_results(spark, root)
+    measured = [
+        back[name].select(F.lit(name).alias("name"), F.length(column).cast("bigint").alias("chars"))
+        for name, column in (("fulltext", "text"), ("library", "title"), ("chunks", "text"), ("status", "status"))
+    ]
+    whole = measured[0].union(measured[1]).union(measured[2]).union(measured[3])
+    return whole.groupBy("name").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+
+
 @query("stream_ingest", _TEXT_FILE_SQL)
 def _(spark, sf):
     stream = ingest.documents(ingest.stream_files(spark, _text_files(spark, sf)))

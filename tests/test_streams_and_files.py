@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import lookups
@@ -92,7 +93,7 @@ def test_log_of_full_library_rows(spark, tmp_path):
     ingest.log_batch(root, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), "no")(first, 0)
     second = spark.createDataFrame([("a", "new", "g", None, 1), ("b", "one", "h", None, 1)], schema)
     ingest.log_batch(root, F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"), "no")(second, 1)
-    ingest.compact(spark, root, table)
+    ingest.publish(spark, root, table)
     rows = {r.id: r for r in tables.read_table(spark, table).collect()}
     assert (rows["a"].title, rows["a"].filename, rows["a"].added_at) == ("new", "f", time)
     assert (rows["b"].title, rows["b"].added_at, rows["b"].updated_at) == ("one", dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 2))
@@ -137,15 +138,44 @@ def test_results_round_trip_and_swap(spark, tmp_path):
     text = spark.createDataFrame([("a", "full")], "id STRING, text STRING")
     lib = spark.createDataFrame([("a", "T", ["X"])], "id STRING, title STRING, author ARRAY<STRING>")
     chunk = spark.createDataFrame([("a", 0, "c")], "id STRING, chunk_id INT, text STRING")
-    tables.write_results(text, lib, chunk, root)
-    assert tables.read_table(spark, f"{root}/library").collect() == lib.collect()
-    assert tables.read_table(spark, f"{root}/status").first().status == "complete"
-    before = tables.current_version(spark, f"{root}/library")
-    tables.replace_table(tables.read_table(spark, f"{root}/library").withColumn("title", F.lit("U")), f"{root}/library")
-    assert tables.current_version(spark, f"{root}/library") != before
-    assert tables.read_table(spark, f"{root}/library").first().title == "U"
-    assert spark.read.parquet(before).first().title == "T"
-    assert tables.read_table(spark, f"{root}/nothing") is None
+    assert tables.read_results(spark, root) is None
+    first = tables.write_results(text, lib, chunk, root)
+    got = tables.read_results(spark, root)
+    assert got["library"].collect() == lib.collect() and got["chunks"].collect() == chunk.collect() and got["fulltext"].collect() == text.collect()
+    assert got["status"].first().status == "complete"
+    # A reader that began before the second write goes on with the four tables of the first.
+    second = tables.write_results(text.withColumn("text", F.lit("more")), lib.withColumn("title", F.lit("U")), chunk, root)
+    assert all(first[name] != second[name] for name in tables.RESULTS)
+    old, new = tables.read_results(spark, root, first), tables.read_results(spark, root)
+    assert (old["library"].first().title, old["fulltext"].first().text) == ("T", "full")
+    assert (new["library"].first().title, new["fulltext"].first().text) == ("U", "more")
+    assert tables.vacuum_results(spark, root, keep=[first]) == []
+    assert len(tables.vacuum_results(spark, root)) == 4
+    assert tables.read_results(spark, root)["library"].first().title == "U"
+    assert not (tmp_path / "out" / "library" / first["library"]).exists()
+
+
+def test_a_write_that_fails_leaves_the_old_results(spark, tmp_path):
+    root = str(tmp_path / "out")
+    lib = spark.createDataFrame([("a", "T")], "id STRING, title STRING")
+    chunk = spark.createDataFrame([("a", 0, "c")], "id STRING, chunk_id INT, text STRING")
+    tables.write_results(chunk.select("id", "text"), lib, chunk, root)
+    broken = chunk.withColumn("chunk_id", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        tables.write_results(chunk.select("id", "text"), lib.withColumn("title", F.lit("U")), broken, root)
+    got = tables.read_results(spark, root)
+    assert got["library"].first().title == "T" and got["chunks"].count() == 1
+    assert len(tables.vacuum_results(spark, root)) >= 2 and tables.read_results(spark, root)["library"].first().title == "T"
+
+
+def test_table_swap(spark, tmp_path):
+    root = str(tmp_path / "t")
+    assert tables.read_table(spark, root) is None
+    tables.replace_table(spark.range(1), root)
+    before = tables.current_version(spark, root)
+    tables.replace_table(tables.read_table(spark, root).union(spark.range(1)), root)
+    assert tables.current_version(spark, root) != before
+    assert (tables.read_table(spark, root).count(), spark.read.parquet(before).count()) == (2, 1)
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -180,8 +210,58 @@ def test_replayed_batches_change_nothing(spark, tmp_path):
     assert state() == want
     at(2)(second, 1)
     assert state() == want
-    ingest.compact(spark, root, str(tmp_path / "table"))
+    ingest.publish(spark, root, str(tmp_path / "table"))
     assert tables.read_table(spark, str(tmp_path / "table")).count() == 2
+    # A snapshot changes nothing, nor does a batch that it holds and that is replayed, nor a second snapshot.
+    ingest.compact(spark, root, buckets=3)
+    assert state() == want and ingest.open_batches(spark, root) == []
+    at(9)(second, 1)
+    assert state() == want and ingest.compact(spark, root) == tables.read_manifest(spark, root)
+    ingest.drop_merged(spark, root)
+    assert state() == want
+
+
+def test_compaction_writes_only_folders_with_new_keys(spark, tmp_path):
+    root = str(tmp_path / "log")
+    columns = "id STRING, filename STRING, title STRING"
+
+    def add(number, ids):
+        rows = spark.createDataFrame([(i, f"{i}-{number}.txt", f"T{number}") for i in ids], columns)
+        ingest.log_batch(root, F.lit(f"2024-01-0{number + 1}").cast("timestamp_ntz"))(rows, number)
+
+    everyone = [f"d{i}" for i in range(40)]
+    add(0, everyone)
+    before = ingest.compact(spark, root, buckets=7)["buckets"]
+    add(1, ["d3"])
+    add(2, ["d3", "new"])
+    got = {r.id: (r.filename, r.title, str(r.added_at)[:10], str(r.updated_at)[:10]) for r in ingest.library_from_log(spark, root).collect()}
+    assert len(got) == 41 and got["d3"] == ("d3-0.txt", "T2", "2024-01-01", "2024-01-03") and got["new"][0] == "new-2.txt"
+    after = ingest.compact(spark, root)["buckets"]
+    assert 1 <= sum(before[b] != after[b] for b in before) <= 2
+    ingest.drop_merged(spark, root)
+    assert {r.id: (r.filename, r.title, str(r.added_at)[:10], str(r.updated_at)[:10]) for r in ingest.library_from_log(spark, root).collect()} == got
+    # Only the snapshot and open batches are read.
+    add(3, ["d5"])
+    files = ingest.library_from_log(spark, root).inputFiles()
+    assert all("/snapshot/" in f or "/batch=3/" in f for f in files)
+
+
+def test_upsert_stream_restarts_where_it_was(spark, tmp_path):
+    root, source, cp = str(tmp_path / "log"), str(tmp_path / "in"), str(tmp_path / "cp")
+    schema = "id STRING, filename STRING, title STRING"
+
+    def feed(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        ingest.run_upsert(stream, root, cp).awaitTermination()
+
+    feed([("a", "a.txt", "A"), ("b", "b.txt", "B")])
+    feed([("a", "x.txt", "A2")])
+    assert ingest.open_batches(spark, root) == [0, 1]
+    assert {(r.id, r.filename, r.title) for r in ingest.library_from_log(spark, root).collect()} == {("a", "a.txt", "A2"), ("b", "b.txt", "B")}
+    ingest.compact(spark, root)
+    feed([("c", "c.txt", "C")])
+    assert ingest.open_batches(spark, root) == [2] and ingest.library_from_log(spark, root).count() == 3
 
 
 def test_running_statistics_add_up(spark, tmp_path):
