@@ -16,8 +16,8 @@ only bundles whose minimizer occurs in two documents can hold a repeated window;
    that continue each other in both documents are joined to spans. A span is verified: the digest of its own words must
    be that of the words at its source, both read from the texts again. Then its words are removed.
 
-Copies of one text cost one row per path and document; nothing is compared pair by pair. Texts travel only where a list
-of places is too large to be sent to all tasks (`broadcast_if_small`).
+Copies of one text cost one row per path and document; nothing is compared pair by pair. Tables of places are sent to all
+tasks only if their counted rows take ``SENT_BYTES`` of memory at most (`_if_few`); beyond that they are joined by a shuffle.
 
 Defined results: a null text has no words and stays null, an empty one stays empty; a null id is neither smaller than another
 nor has a smaller one, so such a row stays whole and is no source; rows that share an id are no sources for each other;
@@ -38,13 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm.tables import text_slices, written
-from scriptorium.session import broadcast_if_small
 
 WINDOW = 50
 #: Words of the k-mers whose least hash bundles windows. Fewer make longer bundles, but meet by chance more often.
 ANCHOR = 16
 #: Bytes of text that a task takes apart at a time, or one longer text.
 SLICE = 4_000_000
+#: Memory that a table sent to all tasks may take.
+SENT_BYTES = 32_000_000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -126,6 +127,12 @@ def _lists(ends: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
 
 
+def _if_few(table: DataFrame, row_bytes: int, listed: str | None = None) -> DataFrame:
+    """A written table, marked for broadcast if its rows (or the elements of its lists) are counted to take ``SENT_BYTES`` at most."""
+    rows = table.count() if listed is None else table.agg(F.sum(F.size(listed) + 1)).first()[0] or 0
+    return F.broadcast(table) if rows * row_bytes <= SENT_BYTES else table
+
+
 def _keyed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     """doc_id, row (a digest of the text) and words (the text) of the rows that can repeat or be repeated."""
     return docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text]).alias("row"), docs[text].alias("words")).where(
@@ -157,7 +164,7 @@ def _repeated_bundles(keyed: DataFrame) -> DataFrame:
     """The bundles whose minimizer occurs in two documents, each with the bundles that touch it before and after."""
     lists = written(_bundle_lists(keyed), "bundle-lists")
     anchors = lists.select("doc_id", F.explode("anchor").alias("shared")).groupBy("shared").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    anchors = broadcast_if_small(written(anchors.where("low < high").select("shared"), "shared-anchors"))
+    anchors = _if_few(written(anchors.where("low < high").select("shared"), "shared-anchors"), 24)
     each = lists.select("doc_id", "row", F.explode(F.arrays_zip("start", "n", "anchor", "digest")).alias("b")).select("doc_id", "row", "b.*")
     walk = Window.partitionBy("doc_id", "row").orderBy("start")
     end = F.col("start") + F.col("n")
@@ -191,7 +198,7 @@ def compacted(classes: DataFrame) -> DataFrame:
         ),
         "path-pointers",
     )
-    inner = broadcast_if_small(pointers.select(F.col("node").alias("inner")))
+    inner = _if_few(pointers.select(F.col("node").alias("inner")), 80)
     heads = classes.join(inner, F.col("digest") == F.col("inner"), "left_anti").select("digest", "first", "n")
     while True:
         further = pointers.select(F.col("node").alias("via"), F.col("parent").alias("beyond"))
@@ -206,8 +213,8 @@ def compacted(classes: DataFrame) -> DataFrame:
 
 
 def _at(keyed: DataFrame, places: DataFrame) -> DataFrame:
-    """``keyed`` rows that ``places`` (at_id, at_row and a list) asks for, with the list."""
-    return keyed.join(broadcast_if_small(places), (F.col("doc_id") == F.col("at_id")) & (F.col("row") == F.col("at_row")))
+    """``keyed`` rows that ``places`` (at_id, at_row and a list ``asked``) asks for, with the list."""
+    return keyed.join(_if_few(places, 60, "asked"), (F.col("doc_id") == F.col("at_id")) & (F.col("row") == F.col("at_row")))
 
 
 def _laid_out(keyed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -247,23 +254,23 @@ def _pieces(keyed: DataFrame) -> DataFrame:
     """doc_id, row, start, n (windows) and source_id, source_row, source_start: windows that an earlier document has, too."""
     repeated = written(_repeated_bundles(keyed), "repeated-bundles")
     classes = written(_classes(repeated), "bundle-classes")
-    heads = broadcast_if_small(written(compacted(classes.where("last_id > first.doc_id")), "paths").withColumnsRenamed({"digest": "head", "n": "windows"}))
+    heads = _if_few(written(compacted(classes.where("last_id > first.doc_id")), "paths").withColumnsRenamed({"digest": "head", "n": "windows"}), 150)
     whole = repeated.join(heads, F.col("digest") == F.col("head")).where("doc_id > first.doc_id").select(
         "doc_id", "row", "start", F.col("windows").alias("n"), F.col("first.doc_id").alias("source_id"), F.col("first.row").alias("source_row"), F.col("first.start").alias("source_start"),
     )
     # Classes that share a minimizer may share windows.
     crowds = classes.groupBy(F.col("anchor").alias("open")).agg(F.min("first.doc_id").alias("low"), F.max("first.doc_id").alias("high"))
-    crowds = broadcast_if_small(written(crowds.where("low < high").select("open"), "open-anchors"))
+    crowds = _if_few(written(crowds.where("low < high").select("open"), "open-anchors"), 24)
     windows = written(_laid_out(keyed, classes.join(crowds, F.col("anchor") == F.col("open"), "left_semi")), "open-windows")
     first = windows.groupBy(F.col("anchor").alias("of_anchor"), F.col("window").alias("of_window")).agg(
         F.min(F.struct("doc_id", "row", "at")).alias("source"), F.max("doc_id").alias("last_id")
     )
-    known = broadcast_if_small(written(first.where("last_id > source.doc_id").drop("last_id"), "shared-windows"))
+    known = written(first.where("last_id > source.doc_id").drop("last_id"), "shared-windows")
     partly = windows.join(known, (F.col("anchor") == F.col("of_anchor")) & (F.col("window") == F.col("of_window"))).where("doc_id > source.doc_id")
     place = F.struct("doc_id", "row", (F.col("at") - F.col("offset")).alias("start"))
     partly = partly.select(place.alias("place"), F.col("doc_id").alias("of_id"), "offset", "source").distinct()
     partly = partly.join(classes.select(F.col("first").alias("place"), F.col("digest").alias("of_class")), "place").drop("place")
-    partly = broadcast_if_small(written(partly, "partly-repeated"))
+    partly = written(partly, "partly-repeated")
     # The class's other documents have lost the whole bundle; all its places in the first one lose these windows.
     parts = repeated.join(partly, (F.col("digest") == F.col("of_class")) & (F.col("doc_id") == F.col("of_id"))).select(
         "doc_id", "row", (F.col("start") + F.col("offset")).alias("start"), F.lit(1).alias("n"),
@@ -320,7 +327,7 @@ def spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
     kind = keyed.schema["doc_id"].dataType.simpleString()
     read = _at(keyed, written(asked, "asked-sources")).select("doc_id", "row", "words", "asked")
     digests = read.mapInArrow(run, f"d_id {kind}, d_row long, d_start int, d_words int, words_digest binary").distinct()
-    digests = broadcast_if_small(written(digests, "source-digests"))
+    digests = _if_few(written(digests, "source-digests"), 150)
     same = [F.col(a) == F.col(b) for a, b in (("source_id", "d_id"), ("source_row", "d_row"), ("source_start", "d_start"), ("n_words", "d_words"))]
     return found.join(digests, same).drop("d_id", "d_row", "d_start", "d_words")
 
