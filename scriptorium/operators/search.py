@@ -21,6 +21,8 @@ CONTEXT_CHUNKS = 5
 BROADCAST_HITS = 10_000
 # Query words that a batch search treats by patterns, so there are up to two to this power of these.
 COMMON_TERMS = 10
+# Pairs of queries and chunks up to which a batch search lets every word pair them.
+PAIRS = 20_000_000
 
 
 def relevance(text: Column, query: str) -> Column:
@@ -133,13 +135,14 @@ def words_holding(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def batch_search(
-    chunks: DataFrame, queries: DataFrame, k: int = MAX_RESULTS, mode: str = "substring", key: str = "doc_id"
+    chunks: DataFrame, queries: DataFrame, k: int = MAX_RESULTS, mode: str = "substring", key: str = "doc_id", pairs: int = PAIRS
 ) -> DataFrame:
     """The ``k`` best chunks for every query of a table, scored like ``keyword_search``.
 
     Query words hold no blanks, so a chunk contains a query word exactly when one of the chunk's
     blank-separated words does. That turns the search into equality joins on words: distinct words meet
-    the distinct query words once, then the chunk's words look the result up. `best_chunks` bounds what common words pair.
+    the distinct query words once, then the chunk's words look the result up. Where all queries and chunks make more
+    than ``pairs`` pairs, `best_chunks` bounds what common words pair; the result is the same.
     """
     terms = query_terms(queries)
     postings = chunks.select(key, "chunk_id", F.explode(F.array_distinct(words(F.lower("text")))).alias("word"))
@@ -147,8 +150,8 @@ def batch_search(
     if mode == "word":
         meant = wanted.select(F.col("term").alias("word"), F.array("term").alias("meant"))
     else:
-        pairs = words_holding(postings.select("word").distinct(), wanted)
-        meant = pairs.groupBy("word").agg(F.collect_list("term").alias("meant"))
+        found = words_holding(postings.select("word").distinct(), wanted)
+        meant = found.groupBy("word").agg(F.collect_list("term").alias("meant"))
     # Written and measured: broadcast when small, so that a chunk's words need not travel; else a shuffled
     # join, kept from broadcasting the words by a hint, because their number is easily underestimated.
     meant = broadcast_if_small(cut_lineage(meant, "search-words"))
@@ -159,7 +162,26 @@ def batch_search(
         .groupBy(key, "chunk_id")
         .agg(F.array_distinct(F.flatten(F.collect_list("meant"))).alias("held"))
     )
-    return best_chunks(cut_lineage(holding, "search-holding"), terms, k, key)
+    if chunks.select(key).count() * queries.count() > pairs:
+        return best_chunks(cut_lineage(holding, "search-holding"), terms, k, key)
+    # The rows stay where the counting per chunk puts them: counting per query and chunk needs no further shuffle.
+    hits = (
+        holding.select(key, "chunk_id", F.explode("held").alias("term"))
+        .join(terms, "term")
+        .groupBy("query_id", "n_terms", key, "chunk_id")
+        .agg(F.sum("times").alias("matched"))
+    )
+    return _leaders(hits.select("query_id", key, "chunk_id", _share()), k, key)
+
+
+def _share() -> Column:
+    return (F.col("matched").cast("double") / F.col("n_terms")).alias("relevance")
+
+
+def _leaders(hits: DataFrame, k: int, key: str) -> DataFrame:
+    """The first ``k`` rows of each query with their ``rank``; each task cuts its own rows before they are shuffled."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("relevance"), key, "chunk_id")
+    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def common_terms(holding: DataFrame, terms: DataFrame, k: int, most: int = COMMON_TERMS) -> list[str]:
@@ -184,7 +206,9 @@ def best_chunks(holding: DataFrame, terms: DataFrame, k: int, key: str = "doc_id
     for i, term in enumerate(common):
         bit = bit + F.when(F.array_contains("held", term), 1 << i).otherwise(0)
     asked = F.array(*[F.lit(t) for t in common]) if common else F.array().cast("array<string>")
-    chunks = holding.select(key, "chunk_id", F.array_except("held", asked).alias("rare"), bit.cast("int").alias("pattern"))
+    # Dealt by chunk once, while a chunk is one row: counting per query and chunk needs no further shuffle.
+    dealt = holding.repartition(key, "chunk_id")
+    chunks = dealt.select(key, "chunk_id", F.array_except("held", asked).alias("rare"), bit.cast("int").alias("pattern"))
     # What each common word counts for a query, in the order of the bits.
     counts = [F.sum(F.when(F.col("term") == term, F.col("times")).otherwise(0)).cast("int").alias(f"common_{i}") for i, term in enumerate(common)]
     weights = terms.groupBy("query_id", "n_terms").agg(F.count("*").alias("n_different"), *counts)
@@ -214,15 +238,13 @@ def best_chunks(holding: DataFrame, terms: DataFrame, k: int, key: str = "doc_id
         .agg(F.sum("times").alias("matched"))
         .select("query_id", key, "chunk_id", "n_terms", "matched")
     )
-    # A chunk met both ways counts with all its words: the larger number.
-    hits = by_rare.unionByName(by_common) if common else by_rare
-    hits = hits.groupBy("query_id", key, "chunk_id", "n_terms").agg(F.max("matched").alias("matched")) if common else hits
-    best = Window.partitionBy("query_id").orderBy(F.desc("relevance"), key, "chunk_id")
-    return (
-        hits.select("query_id", key, "chunk_id", (F.col("matched").cast("double") / F.col("n_terms")).alias("relevance"))
-        .withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= k)
-    )
+    hits = _leaders(by_rare.select("query_id", key, "chunk_id", _share()), k, key)
+    if not common:
+        return hits
+    # A chunk met both ways counts with all its words, the larger number. What the cut of the pairs by other words has
+    # dropped has k better ones before it, so it may come back with the common words alone and still not be among the first.
+    both = hits.drop("rank").unionByName(by_common.select("query_id", key, "chunk_id", _share()))
+    return _leaders(both.groupBy("query_id", key, "chunk_id").agg(F.max("relevance").alias("relevance")), k, key)
 
 
 def year_facet(library: DataFrame) -> DataFrame:
