@@ -12,9 +12,9 @@ meet (in crowds: and whose counts of common letters allow it) are verified by a
 the band's 2 * EDITS + 1 cells of a column are bits of a number, a fold over the other line's characters moves it on;
 equal ends of the pair are cut off first.
 
-Lines are written once and travel as 64-bit digests (two different lines share one with a chance of one to 2^64 for
-each pair). A frequent line is compared in the row with the smallest id only, by a broadcast list that cannot hold
-more than ``FREQUENT`` lines.
+Lines travel as 64-bit digests (two different lines share one with a chance of one to 2^64 for each pair). Repeats are
+folded before the join, by one aggregation with partial sums in every task: each different line is indexed and probes
+once, however often it occurs.
 
 Defined results: a null text stays null; empty texts and empty lines stay; rows that share an id each keep
 their first line of a class if that id is its smallest; of rows without an id likewise, if no row with an id has the
@@ -33,7 +33,6 @@ CHARS_PER_EDIT = 20
 MIN_CHARS = 1
 #: The shorter of two different linked lines has at least so many characters.
 NEAR_CHARS = CHARS_PER_EDIT - 1
-FREQUENT = 100_000
 #: Letters whose counts tell pairs apart before their texts are fetched; any sixteen do, common ones do best.
 BAG_LETTERS = "etaoinsrhldcumpb"
 #: Lines that share a segment before letters are counted: this decides the work, not the result.
@@ -46,15 +45,21 @@ def normal(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(" \t\r")))
 
 
-def _lines(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    """row (digest of id and text), doc_id, line_no, norm and line (its digest) of each line that is compared."""
-    # Normal forms are made before the explosion: what is above it reads them as they are.
-    norms = F.transform(F.split(F.col(text), "\n", -1), normal)
-    return (
-        docs.select(F.xxhash64(id_col, text).alias("row"), F.col(id_col).alias("doc_id"), F.posexplode(norms).alias("line_no", "norm"))
-        .where(F.length("norm") >= MIN_CHARS)
-        .withColumn("line", F.xxhash64("norm"))
-    )
+def _norms(text: str) -> Column:
+    return F.transform(F.split(F.col(text), "\n", -1), normal)
+
+
+def _occurrences(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """row (digest of id and text), doc_id, line_no and line (digest of the normal form) of each line that is compared."""
+    digests = F.transform(_norms(text), lambda n: F.when(F.length(n) >= MIN_CHARS, F.xxhash64(n)))
+    rows = docs.select(F.xxhash64(id_col, text).alias("row"), F.col(id_col).alias("doc_id"), F.posexplode(digests).alias("line_no", "line"))
+    return rows.where("line is not null")
+
+
+def _different(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """One row for each different line: line, norm, n (its occurrences) and first_id (the smallest id that has it)."""
+    norms = docs.select(F.col(id_col).alias("doc_id"), F.explode(_norms(text)).alias("norm")).where(F.length("norm") >= MIN_CHARS)
+    return norms.groupBy(F.xxhash64("norm").alias("line"), "norm").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
 def _bag(norm: Column) -> Column:
@@ -116,7 +121,7 @@ def _places(edits: int) -> list[tuple[int, int, int]]:
 
 
 def _candidates(lines: DataFrame, edits: int) -> DataFrame:
-    """Pairs (a, b) of digests of lines that share a segment; ``lines``: line and norm.
+    """Pairs (a, b) of digests of lines that share a segment; ``lines``: line and norm, each line once.
 
     Where more than ``CROWD`` lines share an indexed segment, as the versions of one page do, counts of common letters
     drop most pairs inside the join; lines without such company need no counts.
@@ -131,7 +136,7 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
     crowds = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key")
     crowded = written(index.join(crowds, "key", "left_semi").select(F.col("a").alias("crowded")).distinct(), "crowded-lines")
     some = _if_few(crowded)
-    bags = lines.join(some, F.col("line") == F.col("crowded"), "left_semi").dropDuplicates(["line"]).select("line", _bag(F.col("norm")).alias("bag"))
+    bags = lines.join(some, F.col("line") == F.col("crowded"), "left_semi").select("line", _bag(F.col("norm")).alias("bag"))
     bags = _if_few(written(bags, "crowded-bags"))
     known = lambda name: bags.select(F.col("line").alias(f"{name}_line"), F.col("bag").alias(f"{name}_bag"))
     asking = sized.join(known("b"), F.col("line") == F.col("b_line"), "left")
@@ -193,11 +198,11 @@ def distances(pairs: DataFrame, edits: int) -> DataFrame:
     ).drop("_long", "_short", "_head", "_tail", "_a", "_b")
 
 
-def links(docs_lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Links (a, b) of digests of near-equal lines; ``docs_lines``: line and norm, the same line possibly several times."""
-    met = written(_candidates(docs_lines, edits), "line-candidates")
+def links(different: DataFrame, edits: int = EDITS) -> DataFrame:
+    """Links (a, b) of digests of near-equal lines; ``different``: line and norm, each line once."""
+    met = written(_candidates(different, edits), "line-candidates")
     wanted = written(met.select(F.col("a").alias("wanted")).union(met.select("b")).distinct(), "wanted-lines")
-    texts = docs_lines.join(_if_few(wanted), F.col("line") == F.col("wanted"), "left_semi").dropDuplicates(["line"])
+    texts = different.join(_if_few(wanted), F.col("line") == F.col("wanted"), "left_semi")
     texts = written(texts.select("line", "norm"), "wanted-texts")
     x = texts.select(F.col("line").alias("a"), F.col("norm").alias("x"))
     y = texts.select(F.col("line").alias("b"), F.col("norm").alias("y"))
@@ -213,15 +218,10 @@ def links(docs_lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
     """Occurrences (row, doc_id, line_no, line) of all lines compared, and (line, class, first_id) of those not alone in their class."""
-    lines = written(_lines(docs, text, id_col), "lines")
-    places = lines.select("row", "doc_id", "line_no", "line")
-    counts = written(places.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")), "line-counts")
-    total = places.count()
-    # Fewer than FREQUENT lines can make up more than this share of all.
-    frequent = counts.where(F.col("n") > max(1.0, total / FREQUENT)).select(F.col("line").alias("known"), F.col("first_id").alias("known_id"))
-    once = lines.join(F.broadcast(frequent), F.col("line") == F.col("known"), "left").where("known is null or doc_id <=> known_id")
-    near = components(links(once.where(F.length("norm") >= NEAR_CHARS).select("line", "norm"), edits))
-    shared = counts.join(near, F.col("line") == F.col("node"), "left").where("n > 1 or component is not null")
+    places = written(_occurrences(docs, text, id_col), "lines")
+    different = written(_different(docs, text, id_col), "different-lines")
+    near = components(links(different.where(F.length("norm") >= NEAR_CHARS).select("line", "norm"), edits))
+    shared = different.join(near, F.col("line") == F.col("node"), "left").where("n > 1 or component is not null")
     named = written(shared.select("line", "first_id", F.coalesce("component", "line").alias("class")), "line-classes")
     first = named.groupBy("class").agg(F.min("first_id").alias("class_id"))
     return places, named.select("line", "class").join(first, "class")

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.llm import line_dedup as ld
 
@@ -116,12 +117,23 @@ def test_equals_brute_force(spark, rows):
 
 def test_texts_are_fetched_without_a_broadcast_too(spark, rows, monkeypatch):
     monkeypatch.setattr(ld, "BROADCAST_LINES", 0)
-    monkeypatch.setattr(ld, "FREQUENT", 50)
     monkeypatch.setattr(ld, "CROWD", 1)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(((str(r["doc_id"]), r["text"], r["_n_removed"]) for r in ld.dedup(docs).collect()), key=str) == brute(rows)
 
 
+def test_repeats_do_not_multiply_in_the_join(spark):
+    """Two near-equal lines, thousands of times each over many rows and within rows, meet as one pair."""
+    first, second = "all rights to this page are reserved", "all rights to this page are reserved!"
+    docs = spark.range(1500).selectExpr("id as doc_id", f"concat_ws('\n', '{first}', concat('only ', id * 7919), '{second}', '{first}') as text")
+    different = ld._different(docs, "text", "doc_id")
+    assert {r["n"] for r in different.where("n > 1").collect()} == {1500, 3000}
+    lines = different.where(F.length("norm") >= ld.NEAR_CHARS).select("line", "norm")
+    assert lines.count() == 2 and ld._candidates(lines, ld.EDITS).count() == 1
+    got = {r["doc_id"]: (r["text"], r["_n_removed"]) for r in ld.dedup(docs).collect()}
+    assert got[0] == (f"{first}\nonly 0", 2) and got[7] == ("only 55433", 3) and len(got) == 1500
+
+
 def test_very_long_lines(spark):
     long = "a very long line " * 4000
     docs = spark.createDataFrame([(1, long + "\n" + long + "z"), (2, "z" + long + "x"), (3, "zz" + long + "xx")], "doc_id long, text string")
