@@ -7,8 +7,8 @@ the one in the row with the smallest id stays, the first of that row; the others
 
 The join is Pass-Join (Li et al., 2011): a line of length n is cut into ``EDITS + 1`` even segments; a line within
 the distance holds one of them whole, at a place that the multi-match-aware bounds narrow to a few. Segments are
-indexed by length, number and content, and the other lines probe these keys for the lengths they may meet. Pairs that
-meet (in crowds: and whose counts of common letters allow it) are verified by a banded bit-parallel edit distance (Hyyroe, 2003):
+indexed by number and content, and the other lines probe these keys for the lengths they may meet; lengths that cut the
+same part share its key, the join compares the lengths themselves. Pairs that meet (in crowds: and whose counts of common letters allow it) are verified by a banded bit-parallel edit distance (Hyyroe, 2003):
 the band's 2 * EDITS + 1 cells of a column are bits of a number, a fold over the other line's characters moves it on;
 equal ends of the pair are cut off first.
 
@@ -91,10 +91,11 @@ def _size(length: str, number: int, parts: int) -> str:
 def _segment(length: str, number: int, shift: int, parts: int) -> Column:
     """Key of the part of a line where segment ``number`` of a line of ``length`` would lie, moved by ``shift``.
 
+    The length is no part of the key: for one line, most lengths cut the same part and need one probe.
     Segments are longer than any shift, so the part always lies inside; it is cut from the stretch ``_around`` keeps.
     """
     inside = f"substring(around_{number}, {_start(length, number, parts)} + {shift} - from_{number} + 1, {_size(length, number, parts)})"
-    return F.expr(f"xxhash64({inside}, {length}, {number})")
+    return F.expr(f"xxhash64({inside}, {number})")
 
 
 def _around(lines: DataFrame, edits: int) -> DataFrame:
@@ -131,8 +132,8 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
         raise ValueError("lines must be long enough for segments that are longer than their shifts")
     sized = _around(lines, edits)
     index_keys = F.array(*[_segment("size", n, 0, parts) for n in range(parts)])
-    probe_keys = F.array(*[_segment(f"size - {m}", n, s, parts) for m, n, s in _places(edits)])
-    index = written(sized.select(F.col("line").alias("a"), F.explode(index_keys).alias("key")), "line-segments")
+    probe_keys = F.array_distinct(F.array(*[_segment(f"size - {m}", n, s, parts) for m, n, s in _places(edits)]))
+    index = written(sized.select(F.col("line").alias("a"), F.col("size").alias("a_size"), F.explode(index_keys).alias("key")), "line-segments")
     crowds = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key")
     crowded = written(index.join(crowds, "key", "left_semi").select(F.col("a").alias("crowded")).distinct(), "crowded-lines")
     some = _if_few(crowded)
@@ -140,10 +141,13 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
     bags = _if_few(written(bags, "crowded-bags"))
     known = lambda name: bags.select(F.col("line").alias(f"{name}_line"), F.col("bag").alias(f"{name}_bag"))
     asking = sized.join(known("b"), F.col("line") == F.col("b_line"), "left")
-    probes = asking.select(F.col("line").alias("b"), "b_bag", F.explode(probe_keys).alias("probe"))
-    indexed = index.join(known("a"), F.col("a") == F.col("a_line"), "left").select("a", "a_bag", "key")
+    probes = asking.select(F.col("line").alias("b"), F.col("size").alias("b_size"), "b_bag", F.explode(probe_keys).alias("probe"))
+    indexed = index.join(known("a"), F.col("a") == F.col("a_line"), "left").select("a", "a_size", "a_bag", "key")
+    # A line meets those as long, once for each two, and those up to ``edits`` shorter.
+    missing = F.col("b_size") - F.col("a_size")
+    fits = ((missing == 0) & (F.col("a") < F.col("b"))) | ((missing > 0) & (missing <= edits))
     alike = F.coalesce(_bags_differ(F.col("a_bag"), F.col("b_bag")) <= 2 * edits, F.lit(True))
-    met = probes.join(indexed, (F.col("probe") == F.col("key")) & (F.col("a") != F.col("b")) & alike)
+    met = probes.join(indexed, (F.col("probe") == F.col("key")) & fits & alike)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
