@@ -240,12 +240,12 @@ def dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", edits: in
     again = found.where("doc_id <=> class_id").withColumn("first_no", F.min("line_no").over(mine)).where("line_no > first_no").select("row", "line_no")
     cut = foreign.union(again).groupBy("row").agg(F.collect_set("line_no").alias("_cut")).withColumnRenamed("row", "_cut_row")
     whole = docs.withColumn("_row", F.xxhash64(id_col, text))
-    lines = F.split(F.col(text), "\n", -1)
-    n_lines = F.coalesce(F.size(lines), F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_cut"))
-    shortened = F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    # Hashed on the side of the cuts: the texts need no sorting.
-    return whole.join(cut.hint("shuffle_hash"), F.col("_row") == F.col("_cut_row"), "left").select(
+    n_lines = F.coalesce(F.size("_lines"), F.lit(0))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_cut"))
+    shortened = F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
+    # Hashed on the side of the cuts: the texts need no sorting. Split once for a text, not inside the lambda for each line.
+    joined = whole.join(cut.hint("shuffle_hash"), F.col("_row") == F.col("_cut_row"), "left").withColumn("_lines", F.split(F.col(text), "\n", -1))
+    return joined.select(
         *[shortened.alias(c) if c == text else F.col(c) for c in docs.columns],
         F.when(F.col(text).isNull(), 0).otherwise(n_lines).alias("_n_lines"),
         F.coalesce(F.size("_cut"), F.lit(0)).alias("_n_removed"),
