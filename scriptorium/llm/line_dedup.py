@@ -88,13 +88,12 @@ def _size(length: str, number: int, parts: int) -> str:
     return f"(int(({length}) div {parts}) + if(int(({length}) % {parts}) >= {parts - number}, 1, 0))"
 
 
-def _segment(length: str, number: int, shift: int, parts: int) -> Column:
-    """Key of the part of a line where segment ``number`` of a line of ``length`` would lie, moved by ``shift``.
+def _segment(length: str, number: int, parts: int) -> Column:
+    """Key of segment ``number`` of a line of ``length``, cut from the stretch ``_around`` keeps.
 
     The length is no part of the key: for one line, most lengths cut the same part and need one probe.
-    Segments are longer than any shift, so the part always lies inside; it is cut from the stretch ``_around`` keeps.
     """
-    inside = f"substring(around_{number}, {_start(length, number, parts)} + {shift} - from_{number} + 1, {_size(length, number, parts)})"
+    inside = f"substring(around_{number}, {_start(length, number, parts)} - from_{number} + 1, {_size(length, number, parts)})"
     return F.expr(f"xxhash64({inside}, {number})")
 
 
@@ -111,7 +110,10 @@ def _around(lines: DataFrame, edits: int) -> DataFrame:
 
 
 def _places(edits: int) -> list[tuple[int, int, int]]:
-    """(missing characters, segment, shift) that probes look at: a line is met by lines as long or up to ``edits`` longer."""
+    """(missing characters, segment, shift) that probes look at: a line is met by lines as long or up to ``edits`` longer.
+
+    Segments are longer than any shift, so the parts always lie inside the line and the stretches ``_around`` keeps.
+    """
     out = []
     for missing in range(edits + 1):
         for number in range(edits + 1):
@@ -121,6 +123,35 @@ def _places(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _looks(edits: int) -> list[list[tuple[int, int, int]]]:
+    """For each remainder of a line's length by the number of segments, the different parts its places cut.
+
+    A part (segment, start, size) of a line of ``k * parts + remainder`` characters begins at ``segment * k + start``
+    and has ``k + size`` characters, whatever ``k`` is.
+    """
+    parts, k = edits + 1, 10 * (edits + 1)
+    out = []
+    for remainder in range(parts):
+        found = []
+        for missing, n, shift in _places(edits):
+            each, over = divmod(k * parts + remainder - missing, parts)
+            found.append((n, each * n + max(0, over - (parts - n)) + shift - n * k, each + (over >= parts - n) - k))
+        out.append(list(dict.fromkeys(found)))
+    return out
+
+
+def _probes(sized: DataFrame, edits: int) -> DataFrame:
+    """``sized`` with ``probe``, once for each key the line looks for: one small expression, applied to each look."""
+    parts = edits + 1
+    struct = "named_struct('n', {}, 'start', {}, 'size', {})"
+    looks = [f"array({', '.join(struct.format(*look) for look in some)})" for some in _looks(edits)]
+    chosen = "CASE size % {} {} END".format(parts, " ".join(f"WHEN {r} THEN {some}" for r, some in enumerate(looks)))
+    pick = lambda name: "CASE look.n {} END".format(" ".join(f"WHEN {n} THEN {name}_{n}" for n in range(parts)))
+    start = f"look.n * int(size div {parts}) + look.start - {pick('from')} + 1"
+    probe = F.expr(f"xxhash64(substring({pick('around')}, {start}, int(size div {parts}) + look.size), look.n)")
+    return sized.withColumn("look", F.explode(F.expr(chosen))).withColumn("probe", probe)
+
+
 def _candidates(lines: DataFrame, edits: int) -> DataFrame:
     """Pairs (a, b) of digests of lines that share a segment; ``lines``: line and norm, each line once.
 
@@ -131,8 +162,7 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
     if NEAR_CHARS - edits < parts * parts:
         raise ValueError("lines must be long enough for segments that are longer than their shifts")
     sized = _around(lines, edits)
-    index_keys = F.array(*[_segment("size", n, 0, parts) for n in range(parts)])
-    probe_keys = F.array_distinct(F.array(*[_segment(f"size - {m}", n, s, parts) for m, n, s in _places(edits)]))
+    index_keys = F.array(*[_segment("size", n, parts) for n in range(parts)])
     index = written(sized.select(F.col("line").alias("a"), F.col("size").alias("a_size"), F.explode(index_keys).alias("key")), "line-segments")
     crowds = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key")
     crowded = written(index.join(crowds, "key", "left_semi").select(F.col("a").alias("crowded")).distinct(), "crowded-lines")
@@ -141,7 +171,7 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
     bags = _if_few(written(bags, "crowded-bags"))
     known = lambda name: bags.select(F.col("line").alias(f"{name}_line"), F.col("bag").alias(f"{name}_bag"))
     asking = sized.join(known("b"), F.col("line") == F.col("b_line"), "left")
-    probes = asking.select(F.col("line").alias("b"), F.col("size").alias("b_size"), "b_bag", F.explode(probe_keys).alias("probe"))
+    probes = _probes(asking, edits).select(F.col("line").alias("b"), F.col("size").alias("b_size"), "b_bag", "probe")
     indexed = index.join(known("a"), F.col("a") == F.col("a_line"), "left").select("a", "a_size", "a_bag", "key")
     # A line meets those as long, once for each two, and those up to ``edits`` shorter.
     missing = F.col("b_size") - F.col("a_size")
