@@ -41,7 +41,7 @@ MARC = (
 )
 SCHEMAS = {"crossref": CROSSREF, "openalex": OPENALEX, "googlebooks": GOOGLEBOOKS, "openlib": OPENLIB, "k10plus": MARC}
 
-# List caps and life dates after a MARC name.
+# Usual list caps (the argument ``most`` of a normaliser, None takes all) and life dates after a MARC name.
 MAX_CONCEPTS = 3
 MAX_SUBJECTS = 5
 LIFE_DATES = r", \d{4}-\d{4}$"
@@ -110,10 +110,15 @@ def from_crossref(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return _shape(rows, "crossref", fields, keep or [])
 
 
-def from_openalex(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def _first(c: Column, most: int | None) -> Column:
+    """The first ``most`` values of a list, all of them for None."""
+    return c if most is None else F.slice(c, 1, most)
+
+
+def from_openalex(rows: DataFrame, keep: list[str] | None = None, most: int | None = MAX_CONCEPTS) -> DataFrame:
     place = F.col("primary_location.source")
     names = F.transform("authorships", lambda a: a["author"]["display_name"])
-    concepts = F.transform(F.slice("concepts", 1, MAX_CONCEPTS), lambda c: c["display_name"])
+    concepts = F.transform(_first(F.col("concepts"), most), lambda c: c["display_name"])
     fields = {
         "title": F.col("title"),
         "doi": null_if_empty(F.col("doi")),
@@ -151,7 +156,7 @@ def from_googlebooks(rows: DataFrame, keep: list[str] | None = None) -> DataFram
     return _shape(rows, "googlebooks", fields, keep or [])
 
 
-def from_openlib(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def from_openlib(rows: DataFrame, keep: list[str] | None = None, most: int | None = MAX_SUBJECTS) -> DataFrame:
     codes = F.transform(
         "language", lambda c: F.when(c == "eng", "en").when(c.isin("ger", "deu"), "de").otherwise(c)
     )
@@ -163,7 +168,7 @@ def from_openlib(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
         "isbn": _nth(F.col("isbn")),
         "language": null_if_empty(F.array_join(codes, "/")),
         "page_count": F.col("number_of_pages_median"),
-        "keywords": F.coalesce(F.slice("subject", 1, MAX_SUBJECTS), F.array().cast("array<string>")),
+        "keywords": F.coalesce(_first(F.col("subject"), most), F.array().cast("array<string>")),
     }
     return _shape(rows, "openlib", fields, keep or [])
 
@@ -178,7 +183,7 @@ def _subfield(field: Column, code: str) -> Column:
     return _nth(values)["_VALUE"]
 
 
-def from_marc(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def from_marc(rows: DataFrame, keep: list[str] | None = None, most: int | None = MAX_SUBJECTS) -> DataFrame:
     """Title parts 245 a and b, names 100/700, year and language 008, imprint 264, ISBN 020, extent 300, topics 650."""
     title = _nth(_fields("245"))
     parts = F.filter(title["subfield"], lambda s: s["_code"].isin("a", "b") & has_text(s["_VALUE"]))
@@ -201,7 +206,7 @@ def from_marc(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
         "isbn": _nth(F.filter(isbns, lambda i: i.isNotNull())),
         "page_count": search_regex(_subfield(_nth(_fields("300")), "a"), EXTENT_PATTERN).cast("bigint"),
         "language": F.when(code == "ger", "de").when(code == "eng", "en").otherwise(code),
-        "keywords": _some(F.slice(F.filter(topics, lambda t: t.isNotNull()), 1, MAX_SUBJECTS)),
+        "keywords": _some(_first(F.filter(topics, lambda t: t.isNotNull()), most)),
     }
     return _shape(rows, "k10plus", fields, keep or [])
 

@@ -188,6 +188,51 @@ def _(spark, sf):
     return broken.groupBy("line").agg(F.count("*").alias("lines"))
 
 
+def _marc_folder(spark, sf) -> str:
+    """The library as MARCXML, some collections with a prefix; every ninth record has a field that never ends."""
+    folder = work_folder(spark, "marc")
+    safe = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    field = lambda tag, value: F.coalesce(
+        F.concat(F.lit(f'<datafield tag="{tag}"><subfield code="a">'), safe(value), F.lit("</subfield></datafield>")), F.lit("")
+    )
+    language = F.coalesce(F.when(F.col("language") == "de", "ger").when(F.col("language") == "en", "eng").otherwise(F.concat("language", F.lit("x"))), F.lit("und"))
+    control = F.concat(F.lit("0" * 7), F.coalesce(F.col("year").cast("string"), F.lit("||||")), F.lit("-" * 24), language)
+    names = F.coalesce("author", F.array().cast("array<string>"))
+    body = F.concat(
+        F.lit('<controlfield tag="008">'), control, F.lit("</controlfield>"), field("245", F.col("title")), field("100", F.get(names, F.lit(0))),
+        F.array_join(F.transform(F.slice(names, 2, 10), lambda n: field("700", n)), ""), field("020", F.col("isbn")),
+        F.when(F.col("doc_id") % 9 == 0, '<datafield tag="999">').otherwise(""),
+    )
+    record = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<record>"), body, F.lit("</record>"))).otherwise(
+        F.concat(F.lit('<marc:record type="x">'), F.regexp_replace(body, "(</?)(?=\\w)", "$1marc:"), F.lit("</marc:record>"))
+    )
+    fx.library(spark, sf).select(record.alias("value")).write.text(folder)
+    return folder
+
+
+@query(
+    "marc_bulk",
+    sql.with_views(sql.LIBRARY)
+    + """SELECT nullif(title, '') AS title, array_to_string(author, '; ') AS author, year, isbn,
+  CASE WHEN language IN ('de', 'en') THEN language ELSE coalesce(language || 'x', 'und') END AS language
+ FROM library WHERE doc_id % 9 <> 0""",
+)
+def _(spark, sf):
+    """MARCXML collections as one catalogue table, without the records that cannot be parsed."""
+    found = records.from_marc(files.read_marc(spark, _marc_folder(spark, sf), records.MARC))
+    return found.select("title", F.array_join("author", "; ").alias("author"), "year", "isbn", "language")
+
+
+@query(
+    "marc_quarantine",
+    sql.with_views(sql.LIBRARY) + "SELECT isbn, count(*) AS n FROM library WHERE doc_id % 9 = 0 GROUP BY isbn",
+)
+def _(spark, sf):
+    broken = files.broken_marc_records(spark, _marc_folder(spark, sf), records.MARC)
+    isbn = F.nullif(F.regexp_extract("record", r'tag="020"><subfield code="a">(\d+)<', 1), F.lit(""))
+    return broken.groupBy(isbn.alias("isbn")).agg(F.count("*").alias("n"))
+
+
 @query(
     "metadata_export",
     sql.with_views(sql.LIBRARY) + "SELECT id, title, array_to_string(author, '; ') AS author, year, doi, page_count FROM library",

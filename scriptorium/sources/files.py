@@ -124,7 +124,30 @@ def broken_catalogue_lines(spark: SparkSession, path: str, schema: str) -> DataF
     return _catalogue_lines(spark, path, schema).where("_corrupt IS NOT NULL").select(F.col("_corrupt").alias("line"))
 
 
+def _marc_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row for each record element, whatever its prefix; what is no well-formed record is kept in ``_corrupt``.
+
+    Files are cut at the ends of records, so that a broken one cannot take the rest of its file along. Fields outside
+    of a closed record, as in a file that was cut short, count as a broken record.
+    """
+    pieces = spark.read.option("lineSep", "record>").text(path)
+    opening = F.regexp_extract("value", r"(?s)(<(?:\w+:)?record[\s>].*</(?:\w+:)?)$", 1)
+    # A record without attributes loses its opening to the cut; the piece after it goes on to the closing tag.
+    body = F.when(opening != "", F.concat(opening, F.lit("record>"))).when(
+        F.col("value").rlike(r"</(?:\w+:)?$"), F.concat(F.lit("<record>"), F.regexp_replace("value", r"</(?:\w+:)?$", ""), F.lit("</record>"))
+    )
+    body = F.coalesce(body, F.when(F.col("value").rlike(r"<(?:\w+:)?(?:data|control)field\b"), F.concat(F.lit("<record>"), "value")))
+    plain = F.regexp_replace(body, r"(</?)\w+:(?=\w)", "$1")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "attributePrefix": "_", "valueTag": "_VALUE", "ignoreNamespace": "true"}
+    records = pieces.select(plain.alias("record")).where("record IS NOT NULL")
+    return records.select(F.from_xml("record", f"{schema}, _corrupt STRING", options).alias("r")).select("r.*")
+
+
 def read_marc(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """MARCXML collections, one row per record."""
-    reader = spark.read.format("xml").schema(schema).option("rowTag", "record").option("ignoreNamespace", "true")
-    return reader.option("attributePrefix", "_").option("valueTag", "_VALUE").load(path)
+    """MARCXML collections, one row per record; `broken_marc_records` has those that cannot be parsed."""
+    return _marc_records(spark, path, schema).where("_corrupt IS NULL").drop("_corrupt")
+
+
+def broken_marc_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Quarantine: the text of the records that are not well-formed."""
+    return _marc_records(spark, path, schema).where("_corrupt IS NOT NULL").select(F.col("_corrupt").alias("record"))

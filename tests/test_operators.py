@@ -312,6 +312,36 @@ def test_marc_file(spark, tmp_path):
     assert (row.isbn, row.page_count, row.language) == ("316148410X", 99, None)
 
 
+def test_broken_marc_records_leave_the_others_alone(spark, tmp_path):
+    from scriptorium.sources.files import broken_marc_records, read_marc
+
+    def record(title, start="<record>", end="</record>"):
+        return f'{start}<datafield tag="245"><subfield code="a">{title}</subfield></datafield>{end}'
+
+    header = '<?xml version="1.0"?><collection xmlns="http://x">\n'
+    unclosed = '<record><datafield tag="245"><subfield code="a">bad</record>'
+    (tmp_path / "a.xml").write_text(header + record("one") + unclosed + record("two", '<record type="B">') + record("no end", end="") + record("three") + "</collection>")
+    (tmp_path / "b.xml").write_text(header + record("four &amp; ü", "<m:record>", "</m:record>") + "\n" + record("cut short", '<record type="B">', ""))
+    (tmp_path / "c.xml").write_text("")
+    (tmp_path / "d.xml").write_text(header + "</collection>")
+    titles = {r.title for r in records.from_marc(read_marc(spark, str(tmp_path), records.MARC)).collect()}
+    assert titles == {"one", "two", "three", "four & ü"}
+    broken = [r.record for r in broken_marc_records(spark, str(tmp_path), records.MARC).collect()]
+    assert sorted(w for b in broken for w in ("bad", "no end", "cut short") if w in b) == ["bad", "cut short", "no end"] and len(broken) == 3
+
+
+def test_list_caps_of_normalisers_are_arguments(spark):
+    subjects = [f"s{i}" for i in range(9)]
+    rows = spark.createDataFrame([(subjects,)], "subject ARRAY<STRING>")
+    missing = {n: F.lit(None).cast(t) for n, t in (f.split(" ", 1) for f in records.OPENLIB.split(", ")) if n != "subject"}
+    rows = rows.withColumns(missing)
+    assert [len(records.from_openlib(rows, most=m).first().keywords) for m in (2, None)] == [2, 9]
+    assert len(records.from_openlib(rows).first().keywords) == 5
+    concepts = spark.createDataFrame([([(s,) for s in subjects],)], "concepts ARRAY<STRUCT<display_name: STRING>>")
+    work = spark.createDataFrame([], records.OPENALEX).unionByName(concepts, allowMissingColumns=True)
+    assert records.from_openalex(work, most=None).first().keywords == subjects
+
+
 CATALOGUE = "source STRING, rank INT, record_id STRING, " + ", ".join(
     f"{n} {FIELD_TYPES[n].simpleString()}" for n in RECORD_FIELDS
 )
