@@ -26,7 +26,47 @@ def _(spark, sf):
     return fx.chunks(spark, sf)
 
 
-@query("chunk_recursive")
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _recursive_cut(size: int = 1000, overlap: int = 200) -> str:
+    """Views of the recursive cut: ``t0`` to ``t4`` texts to be cut, ``r0`` to ``r3`` runs of short pieces, ``cut`` the chunks.
+
+    A run is packed by one recursion step a chunk: ``base`` is where the chunk begins, ``cum`` where the run's pieces end.
+    """
+    views = ["t0 AS (SELECT doc_id, CAST([] AS BIGINT[]) AS path, text FROM documents WHERE text <> '')"]
+    separators = ["\n\n", "\n", ".", " "]
+    for level, separator in enumerate(separators):
+        sep = f"({_quoted(separator)})"
+        views += [
+            f"""p{level} AS (SELECT doc_id, path, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM (SELECT doc_id, path, list_filter(
+   list_transform(string_split(text, {sep}), lambda x, i: CASE WHEN i = 1 THEN x ELSE {sep} || x END), lambda x: x <> '') AS pieces FROM t{level}))""",
+            f"t{level + 1} AS (SELECT doc_id, list_append(path, i) AS path, piece AS text FROM p{level} WHERE length(piece) >= {size})",
+            f"""r{level} AS (SELECT doc_id, list_append(path, min(i)) AS path, string_agg(piece, '' ORDER BY i) AS text, list(ends ORDER BY i) AS cum
+  FROM (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id, path, run ORDER BY i) AS ends FROM (SELECT *,
+   sum((length(piece) >= {size})::INT) OVER (PARTITION BY doc_id, path ORDER BY i) AS run FROM p{level}) WHERE length(piece) < {size})
+  GROUP BY doc_id, path, run)""",
+        ]
+    runs = " UNION ALL ".join(f"SELECT * FROM r{level}" for level in range(len(separators)))
+    next_base = f"list_min(list_filter(cum, lambda x: x >= greatest(ends - {overlap}, after - {size})))"
+    step = size - overlap
+    views += [
+        f"runs AS (SELECT doc_id, path, text, list_transform(list_prepend(0, cum), lambda x: CAST(x AS BIGINT)) AS cum FROM ({runs}))",
+        f"""packed AS (SELECT *, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS base, list_max(list_filter(cum, lambda x: x <= {size})) AS ends,
+   list_min(list_filter(cum, lambda x: x > {size})) AS after FROM runs
+  UNION ALL SELECT doc_id, path, text, cum, n + 1, base, list_max(list_filter(cum, lambda x: x <= base + {size})),
+   list_min(list_filter(cum, lambda x: x > base + {size})) FROM (SELECT * REPLACE ({next_base} AS base) FROM packed WHERE after IS NOT NULL))""",
+        f"""cut AS (SELECT doc_id, path, n, substring(text, base + 1, ends - base) AS text FROM packed
+  UNION ALL SELECT doc_id, path, n, substring(text, n * {step} + 1, {size}) FROM (SELECT doc_id, path, text,
+   unnest(range(CAST(ceil((length(text) - {size}) / {step}) AS BIGINT) + 1)) AS n FROM t{len(separators)}))""",
+        """recursive_chunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path, n) - 1 AS INTEGER) AS chunk_id, text
+  FROM (SELECT doc_id, path, n, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM cut) WHERE text <> '')""",
+    ]
+    return "WITH RECURSIVE " + ",\n ".join(views) + " "
+
+
+@query("chunk_recursive", _recursive_cut() + "SELECT doc_id, chunk_id, text FROM recursive_chunks")
 def _(spark, sf):
     return chunking.recursive_chunks(fx.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
@@ -144,7 +184,18 @@ def _(spark, sf):
     )
 
 
-@query("chunk_documents")
+def _over(name: str) -> str:
+    """The SQL of a query on chunks, over the recursive ones."""
+    return f"({_view(name)})".replace("FROM chunks", "FROM recursive_chunks")
+
+
+@query(
+    "chunk_documents",
+    _recursive_cut()
+    + f"""SELECT doc_id, chunk_id, language, token_count, keywords, CAST(length(text) AS INTEGER) AS n_chars FROM recursive_chunks
+ JOIN (SELECT doc_id, {_presence_sql('text')} AS language FROM documents) USING (doc_id)
+ JOIN {_over("chunk_tokens")} USING (doc_id, chunk_id) JOIN {_over("chunk_keywords")} USING (doc_id, chunk_id)""",
+)
 def _(spark, sf):
     """Language, recursive cut and annotations of whole documents in one pass."""
     docs = fx.table(spark, sf, "documents").select("doc_id", "text", F.lit("auto").alias("language"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import cite
-from scriptorium.functions.split import split_text
+from scriptorium.functions.split import recursive_split
 from scriptorium.operators import context, enrich, filters, listing, mutate, records, resolve, scoring, search, stats
 from scriptorium.schema import FIELD_TYPES, METADATA, RECORD_FIELDS
 
@@ -495,17 +495,54 @@ def test_metadata_schema_is_complete():
 # --- splitter ---------------------------------------------------------------------------------
 
 
-def test_splitter_properties():
-    from hypothesis import given, settings
-    from hypothesis import strategies as st
+def plain_split(text, size, overlap, separators=("\n\n", "\n", ".", " ", "")):
+    """The cut by its definition: first separator that occurs, long pieces by finer ones, short ones packed greedily."""
+    separator = next(s for s in separators if s in text)
+    finer = separators[separators.index(separator) + 1 :]
+    if not separator:
+        step = size - overlap
+        starts = range(0, max(len(text) - overlap, 1), step) if len(text) > size else [0]
+        return [text[i : i + size].strip() for i in starts if text[i : i + size].strip()]
+    pieces = [p if i == 0 else separator + p for i, p in enumerate(text.split(separator))]
+    chunks, held = [], []
+    for piece in [p for p in pieces if p]:
+        if len(piece) >= size:
+            chunks += ["".join(held), *plain_split(piece, size, overlap, finer)]
+            held = []
+            continue
+        if held and len("".join(held) + piece) > size:
+            chunks.append("".join(held))
+            while held and (len("".join(held)) > overlap or len("".join(held) + piece) > size):
+                held = held[1:]
+        held = [*held, piece]
+    return [c.strip() for c in [*chunks, "".join(held)] if c.strip()]
+
+
+def split_texts(spark, texts, size, overlap):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i INT, text STRING")
+    got = rows.select("i", recursive_split(F.col("text"), size, overlap).alias("chunks")).collect()
+    return [r.chunks for r in sorted(got, key=lambda r: r.i)]
+
+
+def made_up_texts(alphabet, n, longest, seed):
+    import random
+
+    rng = random.Random(seed)
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, longest))) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(5, 0), (20, 4), (50, 10), (60, 59)])
+def test_splitter_equals_its_definition(spark, size, overlap):
+    texts = made_up_texts(["a", "bb", ".", " ", "\n", "\n\n", "\u00fc", "\U0001f600", "\u00a0", "word" * 20], 150, 120, size)
+    assert split_texts(spark, texts, size, overlap) == [plain_split(t, size, overlap) if t else [] for t in texts]
 
-    @settings(max_examples=200, deadline=None)
-    @given(st.text(alphabet="ab .\n", max_size=400), st.integers(5, 40), st.integers(0, 4))
-    def check(text, size, overlap):
-        # Letters become distinct characters, so that every chunk has one place in the text.
-        text = "".join(chr(0x4E00 + i) if c in "ab" else c for i, c in enumerate(text))
-        chunks = split_text(text, size, overlap)
-        assert all(0 < len(c) <= size and c == c.strip() for c in chunks)
+
+def test_splitter_covers_the_text(spark):
+    texts = made_up_texts("aab .\n", 100, 400, 3)
+    # Letters become distinct characters, so that every chunk has one place in the text.
+    texts = ["".join(chr(0x4E00 + i) if c in "ab" else c for i, c in enumerate(t)) for t in texts]
+    for text, chunks in zip(texts, split_texts(spark, texts, 20, 4), strict=True):
+        assert all(0 < len(c) <= 20 and c == c.strip() for c in chunks)
         covered = 0
         for c in chunks:
             letters = [ch for ch in c if ch >= "\u4e00"]
@@ -513,17 +550,22 @@ def test_splitter_properties():
                 continue
             start = text.index(letters[0])
             assert not any(ch >= "\u4e00" for ch in text[covered:start])
-            assert covered - start <= overlap
+            assert covered - start <= 4
             covered = text.index(letters[-1]) + 1
         assert not any(ch >= "\u4e00" for ch in text[covered:])
 
-    check()
-
 
-def test_splitter_prefers_coarse_separators():
-    assert split_text("aaaa\n\nbbbb\n\ncccc", 10, 0) == ["aaaa\n\nbbbb", "cccc"]
+def test_splitter_prefers_coarse_separators(spark):
     text = "".join(chr(0x4E00 + i) for i in range(25))
-    assert split_text(text, 10, 3) == [text[:10], text[7:17], text[14:24], text[21:]]
+    coarse, anywhere = "aaaa\n\nbbbb\n\ncccc", [text[:10], text[7:17], text[14:24], text[21:]]
+    assert split_texts(spark, [coarse, None, "", " \n"], 10, 0) == [["aaaa\n\nbbbb", "cccc"], [], [], []]
+    assert split_texts(spark, [text], 10, 3) == [anywhere]
+
+
+def test_splitter_runs_without_python(spark):
+    docs = spark.createDataFrame([(1, "x")], "id INT, text STRING")
+    plan = docs.select(recursive_split(F.col("text")).alias("c"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ArrowEval" not in plan
 
 
 # --- processing -------------------------------------------------------------------------------
