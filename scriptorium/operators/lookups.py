@@ -68,10 +68,31 @@ def fetches(requests: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
 
 
 def outcomes(requests: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
-    """Hits and fetches per key; of several requests at one instant the first fetches, the others hit."""
-    fetched = fetches(requests, ttl_seconds).groupBy("key").agg(F.count("*").alias("fetched"))
+    """Hits and fetches per key; of several requests at one instant the first fetches, the others hit.
+
+    If ``requests`` has a column ``kept``, answers where it is false or null are empty and not kept: requests fetch until
+    one brings an answer. At one instant the answer that is kept comes first.
+    """
     asked = requests.groupBy("key").agg(F.count("*").alias("asked"))
-    return asked.join(fetched, "key").select("key", "fetched", (F.col("asked") - F.col("fetched")).alias("hits"))
+    if "kept" not in requests.columns:
+        fetched = fetches(requests, ttl_seconds).groupBy("key").agg(F.count("*").alias("fetched"))
+        return asked.join(fetched, "key").select("key", "fetched", (F.col("asked") - F.col("fetched")).alias("hits"))
+    keeping = F.coalesce("kept", F.lit(False))
+    ttl = ttl_seconds * 1_000_000
+    width = max(ttl // SLOTS, 1)
+    # Written once: kept fetches are counted, and cover the empty answers of all slots that their validity touches.
+    kept = cut_lineage(fetches(requests.where(keeping), ttl_seconds).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))), "lookup-kept")
+    slots = F.sequence(F.floor(F.col("us") / width), F.floor((F.col("us") + ttl) / width))
+    cover = kept.select("key", F.col("us").alias("since"), F.explode(slots).alias("slot"))
+    times = requests.where(~keeping).select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    # Requests of one instant are one row, so that a busy instant meets its cover once.
+    empty = times.groupBy("key", "us").agg(F.count("*").alias("n")).withColumn("slot", F.floor(F.col("us") / width))
+    met = empty.join(cover, ["key", "slot"]).where(F.col("us").between(F.col("since"), F.col("since") + ttl))
+    covered = met.groupBy("key").agg(F.sum("n").alias("covered"))
+    total = requests.groupBy("key").agg(F.count("*").alias("asked"), F.count_if(keeping).alias("asked_kept"))
+    joined = total.join(kept.groupBy("key").agg(F.count("*").alias("n_kept")), "key", "left").join(covered, "key", "left")
+    hits = F.when(F.col("n_kept").isNull(), 0).otherwise(F.col("asked_kept") - F.col("n_kept") + F.coalesce("covered", F.lit(0)))
+    return joined.select("key", (F.col("asked") - hits).alias("fetched"), hits.cast("bigint").alias("hits"))
 
 
 def clear(cache: DataFrame, prefix: str | None = None) -> DataFrame:

@@ -65,6 +65,8 @@ CATALOGUE = f"""catalogue AS (
 
 SEARCH_LOG = "search_log AS (SELECT event_id, user_id, ts, event_type AS search_type, props AS query FROM events)"
 FETCH_REQUESTS = "fetch_requests AS (SELECT 'lookup_' || user_id AS key, ts FROM events)"
+CACHE_ROWS = """cache_rows AS (SELECT 'lookup_' || user_id AS key, CASE WHEN event_type <> 'error' THEN props ELSE '' END AS value,
+  ts + INTERVAL 24 HOUR AS expiry FROM events)"""
 PATCHES = """patches AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'patched ' || doc_id END AS title,
   CASE WHEN toxic = 1 THEN '2000' END AS year,
   CASE WHEN quality = 0 THEN ' Rosalind Franklin , Max Born' END AS authors FROM labels)"""

@@ -162,6 +162,13 @@ def fetch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.concat(F.lit("lookup_"), "user_id").alias("key"), "ts")
 
 
+def cache_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of the look-up events: those of errors are empty, each is valid for a day."""
+    value = F.when(F.col("event_type") != "error", F.col("props")).otherwise("")
+    expiry = (F.col("ts") + F.expr("INTERVAL 24 HOURS")).alias("expiry")
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("lookup_"), "user_id").alias("key"), value.alias("value"), expiry)
+
+
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(
         "doc_id",

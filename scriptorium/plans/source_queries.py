@@ -12,7 +12,7 @@ from scriptorium.plans.registry import query
 from scriptorium.plans.text_queries import BLANKS
 from scriptorium.session import work_folder
 from scriptorium.sources import files, parts, tables
-from scriptorium.streaming import ingest
+from scriptorium.streaming import ingest, lookup_cache
 from scriptorium.streaming import stats as stream_stats_ops
 
 CLEAN = f"""trim(regexp_replace(regexp_replace(regexp_replace({{0}}, '\\n{{{{3,}}}}', chr(10) || chr(10), 'g'), ' {{{{2,}}}}', ' ', 'g'),
@@ -339,3 +339,56 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return lookups.outcomes(fx.fetch_requests(spark, sf))
+
+
+_KEPT_REQUESTS = "kept_requests AS (SELECT 'lookup_' || user_id AS key, ts, event_type <> 'error' AS kept FROM events)"
+_KEPT_CHAIN = _CHAIN.replace("fetch_requests r WHERE", "kept_requests r WHERE r.kept AND").replace("fetch_requests", "kept_requests WHERE kept")
+#: A kept answer serves a day; empty ones outside of it fetch each.
+_KEPT_SQL = (
+    f"WITH RECURSIVE {_KEPT_REQUESTS}{_KEPT_CHAIN}"
+    """, fetching AS (SELECT key, ts FROM chain WHERE ts IS NOT NULL UNION ALL SELECT key, ts FROM kept_requests r WHERE NOT kept
+  AND NOT EXISTS (SELECT 1 FROM chain c WHERE c.key = r.key AND r.ts BETWEEN c.ts AND c.ts + INTERVAL 24 HOUR))
+ SELECT key, coalesce(f, 0) AS fetched, n - coalesce(f, 0) AS hits FROM (SELECT key, count(*) AS n FROM kept_requests GROUP BY key)
+ LEFT JOIN (SELECT key, count(*) AS f FROM fetching GROUP BY key) USING (key)"""
+)
+
+
+def _kept_requests(spark, sf) -> DataFrame:
+    key = F.concat(F.lit("lookup_"), "user_id").alias("key")
+    return fx.table(spark, sf, "events").select(key, "ts", (F.col("event_type") != "error").alias("kept"))
+
+
+@query("ttl_empty_answers", _KEPT_SQL)
+def _(spark, sf):
+    """Look-ups whose answers are empty for errors."""
+    return lookups.outcomes(_kept_requests(spark, sf))
+
+
+@query("ttl_stream", _KEPT_SQL)
+def _(spark, sf):
+    """The same as a stream: the older half of the requests, a restart with the others, and one that ends the last day."""
+    requests = _kept_requests(spark, sf)
+    log, sink, checkpoint = work_folder(spark, "lookups"), work_folder(spark, "lookup-outcomes"), work_folder(spark, "lookup-checkpoint")
+    first, last = requests.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return lookups.outcomes(requests)
+    middle = F.lit(first + (last - first) / 2)
+    end = requests.limit(1).select(F.lit("").alias("key"), (F.lit(last) + F.expr("INTERVAL 2 DAYS")).alias("ts"), F.lit(False).alias("kept"))
+    for part in (requests.where(F.col("ts") < middle), requests.where(F.col("ts") >= middle), end):
+        part.write.mode("append").parquet(log)
+        stream = spark.readStream.schema(requests.schema).parquet(log)
+        lookup_cache.run(lookup_cache.outcomes(stream), sink, checkpoint).awaitTermination()
+    done = spark.read.parquet(sink).where("key <> ''")
+    return done.groupBy("key").agg(F.sum("fetched").alias("fetched"), F.sum("hits").alias("hits"))
+
+
+@query("cache_live", "WITH " + sql.CACHE_ROWS + " SELECT * FROM cache_rows WHERE expiry >= (SELECT max(ts) FROM events) AND value <> ''")
+def _(spark, sf):
+    """Answers that are still valid at the time of the last event."""
+    now = fx.table(spark, sf, "events").agg(F.max("ts")).first()[0]
+    return lookups.live(fx.cache_rows(spark, sf), F.lit(now))
+
+
+@query("cache_clear", "WITH " + sql.CACHE_ROWS + " SELECT * FROM cache_rows WHERE NOT starts_with(key, 'lookup_1')")
+def _(spark, sf):
+    return lookups.clear(fx.cache_rows(spark, sf), "lookup_1")

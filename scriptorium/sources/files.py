@@ -76,15 +76,16 @@ def _as_field(raw: Column, kind: T.DataType) -> Column:
     return raw if isinstance(kind, T.StringType) else F.trim(raw).try_cast(kind)
 
 
-def read_metadata_json(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
+def read_metadata_json(spark: SparkSession, path: str, key: str = "id", source: str | None = None) -> DataFrame:
     """Metadata lines, one JSON object each, in the library's types.
 
     Lists may be given as plain text and numbers as text. Fields the library does not know, and values that do
     not fit a field's type, are kept as text in the map ``extra``. Only lines that are no JSON object are
-    broken: they keep their raw text in ``_corrupt`` and have no values.
+    broken: they keep their raw text in ``_corrupt`` and have no values. ``source`` names a column for the line's file.
     """
     raw = F.from_json("value", "map<string,string>")
-    lines = spark.read.text(path).where(F.trim("value") != "").select("value", raw.alias("_raw"))
+    named = [F.col("_metadata.file_path").alias(source)] if source else []
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", raw.alias("_raw"), *named)
     fields = {f.name: _as_field(F.col("_raw")[f.name], f.dataType) for f in METADATA.fields}
     # A key of the object is extra if no field took its value.
     taken = F.array(F.lit(key), *[F.when(v.isNotNull() | (F.col("_raw")[n] == ""), F.lit(n)) for n, v in fields.items()])
@@ -94,6 +95,7 @@ def read_metadata_json(spark: SparkSession, path: str, key: str = "id") -> DataF
         *[v.alias(n) for n, v in fields.items()],
         extra.alias("extra"),
         F.when(F.col("_raw").isNull(), F.col("value")).alias("_corrupt"),
+        *([source] if source else []),
     )
 
 
@@ -108,6 +110,78 @@ def metadata_with_fallback(index: DataFrame, from_files: DataFrame, key: str = "
     return joined.withColumns({f: F.when(has_file, F.col(f"_file.{f}")).otherwise(F.col(f)) for f in fields}).drop("_file")
 
 
+def read_chunk_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row per chunk file ``<id>.json``: ``id``, its array ``chunks`` and the raw text of a broken file.
+
+    A file that holds no JSON array of objects has no chunks; elements are read by ``schema``. Files are read whole, one
+    document's chunks each.
+    """
+    read = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    listed = F.from_json("value", f"array<struct<{schema}>>")
+    # The parser takes a lone object for an array of one; chunk files hold arrays.
+    sound = listed.isNotNull() & F.startswith(F.ltrim("value"), F.lit("["))
+    return read.select(
+        F.url_decode(file_stem(file_name(F.col("path")))).alias("id"),
+        F.when(sound, listed).otherwise(F.array().cast(f"array<struct<{schema}>>")).alias("chunks"),
+        F.when(~F.coalesce(sound, F.lit(False)), F.col("value")).alias("_corrupt"),
+    )
+
+
+def read_index(spark: SparkSession, path: str, backup: str, key: str = "id") -> DataFrame:
+    """The rows of an index folder; a file with a broken line counts as empty and is copied below ``backup``.
+
+    Which lines belong to a broken file is a flag per file, joined back by its name; copies keep the lines and their file.
+    """
+    metadata = read_metadata_json(spark, path, key, source="file")
+    broken = metadata.where("_corrupt IS NOT NULL").select("file").distinct()
+    named = spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))
+    named.join(broken, "file", "left_semi").write.mode("overwrite").parquet(backup)
+    return metadata.join(broken, "file", "left_anti").drop("file", "_corrupt")
+
+
+def parsed_documents(files: DataFrame, parse, fields: str) -> DataFrame:
+    """Files read by a user's ``parse(path, content) -> (text, metadata)``: ``path, length, text, metadata, error``.
+
+    ``fields`` is the schema of the metadata, a mapping; what it does not name is left out. A file whose parser raises or
+    gives no text is a row with ``error``, the others go on: `parsed` and `broken` tell them apart. ``files`` has the columns of
+    a ``binaryFile`` source. One file at a time is in Python's memory beside its batch.
+    """
+    schema = T.StructType([
+        *[files.schema[c] for c in ("path", "length")],
+        T.StructField("text", T.StringType()), T.StructField("metadata", T._parse_datatype_string(fields)), T.StructField("error", T.StringType()),
+    ])
+    names = schema["metadata"].dataType.names
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out = to_arrow_schema(schema)
+        for batch in batches:
+            for path, length, content in zip(*(batch.column(c) for c in ("path", "length", "content")), strict=True):
+                row = {"path": path.as_py(), "length": length.as_py(), "text": None, "metadata": None, "error": None}
+                try:
+                    text, metadata = parse(row["path"], content.as_py())
+                    if text is None:
+                        raise ValueError("no text")
+                    made = row | {"text": text, "metadata": {n: (metadata or {}).get(n) for n in names}}
+                    # A value that does not fit its field is the parser's error too, not the job's.
+                    yield pa.RecordBatch.from_pylist([made], schema=out)
+                except Exception as wrong:
+                    yield pa.RecordBatch.from_pylist([row | {"error": f"{type(wrong).__name__}: {wrong}"}], schema=out)
+
+    return files.select("path", "length", "content").mapInArrow(run, schema)
+
+
+def parsed(documents: DataFrame) -> DataFrame:
+    return documents.where("error IS NULL").drop("error")
+
+
+def broken(documents: DataFrame) -> DataFrame:
+    """Quarantine rows, like those of `unsupported_files`."""
+    return documents.where("error IS NOT NULL").select("path", "length", "error")
+
+
 def _catalogue_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     lines = spark.read.text(path).where(F.trim("value") != "")

@@ -3,37 +3,136 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from scriptorium.operators.lookups import TTL_SECONDS
 
-OUTPUT = "key STRING, fetched BIGINT, hits BIGINT"
-STATE = "fetched_at BIGINT"
+#: Slots of time per validity period.
+SLOTS = 24
+#: Requests kept in one state value.
+BLOCK = 4096
+#: The state store that holds lists and timers by key; it also survives a restart.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+OUTPUT = T.StructType().add("key", "string").add("fetched", "long").add("hits", "long")
+_PLACE = T.StructType().add("slot", "long").add("block", "long")
+_BLOCK = T.StructType().add("us", T.ArrayType(T.LongType())).add("kept", T.ArrayType(T.BooleanType()))
+_COUNT = T.StructType().add("n", "long")
+_LAST = T.StructType().add("us", "long")
 
-def outcomes(requests: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
-    """Per micro-batch and key the numbers of fetches and hits.
 
-    The state of a key is the time of its last fetch; hits do not change it. Requests of one batch are taken
-    in time order; batches are expected in time order, as files of a log are. ``requests`` has ``key`` and
-    ``us``, the time in microseconds.
+class _Lookups(StatefulProcessor):
+    """Requests wait in slots of time; a slot is worked off when the watermark has passed its end.
+
+    Slots are shorter than the validity, so a slot holds one kept answer at most and its requests need no order: the
+    first one after expiry with an answer to keep is a minimum over the slot's blocks.
+    """
+
+    def __init__(self, ttl: int, width_ms: int) -> None:
+        self.ttl, self.width_ms = ttl, width_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", _LAST)
+        self.blocks = handle.getMapState("blocks", _PLACE, _BLOCK)
+        self.counts = handle.getMapState("counts", T.StructType().add("slot", "long"), _COUNT)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            us = batch["us"].to_numpy(np.int64)
+            kept = batch["kept"].to_numpy(bool)
+            slots = us // (self.width_ms * 1000)
+            order = np.argsort(slots, kind="stable")
+            borders = np.flatnonzero(np.diff(slots[order])) + 1
+            for part in np.split(order, borders):
+                if len(part):
+                    self._wait(int(slots[part[0]]), us[part], kept[part])
+        yield from ()
+
+    def _wait(self, slot: int, us: np.ndarray, kept: np.ndarray) -> None:
+        known = self.counts.containsKey((slot,))
+        n = self.counts.getValue((slot,))[0] if known else 0
+        if not known:
+            self.handle.registerTimer((slot + 1) * self.width_ms)
+        for start in range(0, len(us), BLOCK):
+            value = (us[start : start + BLOCK].tolist(), kept[start : start + BLOCK].tolist())
+            self.blocks.updateValue((slot, n), value)
+            n += 1
+        self.counts.updateValue((slot,), (n,))
+
+    def _requests(self, slot: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for block in range(n):
+            us, kept = self.blocks.getValue((slot, block))
+            yield np.asarray(us, np.int64), np.asarray(kept, bool)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        slot = expiredTimerInfo.getExpiryTimeInMs() // self.width_ms - 1
+        n = self.counts.getValue((slot,))[0]
+        expired = self.last.get()[0] + self.ttl if self.last.exists() else np.iinfo(np.int64).min
+        fetch = None
+        for us, kept in self._requests(slot, n):
+            able = us[kept & (us > expired)]
+            if len(able):
+                fetch = int(able.min()) if fetch is None else min(fetch, int(able.min()))
+        asked = fetched = 0
+        for us, kept in self._requests(slot, n):
+            asked += len(us)
+            before = us > expired if fetch is None else (us > expired) & (us < fetch)
+            fetched += int((before & ~kept).sum())
+        for block in range(n):
+            self.blocks.removeKey((slot, block))
+        self.counts.removeKey((slot,))
+        if fetch is not None:
+            self.last.update((fetch,))
+            fetched += 1
+        yield pd.DataFrame({"key": [key[0]], "fetched": [fetched], "hits": [asked - fetched]})
+
+    def close(self) -> None:
+        pass
+
+
+def outcomes(requests: DataFrame, ttl_seconds: int = TTL_SECONDS, late: str = "0 seconds", slots: int = SLOTS) -> DataFrame:
+    """Numbers of fetches and hits by key and slot of time, each row when the watermark has passed its slot.
+
+    ``requests`` is a stream with ``key``, ``ts`` and, if answers may be empty, ``kept``: whether the request's answer has
+    something to keep (null counts as empty). Empty answers are not kept: requests fetch until one brings an answer, and
+    hits do not prolong it. At one instant the answer that is kept comes first. Requests may come in any order within
+    ``late``; later ones whose time the watermark has passed are dropped by Spark, as those of null keys or times are here.
+
+    A key's requests are never gathered: they wait in blocks in the state store, a minimum and a count over the blocks of a
+    slot decide, and one time a key stays. `run` starts it with the state store it needs. Sums by key give the totals.
+    """
+    width_ms = max(ttl_seconds * 1000 // slots, 1)
+    kept = F.coalesce("kept", F.lit(False)) if "kept" in requests.columns else F.lit(True)
+    rows = requests.where("key IS NOT NULL AND ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = rows.select("key", "ts", F.unix_micros("ts").alias("us"), kept.alias("kept")).withWatermark("ts", late)
+    processor = _Lookups(ttl_seconds * 1_000_000, width_ms)
+    return timed.groupBy("key").transformWithStateInPandas(processor, OUTPUT, "append", "eventTime")
+
+
+def run(outcomes: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """Work off everything available into a parquet folder; a restarted run goes on from the kept answers."""
+    conf, name = outcomes.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    writer = outcomes.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+    # A started query keeps the settings it was started with.
+    conf.set(name, STORE)
+    try:
+        return writer.outputMode("append").trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
+
+
+def first_of_period(requests: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+    """The near form without own state: requests of a key drop out while the watermark has not passed its first by ``ttl``.
+
+    Expiry follows the watermark, so that answers stay somewhat longer than asked.
     """
-    ttl = ttl_seconds * 1_000_000
-
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # One sorted array of times per key and micro-batch; the batch size bounds it.
-        times = pd.concat([b["us"] for b in batches], ignore_index=True).sort_values()
-        last = state.get[0] if state.exists else None
-        fetched = 0
-        for at in times:
-            if last is None or at > last + ttl:
-                last, fetched = int(at), fetched + 1
-        state.update((last,))
-        yield pd.DataFrame({"key": [key[0]], "fetched": [fetched], "hits": [len(times) - fetched]})
-
-    return requests.groupBy("key").applyInPandasWithState(
-        follow, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    return requests.withWatermark("ts", f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark(["key"])

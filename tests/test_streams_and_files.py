@@ -311,21 +311,63 @@ def test_fetch_chain_equals_the_sequential_fold(spark):
     assert counts["edge"] == (3, 2)
 
 
+def kept_fold(rows, ttl):
+    """Fetches and hits of one key's (time, kept), in time order, kept answers first."""
+    last, fetched = None, 0
+    for at, empty in sorted((at, not kept) for at, kept in rows):
+        if last is None or at > last + ttl:
+            fetched += 1
+            last = last if empty else at
+    return fetched, len(rows) - fetched
+
+
+def kept_requests(seed=7):
+    rng = random.Random(seed)
+    data = {k: [(at, rng.random() < 0.6) for at in v] for k, v in requests().items()}
+    return data | {"never": [(at, False) for at in (1, 2, 50)], "edge": [(0, False), (0, True), (10, False), (11, False), (12, True), (22, False)]}
+
+
+LOOKUPS = "key STRING, ts TIMESTAMP_NTZ, kept BOOLEAN"
+START = dt.datetime(2024, 1, 1)
+
+
+def lookup_rows(spark, rows):
+    return spark.createDataFrame([(k, START + dt.timedelta(seconds=at), kept) for k, at, kept in rows], LOOKUPS)
+
+
+def test_empty_answers_are_not_kept(spark):
+    data = kept_requests()
+    frame = lookup_rows(spark, [(k, at, kept) for k, v in data.items() for at, kept in v])
+    got = {r.key: (r.fetched, r.hits) for r in lookups.outcomes(frame, 10).collect()}
+    assert got == {k: kept_fold(v, 10) for k, v in data.items()}
+    assert got["edge"] == (3, 3)
+    assert lookups.outcomes(lookup_rows(spark, []), 10).count() == 0
+
+
 def test_stream_of_lookups_equals_batch(spark, tmp_path):
-    data = requests()
-    rows = sorted((s, k) for k, v in data.items() for s in v)
-    source = tmp_path / "log"
-    source.mkdir()
-    schema = "key STRING, us BIGINT"
-    stream = spark.readStream.schema(schema).parquet(str(source))
-    for turn, bound in enumerate([100, 5000]):
-        low = 0 if turn == 0 else 100
-        part = pd.DataFrame([(k, s * 1_000_000) for s, k in rows if low <= s < bound], columns=["key", "us"])
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
-        out = lookup_cache.outcomes(stream, ttl_seconds=10).writeStream.format("parquet").option("path", str(tmp_path / "out"))
-        out.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    data = kept_requests()
+    rows = [(k, at, kept) for k, v in data.items() for at, kept in v]
+    random.Random(1).shuffle(rows)
+    log = str(tmp_path / "log")
+    # Two runs from one checkpoint, then a late row and one that closes the last slots.
+    parts_ = [[r for r in rows if r[1] < 100], [r for r in rows if r[1] >= 100] + [(None, 300, True)], [("hot", 1, True), ("end", 9999, True)]]
+    for part in parts_:
+        lookup_rows(spark, part).coalesce(1).write.mode("append").parquet(log)
+        stream = spark.readStream.schema(LOOKUPS).parquet(log)
+        lookup_cache.run(lookup_cache.outcomes(stream, ttl_seconds=10), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).groupBy("key").agg(F.sum("fetched").alias("f"), F.sum("hits").alias("h"))
-    assert {r.key: (r.f, r.h) for r in got.collect()} == {k: (len(fold(v, 10)), len(v) - len(fold(v, 10))) for k, v in data.items()}
+    assert {r.key: (r.f, r.h) for r in got.collect()} == {k: kept_fold(v, 10) for k, v in data.items()}
+
+
+def test_first_of_period(spark, tmp_path):
+    log = str(tmp_path / "log")
+    for rows in ([("a", 0, True), ("a", 3, True), ("b", 1, True)], [("a", 500, True)], [("a", 501, True), ("b", 502, True)]):
+        lookup_rows(spark, rows).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(log)
+        stream = lookup_cache.first_of_period(spark.readStream.schema("key STRING, ts TIMESTAMP, kept BOOLEAN").parquet(log), 10)
+        out = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        out.trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).groupBy("key").count().collect()
+    assert {r.key: r["count"] for r in got} == {"a": 2, "b": 2}
 
 
 def test_cache_rows(spark):
