@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.operators import enrich, processing, records, resolve, scoring
+from scriptorium.operators import enrich, mutate, processing, records, resolve, scoring
 from scriptorium.plans import fixtures as fx
 from scriptorium.plans import fixture_sql as sql
-from scriptorium.plans.registry import query
+from scriptorium.plans.chunk_queries import recursive_cut
+from scriptorium.plans.registry import ORACLES, query
 from scriptorium.plans.text_queries import author_similarity_sql, similarity_sql
 from scriptorium.schema import RECORD_FIELDS
 
@@ -488,3 +489,31 @@ def _(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", "text").join(own, "doc_id").drop("doc_id")
     done = processing.process(docs, fx.catalogue(spark, sf).drop("doc_id"))
     return done.library.select("id", "title", "language", "year", "publisher", "file_type", "page_count", "enriched_by", "chunks_count")
+
+
+@query(
+    "reprocess",
+    recursive_cut().rstrip()
+    + f""", counted AS (SELECT doc_id, count(*) AS n FROM recursive_chunks GROUP BY doc_id), filled AS ({ORACLES["fill_missing"]}),
+ own AS ({sql.with_views(sql.LIBRARY)} SELECT * FROM library), {sql.DELETE_IDS}
+ SELECT o.doc_id AS id, o.filename, CASE WHEN d.doc_id IS NULL THEN o.title ELSE f.title END AS title,
+  CASE WHEN d.doc_id IS NULL THEN array_to_string(o.author, '; ') ELSE f.author END AS author,
+  CASE WHEN d.doc_id IS NULL THEN o.page_count ELSE f.page_count END AS page_count,
+  CASE WHEN d.doc_id IS NULL THEN -1 ELSE coalesce(n, 0) END AS chunks_count, d.doc_id IS NOT NULL AS updated
+ FROM own o JOIN filled f USING (doc_id) LEFT JOIN (SELECT DISTINCT doc_id FROM delete_ids) d USING (doc_id) LEFT JOIN counted USING (doc_id)""",
+)
+def _(spark, sf):
+    """Listed documents through the pipeline again, from what the reader left; the others stay as they are stored."""
+    lib = fx.library(spark, sf).withColumnRenamed("id", "name").withColumn("id", F.col("doc_id"))
+    stored = lib.select("id", "filename", "title", "author", "page_count", F.lit(-1).cast("bigint").alias("chunks_count"), "added_at", F.col("added_at").alias("updated_at"))
+    keep = F.col("journal").isNotNull()
+    read = lib.select(
+        "id", "filename", "author", F.when(keep, F.col("title")).alias("title"),
+        F.when(F.col("language") != "es", F.col("language")).alias("language"), F.when(keep, F.col("page_count")).alias("page_count"),
+    )
+    texts = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    ids = fx.delete_ids(spark, sf).select(F.col("doc_id").alias("id"))
+    again = processing.reprocess(read.join(texts, "id"), ids)
+    merged = mutate.upsert(stored, again.library, F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"))
+    updated = (F.col("updated_at") > F.col("added_at")).alias("updated")
+    return merged.select("id", "filename", "title", F.array_join("author", "; ").alias("author"), "page_count", "chunks_count", updated)

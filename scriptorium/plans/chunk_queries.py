@@ -30,7 +30,7 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-def _recursive_cut(size: int = 1000, overlap: int = 200) -> str:
+def recursive_cut(size: int = 1000, overlap: int = 200) -> str:
     """Views of the recursive cut: ``t0`` to ``t4`` texts to be cut, ``r0`` to ``r3`` runs of short pieces, ``cut`` the chunks.
 
     A run is packed by one recursion step a chunk: ``base`` is where the chunk begins, ``cum`` where the run's pieces end.
@@ -66,7 +66,7 @@ def _recursive_cut(size: int = 1000, overlap: int = 200) -> str:
     return "WITH RECURSIVE " + ",\n ".join(views) + " "
 
 
-@query("chunk_recursive", _recursive_cut() + "SELECT doc_id, chunk_id, text FROM recursive_chunks")
+@query("chunk_recursive", recursive_cut() + "SELECT doc_id, chunk_id, text FROM recursive_chunks")
 def _(spark, sf):
     return chunking.recursive_chunks(fx.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
@@ -191,7 +191,7 @@ def _over(name: str) -> str:
 
 @query(
     "chunk_documents",
-    _recursive_cut()
+    recursive_cut()
     + f"""SELECT doc_id, chunk_id, language, token_count, keywords, CAST(length(text) AS INTEGER) AS n_chars FROM recursive_chunks
  JOIN (SELECT doc_id, {_presence_sql('text')} AS language FROM documents) USING (doc_id)
  JOIN {_over("chunk_tokens")} USING (doc_id, chunk_id) JOIN {_over("chunk_keywords")} USING (doc_id, chunk_id)""",

@@ -125,6 +125,86 @@ def _(spark, sf):
     return own.select("id", "title", "year", F.array_join("author", "; ").alias("author"))
 
 
+@query(
+    "json_chunks",
+    sql.with_views(sql.LIBRARY, sql.CHUNKS)
+    + """SELECT id, CAST(CASE WHEN l.doc_id % 9 IN (0, 5) THEN 0 ELSE count(c.chunk_id) END AS INTEGER) AS n_chunks, l.doc_id % 9 IN (0, 5) AS broken,
+ md5(CASE WHEN l.doc_id % 9 IN (0, 5) THEN '' ELSE coalesce(string_agg(c.text, '' ORDER BY c.chunk_id), '') END) AS md5
+ FROM library l LEFT JOIN chunks c USING (doc_id) GROUP BY id, l.doc_id""",
+)
+def _(spark, sf):
+    """A chunk file for each document, some cut short, some an object instead of a list; broken ones have no chunks."""
+    rows = fx.chunks(spark, sf).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "text"))).alias("chunks"))
+    lib = fx.library(spark, sf).select("doc_id", "id").join(rows, "doc_id", "left")
+    whole = F.to_json(F.coalesce("chunks", F.array().cast("array<struct<chunk_id: int, text: string>>")))
+    cut = F.when(F.col("doc_id") % 9 == 0, F.expr("substring(whole, 1, greatest(length(whole) - 2, 1))"))
+    kept = cut.when(F.col("doc_id") % 9 == 5, F.lit('{"text": "alone"}')).otherwise(F.col("whole"))
+    folder = work_folder(spark, "chunk-files")
+    lib.withColumn("whole", whole).select("id", kept.alias("value")).repartition("id").write.partitionBy("id").text(folder)
+    read = files.read_chunk_files(spark, folder, "chunk_id: int, text: string")
+    return read.select("id", F.size("chunks").alias("n_chunks"), F.col("_corrupt").isNotNull().alias("broken"), F.md5(F.array_join("chunks.text", "")).alias("md5"))
+
+
+@query(
+    "json_index",
+    sql.with_views(sql.LIBRARY, "cut AS (SELECT *, doc_id % 50 AS part FROM library)")
+    + """SELECT 'index' AS found, id, title, year FROM cut WHERE part NOT IN (SELECT part FROM cut WHERE doc_id % 100 = 7)
+ UNION ALL SELECT 'copy', CAST(part AS VARCHAR), CAST(count(*) AS VARCHAR), NULL FROM cut WHERE part IN (SELECT part FROM cut WHERE doc_id % 100 = 7) GROUP BY part""",
+)
+def _(spark, sf):
+    """An index in fifty files, one of them with broken lines: it counts as empty and is copied."""
+    line = F.to_json(F.struct("id", "title", "year"))
+    value = F.when(F.col("doc_id") % 100 == 7, F.substring(line, 1, 11)).otherwise(line)
+    folder, copies = work_folder(spark, "index"), work_folder(spark, "index-copies")
+    lib = fx.library(spark, sf).select((F.col("doc_id") % 50).alias("part"), value.alias("value"))
+    lib.repartition("part").write.partitionBy("part").text(folder)
+    rows = files.read_index(spark, folder, copies).select(F.lit("index").alias("found"), "id", "title", "year")
+    part = F.regexp_extract("file", "part=(\\d+)", 1).alias("id")
+    copied = spark.read.parquet(copies).groupBy(part).agg(F.count("*").cast("string").alias("title"))
+    return rows.union(copied.select(F.lit("copy"), "id", "title", F.lit(None).cast("int")))
+
+
+def _headed_files(spark, sf) -> DataFrame:
+    """Documents as files of a user's own format: a line with the language, then the text; every seventh without the line."""
+    n = F.col("doc_id")
+    head = F.when(n % 7 != 0, F.concat(F.lit("#"), F.coalesce("lang", F.lit("und")), F.lit("\n"))).otherwise("")
+    content = F.encode(F.concat(head, F.coalesce("text", F.lit(""))), "UTF-8")
+    docs = fx.table(spark, sf, "documents").select(F.concat(F.lit("in/doc"), n, F.lit(".own")).alias("path"), content.alias("content"))
+    return docs.withColumn("length", F.octet_length("content").cast("bigint"))
+
+
+def _headed(path: str, content: bytes) -> tuple[str, dict]:
+    head, line, text = content.decode().partition("\n")
+    if not head.startswith("#") or not line:
+        raise ValueError(f"no heading in {path}")
+    return text, {"language": head[1:], "characters": len(text)}
+
+
+@query(
+    "custom_reader",
+    """SELECT 'in/doc' || doc_id || '.own' AS path, CASE WHEN doc_id % 7 <> 0 THEN md5(coalesce(text, '')) END AS md5,
+ CASE WHEN doc_id % 7 <> 0 THEN coalesce(lang, 'und') END AS language, CASE WHEN doc_id % 7 <> 0 THEN CAST(length(coalesce(text, '')) AS BIGINT) END AS characters,
+ CASE WHEN doc_id % 7 = 0 THEN 'ValueError: no heading in in/doc' || doc_id || '.own' END AS error FROM documents""",
+)
+def _(spark, sf):
+    """A user's parser over all files; those that it cannot read are rows of the quarantine."""
+    done = files.parsed_documents(_headed_files(spark, sf), _headed, "language STRING, characters BIGINT")
+    return done.select("path", F.md5("text").alias("md5"), "metadata.language", "metadata.characters", "error")
+
+
+@query(
+    "unsupported_files",
+    """SELECT 'in/doc' || doc_id || e AS path, strlen(text) AS length, 'unsupported file type ' || lower(e) AS error
+ FROM (SELECT *, CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PNG' WHEN 2 THEN '.txt' WHEN 3 THEN '.zip' ELSE '' END AS e FROM documents)
+ WHERE e IN ('.PNG', '.zip', '')""",
+)
+def _(spark, sf):
+    suffix = F.element_at(F.array(*[F.lit(e) for e in (".pdf", ".PNG", ".txt", ".zip", "")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    named = F.concat(F.lit("in/doc"), "doc_id", suffix).alias("path")
+    docs = fx.table(spark, sf, "documents").select(named, F.octet_length("text").cast("bigint").alias("length"))
+    return files.unsupported_files(docs)
+
+
 _ASKED = "asked AS (SELECT doc_id FROM labels UNION ALL SELECT -1 - doc_id FROM labels WHERE toxic = 1)"
 
 

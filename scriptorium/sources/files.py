@@ -111,19 +111,22 @@ def metadata_with_fallback(index: DataFrame, from_files: DataFrame, key: str = "
 
 
 def read_chunk_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row per chunk file ``<id>.json``: ``id``, its array ``chunks`` and the raw text of a broken file.
+    """One row per chunk file ``<id>/<name>``: ``id``, its array ``chunks`` and the raw text of a broken file.
 
-    A file that holds no JSON array of objects has no chunks; elements are read by ``schema``. Files are read whole, one
-    document's chunks each.
+    A file that holds no JSON array has no chunks; elements are read by ``schema``. The folder may be named ``id=<id>``.
+    Files are read whole, one document's chunks each. Spark's file sources leave files of no bytes out: they have no row, as
+    missing ones, and a look-up of their document finds no chunks.
     """
-    read = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    listed = F.from_json("value", f"array<struct<{schema}>>")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    read = read.select("path", F.col("content").cast("string").alias("value"))
+    kind = f"array<struct<{schema}>>"
+    listed = F.from_json("value", kind)
     # The parser takes a lone object for an array of one; chunk files hold arrays.
-    sound = listed.isNotNull() & F.startswith(F.ltrim("value"), F.lit("["))
+    sound = F.coalesce(listed.isNotNull() & F.col("value").rlike(r"(?s)^\s*\[.*\]\s*$"), F.lit(False))
     return read.select(
-        F.url_decode(file_stem(file_name(F.col("path")))).alias("id"),
-        F.when(sound, listed).otherwise(F.array().cast(f"array<struct<{schema}>>")).alias("chunks"),
-        F.when(~F.coalesce(sound, F.lit(False)), F.col("value")).alias("_corrupt"),
+        F.url_decode(F.regexp_extract("path", "([^/=]+)/[^/]+$", 1)).alias("id"),
+        F.when(sound, listed).otherwise(F.array().cast(kind)).alias("chunks"),
+        F.when(~sound, F.col("value")).alias("_corrupt"),
     )
 
 
@@ -143,12 +146,12 @@ def parsed_documents(files: DataFrame, parse, fields: str) -> DataFrame:
     """Files read by a user's ``parse(path, content) -> (text, metadata)``: ``path, length, text, metadata, error``.
 
     ``fields`` is the schema of the metadata, a mapping; what it does not name is left out. A file whose parser raises or
-    gives no text is a row with ``error``, the others go on: `parsed` and `broken` tell them apart. ``files`` has the columns of
+    gives no text, or a value that does not fit its field, is a row with ``error``; `parsed` and `broken` tell them apart. ``files`` has the columns of
     a ``binaryFile`` source. One file at a time is in Python's memory beside its batch.
     """
     schema = T.StructType([
         *[files.schema[c] for c in ("path", "length")],
-        T.StructField("text", T.StringType()), T.StructField("metadata", T._parse_datatype_string(fields)), T.StructField("error", T.StringType()),
+        T.StructField("text", T.StringType()), T.StructField("metadata", T.StructType.fromDDL(fields)), T.StructField("error", T.StringType()),
     ])
     names = schema["metadata"].dataType.names
 
@@ -158,17 +161,19 @@ def parsed_documents(files: DataFrame, parse, fields: str) -> DataFrame:
 
         out = to_arrow_schema(schema)
         for batch in batches:
-            for path, length, content in zip(*(batch.column(c) for c in ("path", "length", "content")), strict=True):
-                row = {"path": path.as_py(), "length": length.as_py(), "text": None, "metadata": None, "error": None}
-                try:
-                    text, metadata = parse(row["path"], content.as_py())
-                    if text is None:
-                        raise ValueError("no text")
-                    made = row | {"text": text, "metadata": {n: (metadata or {}).get(n) for n in names}}
-                    # A value that does not fit its field is the parser's error too, not the job's.
-                    yield pa.RecordBatch.from_pylist([made], schema=out)
-                except Exception as wrong:
-                    yield pa.RecordBatch.from_pylist([row | {"error": f"{type(wrong).__name__}: {wrong}"}], schema=out)
+            rows = [read(*(c.as_py() for c in values), out, pa) for values in zip(*batch.columns, strict=True)]
+            yield from pa.Table.from_batches(rows, out).combine_chunks().to_batches()
+
+    def read(path, length, content, out, pa):
+        row = {"path": path, "length": length, "text": None, "metadata": None, "error": None}
+        try:
+            text, metadata = parse(path, content)
+            if text is None:
+                raise ValueError("no text")
+            found = {n: (metadata or {}).get(n) for n in names}
+            return pa.RecordBatch.from_pylist([row | {"text": text, "metadata": found}], schema=out)
+        except Exception as wrong:  # a user's parser may raise anything; the file goes to quarantine
+            return pa.RecordBatch.from_pylist([row | {"error": f"{type(wrong).__name__}: {wrong}"}], schema=out)
 
     return files.select("path", "length", "content").mapInArrow(run, schema)
 

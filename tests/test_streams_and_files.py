@@ -279,6 +279,46 @@ def test_running_statistics_add_up(spark, tmp_path):
     }
 
 
+def test_chunk_files_fall_back_to_no_chunks(spark, tmp_path):
+    texts = {"a": '[{"n": 1, "text": "x"}, {"n": 2}]', "b": '[{"n": 1, "te', "c": " ", "d": '{"n": 1}', "e": ' \n[]\n', "f f": '[{"n": 3}]', "g": ""}
+    for name, text in texts.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "chunks.json").write_text(text)
+    rows = {r.id: r for r in files.read_chunk_files(spark, str(tmp_path), "n INT, text STRING").collect()}
+    assert {k: [(c.n, c.text) for c in r.chunks] for k, r in rows.items()} == {
+        "a": [(1, "x"), (2, None)], "b": [], "c": [], "d": [], "e": [], "f f": [(3, None)],
+    }
+    assert {k for k, r in rows.items() if r._corrupt is not None} == {"b", "c", "d"}
+
+
+def test_a_broken_index_file_counts_as_empty_and_is_copied(spark, tmp_path):
+    folder = tmp_path / "index"
+    folder.mkdir()
+    (folder / "good.jsonl").write_text('{"id": "a", "title": "T", "more": 1}\n\n{"id": "b"}\n')
+    (folder / "bad.jsonl").write_text('{"id": "c", "title": "T"}\n{"id": "d", "ti')
+    rows = {r.id: r for r in files.read_index(spark, str(folder), str(tmp_path / "copy")).collect()}
+    assert set(rows) == {"a", "b"}
+    assert (rows["a"].title, rows["a"].extra) == ("T", {"more": "1"})
+    copied = spark.read.parquet(str(tmp_path / "copy")).collect()
+    assert {(r.file.rsplit("/", 1)[1], r.value) for r in copied} == {("bad.jsonl", '{"id": "c", "title": "T"}'), ("bad.jsonl", '{"id": "d", "ti')}
+
+
+def test_a_users_parser_and_its_quarantine(spark):
+    def parse(path, content):
+        if path == "none":
+            return None, None
+        return content.decode(), {"n": "three" if path == "kind" else len(content), "unknown": 1}
+
+    rows = [(p, len(c), bytearray(c)) for p, c in (("a", b"text"), ("empty", b""), ("none", b"x"), ("kind", b"x"), ("bytes", b"\xff"))]
+    source = spark.createDataFrame([*rows, ("null", None, None)], "path STRING, length BIGINT, content BINARY")
+    done = files.parsed_documents(source, parse, "n INT, missing STRING")
+    assert {(r.path, r.text, r.metadata.n, r.metadata.missing) for r in files.parsed(done).collect()} == {("a", "text", 4, None), ("empty", "", 0, None)}
+    wrong = {r.path: r.error for r in files.broken(done).collect()}
+    assert set(wrong) == {"none", "kind", "bytes", "null"}
+    assert wrong["none"] == "ValueError: no text"
+    assert files.parsed_documents(source.limit(0), parse, "n INT").count() == 0
+
+
 # --- look-ups with a validity period ----------------------------------------------------------
 
 
