@@ -79,15 +79,22 @@ def outcomes(requests: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
         return asked.join(fetched, "key").select("key", "fetched", (F.col("asked") - F.col("fetched")).alias("hits"))
     keeping = F.coalesce("kept", F.lit(False))
     ttl = ttl_seconds * 1_000_000
-    width = max(ttl // SLOTS, 1)
-    # Written once: kept fetches are counted, and cover the empty answers of all slots that their validity touches.
+    # Written once: kept fetches are counted, and cover the empty answers that their validity touches.
     kept = cut_lineage(fetches(requests.where(keeping), ttl_seconds).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))), "lookup-kept")
-    slots = F.sequence(F.floor(F.col("us") / width), F.floor((F.col("us") + ttl) / width))
-    cover = kept.select("key", F.col("us").alias("since"), F.explode(slots).alias("slot"))
+    # Kept fetches of a key lie further apart than the validity: a slot as long as that holds one at most, and only that one
+    # and the one of the slot before can cover a request. So cover has one row for a slot, two rows for a fetch.
+    slot = F.floor(F.col("us") / ttl)
+    touched = kept.select("key", F.col("us").alias("since"), F.explode(F.array(slot, slot + 1)).alias("slot"), slot.alias("own"))
+    cover = touched.groupBy("key", "slot").agg(
+        F.max(F.when(F.col("slot") == F.col("own"), F.col("since"))).alias("here"),
+        F.max(F.when(F.col("slot") != F.col("own"), F.col("since"))).alias("before"),
+    )
     times = requests.where(~keeping).select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     # Requests of one instant are one row, so that a busy instant meets its cover once.
-    empty = times.groupBy("key", "us").agg(F.count("*").alias("n")).withColumn("slot", F.floor(F.col("us") / width))
-    met = empty.join(cover, ["key", "slot"]).where(F.col("us").between(F.col("since"), F.col("since") + ttl))
+    empty = times.groupBy("key", "us").agg(F.count("*").alias("n")).withColumn("slot", slot)
+    covers = F.coalesce(F.col("us") >= F.col("here"), F.lit(False)) | F.coalesce(F.col("us") <= F.col("before") + ttl, F.lit(False))
+    # The size of what was exploded is not known to the planner: the shuffle keeps it off the driver.
+    met = empty.join(cover.hint("merge"), ["key", "slot"]).where(covers)
     covered = met.groupBy("key").agg(F.sum("n").alias("covered"))
     total = requests.groupBy("key").agg(F.count("*").alias("asked"), F.count_if(keeping).alias("asked_kept"))
     joined = total.join(kept.groupBy("key").agg(F.count("*").alias("n_kept")), "key", "left").join(covered, "key", "left")

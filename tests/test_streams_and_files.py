@@ -384,6 +384,16 @@ def test_empty_answers_are_not_kept(spark):
     assert lookups.outcomes(lookup_rows(spark, []), 10).count() == 0
 
 
+def test_cover_of_empty_answers_is_two_rows_a_fetch(spark):
+    """Each fetch used to be 97 rows, one for each slot of its validity, broadcast by the size of its file."""
+    rows = [("k", at, at % 3 == 0) for at in range(0, 400, 7)] + [("edge", 10, True), ("edge", 20, False), ("edge", 21, False), ("edge", 9, False)]
+    found = lookups.outcomes(lookup_rows(spark, rows), 10)
+    data = {k: [(at, kept) for key, at, kept in rows if key == k] for k in ("k", "edge")}
+    assert {r.key: (r.fetched, r.hits) for r in found.collect()} == {k: kept_fold(v, 10) for k, v in data.items()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "sequence(" not in plan and "SortMergeJoin [key" in plan
+
+
 def test_stream_of_lookups_equals_batch(spark, tmp_path):
     data = kept_requests()
     rows = [(k, at, kept) for k, v in data.items() for at, kept in v]
