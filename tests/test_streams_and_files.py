@@ -409,6 +409,89 @@ def test_stream_of_lookups_equals_batch(spark, tmp_path):
     assert {r.key: (r.f, r.h) for r in got.collect()} == {k: kept_fold(v, 10) for k, v in data.items()}
 
 
+class StateStore:
+    """State values and timers of one key in memory, and the number of calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.now = 0, set(), 0
+
+    def getValueState(self, *named):
+        return self.Held(self)
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    def getExpiryTimeInMs(self):
+        return self.fired
+
+    class Held:
+        def __init__(self, store):
+            self.store, self.held = store, {}
+
+        def get(self):
+            return self.getValue("value")
+
+        def update(self, value):
+            self.updateValue("value", value)
+
+        def exists(self):
+            return self.containsKey("value")
+
+        def getValue(self, key):
+            self.store.calls += 1
+            return self.held.get(key)
+
+        def updateValue(self, key, value):
+            self.store.calls += 1
+            self.held[key] = value
+
+        def containsKey(self, key):
+            self.store.calls += 1
+            return key in self.held
+
+        def removeKey(self, key):
+            self.store.calls += 1
+            del self.held[key]
+
+
+def folded(batches, ttl=10, width_ms=1000):
+    """Fetches and hits of one key's batches of (time, kept), each older than the next, and the calls of the state store."""
+    store, processor, sums = StateStore(), lookup_cache._Lookups(ttl * 1_000_000, width_ms), [0, 0]
+    processor.init(store)
+    for batch in [*batches, []]:
+        frame = pd.DataFrame({"us": [at * 1_000_000 for at, _ in batch], "kept": [kept for _, kept in batch]})
+        list(processor.handleInputRows(("k",), iter([frame] if batch else []), store))
+        store.now = max((at for at, _ in batch), default=10**9) * 1000
+        while fired := [t for t in store.timers if t <= store.now]:
+            store.fired = min(fired)
+            store.timers.remove(store.fired)
+            for out in processor.handleExpiredTimer(("k",), store, store):
+                sums = [sums[0] + int(out["fetched"].sum()), sums[1] + int(out["hits"].sum())]
+    return tuple(sums), store.calls
+
+
+def test_few_state_calls_for_a_key(monkeypatch):
+    """Each slot used to cost a dozen calls of the state store, so that a key's day took hundreds."""
+    rows = [(at, at % 4 > 0) for at in range(0, 600, 3)]
+    sums, calls = folded([rows])
+    assert sums == kept_fold(rows, 10) and calls <= 20
+    # Keys with more requests than a state value takes, and such as have them only for a while.
+    for block in (1, 3, 8, 50):
+        monkeypatch.setattr(lookup_cache, "BLOCK", block)
+        for seed in range(10):
+            rng = random.Random(seed)
+            rows = sorted((rng.randint(0, 200), rng.random() < 0.5) for _ in range(120))
+            borders = sorted(rng.sample(range(200), 3))
+            batches = [[r for r in rows if a < r[0] <= b] for a, b in zip([-1, *borders], [*borders, 200], strict=True)]
+            assert folded(batches)[0] == kept_fold(rows, 10)
+
+
 def test_first_of_period(spark, tmp_path):
     log = str(tmp_path / "log")
     for rows in ([("a", 0, True), ("a", 3, True), ("b", 1, True)], [("a", 500, True)], [("a", 501, True), ("b", 502, True)]):
