@@ -111,14 +111,22 @@ def metadata_with_fallback(index: DataFrame, from_files: DataFrame, key: str = "
 
 
 def read_chunk_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """`chunk_files` of a folder of chunk files ``<id>/<name>``.
+
+    Spark's file sources leave files of no bytes out: they have no row, as missing ones, and a look-up of their document finds
+    no chunks. The driver lists every file and each is opened by itself: very many of them are better kept packed.
+    """
+    return chunk_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), schema)
+
+
+def chunk_files(files: DataFrame, schema: str) -> DataFrame:
     """One row per chunk file ``<id>/<name>``: ``id``, its array ``chunks`` and the raw text of a broken file.
 
-    A file that holds no JSON array has no chunks; elements are read by ``schema``. The folder may be named ``id=<id>``.
-    Files are read whole, one document's chunks each. Spark's file sources leave files of no bytes out: they have no row, as
-    missing ones, and a look-up of their document finds no chunks.
+    ``files`` has ``path`` and ``content``, as rows of a ``binaryFile`` source or a table that very many small files are
+    packed into. A file that holds no JSON array has no chunks; elements are read by ``schema``. The folder may be named
+    ``id=<id>``. Files are read whole, one document's chunks each.
     """
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    read = read.select("path", F.col("content").cast("string").alias("value"))
+    read = files.select("path", F.col("content").cast("string").alias("value"))
     kind = f"array<struct<{schema}>>"
     listed = F.from_json("value", kind)
     # The parser takes a lone object for an array of one; chunk files hold arrays.

@@ -409,6 +409,23 @@ def test_stream_of_lookups_equals_batch(spark, tmp_path):
     assert {r.key: (r.f, r.h) for r in got.collect()} == {k: kept_fold(v, 10) for k, v in data.items()}
 
 
+def test_packed_chunk_files(spark, sf):
+    """The query used to make a folder for each document; packed files are read by the same rules."""
+    from scriptorium import session
+    from scriptorium.plans import load_all
+    from scriptorium.plans.registry import QUERIES
+
+    rows = [("a/chunks.json", b'[{"n": 1}, {"n": 2}]'), ("in/id=b%2F1/chunks.json", b" [] "), ("c/chunks.json", b'[{"n": 1}'), ("d/x", b'{"n": 1}'), ("e/x", b"")]
+    found = {r.id: r for r in files.chunk_files(spark.createDataFrame(rows, "path STRING, content BINARY"), "n INT").collect()}
+    assert {k: [c.n for c in r.chunks] for k, r in found.items()} == {"a": [1, 2], "b/1": [], "c": [], "d": [], "e": []}
+    assert {k for k, r in found.items() if r._corrupt is not None} == {"c", "d", "e"}
+    load_all()
+    made = len(session.FOLDERS)
+    done = QUERIES["json_chunks"](spark, sf)
+    assert done.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(not tables.folders(spark, f) for f in session.FOLDERS[made:])
+
+
 class StateStore:
     """State values and timers of one key in memory, and the number of calls."""
 
