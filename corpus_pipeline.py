@@ -52,8 +52,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near-duplicates: sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
-    return near_text.keep_first_similar(docs, shingle=5, similarity=0.8)
+    """One row of each class of near-duplicates: fingerprints of five-word shingles within three bits of each other, or sets of
+    these shingles with a Jaccard similarity of 0.8 or more."""
+    return near_text.keep_first_similar(docs, shingle=5, similarity=0.8, distance=3)
 
 
 @_stage

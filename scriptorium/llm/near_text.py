@@ -6,8 +6,9 @@ included) have it. Two fingerprints at ``distance`` or fewer differing bits agre
 stretches. Only distinct fingerprints meet (copies are one), only under keys that two of them share, and a
 key with many of them is cut into tiles of bounded size; a tile returns a spanning forest, not its pairs.
 
-Three bits lie near a Jaccard similarity of 0.98. `keep_first_similar` reaches 0.8: distinct shingle sets that share a
-band of minima form candidate groups; within a group all pairs are compared by the exact similarity of their sets.
+Three bits lie near a Jaccard similarity of 0.98. `keep_first_similar` links fingerprints so and, beyond that, texts of a
+similarity of 0.8: distinct shingle sets that share a band of minima form candidate groups; within a group all pairs are
+compared by the exact similarity of their sets. Its classes are those of both kinds of links together.
 
 Defined results: null and empty texts (and texts of white space) have fingerprint zero and are linked like any
 other; a null id is kept as it is; equal rows give equal rows; rows with one id and different texts stay
@@ -61,8 +62,12 @@ def _shingle_hashes(text: bytes | None, shingle: int):
 
 def simhash(text: bytes | None, shingle: int) -> int:
     """The fingerprint as a signed 64-bit number. Words end at ASCII white space; A-Z count as a-z."""
+    return _fingerprint(_shingle_hashes(text, shingle))
+
+
+def _fingerprint(parts) -> int:
     counts, n = np.zeros(64, dtype=np.int64), 0
-    for hashes in _shingle_hashes(text, shingle):
+    for hashes in parts:
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(hashes)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
@@ -70,7 +75,10 @@ def simhash(text: bytes | None, shingle: int) -> int:
 
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     """The sorted distinct hashes of the text's word shingles."""
-    parts = list(_shingle_hashes(text, shingle))
+    return _distinct(list(_shingle_hashes(text, shingle)))
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype="<u8")
 
 
@@ -316,24 +324,52 @@ def similar_links(sets: DataFrame, texts: DataFrame, shingle: int, similarity: f
     return tiles.groupBy("component", "low", "high").applyInArrow(found, "a long, b long")
 
 
-def keep_first_similar(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of ``docs`` for each class of texts linked by a Jaccard similarity of their shingle sets of ``similarity`` or more.
+def _fingerprint_links(marked: DataFrame, distance: int) -> DataFrame:
+    """Links (a, b) between shingle sets whose texts' fingerprints are equal or ``distance`` or fewer bits apart.
+
+    ``marked``: _fp (set) and _sim (fingerprint); texts of one set differ in fingerprint where they repeat shingles otherwise.
+    """
+    met = marked.select(F.col("_sim").alias("sim"), F.col("_fp").alias("fp")).distinct()
+    least = written(met.groupBy("sim").agg(F.min("fp").alias("least")), "fingerprint-sets")
+    equal = met.join(least, "sim").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    near = links(least.select(F.col("sim").alias("fp")), distance)
+    ends = near.join(least.select(F.col("sim").alias("a"), F.col("least").alias("_a")), "a").join(
+        least.select(F.col("sim").alias("b"), F.col("least").alias("_b")), "b"
+    )
+    return equal.unionByName(ends.where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+
+
+def keep_first_similar(
+    docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, distance: int = 3
+) -> DataFrame:
+    """One row of ``docs`` for each class of texts linked by their fingerprints or by the similarity of their shingle sets.
 
-    The row that stays is chosen as in `keep_first`; null and empty texts are one class. Bands are made for a similarity of
-    0.8: what they miss of pairs there is given at ``BANDS``, of more similar ones it is less.
+    Fingerprints link at ``distance`` or fewer bits, as in `keep_first`; sets of a Jaccard similarity of ``similarity`` or more
+    link where fingerprints do not reach. The row that stays is chosen as in `keep_first`; null and empty texts are one
+    class. Bands are made for a similarity of 0.8: what they miss of pairs there is given at ``BANDS``, of more similar ones
+    it is less.
     """
-    columns = [c for c in docs.columns if c not in ("_fp", "_bands", "_n", "named_fp", "component", "component_id")]
+    columns = [c for c in docs.columns if c not in ("_fp", "_sim", "_bands", "_n", "named_fp", "component", "component_id")]
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(value.as_py(), shingle) for value in batch.column(columns.index(text)).cast(pa.binary())]
+            found, sets = [], []
+            for value in batch.column(columns.index(text)).cast(pa.binary()):
+                # Hashed once for the fingerprint, which counts repeats, and the set, which does not.
+                parts = list(_shingle_hashes(value.as_py(), shingle))
+                found.append(_fingerprint(parts))
+                sets.append(_distinct(parts))
+            sims = pa.array(found, pa.int64())
             fps = pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed=42) - (1 << 63) if len(s) else 0 for s in sets], pa.int64())
             bands = pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, fps, bands, sizes], names=[*columns, "_fp", "_bands", "_n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, fps, sims, bands, sizes], names=[*columns, "_fp", "_sim", "_bands", "_n"])
 
     frame = docs.select(*columns)
-    more = [T.StructField("_fp", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_n", T.LongType())]
+    more = [
+        T.StructField("_fp", T.LongType()), T.StructField("_sim", T.LongType()),
+        T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_n", T.LongType()),
+    ]
     marked = written(frame.mapInArrow(run, T.StructType([*frame.schema.fields, *more])), "marked")
     # One row of each set; copies differ neither in bands nor in size.
     sets = written(
@@ -341,5 +377,7 @@ def keep_first_similar(docs: DataFrame, text: str = "text", id_col: str = "doc_i
         .withColumnRenamed("_fp", "fp"),
         "shingle-sets",
     )
-    found = components(similar_links(sets, marked.select(F.col("_fp").alias("fp"), F.col(text).alias("text")), shingle, similarity))
+    by_bits = _fingerprint_links(marked, distance)
+    by_sets = similar_links(sets, marked.select(F.col("_fp").alias("fp"), F.col(text).alias("text")), shingle, similarity)
+    found = components(by_bits.unionByName(by_sets))
     return _first_of_classes(marked, _named(sets.select("fp", "first_id"), found), columns, text, id_col)

@@ -131,3 +131,14 @@ def test_similar_rows_of_defined_cases(spark):
     rows = [(None, "no id here"), (None, None), (7, ""), (4, "x " * 70_000), (9, "x " * 60_000), (5, "one two"), (6, "ONE two")]
     kept = near_text.keep_first_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r["doc_id"]), len(r["text"] or "")) for r in kept) == [("4", 140_000), ("5", 7), ("7", 0), ("None", 10)]
+
+
+def test_similar_rows_are_linked_by_fingerprints_too(spark):
+    """The stage used to leave the fingerprints out: repeats decide them, and a set knows no repeats."""
+    tails = [" ".join(f"{c}{i}" for i in range(40)) for c in "pqr"]
+    rows = [(i, "one two three four five " * 60 + tail) for i, tail in enumerate(tails)] + [(i, " ".join(f"{c}{i}" for i in range(40))) for i, c in ((7, "s"), (8, "t"))]
+    assert plain_jaccard(rows[0][1], rows[1][1], 5) < 0.2
+    fps = [plain_fingerprint_of(t, 5) for _, t in rows]
+    assert all((fps[0] ^ fp).bit_count() <= 3 for fp in fps[1:3]) and all((fps[0] ^ fp).bit_count() > 3 for fp in fps[3:])
+    kept = near_text.keep_first_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 7, 8]
