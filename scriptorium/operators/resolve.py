@@ -97,19 +97,14 @@ def _leading_words(words: Column, overlap: float) -> Column:
 
 
 def worded(titles: DataFrame) -> DataFrame:
-    """``(title_lower, title_id, words)`` of distinct titles, words from rare to frequent among these titles.
+    """``(title_id, words)`` of distinct numbered titles, words from rare to frequent among these titles.
 
     Frequencies are counted over all titles and met by a join on the word; nothing is broadcast.
     """
-    split = titles.select("title_lower", F.explode(title_words(F.col("title_lower"))).alias("word"))
+    split = titles.select("title_id", F.explode(title_words(F.col("title_lower"))).alias("word"))
     seen = split.groupBy("word").agg(F.count("*").alias("seen"))
     ranked = F.array_sort(F.collect_list(F.struct("seen", (-F.length("word")).alias("l"), "word")))
-    return (
-        split.join(seen, "word")
-        .groupBy("title_lower")
-        .agg(F.transform(ranked, lambda s: s["word"]).alias("words"))
-        .withColumn("title_id", F.xxhash64("title_lower"))
-    )
+    return split.join(seen, "word").groupBy("title_id").agg(F.transform(ranked, lambda s: s["word"]).alias("words"))
 
 
 def _spread_words(titles: DataFrame, overlap: float, name: str, other: str) -> DataFrame:
@@ -132,8 +127,26 @@ def _side(titles: DataFrame, name: str) -> DataFrame:
 
 
 def all_words(left: DataFrame, right: DataFrame) -> DataFrame:
-    """`worded` of the titles of both sides, written; the joins on titles share it."""
-    return cut_lineage(worded(left.select("title_lower").unionByName(right.select("title_lower")).distinct()), "title-words")
+    """`worded` of the titles of both sides with a ``title_id`` of their own, written; the joins on titles share it."""
+    titles = left.select("title_lower").unionByName(right.select("title_lower")).distinct()
+    numbered = cut_lineage(titles.withColumn("title_id", F.monotonically_increasing_id()), "titles")
+    return cut_lineage(numbered.join(worded(numbered), "title_id"), "title-words")
+
+
+def _alike(a: DataFrame, b: DataFrame, overlap: float) -> DataFrame:
+    """``(left_id, right_id)`` of the titles that share a leading word: all that overlap enough, and others."""
+    return (
+        _spread_words(a, overlap, "left", "right")
+        .join(_spread_words(b, overlap, "right", "left"), ["word", "left_class", "right_class"])
+        .select("left_id", "right_id")
+        .distinct()
+    )
+
+
+def _overlaps(left_words: Column, right_words: Column, overlap: float) -> Column:
+    total = F.size(left_words) + F.size(right_words)
+    shared = F.size(F.array_intersect(left_words, right_words))
+    return shared >= (total - shared) * F.lit(overlap) - F.lit(1e-9)
 
 
 def similar_titles(left: DataFrame, right: DataFrame, overlap: float = TITLE_OVERLAP, words: DataFrame | None = None) -> DataFrame:
@@ -146,18 +159,11 @@ def similar_titles(left: DataFrame, right: DataFrame, overlap: float = TITLE_OVE
     words = all_words(left, right) if words is None else words
     a = words.join(left.select("title_lower").distinct(), "title_lower", "left_semi")
     b = words.join(right.select("title_lower").distinct(), "title_lower", "left_semi")
-    met = (
-        _spread_words(a, overlap, "left", "right")
-        .join(_spread_words(b, overlap, "right", "left"), ["word", "left_class", "right_class"])
-        .select("left_id", "right_id")
-        .distinct()
-    )
-    total = F.size("left_words") + F.size("right_words")
-    shared = F.size(F.array_intersect("left_words", "right_words"))
     return (
-        met.join(_side(a, "left"), "left_id")
+        _alike(a, b, overlap)
+        .join(_side(a, "left"), "left_id")
         .join(_side(b, "right"), "right_id")
-        .filter(shared >= (total - shared) * F.lit(overlap) - F.lit(1e-9))
+        .filter(_overlaps(F.col("left_words"), F.col("right_words"), overlap))
         .select("left_title", "right_title")
     )
 
@@ -166,25 +172,54 @@ def _phrase(title: Column) -> Column:
     return F.concat(F.lit(" "), F.lower(normalize_title(title)), F.lit(" "))
 
 
-def containing_titles(left: DataFrame, right: DataFrame, words: DataFrame | None = None) -> DataFrame:
-    """All ``(left_title, right_title)`` pairs of one ``name_key`` where one title stands in the other as a phrase.
+def _holds(left_title: Column, right_title: Column) -> Column:
+    """One of the two titles stands in the other as a phrase."""
+    left, right = _phrase(left_title), _phrase(right_title)
+    return F.contains(right, left) | F.contains(left, right)
+
 
-    ``left`` and ``right``: title_lower and name_key. A phrase has all its words in the title that holds it, so its rarest
+def _holding(words: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(left_id, right_id)`` of the titles of one ``name_key`` one of which has the other's rarest word.
+
+    ``left`` and ``right``: title_id and name_key. A phrase has all its words in the title that holds it, so its rarest
     one is among that title's words: phrases, by (rarest word, name), are probed from all words of the titles
-    of the other side, both ways, in one join. A word or a name that very many titles have does not bring all of them together.
+    of the other side, both ways, in one join. A word or a name that very many titles have does not bring all of them
+    together. Ids travel through the join.
     """
-    words = all_words(left, right) if words is None else words
     sides = left.distinct().withColumn("asked", F.lit(True)).unionByName(right.distinct().withColumn("asked", F.lit(False)))
-    titles = cut_lineage(sides.join(words, "title_lower").select("title_lower", "name_key", "asked", "words"), "named-titles")
-    phrases = titles.select(F.get("words", F.lit(0)).alias("word"), "name_key", "asked", F.col("title_lower").alias("phrase"))
-    holders = titles.select(F.explode("words").alias("word"), "name_key", (~F.col("asked")).alias("asked"), F.col("title_lower").alias("holder"))
-    found = phrases.join(holders, ["word", "name_key", "asked"]).filter(F.contains(_phrase(F.col("holder")), _phrase(F.col("phrase"))))
+    titles = cut_lineage(sides.join(words, "title_id").select("title_id", "name_key", "asked", "words"), "named-titles")
+    phrases = titles.select(
+        F.get("words", F.lit(0)).alias("word"), "name_key", "asked", F.col("title_id").alias("phrase"), F.size("words").alias("n")
+    )
+    holders = titles.select(
+        F.explode("words").alias("word"), "name_key", (~F.col("asked")).alias("asked"), F.col("title_id").alias("holder"), F.size("words").alias("of")
+    )
+    found = phrases.join(holders, ["word", "name_key", "asked"]).filter("n <= of")
     return found.select(
-        F.when(F.col("asked"), F.col("phrase")).otherwise(F.col("holder")).alias("left_title"),
-        F.when(F.col("asked"), F.col("holder")).otherwise(F.col("phrase")).alias("right_title"),
+        F.when(F.col("asked"), F.col("phrase")).otherwise(F.col("holder")).alias("left_id"),
+        F.when(F.col("asked"), F.col("holder")).otherwise(F.col("phrase")).alias("right_id"),
     ).distinct()
 
 
+def _with_titles(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    titles = words.select("title_id", "title_lower")
+    left = titles.select(F.col("title_id").alias("left_id"), F.col("title_lower").alias("left_title"))
+    right = titles.select(F.col("title_id").alias("right_id"), F.col("title_lower").alias("right_title"))
+    return pairs.join(left, "left_id").join(right, "right_id")
+
+
+def containing_titles(left: DataFrame, right: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """All ``(left_title, right_title)`` pairs of one ``name_key`` where one title stands in the other as a phrase.
+
+    ``left`` and ``right``: title_lower and name_key.
+    """
+    words = all_words(left, right) if words is None else words
+    ids = words.select("title_lower", "title_id")
+    sides = [side.join(ids, "title_lower").select("title_id", "name_key") for side in (left, right)]
+    found = _with_titles(_holding(words, *sides), words)
+    return found.filter(_holds(F.col("left_title"), F.col("right_title"))).select("left_title", "right_title")
+
+
 def _name_keys(source: Column, author: Column) -> Column:
     """The keys a record answers to: full names at the books service, surnames elsewhere."""
     return F.array_distinct(
@@ -202,6 +237,11 @@ def _best_record() -> Column:
     return F.min_by(F.struct("bonus", "record"), order).alias("best")
 
 
+def _first_of(columns: list[str], *order: Column) -> Column:
+    """The ``columns`` of the first row by ``order``, then by rank and record id."""
+    return F.min_by(F.struct(*columns), F.struct(*order, F.col("rank"), F.col("record_id"))).alias("best")
+
+
 def by_title(
     library: DataFrame,
     catalogue: DataFrame,
@@ -221,68 +261,76 @@ def by_title(
     """
     title_lower = F.lower("title").alias("title_lower")
     asked = library.filter(present("title")).select(key, title_lower, F.when(present("author"), F.col("author")).alias("author"))
-    queries = asked.select("title_lower", "author").distinct()
     bonus = candidate_bonus(F.col("source"), F.col)
     # Equal (source, title, authors) score alike but for the bonus: keep the best, then the first.
     records = (
         catalogue.filter(present("title"))
         .select("source", title_lower, "author", bonus.alias("bonus"), _record().alias("record"))
-        .groupBy("source", F.col("title_lower").alias("right_title"), "author")
+        .groupBy("source", "title_lower", "author")
         .agg(_best_record())
-        .select("source", "right_title", "author", "best.bonus", "best.record")
+        .select("source", "title_lower", "author", "best.bonus", "best.record")
+    )
+    # Numbered and written once: numbers of titles and records travel through the joins, records are fetched for the winners.
+    records = cut_lineage(records.withColumn("record_no", F.monotonically_increasing_id()), "title-records")
+    words = all_words(asked.select("title_lower"), records.select("title_lower"))
+    ids = words.select("title_lower", "title_id")
+    queries = cut_lineage(
+        asked.select("title_lower", "author").distinct().join(ids, "title_lower")
+        .select("title_lower", F.col("title_id").alias("left_id"), F.col("author").alias("asked_author")),
+        "title-queries",
+    )
+    known = cut_lineage(
+        records.join(ids, "title_lower")
+        .select("source", F.col("title_id").alias("right_id"), "author", "bonus", "record.rank", "record.record_id", "record_no"),
+        "title-answers",
     )
-    # Read several times below, by narrow columns mostly.
-    records = cut_lineage(records, "title-records")
     # Documents ask under their first author's name, those without authors under ANY_NAME; records answer
     # under each of their names, and the best one of a title also under ANY_NAME, because without authors
     # only the bonus separates the records of one title.
-    first = F.get("author", F.lit(0))
+    first = F.get("asked_author", F.lit(0))
     names = F.array(F.concat(F.lit("full:"), F.lower(first)), F.concat(F.lit("last:"), F.lower(surname(first))))
     named = queries.select(
-        F.col("title_lower").alias("left_title"),
-        F.col("author").alias("asked_author"),
-        F.explode(F.when(F.col("author").isNull(), F.array(F.lit(ANY_NAME))).otherwise(names)).alias("name_key"),
+        "left_id", "asked_author", F.explode(F.when(F.col("asked_author").isNull(), F.array(F.lit(ANY_NAME))).otherwise(names)).alias("name_key")
     )
-    by_name = records.withColumn("name_key", F.explode(_name_keys(F.col("source"), F.col("author"))))
+    by_name = known.withColumn("name_key", F.explode(_name_keys(F.col("source"), F.col("author"))))
+    answer = ["author", "bonus", "rank", "record_id", "record_no"]
     best_of_title = (
-        records.groupBy("source", "right_title")
-        .agg(_best_record())
-        .select("source", "right_title", "best.bonus", "best.record", F.lit(ANY_NAME).alias("name_key"))
+        known.groupBy("source", "right_id")
+        .agg(_first_of(answer, (-F.col("bonus")).alias("b")))
+        .select("source", "right_id", "best.*", F.lit(ANY_NAME).alias("name_key"))
     )
-    answering = by_name.drop("author").unionByName(best_of_title)
-    asked_titles = queries.select("title_lower").distinct()
-    found_titles = records.select(F.col("right_title").alias("title_lower")).distinct()
-    title_words_table = all_words(asked_titles, found_titles)
-    alike = similar_titles(asked_titles, found_titles, overlap, title_words_table)
-    holding = containing_titles(
-        named.select(F.col("left_title").alias("title_lower"), "name_key"),
-        answering.select(F.col("right_title").alias("title_lower"), "name_key"),
-        title_words_table,
+    answering = by_name.unionByName(best_of_title)
+    asking = named.select("left_id", "name_key").distinct()
+    alike = _alike(
+        words.join(queries.select(F.col("left_id").alias("title_id")), "title_id", "left_semi"),
+        words.join(known.select(F.col("right_id").alias("title_id")), "title_id", "left_semi"),
+        overlap,
     )
-    # The distance is worked out once for each pair of titles, however many records and authors share them.
-    points = title_points(F.col("right_title"), F.col("left_title"), similarity)
-    pairs = cut_lineage(alike.union(holding).distinct().withColumn("title_points", points), "title-pairs")
-    candidates = named.join(pairs, "left_title").join(answering, ["right_title", "name_key"])
-    score = (
-        F.col("title_points")
-        + candidate_author_points(F.col("source"), F.col("record.author"), F.col("asked_author"))
-        + F.col("bonus")
+    holding = _holding(
+        words, asking.withColumnRenamed("left_id", "title_id"), answering.select(F.col("right_id").alias("title_id"), "name_key")
     )
+    # The distance is worked out once for each pair of titles, however many records and authors share them.
+    left_title, right_title = F.col("left_title"), F.col("right_title")
+    met = _with_titles(alike.union(holding).distinct(), words)
+    fits = _holds(left_title, right_title) | _overlaps(title_words(left_title), title_words(right_title), overlap)
+    points = title_points(right_title, left_title, similarity).alias("title_points")
+    pairs = cut_lineage(met.filter(fits).select("left_id", "right_id", points), "title-pairs")
+    met_records = pairs.join(asking, "left_id").join(answering, ["right_id", "name_key"])
+    candidates = named.join(met_records, ["left_id", "name_key"])
+    score = F.col("title_points") + candidate_author_points(F.col("source"), F.col("author"), F.col("asked_author")) + F.col("bonus")
     best = (
         candidates.withColumn("score", score)
-        .groupBy("left_title", "asked_author", "source")
-        .agg(
-            F.min_by(
-                F.struct("score", "record"),
-                F.struct((-F.col("score")).alias("s"), "record.rank", "record.record_id"),
-            ).alias("best")
-        )
-        .select(F.col("left_title").alias("best_title"), F.col("asked_author").alias("best_author"), "source", "best.*")
+        .groupBy("left_id", "asked_author", "source")
+        .agg(_first_of(["score", "record_no"], (-F.col("score")).alias("s")))
+        .select("left_id", "asked_author", "source", "best.*")
         # After the aggregation, so that the score is computed once per pair.
         .filter(F.col("score") > min_score)
     )
+    titles = queries.select(F.col("left_id").alias("best_id"), F.col("title_lower").alias("best_title"), F.col("asked_author").alias("best_author"))
+    titled = best.join(titles, (F.col("left_id") == F.col("best_id")) & F.col("asked_author").eqNullSafe(F.col("best_author")))
+    found = titled.select("best_title", "best_author", "source", "score", "record_no").join(records.select("record_no", "record"), "record_no")
     return asked.join(
-        best,
+        found,
         (F.col("title_lower") == F.col("best_title")) & F.col("author").eqNullSafe(F.col("best_author")),
     ).select(key, "source", "score", "record")
 
