@@ -8,6 +8,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.extract import let
 from scriptorium.functions.text import words
 from scriptorium.operators import index as search_index
 from scriptorium.operators.filters import search_filter
@@ -26,6 +27,8 @@ COMMON_TERMS = 10
 PAIRS = 20_000_000
 # Pairs of queries and chunks that one task of a batch search may have to hold, so there are more tasks for more chunks.
 PAIRS_A_TASK = 4_000_000
+# Query words that a batch search looks for in the chunks' texts: those that the most different words hold.
+SCANNED_TERMS = 32
 # One in so many chunks is scored first; every query's k-th best among these bounds what may be among its best of all.
 BOUND_SHARE = 64
 
@@ -157,16 +160,23 @@ def batch_search(
     if mode == "word":
         meant = wanted.select(F.col("term").alias("word"), F.array("no").alias("meant"))
     else:
-        found = words_holding(postings.select("word").distinct(), wanted).join(broadcast_if_small(wanted), "term")
+        vocabulary = cut_lineage(postings.select("word").distinct(), "search-vocabulary")
+        scanned = _held_by_most(vocabulary, wanted)
+        listed = wanted.where(~F.col("no").isin([r.no for r in scanned]))
+        found = words_holding(vocabulary, listed).join(broadcast_if_small(listed), "term")
         meant = found.groupBy("word").agg(F.collect_list("no").alias("meant"))
     # Written and measured: broadcast when small, so that a chunk's words need not travel; else a shuffled
     # join, kept from broadcasting the words by a hint, because their number is easily underestimated.
     meant = broadcast_if_small(cut_lineage(meant, "search-words"))
     # One row per chunk with the query words it holds.
+    held = postings.hint("merge").join(meant, "word").select(key, "chunk_id", "meant")
+    if mode != "word" and scanned:
+        # The text is lower-cased once, not once per word.
+        tests = lambda text: F.array(*[F.when(F.contains(text, F.lit(r.term)), F.lit(r.no).cast("long")) for r in scanned])
+        seen = let(F.lower("text"), lambda text: F.filter(tests(text), lambda no: no.isNotNull()))
+        held = held.unionByName(chunks.where("text IS NOT NULL").select(key, "chunk_id", seen.alias("meant")))
     holding = (
-        postings.hint("merge")
-        .join(meant, "word")
-        .groupBy(key, "chunk_id")
+        held.groupBy(key, "chunk_id")
         .agg(F.array_distinct(F.flatten(F.collect_list("meant"))).alias("held"))
     )
     most = chunks.select(key).count() * queries.count()
@@ -182,6 +192,16 @@ def batch_search(
     return _leaders(hits.select("query_id", key, "chunk_id", _share()), k, key)
 
 
+def _held_by_most(vocabulary: DataFrame, wanted: DataFrame) -> list:
+    """The query words, ``SCANNED_TERMS`` at most, that most words seem to hold, so that a list of these words would be long.
+
+    Short ones are held by most; which of them are chosen decides the time a search takes and not its result.
+    """
+    some = vocabulary.where(F.pmod(F.xxhash64("word"), F.lit(BOUND_SHARE)) == 0)
+    by_words = words_holding(some, wanted).groupBy("term").agg(F.count("*").alias("n_words"))
+    return by_words.join(wanted, "term").orderBy(F.desc("n_words"), "term").limit(SCANNED_TERMS).collect()
+
+
 def _share() -> Column:
     return (F.col("matched").cast("double") / F.col("n_terms")).alias("relevance")
 
