@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import fixed_values as v
 from scriptorium.functions.lines import is_header_footer, is_irrelevant
-from scriptorium.functions.text import extension, file_name, page_estimate, regex, search_regex, strip
+from scriptorium.functions.text import WHITESPACE, extension, file_name, page_estimate, regex, search_regex, strip
 from scriptorium.schema import null_if_empty, present
 
 TEXTS = "array<string>"
@@ -83,6 +83,26 @@ def authors(text: Column, name: Column | None = None, window: int | None = None)
 
 # --- years ------------------------------------------------------------------------------------
 
+# Blanks of the year patterns; ``strip`` also takes four separators below the space.
+_SPACES = "".join(c for c in WHITESPACE if not "\x1c" <= c <= "\x1f")
+
+
+def _near_digits(text: Column) -> Column:
+    """The text as year patterns see it: of a line without a digit only its end stays, behind a dash.
+
+    All patterns end in digits. What they read before these is on the same line, or blanks and a word at the end of an
+    earlier one. Most lines hold no digit, and the patterns are slow.
+    """
+
+    def end(line: Column) -> Column:
+        kept = F.concat(F.lit("-"), F.substring(line, -v.YEAR_REACH, v.YEAR_REACH))
+        return F.when(line == "", line).otherwise(kept)
+
+    def shortened(line: Column) -> Column:
+        return F.when(line.rlike(regex(r"\d")), line).otherwise(let(F.rtrim(line, F.lit(_SPACES)), end))
+
+    return F.array_join(F.transform(F.split(text, "\n"), shortened), "\n")
+
 
 def year(text: Column, window: int | None = None, latest: int = v.MAX_YEAR) -> Column:
     """Most frequent plausible year over all patterns; among equals the first one seen."""
@@ -100,7 +120,7 @@ def year(text: Column, window: int | None = None, latest: int = v.MAX_YEAR) -> C
         )
         return F.array_max(ranked)["y"]
 
-    return let(let(_head(text, window), collect), mode)
+    return let(let(_near_digits(_head(text, window)), collect), mode)
 
 
 def year_max(text: Column) -> Column:
@@ -124,31 +144,38 @@ def _quoted(name: str) -> str:
 
 def _folded(c: Column) -> Column:
     """Lower case, with the letters case-insensitive patterns also take for ``s``, ``i`` and ``k``."""
-    return F.lower(F.translate(c, "\u017f\u0130\u212a", "sik"))
+    for letter, plain in zip("\u017f\u0130\u0131\u212a", "siik", strict=True):
+        c = F.replace(c, F.lit(letter), F.lit(plain))
+    return F.lower(c)
 
 
-def _known(head: Column, names: list[str]) -> Column:
+def _known(head: Column, folded: Column, names: list[str]) -> Column:
     """The first listed name that occurs as whole words; a plain substring test spares most pattern runs."""
+    tests = [F.contains(folded, F.lit(n.lower())) & head.rlike(regex(rf"(?i)\b{_quoted(n)}\b")) for n in names]
+    return F.coalesce(*[F.when(test, n) for test, n in zip(tests, names, strict=True)])
 
-    def first(folded: Column) -> Column:
-        tests = [F.contains(folded, F.lit(n.lower())) & head.rlike(regex(rf"(?i)\b{_quoted(n)}\b")) for n in names]
-        return F.coalesce(*[F.when(test, n) for test, n in zip(tests, names, strict=True)])
 
-    return let(_folded(head), first)
+def _first_plausible(
+    head: Column, folded: Column, patterns: list[str], hints: list[str], finish: Callable[[Column], Column] = lambda found: found
+) -> Column:
+    """The first pattern's match of 4 to 99 characters; patterns whose hint the text does not hold are not run."""
 
+    def plausible(found: Column) -> Column:
+        return F.when((F.length(found) > 3) & (F.length(found) < 100), finish(found))
 
-def _plausible(found: Column, finish: Callable[[Column], Column]) -> Column:
-    return F.when((F.length(found) > 3) & (F.length(found) < 100), finish(found))
+    tries = [
+        F.when(F.contains(folded, F.lit(hint)), let(strip(search_regex(head, p)), plausible))
+        for p, hint in zip(patterns, hints, strict=True)
+    ]
+    return F.coalesce(*tries)
 
 
 def publisher(text: Column, window: int | None = None) -> Column:
-    def find(head: Column) -> Column:
-        tries = [
-            let(strip(search_regex(head, p)), lambda m: _plausible(m, lambda x: x)) for p in v.PUBLISHER_PATTERNS
-        ]
-        return F.coalesce(_known(head, v.PUBLISHERS), *tries)
+    def find(head: Column, folded: Column) -> Column:
+        fits = _first_plausible(head, folded, v.PUBLISHER_PATTERNS, v.PUBLISHER_HINTS)
+        return F.coalesce(_known(head, folded, v.PUBLISHERS), fits)
 
-    return let(_head(text, window), find)
+    return let(_head(text, window), lambda head: let(_folded(head), lambda folded: find(head, folded)))
 
 
 def _without_tails(name: Column) -> Column:
@@ -158,27 +185,33 @@ def _without_tails(name: Column) -> Column:
 
 
 def journal(text: Column, window: int | None = None) -> Column:
-    def find(head: Column) -> Column:
-        tries = [let(strip(search_regex(head, p)), lambda m: _plausible(m, _without_tails)) for p in v.JOURNAL_PATTERNS]
-        return F.coalesce(_known(head, v.JOURNALS), *tries)
+    def find(head: Column, folded: Column) -> Column:
+        fits = _first_plausible(head, folded, v.JOURNAL_PATTERNS, v.JOURNAL_HINTS, _without_tails)
+        return F.coalesce(_known(head, folded, v.JOURNALS), fits)
 
-    return null_if_empty(let(_head(text, window), find))
+    return null_if_empty(let(_head(text, window), lambda head: let(_folded(head), lambda folded: find(head, folded))))
 
 
 # --- identifiers ------------------------------------------------------------------------------
 
 
+def _with_doi(text: Column, found: Column) -> Column:
+    """``found`` where the text holds what every DOI begins with; other texts are not searched by pattern."""
+    return F.when(F.contains(text, F.lit("10.")), found)
+
+
 def doi(text: Column) -> Column:
-    return search_regex(text, v.DOI_PATTERN)
+    return _with_doi(text, search_regex(text, v.DOI_PATTERN))
 
 
 def doi_loose(text: Column) -> Column:
-    found = F.coalesce(*[search_regex(text, p) for p in v.LOOSE_DOI_PATTERNS])
+    found = _with_doi(text, F.coalesce(*[search_regex(text, p) for p in v.LOOSE_DOI_PATTERNS]))
     return F.regexp_replace(found, regex(r"[,;.\s]+$"), "")
 
 
 def isbn(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(*[search_regex(text, p) for p in v.ISBN_PATTERNS]), "[- ]", "")
+    found = F.coalesce(*[search_regex(text, p) for p in v.ISBN_PATTERNS])
+    return F.regexp_replace(F.when(text.rlike(regex("(?i)isbn")), found), "[- ]", "")
 
 
 def doi_key(*identifiers: Column) -> Column:

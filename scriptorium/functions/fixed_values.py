@@ -34,6 +34,8 @@ YEAR_PATTERNS = [
     r"(?<=\s)(\d{4})(?=\s)",
     r"Volume\s+\d+,?\s+\((\d{4})\)",
 ]
+# Longest wording of a year pattern that may stand on an earlier line than its digits: a month and its full stop.
+YEAR_REACH = 10
 MIN_YEAR = 1900
 MAX_YEAR = 2025
 PAGE_ONE_YEAR = r"(?<!\d)((?:19|20)\d{2})(?!\d)"
@@ -54,6 +56,8 @@ PUBLISHER_PATTERNS = [
     r"(?i)verlag\s+([^\.]+)",
     r"(?i)press\s+([^\.]+)",
 ]
+# What a text holds, in lower case, wherever the pattern at the same place matches.
+PUBLISHER_HINTS = ["published by", "©", "journal of", "university", "verlag", "press"]
 JOURNALS = [
     "Nature", "Science", "PNAS", "Cell", "The Lancet", "JAMA",
     "IEEE Transactions", "ACM Transactions", "Physical Review",
@@ -69,6 +73,7 @@ JOURNAL_PATTERNS = [
     r"(?i)zeitschrift für ([^\.]+)",
     r"(?i)in\: ([^\.]+), vol\.",
 ]
+JOURNAL_HINTS = ["published in", "journal of ", "proceedings of ", "transactions on ", "zeitschrift für ", "in: "]
 JOURNAL_TAILS = [r"(?i)\s*\(.*?\)", r"(?i)\s*vol\..*$", r"(?i)\s*pp\..*$"]
 PAGE_ONE_JOURNAL = [
     r"(?i)journal of ([^,\.]+)",

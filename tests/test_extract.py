@@ -210,3 +210,41 @@ def test_sequence_ratio(value):
 def test_author_similarity(value):
     found, original = F.array(F.lit("Max Born"), F.lit("")), F.array(F.lit("max born"), F.lit("X"))
     assert value(sim.author_similarity(found, original)) == 0.5
+
+
+def test_years_are_the_same_when_lines_without_digits_are_left_out(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    parts = ["March", "sEptember.", "Dec", "12", "3,", "1999", "2001", "(2001)", "(", ")", ",", "Volume", "received", "©", "x" * 30, "-", "١٩٩٩"]
+    blanks = ["", "", " ", "\n", "\n\n", " \n \n", "\x1c", " ", "\r\n", "\t"]
+    texts = ["".join(rng.choice(parts) + rng.choice(blanks) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    texts += ["March\n  \n1999", "March\x1c\n1999", "Volume\n12,\n(1999)", "received\n1999", "1999", "\n1999\n", "12\nMarch\n1999", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text STRING")
+    got = [r[0] for r in df.select(ex.year(T)).collect()]
+    monkeypatch.setattr(ex, "_near_digits", lambda text: text)
+    want = [r[0] for r in df.select(ex.year(T)).collect()]
+    assert got == want and sum(y is not None for y in want) > 1000
+
+
+def test_year_patterns_do_not_read_lines_without_digits(value):
+    text = "\n".join(["some words of prose " * 50] * 40 + ["ended in March", "1999"])
+    assert of(value, lambda t: F.length(ex._near_digits(t)), text) < 600
+    assert of(value, ex.year, text) == 1999
+
+
+def test_hints_stand_wherever_a_case_insensitive_pattern_matches(spark):
+    points = spark.range(1, 0x10000).where("id NOT BETWEEN 55296 AND 57343")
+    letter = F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c")
+    letters = sorted(set("".join([*v.PUBLISHER_HINTS, *v.JOURNAL_HINTS, *v.PUBLISHERS, *v.JOURNALS]).lower()) - set(" &"))
+    wrong = [letter.rlike(f"(?Uid)^{x}$") & (ex._folded(letter) != x) for x in letters if x.isalnum()]
+    missed = points.select(letter, F.array_contains(F.array(*wrong), True).alias("bad")).where("bad").collect()
+    assert [r.c for r in missed] == []
+    for patterns, hints in ((v.PUBLISHER_PATTERNS, v.PUBLISHER_HINTS), (v.JOURNAL_PATTERNS, v.JOURNAL_HINTS)):
+        for pattern, hint in zip(patterns, hints, strict=True):
+            assert re.sub(r"\\s[*+]", " ", pattern).replace("\\", "").startswith(f"(?i){hint.rstrip()}")
+
+
+def test_a_publisher_with_a_dotless_i_is_found(value):
+    assert of(value, ex.publisher, "see Sprınger now") == "Springer"
+    assert of(value, ex.isbn, "ıSBN 3-16-148410-X") == "316148410X"
