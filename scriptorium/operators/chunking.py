@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import annotate as annotations
@@ -32,25 +34,41 @@ def recursive_chunks(docs: DataFrame, key: str, size: int = CHUNK_SIZE, overlap:
     return chunks.filter("chunk_id IS NOT NULL")
 
 
-def annotate(chunks: DataFrame) -> DataFrame:
-    """Entities, keywords and token count beside each chunk."""
-    columns = {
+def _annotations(words: Column) -> dict[str, Column]:
+    return {
         "entities": annotations.entities(F.col("text")),
-        "keywords": annotations.keywords(F.col("text")),
-        "token_count": annotations.token_count(F.col("text")),
+        "keywords": annotations.keywords(F.col("text"), words=words),
+        "token_count": annotations.token_count(F.col("text"), words=words),
+    }
+
+
+def _improvements(words: Column | None = None) -> dict[str, Column]:
+    return {
+        "summary": annotations.summary(F.col("text")),
+        "sentiment": annotations.sentiment(F.col("text"), words=words),
+        "improved": F.lit(True),
     }
-    return chunks.withColumns(columns)
+
+
+def _from_words(chunks: DataFrame, columns: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """Cut every text into words once, for all columns that need them."""
+    cut = chunks.withColumn("_words", annotations.lower_words(F.col("text")))
+    return cut.withColumns(columns(F.col("_words"))).drop("_words")
+
+
+def annotate(chunks: DataFrame) -> DataFrame:
+    """Entities, keywords and token count beside each chunk."""
+    return _from_words(chunks, _annotations)
 
 
 def improve(chunks: DataFrame) -> DataFrame:
     """Summary, sentiment and the ``improved`` flag beside the annotations."""
-    return chunks.withColumns(
-        {
-            "summary": annotations.summary(F.col("text")),
-            "sentiment": annotations.sentiment(F.col("text")),
-            "improved": F.lit(True),
-        }
-    )
+    return chunks.withColumns(_improvements())
+
+
+def annotate_and_improve(chunks: DataFrame) -> DataFrame:
+    """``annotate`` and ``improve`` in one pass over the words."""
+    return _from_words(chunks, lambda words: _annotations(words) | _improvements(words))
 
 
 def chunk_documents(

@@ -177,7 +177,7 @@ def _view(name: str) -> str:
   JOIN q_sentiment USING (doc_id, chunk_id) JOIN q_kinds USING (doc_id, chunk_id)""",
 )
 def _(spark, sf):
-    done = chunking.improve(chunking.annotate(fx.chunks(spark, sf)))
+    done = chunking.annotate_and_improve(fx.chunks(spark, sf))
     return done.select(
         "doc_id", "chunk_id", "token_count", F.size("keywords").alias("n_keywords"), F.size("entities").alias("n_entity_types"),
         "summary", "sentiment.positive", "sentiment.negative", "sentiment.neutral", "improved",
