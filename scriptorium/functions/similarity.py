@@ -66,19 +66,25 @@ def _block_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
     # Frequent characters count like any others, whatever the length.
     matcher = SequenceMatcher(None, autojunk=False)
     for left, right in pairs:
-        out = []
+        # Candidates of several services share their title: a batch works each pair out once.
+        known = {}
         for a, b in zip(left, right, strict=True):
-            if not a or not b:
-                out.append(0.0)
-                continue
-            matcher.set_seqs(a, b)
-            out.append(matcher.ratio())
-        yield pd.Series(out, dtype="float64")
+            if a and b and (a, b) not in known:
+                matcher.set_seqs(a, b)
+                known[a, b] = matcher.ratio()
+        yield pd.Series([known.get(pair, 0.0) for pair in zip(left, right, strict=True)], dtype="float64")
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:
-    """Longest-matching-block ratio of two lower-cased, stripped strings."""
-    return F.coalesce(_block_ratio(strip(F.lower(a)), strip(F.lower(b))), F.lit(0.0))
+    """Longest-matching-block ratio of two lower-cased, stripped strings.
+
+    Where one holds the other, that one is the only block, and no blocks are looked for.
+    """
+    x, y = _plain(a), _plain(b)
+    held = F.contains(x, y) | F.contains(y, x)
+    whole = F.lit(2.0) * F.least(F.length(x), F.length(y)) / (F.length(x) + F.length(y))
+    blocks = _block_ratio(F.when(~held, x), F.when(~held, y))
+    return F.coalesce(F.when((x == "") | (y == ""), 0.0).when(held, whole).otherwise(blocks), F.lit(0.0))
 
 
 def author_similarity(found: Column, original: Column) -> Column:

@@ -248,3 +248,37 @@ def test_hints_stand_wherever_a_case_insensitive_pattern_matches(spark):
 def test_a_publisher_with_a_dotless_i_is_found(value):
     assert of(value, ex.publisher, "see Sprınger now") == "Springer"
     assert of(value, ex.isbn, "ıSBN 3-16-148410-X") == "316148410X"
+
+
+def test_sequence_ratio_equals_the_matcher_on_contained_and_other_pairs(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abé 𝒳") for _ in range(rng.randint(0, 14)))
+    pairs = [(word(), word()) for _ in range(400)] + [(w, word() + w + word()) for w in (word() for _ in range(200))]
+    pairs += [(b, a) for a, b in pairs[400:]] + [("", ""), ("", "x"), ("  ", "x"), ("a" * 400, "a" * 299 + "b"), ("ABC", "abc ")]
+    df = spark.createDataFrame([(a, b) for a, b in pairs], "a STRING, b STRING")
+    for r in df.select("a", "b", sim.sequence_ratio(F.col("a"), F.col("b")).alias("r")).collect():
+        a, b = r.a.lower().strip(), r.b.lower().strip()
+        assert r.r == (SequenceMatcher(None, a, b, autojunk=False).ratio() if a and b else 0.0)
+
+
+def test_the_matcher_runs_once_a_pair_and_not_for_contained_titles(spark, monkeypatch):
+    import pandas as pd
+
+    asked = []
+
+    class Counted(sim.SequenceMatcher):
+        def ratio(self):
+            asked.append((self.a, self.b))
+            return super().ratio()
+
+    monkeypatch.setattr(sim, "SequenceMatcher", Counted)
+    left, right = pd.Series(["abc", None, "abc", "x"]), pd.Series(["cba", "y", "cba", None])
+    (got,) = sim._block_ratio.func(iter([(left, right)]))
+    assert asked == [("abc", "cba")] and list(got) == [pytest.approx(1 / 3), 0.0, pytest.approx(1 / 3), 0.0]
+    # Contained pairs reach Python as nulls.
+    df = spark.createDataFrame([("a title", "a title (reprint)")] * 40, "a STRING, b STRING")
+    plan = df.select(sim.sequence_ratio(F.col("a"), F.col("b")))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"_block_ratio\(CASE WHEN|_block_ratio\(if", plan)
