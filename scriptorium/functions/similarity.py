@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,18 +62,98 @@ def string_similarity(a: Column, b: Column) -> Column:
     return F.when(has_text(a) & has_text(b), _graded(_plain(a), _plain(b))).otherwise(0.0)
 
 
-@pandas_udf(DoubleType())
-def _block_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+# Lengths of a pair multiplied, summed over pairs. Below the first, one pair after the other is faster than all at once;
+# no more than the second are looked at together, and a longer pair is looked at alone, in memory that grows with its length.
+FEW_PLACES, MOST_PLACES = 1 << 14, 1 << 20
+_BITS = 21
+
+
+def _places(texts: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all characters of the texts: the text's number, the place in it, and text and character as one key."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), lengths)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return text, place, (text << _BITS) | codes
+
+
+def _matched(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Characters in the matching blocks of each pair, for all pairs at once.
+
+    Equal characters are kept as (i, j) along the diagonals. A round finds the longest block of every open part of a pair
+    (of equal ones the first in the left text, then in the right one), and keeps what lies wholly before or after it.
+    """
+    left, right = zip(*pairs, strict=True)
+    pair, i, key = _places(left, np.array([len(a) for a in left]))
+    _, at, found = _places(right, np.array([len(b) for b in right]))
+    order = np.argsort(found, kind="stable")
+    at, found = at[order], found[order]
+    low = np.searchsorted(found, key)
+    many = np.searchsorted(found, key, "right") - low
+    part, i = np.repeat(pair, many), np.repeat(i, many)
+    j = at[np.arange(len(i)) + np.repeat(low - (np.cumsum(many) - many), many)]
+    order = np.argsort((part << 2 * _BITS) | ((i - j + MOST_PLACES) << _BITS) | i)
+    part, i, j = part[order], i[order], j[order]
+
+    total, owner = np.zeros(len(pairs), dtype=np.int64), np.arange(len(pairs))
+    low_bits = (1 << _BITS) - 1
+    while len(i):
+        # Parts without equal characters are closed.
+        is_open = np.zeros(len(owner), dtype=bool)
+        is_open[part] = True
+        part, owner = (np.cumsum(is_open) - 1)[part], owner[is_open]
+        starts = np.ones(len(i), dtype=bool)
+        starts[1:] = (part[1:] != part[:-1]) | (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)
+        start = np.flatnonzero(starts)
+        size = np.diff(np.append(start, len(i)))
+        best = np.full(len(owner), np.iinfo(np.int64).max)
+        np.minimum.at(best, part[start], ((MOST_PLACES - size) << 2 * _BITS) | (i[start] << _BITS) | j[start])
+        size, first, second = MOST_PLACES - (best >> 2 * _BITS), (best >> _BITS) & low_bits, best & low_bits
+        np.add.at(total, owner, size)
+        before = (i < first[part]) & (j < second[part])
+        after = (i >= (first + size)[part]) & (j >= (second + size)[part])
+        part, kept = part + len(owner) * after, before | after
+        part, i, j = part[kept], i[kept], j[kept]
+        owner = np.concatenate([owner, owner])
+    return total
+
+
+def _groups(pairs: list[tuple[str, str]]) -> Iterator[tuple[list[tuple[str, str]], int]]:
+    """The pairs in runs of at most MOST_PLACES places, and the places; a pair of more is a run of its own."""
+    group, places = [], 0
+    for a, b in pairs:
+        own = len(a) * len(b)
+        if group and places + own > MOST_PLACES:
+            yield group, places
+            group, places = [], 0
+        group.append((a, b))
+        places += own
+    if group:
+        yield group, places
+
+
+def _ratios(pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float]:
+    """Ratio of each of the different pairs, none of them empty."""
     # Frequent characters count like any others, whatever the length.
     matcher = SequenceMatcher(None, autojunk=False)
+    out = {}
+    for group, places in _groups(pairs):
+        if FEW_PLACES <= places <= MOST_PLACES:
+            for (a, b), n in zip(group, _matched(group).tolist(), strict=True):
+                out[a, b] = 2.0 * n / (len(a) + len(b))
+            continue
+        for a, b in group:
+            matcher.set_seqs(a, b)
+            out[a, b] = matcher.ratio()
+    return out
+
+
+@pandas_udf(DoubleType())
+def _block_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in pairs:
         # Candidates of several services share their title: a batch works each pair out once.
-        known = {}
-        for a, b in zip(left, right, strict=True):
-            if a and b and (a, b) not in known:
-                matcher.set_seqs(a, b)
-                known[a, b] = matcher.ratio()
-        yield pd.Series([known.get(pair, 0.0) for pair in zip(left, right, strict=True)], dtype="float64")
+        rows = list(zip(left, right, strict=True))
+        known = _ratios([(a, b) for a, b in dict.fromkeys(rows) if a and b])
+        yield pd.Series([known.get(pair, 0.0) for pair in rows], dtype="float64")
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:

@@ -282,3 +282,45 @@ def test_the_matcher_runs_once_a_pair_and_not_for_contained_titles(spark, monkey
     df = spark.createDataFrame([("a title", "a title (reprint)")] * 40, "a STRING, b STRING")
     plan = df.select(sim.sequence_ratio(F.col("a"), F.col("b")))._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"_block_ratio\(CASE WHEN|_block_ratio\(if", plan)
+
+
+def test_blocks_of_many_pairs_are_found_at_once_and_equal_the_matcher(monkeypatch):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(11)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(rng.randint(1, n)))
+    pairs = list({(word(s, n), word(s, n)) for s in ("ab", "abcé 𝒳\0", "xyz") for n in (9, 40, 150) for _ in range(120)})
+    pairs += [("ab" * 150, "ba" * 150), ("x" * 40, "y" * 40), ("a title", "eltit a"), ("qabxab", "abyqab")]
+    # A pair of more places than are looked at together, in the midst of the others.
+    wide = ("ab" * 30 + "c" * 2000, "c" * 700 + "ba" * 30)
+    pairs.insert(50, wide)
+    want = {(a, b): SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in pairs}
+
+    asked = []
+
+    class Counted(SequenceMatcher):
+        def ratio(self):
+            asked.append((self.a, self.b))
+            return super().ratio()
+
+    monkeypatch.setattr(sim, "SequenceMatcher", Counted)
+    assert sim._ratios(pairs) == want
+    assert wide in asked and len(asked) < len(pairs) / 4
+    # However many, no more than MOST_PLACES are held at once.
+    groups = list(sim._groups(pairs))
+    assert [p for g, _ in groups for p in g] == pairs
+    assert all(places <= sim.MOST_PLACES or g == [wide] for g, places in groups)
+
+
+def test_a_batch_of_different_titles_does_not_ask_the_matcher_one_by_one(monkeypatch):
+    import pandas as pd
+
+    class Refused(sim.SequenceMatcher):
+        def ratio(self):
+            raise AssertionError("asked for one pair")
+
+    monkeypatch.setattr(sim, "SequenceMatcher", Refused)
+    left = pd.Series([f"on the growth of title number {n}" for n in range(200)])
+    (got,) = sim._block_ratio.func(iter([(left, left.str[::-1])]))
+    assert len(got) == 200 and got.between(0.05, 0.95).all()
