@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -16,6 +18,9 @@ from scriptorium.functions.extract import let
 from scriptorium.functions.text import strip, surname
 from scriptorium.schema import has_text
 
+# Executors need not have this package: what the ratio calls travels with it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _plain(c: Column) -> Column:
     return strip(F.lower(c))

@@ -324,3 +324,26 @@ def test_a_batch_of_different_titles_does_not_ask_the_matcher_one_by_one(monkeyp
     left = pd.Series([f"on the growth of title number {n}" for n in range(200)])
     (got,) = sim._block_ratio.func(iter([(left, left.str[::-1])]))
     assert len(got) == 200 and got.between(0.05, 0.95).all()
+
+
+def test_the_ratio_runs_where_the_package_is_not_installed(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "ratio.pickle").write_bytes(cloudpickle.dumps(sim._block_ratio.func))
+    code = """
+import pickle, pandas as pd
+ratio = pickle.load(open("ratio.pickle", "rb"))
+left = pd.Series([f"on the growth of title number {n}" for n in range(200)] + ["abc"])
+(got,) = ratio(iter([(left, left.str[::-1])]))
+try:
+    import scriptorium
+except ImportError:
+    print(len(got), round(got.iloc[-1], 6))
+"""
+    there = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=there, capture_output=True, text=True, timeout=120)
+    assert run.stdout.split() == ["201", "0.333333"], run.stderr
