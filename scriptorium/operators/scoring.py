@@ -76,6 +76,12 @@ def title_points(found: Column, original: Column, similarity: str = "levenshtein
     return SIMILARITIES[similarity](original, found) * TITLE_POINTS
 
 
+def most_title_points(x: Column, y: Column, similarity: str = "levenshtein") -> Column:
+    """The most points that two titles of ``x`` and ``y`` characters can get."""
+    alike = {"levenshtein": F.least(x, y) / F.greatest(x, y), "ratio": F.lit(2.0) * F.least(x, y) / (x + y)}
+    return alike[similarity] * TITLE_POINTS
+
+
 def candidate_author_points(source: Column, found: Column, original: Column) -> Column:
     """All or nothing by name match; the union catalogue grades by similarity."""
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import cite
 from scriptorium.functions.split import recursive_split
+from scriptorium.functions.text import normalize_title, surname
 from scriptorium.operators import context, enrich, filters, listing, mutate, records, resolve, scoring, search, stats
 from scriptorium.schema import FIELD_TYPES, METADATA, RECORD_FIELDS
 
@@ -422,6 +423,58 @@ def test_phrases_match_brute_force(spark):
     assert len(got) == len(want) > 5 and set(got) == want
 
 
+ASKED = "doc_id INT, title STRING, author ARRAY<STRING>"
+
+
+@pytest.mark.parametrize("similarity", ["levenshtein", "ratio"])
+def test_best_records_match_brute_force(spark, similarity):
+    """Phrases in titles of every length, with and without authors, at all services."""
+    import random
+
+    rng = random.Random(11)
+    authors = [None, [], ["Ada Lovelace"], ["Max Born", "Ada Lovelace"], ["A. Born"], ["Plato"], ["Lise Meitner", "Plato"]]
+    words = ["in", "of", "quantum", "chemistry", "zur", "Theorie", "ab", "x"]
+    titles = [rng.choice([" ", " ", "-", ": "]).join(rng.choices(words, k=rng.choice([1, 1, 2, 3, 5, 9]))) + rng.choice(["", "", "!", " (Nachdruck)"]) for _ in range(260)]
+    lib = spark.createDataFrame([(i, t, rng.choice(authors)) for i, t in enumerate(titles[:60])], ASKED)
+    fields = {"year": 1900, "journal": "J", "publisher": "P", "doi": "10.1/x", "isbn": "1", "keywords": ["k"]}
+    rows = [{"title": t, "source": s, "author": rng.choice(authors), "rank": rng.randint(1, 3)} for t in titles[60:] for s in rng.sample(scoring.SOURCE_ORDER, 2)]
+    cat = catalogue(spark, *[{**r, **{n: v for n, v in fields.items() if rng.random() < 0.3}} for r in rows])
+    found = resolve.by_title(lib, cat, similarity=similarity).select("doc_id", "source", "record.record_id", "score")
+
+    own, r = lib.select("doc_id", F.col("title").alias("t"), F.col("author").alias("a")), cat.withColumn("record", F.struct("*"))
+    x, y = (F.array_distinct(F.split(F.lower(normalize_title(F.col(c))), " ")) for c in ("t", "title"))
+    shared = F.size(F.array_intersect(x, y))
+    phrase = [F.concat(F.lit(" "), F.lower(normalize_title(F.col(c))), F.lit(" ")) for c in ("t", "title")]
+    fits = (shared >= 0.6 * (F.size(x) + F.size(y) - shared) - 1e-9) | F.contains(*phrase) | F.contains(*phrase[::-1])
+    first = F.get("a", F.lit(0))
+    same = F.when(F.col("source") == "googlebooks", F.exists("author", lambda n: F.lower(n) == F.lower(first)))
+    named = same.otherwise(F.exists("author", lambda n: F.lower(surname(n)) == F.lower(surname(first))))
+    score = scoring.candidate_score(F.col("source"), F.col, F.col("t"), F.col("a"), similarity).alias("score")
+    kept = own.crossJoin(r).filter(fits & (F.coalesce(F.size("a") <= 0, F.lit(True)) | F.coalesce(named, F.lit(False))))
+    best = F.min_by(F.struct("record_id", "score"), F.struct(-F.col("score"), "rank", "record_id")).alias("best")
+    want = kept.select("doc_id", "source", "rank", "record_id", score).groupBy("doc_id", "source").agg(best).select("doc_id", "source", "best.*").filter("score > 10")
+    got, wanted = ({(r.doc_id, r.source): (r.record_id, round(r.score, 6)) for r in df.collect()} for df in (found, want))
+    assert len(wanted) > 100 and got == wanted
+
+
+def test_phrases_that_cannot_win_are_not_paired(spark):
+    """A title of one word used to be paired with every title that holds it, and each pair with all names and records."""
+    from scriptorium import session
+
+    def record(title, source):
+        return {"title": title, "author": ["Ada Lovelace"], "source": source, "year": 1900}
+
+    long = [f"chemistry of the {a} and {b} bodies in all their many known forms" for a in "abcdefghij" for b in "klmnopqrst"]
+    lib = spark.createDataFrame([(i, t, ["Ada Lovelace"]) for i, t in enumerate(["Chemistry", *long])], ASKED)
+    cat = catalogue(spark, *[record(t, s) for s in ("crossref", "openalex") for t in ["Chemistry", *(t.upper() for t in long)]])
+    made = len(session.FOLDERS)
+    found = resolve.by_title(lib, cat).select("doc_id", "record.title", "score").collect()
+    assert len(found) == 2 * 101 and all(r.score == 85 for r in found)
+    pairs = sum(spark.read.parquet(f).count() for f in session.FOLDERS[made:] if "/title-pairs-" in f)
+    # Every title and itself, and the long ones that share all words but one.
+    assert pairs == sum(len(set(a.split()) & set(b.split())) >= 0.6 * len(set(a.split()) | set(b.split())) for a in long for b in long) + 1
+
+
 def test_title_join_carries_numbers(spark):
     """Titles and records used to travel through the join of askers and answers, some hundred bytes a pair."""
     titles = [(f"r{i}", t) for i, t in enumerate(("A Plain Title", "A Plain Title (Nachdruck)", "Something Else"))]
