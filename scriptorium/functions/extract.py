@@ -252,14 +252,15 @@ def language_ratio(
 def language_presence(text: Column, window: int | None = None) -> Column:
     """``de`` when strictly more of the German than of the English words stand between blanks."""
 
-    def count(padded: Column, listed: list[str]) -> Column:
-        total = F.lit(0)
-        for word in listed[: v.PRESENCE_WORDS]:
-            total = total + F.contains(padded, F.lit(f" {word} ")).cast("int")
-        return total
-
-    padded = F.concat(F.lit(" "), F.lower(_head(text, window)), F.lit(" "))
-    return let(padded, lambda p: F.when(count(p, v.GERMAN_WORDS) > count(p, v.ENGLISH_WORDS), "de").otherwise("en"))
+    def listed(words: list[str]) -> Column:
+        return F.array(*[F.lit(word) for word in words[: v.PRESENCE_WORDS]])
+
+    def count(found: Column, words: list[str]) -> Column:
+        return F.size(F.array_intersect(found, listed(words)))
+
+    # The text is read once, for the words of both lists.
+    found = F.array_intersect(F.split(F.lower(_head(text, window)), " "), F.array_union(listed(v.GERMAN_WORDS), listed(v.ENGLISH_WORDS)))
+    return let(found, lambda f: F.when(count(f, v.GERMAN_WORDS) > count(f, v.ENGLISH_WORDS), "de").otherwise("en"))
 
 
 def chunk_language(given: Column, text: Column) -> Column:

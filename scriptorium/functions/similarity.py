@@ -40,7 +40,10 @@ def _common_start(x: Column, y: Column) -> Column:
 
 
 def edit_distance(x: Column, y: Column) -> Column:
-    """Levenshtein distance; equal starts and ends, which do not count, are cut off before the quadratic part."""
+    """Levenshtein distance; equal starts and ends, which do not count, are cut off before the quadratic part.
+
+    Where one text holds the other, the distance is what it has beside: no quadratic part at all.
+    """
 
     def rest(pair: Column) -> Column:
         a, b = pair["a"], pair["b"]
@@ -54,12 +57,13 @@ def edit_distance(x: Column, y: Column) -> Column:
     cut = let(let(let(both, rest), lambda p: rest(turned(p))), lambda p: F.levenshtein(p["a"], p["b"]))
     # Looking for equal ends costs more than it saves where not even the outermost characters agree.
     alike = (F.left(x, F.lit(1)) == F.left(y, F.lit(1))) | (F.right(x, F.lit(1)) == F.right(y, F.lit(1)))
-    return F.when(alike, cut).otherwise(F.levenshtein(x, y))
+    held = F.contains(x, y) | F.contains(y, x)
+    return F.when(held, F.abs(F.length(x) - F.length(y))).when(alike, cut).otherwise(F.levenshtein(x, y))
 
 
-def _graded(x: Column, y: Column) -> Column:
+def _graded(x: Column, y: Column, distance: Callable[[Column, Column], Column] = edit_distance) -> Column:
     """Similarity of two lower-cased, stripped strings."""
-    return F.when(x == y, 1.0).otherwise(F.lit(1.0) - edit_distance(x, y) / F.greatest(F.length(x), F.length(y)))
+    return F.when(x == y, 1.0).otherwise(F.lit(1.0) - distance(x, y) / F.greatest(F.length(x), F.length(y)))
 
 
 def string_similarity(a: Column, b: Column) -> Column:
@@ -176,11 +180,13 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 def author_similarity(found: Column, original: Column) -> Column:
     """Mean over the found authors of their best match among the original ones."""
 
+    def closest(f: Column, original: Column) -> Column:
+        # An equal name is the best match. Names are short: cutting off equal ends would cost more than it saves.
+        graded = F.transform(original, lambda o: _graded(f, o, F.levenshtein))
+        return F.when(F.array_contains(original, f), 1.0).otherwise(F.coalesce(F.array_max(graded), F.lit(0.0)))
+
     def mean_best(names: Column) -> Column:
-        best = F.transform(
-            names["found"],
-            lambda f: F.coalesce(F.array_max(F.transform(names["original"], lambda o: _graded(f, o))), F.lit(0.0)),
-        )
+        best = F.transform(names["found"], lambda f: closest(f, names["original"]))
         return F.aggregate(best, F.lit(0.0), lambda acc, s: acc + s)
 
     # Names are lower-cased and stripped once, not once per pair; empty ones match nothing.

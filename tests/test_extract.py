@@ -347,3 +347,22 @@ except ImportError:
     there = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=there, capture_output=True, text=True, timeout=120)
     assert run.stdout.split() == ["201", "0.333333"], run.stderr
+
+
+def test_presence_reads_the_text_once(spark):
+    """Each listed word used to be looked for in the whole text."""
+    texts = ["und der the", "the\nund der", "", "und  der", "the of und", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text STRING").select(ex.language_presence(F.col("text")).alias("v"))
+    assert [r.v for r in df.collect()] == ["de", "de", "en", "de", "en", "en"]
+    assert "contains" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_a_held_text_needs_no_edit_matrix(spark):
+    """A phrase in a long title used to be compared character by character; names used to be cut at equal ends first."""
+    rows = [("a long title of many words", "title of"), ("title of", "a long title of many words"), ("kitten", "sitting"), ("", "ab")]
+    df = spark.createDataFrame(rows, "x STRING, y STRING")
+    assert [r.d for r in df.select(sim.edit_distance(F.col("x"), F.col("y")).alias("d")).collect()] == [18, 18, 3, 2]
+    plan = df.select(sim.edit_distance(F.col("x"), F.col("y")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(x" in plan
+    names = df.select(sim.author_similarity(F.array("x"), F.array("y")).alias("s"))
+    assert "substr" not in names._jdf.queryExecution().optimizedPlan().toString()
