@@ -333,8 +333,10 @@ def by_title(
     named = queries.select(
         "left_id", "query_no", "asked_author", F.explode(F.when(F.col("asked_author").isNull(), F.array(F.lit(ANY_NAME))).otherwise(names)).alias("name_key")
     )
-    asking = named.select("left_id", "name_key").distinct()
     answer_keys = _name_keys(F.col("source"), F.col("author"))
+    # Names that no record has are not asked under.
+    answered = known.select(F.explode(F.concat(F.coalesce(answer_keys, F.array().cast("array<string>")), F.array(F.lit(ANY_NAME)))).alias("name_key")).distinct()
+    asking = _written(named.select("left_id", "name_key").distinct().join(answered, "name_key", "left_semi"), "title-askers")
 
     def best(pairs: DataFrame) -> DataFrame:
         """The first of the records that the pairs of titles lead to, for each query and source."""

@@ -475,6 +475,18 @@ def test_phrases_that_cannot_win_are_not_paired(spark):
     assert pairs == sum(len(set(a.split()) & set(b.split())) >= 0.6 * len(set(a.split()) | set(b.split())) for a in long for b in long) + 1
 
 
+def test_names_that_no_record_has_are_not_asked_under(spark):
+    """Titles of unknown authors used to be paired with all similar titles before a name was looked at."""
+    from scriptorium import session
+
+    lib = spark.createDataFrame([(i, "Quantum Chemistry", ["Nobody Known" if i else "Ada Lovelace"]) for i in range(2)], ASKED)
+    lib = lib.unionByName(spark.createDataFrame([(2, "Chemistry of Quantum", ["Nobody Known"])], ASKED))
+    cat = catalogue(spark, {"title": "Quantum Chemistry", "author": ["Augusta Lovelace"]})
+    made = len(session.FOLDERS)
+    assert [r.doc_id for r in resolve.by_title(lib, cat).collect()] == [0]
+    assert sum(spark.read.parquet(f).count() for f in session.FOLDERS[made:] if "/title-pairs-" in f) == 1
+
+
 def test_title_join_carries_numbers(spark):
     """Titles and records used to travel through the join of askers and answers, some hundred bytes a pair."""
     titles = [(f"r{i}", t) for i, t in enumerate(("A Plain Title", "A Plain Title (Nachdruck)", "Something Else"))]
